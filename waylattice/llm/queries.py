@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import OP5_SQL, op5_mix_sources
 
 QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
     "op5_mix_sources": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_jaccard_join": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
 }
