@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, materialize, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,9 +23,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    hashed = rows.select("id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("s"))
+    hashed = materialize(rows.select("id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("s")), "dedup-hashes")
 
-    several = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a table of its own: the join below then has an exchange on either side, and its hot partitions can be split
+    several = materialize(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-groups")
     texts = (
         rows.withColumn("h", F.unhex(F.md5("norm")))
         .join(several, "h")
