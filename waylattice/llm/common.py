@@ -99,3 +99,42 @@ def run_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
 
 
+#: Bits of a filter of keys; with more keys than it can tell apart it lets more through, and all in the end.
+FILTER_BITS = 1 << 27
+
+
+def key_filter(keys: DataFrame, positions, most: int = FILTER_BITS):
+    """A broadcast Bloom filter of a table of keys, at most FILTER_BITS / 8 bytes however many there are.
+
+    positions: given the number of bits, a power of two, the columns of each key's bits. Returns the number and the broadcast array."""
+    wide = 1 << 16
+    n = keys.count()
+    while wide < min(most, 16 * n):
+        wide *= 2
+    at = F.explode(F.array(*positions(wide))).alias("at")
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table_ = np.zeros(wide // 64, np.int64)
+    table_[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return wide, keys.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
+
+
+def may_hold(words: np.ndarray, *positions: np.ndarray) -> np.ndarray:
+    """Whether a filter has all bits of each key."""
+    found = np.ones(len(positions[0]), bool)
+    for p in positions:
+        p = p.astype(np.int64)
+        found &= (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return found
+
+
+def long_gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """As gram_hashes, by sums of powers: the cost does not grow with k."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    r = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes) - 1, r)], dtype=np.uint64)
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(pow(int(r), -1, 1 << 64)))], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * power, dtype=np.uint64)]
+    return mix((sums[k:] - sums[:-k]) * back + np.uint64(k))

@@ -11,19 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, materialize, signed, small_batches, table, text_bytes
+from .common import WordHashes, gram_hashes, key_filter, materialize, may_hold, mix, signed, small_batches, table, text_bytes
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Smallest shingle hashes that a document without frequent shingles is found by. Of the t smallest hashes of the union of a linked
-#: pair each is shared with probability 0.8 or more, so none is with 0.2 ** 24 = 2e-17 at most.
-SKETCH = 24
-#: A shingle in the sketches of more than FREQUENT different sets ranks last; at most MOST_FREQUENT such shingles are broadcast (8 bytes each).
-FREQUENT, MOST_FREQUENT = 256, 200_000
+#: Band keys of a set, each of ROWS minima of independent orders of its shingles. Linked sets have an equal minimum with probability
+#: 0.8 or more, so no key in common with (1 - 0.8 ** 3) ** 40 = 3e-13 at most; texts that share a passage alone rarely have one.
+BANDS, ROWS = 40, 3
 #: Sets that one tile compares; a larger bucket is cut into parts, and each pair of parts is a tile.
 TILE = 2048
 #: Bits of a signature by the least size of a set.
-WIDTHS = ((0, 2048), (1024, 8192), (4096, 32768))
+WIDTHS = ((0, 512), (128, 1024), (256, 2048), (1024, 8192), (4096, 32768))
 
 
 def shingles(data: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -41,13 +39,24 @@ def least_overlap(total: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * total // (100 + percent))
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int, sketch: int = SKETCH) -> np.ndarray:
-    """Hashes one of which any linked set has among its own: the order puts frequent ones last and else goes by value."""
-    n = len(s)
-    p = n - -(-percent * n // 100) + 1
-    if len(frequent) and (hot := np.isin(s, frequent, assume_unique=True)).any():
-        return np.concatenate([s[~hot][:p], s[hot]])[:p]
-    return s[: min(p, sketch)]
+class Bands:
+    def __init__(self, bands: int = BANDS, rows: int = ROWS):
+        x = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
+        self.flip, self.times = x[: bands * rows], x[bands * rows :] | np.uint32(1)
+        self.bands, self.rows = bands, rows
+        self.salt = mix(np.arange(bands, dtype=np.uint64))
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return np.empty(0, np.int64)
+        x = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+        least = np.full(len(self.flip), 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(x), 2048):
+            np.minimum(least, ((x[i : i + 2048] ^ self.flip) * self.times).min(axis=0), out=least)
+        key = self.salt
+        for column in least.reshape(self.bands, self.rows).T:
+            key = mix(key ^ column)
+        return signed(key)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -147,27 +156,49 @@ def in_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def _sets(docs: DataFrame, shingle: int, frequent, percent: int, full: bool) -> DataFrame:
-    """id, n, k (128-bit hash of the set, null if it is empty), keys; full: with the signature."""
-    schema = StructType([docs.schema["id"], StructField("n", LongType()), StructField("k", BinaryType()), StructField("keys", ArrayType(LongType()))] + [StructField("bits", BinaryType())] * full)
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, n, k (128-bit hash of the set, null if it is empty), keys."""
+    schema = StructType([docs.schema["id"], StructField("n", LongType()), StructField("k", BinaryType()), StructField("keys", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hot = WordHashes(), frequent.value if frequent else np.empty(0, np.uint64)
+        hashes, bands = WordHashes(), Bands()
         for b in batches:
             sets = [shingles(x, hashes, shingle) for x in b.column("text").to_pylist()]
             cols = [
                 b.column("id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) for s in sets], pa.binary()),
-                pa.array([signed(prefix(s, hot, percent)) for s in sets], pa.list_(pa.int64())),
+                pa.array([bands.keys(s) for s in sets], pa.list_(pa.int64())),
             ]
-            if full:
-                cols.append(pa.array([signature(s) for s in sets], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _read_again(docs: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
+    """k, n, bits and s (the sorted set) of the sets `found`. Texts are picked by a filter of bounded size, so that they aren't shuffled."""
+    wide, shared = key_filter(found, lambda wide: [F.conv(F.hex(F.substring("k", 4 * j + 1, 4)), 16, 10).cast("long") % wide for j in range(3)])
+    schema = StructType([StructField("k", BinaryType()), StructField("n", LongType()), StructField("bits", BinaryType()), StructField("s", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, words = WordHashes(), shared.value
+        given: set[bytes] = set()  # copies in one task are given once
+        for b in batches:
+            rows = []
+            if len(given) > 300_000:
+                given.clear()
+            for x in b.column("text").to_pylist():
+                s = shingles(x, hashes, shingle)
+                if (k := set_key(s)) is None or k in given:
+                    continue
+                if may_hold(words, np.frombuffer(k, ">u4", 3).astype(np.int64) % wide).all():
+                    given.add(k)
+                    rows.append((k, len(s), signature(s), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """a, b and whether they link: each set b travels to its a, and is intersected there."""
     other = pairs.join(arrays, pairs["b"] == arrays["k"]).select("a", "b", "s")
@@ -222,33 +253,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    first = materialize(_sets(source, shingle, None, percent, False), "jaccard-sets")
-    reps = materialize(first.where("k is not null").groupBy("k").agg(F.min("id").alias("rep")), "jaccard-reps")
-
-    sketched = first.where("k is not null").select("k", F.explode("keys").alias("key")).distinct()
-    common = sketched.groupBy("key").count().where(F.col("count") > FREQUENT).orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(common.column("key").to_numpy().view(np.uint64)))
-
-    second = _sets(source, shingle, frequent, percent, True).where("k is not null")
-    sets = materialize(second.join(reps, (second["k"] == reps["k"]) & second["id"].eqNullSafe(reps["rep"])).select(second["k"], "id", "n", "keys", "bits"), "jaccard-signatures")
-    keyed = sets.select("k", F.explode("keys").alias("key")).distinct()
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "jaccard-buckets")
+    first = materialize(_sets(source, shingle), "jaccard-sets")
+    sets = first.where("k is not null")
+    reps = materialize(sets.groupBy("k").agg(F.min("id").alias("rep")), "jaccard-reps")
+
+    one = sets.join(reps.withColumnRenamed("k", "k_"), (F.col("k") == F.col("k_")) & F.col("id").eqNullSafe(F.col("rep")))
+    keyed = materialize(one.select("k", "keys"), "jaccard-keys").select("k", F.explode("keys").alias("key"))
+    # two different sets at least; sets of repeated rows are not
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.xxhash64("k")).alias("lo"), F.max(F.xxhash64("k")).alias("hi")).where("lo < hi").select("key", "members"), "jaccard-buckets")
     members = materialize(keyed.join(buckets, "key"), "jaccard-members")
     found = materialize(members.select("k").distinct(), "jaccard-found")
-    signatures = sets.dropDuplicates(["k"]).select("k", "n", "bits")
-
-    # the whole sets of what shares a bucket
-    wanted = sets.join(found, "k", "left_semi").select("id", "k").distinct()
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("k", "text")
-    schema = StructType([StructField("k", BinaryType()), StructField("s", BinaryType())])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            rows = [(k, s.tobytes()) for k, x in zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True) if set_key(s := shingles(x, hashes, shingle)) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["k", "s"])
-
-    arrays = materialize(texts.mapInArrow(whole, schema), "jaccard-arrays")
+    # of equal texts one
+    whole = materialize(_read_again(source, found, shingle).join(found, "k", "left_semi").dropDuplicates(["k"]), "jaccard-whole")
+    signatures, arrays = whole.select("k", "n", "bits"), whole.select("k", "s")
 
     edge = StructType([StructField("key", LongType()), StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("more", BooleanType())])
 
