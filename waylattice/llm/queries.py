@@ -6,10 +6,12 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import OP5_SQL, op5_mix_sources
+from .suffix_dedup import op4_suffix_dedup
 from .suffix_tree import op3_suffix_tree
 
 QUERIES = {
     "op3_suffix_tree": op3_suffix_tree,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
