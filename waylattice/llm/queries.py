@@ -6,14 +6,18 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import OP5_SQL, op5_mix_sources
+from .quality import op6_quality
 from .suffix_dedup import op4_suffix_dedup
 from .suffix_tree import op3_suffix_tree
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op3_suffix_tree": op3_suffix_tree,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
