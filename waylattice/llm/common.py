@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,3 +139,24 @@ def long_gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(pow(int(r), -1, 1 << 64)))], dtype=np.uint64)
     sums = np.r_[np.uint64(0), np.cumsum(hashes * power, dtype=np.uint64)]
     return mix((sums[k:] - sums[:-k]) * back + np.uint64(k))
+
+
+def in_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """Rows with equal values of the columns `by`, from batches in which they follow each other."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = list(zip(*[b.column(c).to_pylist() for c in by], strict=True))
+        start = 0
+        for i, v in enumerate(values):
+            if v != last:
+                if i > start:
+                    kept.append(b.slice(start, i - start))
+                if kept:
+                    yield pa.Table.from_batches(kept)
+                kept, start, last = [], i, v
+        kept.append(b.slice(start))
+    if kept:
+        yield pa.Table.from_batches(kept)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, key_filter, materialize, may_hold, mix, signed, small_batches, table, text_bytes
+from .common import WordHashes, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, signed, small_batches, table, text_bytes
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -135,27 +135,6 @@ class Tile:
         return pairs, any(len(x) > most for x in found.values())
 
 
-def in_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
-    """Rows with equal values of the columns `by`, from batches in which they follow each other."""
-    kept: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        values = list(zip(*[b.column(c).to_pylist() for c in by], strict=True))
-        start = 0
-        for i, v in enumerate(values):
-            if v != last:
-                if i > start:
-                    kept.append(b.slice(start, i - start))
-                if kept:
-                    yield pa.Table.from_batches(kept)
-                kept, start, last = [], i, v
-        kept.append(b.slice(start))
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """id, n, k (128-bit hash of the set, null if it is empty), keys."""
     schema = StructType([docs.schema["id"], StructField("n", LongType()), StructField("k", BinaryType()), StructField("keys", ArrayType(LongType()))])

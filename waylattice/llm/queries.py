@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import OP9_SQL, op9_jaccard_join
@@ -10,8 +11,11 @@ from .quality import op6_quality
 from .suffix_dedup import op4_suffix_dedup
 from .suffix_tree import op3_suffix_tree
 from .toxicity import op8_toxicity
+from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_chat_format": op2_chat_format,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_mix_sources": op5_mix_sources,
@@ -23,6 +27,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filter": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
     "op5_mix_sources": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_jaccard_join": OP9_SQL,
