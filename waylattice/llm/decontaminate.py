@@ -102,14 +102,22 @@ class Block:
 
 
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-OUT = StructType([StructField("row", LongType()), StructField("n_words", LongType()), StructField("spans", SPANS), StructField("items", ArrayType(StringType()))])
-ARROW = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-
-
-def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+FOUND = [StructField("n_words", LongType()), StructField("spans", SPANS), StructField("items", ArrayType(StringType()))]
+ARROW = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
+#: Joins sorted spans where they touch.
+JOINED = """aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>), (a, x) ->
+  if(size(a) > 0 and x.start <= element_at(a, -1).end,
+     concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))),
+     concat(a, array(x))))"""
+
+
+def find_spans(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """Words of documents inside any occurrence of a benchmark window: span consecutive words of an item, or all of a shorter one.
 
-    Returns one row per input row: id_col, n_words, spans (start and end word, end excluded), items (item ids as strings, sorted).
+    Returns one row per input row: the columns named in carry, n_words, spans (start and end word, end excluded), items
+    (item ids as strings, sorted). A carried column named like one of these is left out.
 
     Winnowing keeps the smallest gram hash of every span - gram + 1 grams on both sides, so any shared span of `span`
     words shares a fingerprint. Fingerprints are joined in memory, and each hit is extended to all windows that hold it,
@@ -123,25 +131,27 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    # as many words as the text has at most: every second byte
+    carry = tuple(c for c in carry if c not in ("n_words", "spans", "items"))
+    # no more words than every second byte
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("text"))
-    total = bench.agg(F.sum(F.ceil(F.length("text") / 2))).first()[0] or 0
+    total = bench.agg(F.sum(F.ceil((F.length("text") + 1) / 2))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
-    source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    kept = docs.schema[id_col].dataType
+    source = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)], text_bytes(text_col).alias("text_"))
+    kept = source.schema.fields[:-1]
 
-    def scan(shared, carry: bool):
+    def scan(shared, keep: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, block = WordHashes(), shared.value
             for b in batches:
                 counts, spans, items = [], [], []
-                for data in b.column("text").to_pylist():
+                for data in b.column("text_").to_pylist():
                     words = words_of(data)
                     found, of = block.search(words, hashes.of(words)) if words else ([], set())
                     counts.append(len(words))
                     spans.append([{"start": s, "end": e} for s, e in found])
                     items.append(sorted(of))
-                yield pa.RecordBatch.from_arrays([b.column("id" if carry else "row"), pa.array(counts, pa.int64()), pa.array(spans, ARROW.field("spans").type), pa.array(items, ARROW.field("items").type)], names=["id" if carry else "row", "n_words", "spans", "items"])
+                new = [pa.array(x, t) for x, t in zip((counts, spans, items), ARROW, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=[*keep, "n_words", "spans", "items"])
 
         return run
 
@@ -149,17 +159,17 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         return spark.sparkContext.broadcast(Block([(r[0], bytes(r[1])) for r in part.toLocalIterator()], span, gram))
 
+    names = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(carry)]
     if blocks == 1:
-        return source.mapInArrow(scan(load(0), True), StructType([StructField("id", kept), *OUT.fields[1:]])).withColumnRenamed("id", id_col)
+        return source.mapInArrow(scan(load(0), [f.name for f in kept]), StructType([*kept, *FOUND])).select(*names, "n_words", "spans", "items")
     rows = materialize(source.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
     found = None
     for k in range(blocks):
-        one = rows.select("row", "text").mapInArrow(scan(load(k), False), OUT)
+        one = rows.select("row", "text_").mapInArrow(scan(load(k), ["row"]), StructType([StructField("row", LongType()), *FOUND]))
         one = materialize(one if k == 0 else one.where(F.size("spans") > 0), "decontaminate-block")
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    join = "aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>), (a, x) -> if(size(a) > 0 and x.start <= element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"
-    return rows.select("row", F.col("id").alias(id_col)).join(merged.withColumn("spans", F.expr(join)), "row").drop("row")
+    return rows.drop("text_").join(merged.withColumn("spans", F.expr(JOINED)), "row").select(*names, "n_words", "spans", "items")
 
 
 def contamination(found: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that exact_dedup keeps; of rows that repeat id and text, one."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), 256)
+    rows = docs.withColumn("text_sha_", sha)
+    found = rows.join(kept, rows[id_col].eqNullSafe(kept["kept_id"]) & (rows["text_sha_"] == kept["kept_sha"]), "left_semi")
+    return found.dropDuplicates([id_col, "text_sha_"]).select(*docs.columns)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -296,6 +296,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return first.join(classes, "k", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose id is the smallest of their component."""
+    found = jaccard_components(docs, id_col, text_col)
+    kept = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct(), "jaccard-kept")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

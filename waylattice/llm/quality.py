@@ -113,31 +113,23 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float
     return Discriminant(mean, scale, tuple(centres), tuple(factors), tuple(constants))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train_mask, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Score whole texts for quality; fitted on the rows of train_mask that labels marks 0 or 1.
-
-    Returns one row per input row: id_col, train_mask as trained, score, and the columns named in carry. Scores depend
-    on the text alone.
-
-    A pass over the texts gives their statistics, which are kept. Of the labelled rows only counts, sums and sums of
-    products come together, summed in each task first, so all labelled rows are used whatever their number.
-
-    * A null text is empty; empty texts have statistics, and so a score. A null id is never trained on.
-    * Rows may repeat in both tables: each pair of a text and a label counts. Labels other than 0 and 1 are left out.
-    * Without rows of both classes the score is constant (fit). An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    d = len(FEATURES)
-    source = docs.select(F.col(id_col).alias("id"), train_mask.alias("trained"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)], text_bytes(text_col).alias("text_"))
-    kept = [f for f in source.schema.fields if f.name != "text_"]
+def statistics_table(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, trained (the mask) and x, the statistics, of every row; kept as a table, as they are some bytes of whole texts."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), train_mask.alias("trained"), text_bytes(text_col).alias("text"))
+    kept = source.schema.fields[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pa.array([statistics(t) for t in b.column("text_").to_pylist()], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), x], names=[*(f.name for f in kept), "x"])
+            x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("trained"), x], names=["id", "trained", "x"])
+
+    return materialize(source.mapInArrow(run, StructType([*kept, StructField("x", ArrayType(FloatType()))])), "quality-statistics")
 
-    stats = materialize(source.mapInArrow(run, StructType([*kept, StructField("x", ArrayType(FloatType()))])), "quality-statistics")
+
+def fit_quality(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Discriminant | float:
+    """Fit to all trained rows that labels marks 0 or 1. Only counts, sums and sums of products come together, summed in each task first."""
+    d = len(FEATURES)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +151,44 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_mask, label_col: st
         own = got.column("label").to_numpy() == c
         v[got.column("at").to_numpy()[own]] = got.column("value").to_numpy()[own]
         sums_[c] = v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)
-    model = fit(sums_)
+    return fit(sums_)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def scores_of(model: Discriminant | float, x: np.ndarray) -> np.ndarray:
+    return model.score(x) if isinstance(model, Discriminant) else np.full(len(x), model)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, train_mask, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score whole texts for quality; fitted on the rows of train_mask that labels marks 0 or 1.
+
+    Returns one row per input row: id_col, trained (the mask), score. Scores depend on the text alone.
+
+    * A null text is empty; empty texts have statistics, and so a score. A null id is never trained on.
+    * Rows may repeat in both tables: each pair of a text and a label counts. Labels other than 0 and 1 are left out.
+    * Without rows of both classes the score is constant (fit). An empty table gives an empty result.
+    """
+    stats = statistics_table(docs, train_mask, id_col, text_col)
+    model = fit_quality(stats, labels, label_col, id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column("x").to_pylist(), np.float64).reshape(-1, d)
-            s = model.score(x) if isinstance(model, Discriminant) else np.full(len(x), model)
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(s)], names=[*(f.name for f in kept), "score"])
+            x = np.array(b.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("trained"), pa.array(scores_of(model, x))], names=["id", "trained", "score"])
+
+    return stats.mapInArrow(run, StructType([*stats.schema.fields[:2], StructField("score", DoubleType())])).withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Discriminant | float, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text scores `least` or more."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            x = np.array([statistics((t or "").encode("utf-8", "surrogatepass")) for t in texts]).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(scores_of(model, x) >= least))
 
-    scored = stats.mapInArrow(score, StructType([*kept, StructField("score", DoubleType())]))
-    return scored.select(F.col("id").alias(id_col), "trained", "score", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(carry)])
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
