@@ -55,7 +55,7 @@ def crc_mod(n: int, col: str = "doc_id") -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for frequent use; forgets all when it has grown to its bound."""
 
-    BOUND = 300_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

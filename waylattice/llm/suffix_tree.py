@@ -51,29 +51,28 @@ def gram_codes(symbols: bytes, depth: int) -> np.ndarray:
 class GramCounts:
     """Sums of gram codes; sorted and merged whenever many have gathered."""
 
-    LIMIT = 4_000_000
+    LIMIT = 3_000_000
 
     def __init__(self):
-        self.codes, self.counts, self.size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        self.codes, self.counts, self.size = [np.empty(0, np.uint64)], np.empty(0, np.int64), 0
 
     def add(self, codes: np.ndarray) -> None:
         self.codes.append(codes)
-        self.counts.append(np.ones(len(codes), np.int64))
         self.size += len(codes)
         if self.size >= self.LIMIT:
             self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        old, n = self.codes[0], self.counts[0]
+        old, n = self.codes[0], self.counts
         new = np.sort(np.concatenate(self.codes[1:])) if len(self.codes) > 1 else np.empty(0, np.uint64)
         starts = run_starts(new)
         codes, counts = np.concatenate([old, new[starts]]), np.concatenate([n, np.diff(np.r_[starts, len(new)])])
         order = np.argsort(codes, kind="stable")
         codes, counts = codes[order], counts[order]
         starts = run_starts(codes)
-        self.codes, self.counts = [codes[starts]], [np.add.reduceat(counts, starts) if len(starts) else counts]
+        self.codes, self.counts = [codes[starts]], np.add.reduceat(counts, starts) if len(starts) else counts
         self.size = 0
-        return self.codes[0], self.counts[0]
+        return self.codes[0], self.counts
 
 
 def build_tree(levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], config: TreeConfig) -> SuffixTree:
@@ -186,7 +185,7 @@ class SuffixTree:
 #: Words whose counts every worker holds (12 bytes each); those of all other words are joined.
 HEAD_WORDS = 500_000
 #: Distinct words that a task counts before it passes them on.
-COUNTED_WORDS = 400_000
+COUNTED_WORDS = 250_000
 #: The end of a text as a word: no word has a line feed.
 END_WORD = b"\n"
 WORD, GRAM = 0, 1
@@ -261,7 +260,14 @@ def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: s
     counts = materialize(_counts(source.where("trained").select("text"), config), "lm-counts")
     words = counts.where(F.col("kind") == WORD).select("key", "count")
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    head = words.orderBy(F.desc("count"), "key").limit(head_words).toArrow().sort_by("key")
+    # the lowest power of two's eighth root from which on there are no more than head_words words; found without a sort
+    level = F.floor(F.log2("count") * 8)
+    least, held = math.inf, 0
+    for at, many in sorted(words.groupBy(level).count().collect(), reverse=True):
+        if (held := held + many) > head_words:
+            break
+        least = at
+    head = words.where(level >= least).toArrow().sort_by("key") if least < math.inf else words.limit(0).toArrow()
     shared = spark.sparkContext.broadcast(
         (_tree(counts.where(F.col("kind") == GRAM).select("key", "count"), config), head.column("key").to_numpy(), head.column("count").to_numpy())
     )
@@ -295,8 +301,7 @@ def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: s
 
     scored = materialize(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    # head words never are among the rare ones, so the whole table can be joined
-    tail = rare.join(words, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more"))
+    tail = rare.join(words.where(level < least) if least < math.inf else words, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more"))
     return scored.drop("rare", "times").join(tail, "row", "left").select(
         F.col("id").alias(id_col),
         "trained",
