@@ -18,10 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage of loops, and survives the loss of executors."""
+#: Rows of a file of a table whose size is known before it is written.
+FILE_ROWS, LEAST_FILES = 50_000, 8
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage of loops, and survives the loss of executors.
+
+    rows: how many there are at most, if known; a small table is then written as a few files, not one for each partition."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
