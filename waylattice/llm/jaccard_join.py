@@ -233,17 +233,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     first = materialize(_sets(source, shingle), "jaccard-sets")
+    n = first.count()
     sets = first.where("k is not null")
-    reps = materialize(sets.groupBy("k").agg(F.min("id").alias("rep")), "jaccard-reps")
+    reps = materialize(sets.groupBy("k").agg(F.min("id").alias("rep")), "jaccard-reps", n)
 
     one = sets.join(reps.withColumnRenamed("k", "k_"), (F.col("k") == F.col("k_")) & F.col("id").eqNullSafe(F.col("rep")))
-    keyed = materialize(one.select("k", "keys"), "jaccard-keys").select("k", F.explode("keys").alias("key"))
+    keyed = materialize(one.select("k", "keys"), "jaccard-keys", n).select("k", F.explode("keys").alias("key"))
     # two different sets at least; sets of repeated rows are not
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.xxhash64("k")).alias("lo"), F.max(F.xxhash64("k")).alias("hi")).where("lo < hi").select("key", "members"), "jaccard-buckets")
-    members = materialize(keyed.join(buckets, "key"), "jaccard-members")
-    found = materialize(members.select("k").distinct(), "jaccard-found")
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.xxhash64("k")).alias("lo"), F.max(F.xxhash64("k")).alias("hi")).where("lo < hi").select("key", "members"), "jaccard-buckets", 8 * n)
+    members = materialize(keyed.join(buckets, "key"), "jaccard-members", 8 * n)
+    found = materialize(members.select("k").distinct(), "jaccard-found", n)
     # of equal texts one
-    whole = materialize(_read_again(source, found, shingle).join(found, "k", "left_semi").dropDuplicates(["k"]), "jaccard-whole")
+    whole = materialize(_read_again(source, found, shingle).join(found, "k", "left_semi").dropDuplicates(["k"]), "jaccard-whole", n)
     signatures, arrays = whole.select("k", "n", "bits"), whole.select("k", "s")
 
     edge = StructType([StructField("key", LongType()), StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("more", BooleanType())])
@@ -277,22 +278,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = members.join(signatures, "k")
         if most:
             rows = rows.join(labels.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        pairs = materialize(candidates(rows, most), "jaccard-pairs")
-        checked = materialize(_verified(pairs.select("a", "b").distinct(), arrays, percent), "jaccard-checked")
+        pairs = materialize(candidates(rows, most), "jaccard-pairs", 8 * n)
+        checked = materialize(_verified(pairs.select("a", "b").distinct(), arrays, percent), "jaccard-checked", 4 * n)
         new = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = new if links is None else links.unionByName(new)
-        labels = materialize(components(links), "jaccard-labels")
+        labels = materialize(components(links, n), "jaccard-labels", n)
         # buckets of which some possible pair was not intersected, or in the first round, of which some pair does not link
         refuted = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi") if not most else pairs.where("more")
-        open_keys = materialize(refuted.select("key").distinct(), "jaccard-open")
+        open_keys = materialize(refuted.select("key").distinct(), "jaccard-open", n)
         if open_keys.isEmpty():
             break
-        members = materialize(members.join(open_keys, "key", "left_semi"), "jaccard-members")
+        members = materialize(members.join(open_keys, "key", "left_semi"), "jaccard-members", 8 * n)
         most = max(4, most * 16)
 
     classes = reps.join(labels, reps["k"] == labels["node"], "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
-    classes = materialize(classes.join(least, "label").select("k", "component"), "jaccard-classes")
+    classes = materialize(classes.join(least, "label").select("k", "component"), "jaccard-classes", n)
     return first.join(classes, "k", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 

@@ -76,6 +76,7 @@ def mix_sources(
         .join(starts.withColumnsRenamed({"source": "source_", "slice": "slice_"}), (F.col("source").eqNullSafe(F.col("source_"))) & (F.col("slice") == F.col("slice_")))
         .select("id", "source", "size", "key", "source_size", "target", (F.col("start") + F.col("upto")).alias("upto")),
         "mixing-queue",
+        n,
     )
     finish = lambda e: (e * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
     copies = (

@@ -102,7 +102,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     first = materialize(source.mapInArrow(first_pass, schema), "suffix-first")
     rows = first.where(F.col("kind") == TEXT).select("id", F.col("a").alias("d"), F.col("b").alias("n_words"))
-    texts = materialize(rows.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "suffix-texts")
+    n = rows.count()
+    texts = materialize(rows.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "suffix-texts", n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Heads whose neighbour in the sorted array has the same head and another text."""
@@ -122,7 +123,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64())], names=["key"])
 
     sorted_ = first.where(F.col("kind") == SUFFIX).select("a", "b", "c").repartition("a").sortWithinPartitions("a")
-    matches = materialize(sorted_.mapInArrow(compare, StructType([StructField("key", LongType())])), "suffix-matches")
+    matches = materialize(sorted_.mapInArrow(compare, StructType([StructField("key", LongType())])), "suffix-matches", n)
     wide, shared = key_filter(matches, lambda wide: [F.shiftrightunsigned("key", 18 * j).bitwiseAND(wide - 1) for j in range(3)])
     passage = StructType([StructField("d", LongType()), StructField("at", ArrayType(IntegerType())), StructField("h", ArrayType(LongType()))])
 
@@ -155,7 +156,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     around = materialize(source.mapInArrow(second_pass, passage), "suffix-around")
     each = around.join(texts.select("d", "first"), "d").select("d", "first", F.explode(F.arrays_zip("at", "h")).alias("x")).select("d", "first", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     both = each.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("first").alias("other_first")).where("lo <> hi")
-    both = materialize(both.select("h", "other_first"), "suffix-both")
+    both = materialize(both.select("h", "other_first"), "suffix-both", n)
     hits = each.select("d", "at", "h").join(both, "h").groupBy("d").agg(F.collect_set("at").alias("at"), F.min("other_first").alias("other_first"))
     spans = StructType([StructField("d", LongType()), StructField("other_first", source.schema["id"].dataType), StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
 
@@ -170,8 +171,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 found.append([{"start": x, "end": y + span} for x, y in zip(a[s].tolist(), a[e].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("other_first"), pa.array(found, kind)], names=spans.names)
 
-    partly = materialize(hits.mapInArrow(runs, spans), "suffix-spans")
-    known = materialize(texts.join(partly, "d", "left"), "suffix-known")
+    partly = materialize(hits.mapInArrow(runs, spans), "suffix-spans", n)
+    known = materialize(texts.join(partly, "d", "left"), "suffix-known", n)
     full = (F.col("copies") > 1) & (F.col("n_words") >= span)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")

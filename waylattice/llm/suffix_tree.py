@@ -228,7 +228,7 @@ def _tree(grams: DataFrame, config: TreeConfig) -> SuffixTree:
     levels = {}
     for n in range(config.depth, -1, -1):
         if n < config.depth:
-            grams = materialize(grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (n + 1))) - 1).alias("key")).agg(F.sum("count").alias("count")), "lm-grams")
+            grams = materialize(grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (n + 1))) - 1).alias("key")).agg(F.sum("count").alias("count")), "lm-grams", grams.count())
         context = F.shiftright("key", 8)
         often = grams.groupBy(context.alias("context")).agg(F.sum("count").alias("n")).where(F.col("n") >= config.least_share * total).select("context")
         rows = grams.withColumn("context", context).join(often, "context").select("key", "count").toArrow()
