@@ -96,7 +96,7 @@ def build_tree(levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], con
         cls, ids = classes[sym], ctx.tolist()
         starts = run_starts(ctx).tolist()
         older.append(above)
-        for s, e in zip(starts, [*starts[1:], len(ctx)], strict=True):
+        for s, e in zip(starts, [*starts[1:], len(ctx)], strict=False):
             c = ids[s]
             p_above = above[c & mask]
             x, k = count[s:e], cls[s:e]
