@@ -145,3 +145,26 @@ def in_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
         kept.append(b.slice(start))
     if kept:
         yield pa.Table.from_batches(kept)
+
+
+def native_filter(keys: DataFrame, rows: int, most: int = FILTER_BITS):
+    """As key_filter, for expressions only: given a 64-bit hash column, whether it may be among `keys` (one such column, at most
+    `rows` rows). The bits are a scalar subquery of one array, of FILTER_BITS / 8 bytes at most."""
+    wide = 1 << 16
+    while wide < min(most, 16 * rows):
+        wide *= 2
+    places = lambda c: [F.shiftrightunsigned(c, 18 * j).bitwiseAND(wide - 1) for j in range(3)]
+    at = F.explode(F.array(*places(F.col(keys.columns[0])))).alias("at")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    dense = keys.sparkSession.range(wide // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    array = materialize(dense.agg(F.array_sort(F.collect_list("w")).alias("w")).select(F.col("w.bits").alias("bits")), "filter", 1)
+
+    def test(hash_: Column) -> Column:
+        bits = array.scalar()
+        found = None
+        for p in places(hash_):
+            hit = F.element_at(bits, F.shiftright(p, 6).cast("int") + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))) != 0
+            found = hit if found is None else found & hit
+        return found
+
+    return test

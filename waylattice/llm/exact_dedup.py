@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, table
+from .common import SPACE, materialize, native_filter, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -13,8 +13,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns one row per input row: id_col, keep_id, group_size, kept, text_sha256. Other input columns are not read.
 
-    * Rows are grouped by the 128-bit hash first; this shuffles ids and hashes alone. The texts of groups of two or more
-      are then grouped by their bytes, so a collision splits such a group. Both aggregations combine before they
+    * Rows are grouped by the 128-bit hash first; this shuffles ids and hashes alone. The texts of groups of two or more,
+      picked by a filter of bounded size, are then grouped by their bytes, so a collision splits such a group. Both aggregations combine before they
       shuffle, and the joins are inner or left, so that a group of any size is combined or split.
     * A null text counts as empty. A null id never is the smallest, unless all ids of its group are null; then keep_id is
       null and those rows are kept.
@@ -26,9 +26,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = materialize(rows.select("id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("s")), "dedup-hashes")
 
     # a table of its own: the join below then has an exchange on either side, and its hot partitions can be split
-    several = materialize(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-groups")
+    n = hashed.count()
+    several = materialize(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-groups", n)
+    # only texts that may be in a group are shuffled
+    grouped = native_filter(several.select(F.xxhash64("h").alias("key")), several.count())
     texts = (
         rows.withColumn("h", F.unhex(F.md5("norm")))
+        .where(grouped(F.xxhash64("h")))
         .join(several, "h")
         .groupBy("norm")  # the bytes
         .agg(F.min("id").alias("keep"), F.count("*").alias("n"))
@@ -45,11 +49,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that exact_dedup keeps; of rows that repeat id and text, one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    found = exact_dedup(docs, id_col, text_col)
+    key = lambda id_, sha: F.xxhash64(id_, sha)
+    several = found.where("group_size > 1").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    several = materialize(several.groupBy("id", "sha").agg(F.max("kept").alias("kept")), "dedup-verdicts")
+    in_group = native_filter(several.select(key("id", "sha").alias("key")), several.count())
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), 256)
     rows = docs.withColumn("text_sha_", sha)
-    found = rows.join(kept, rows[id_col].eqNullSafe(kept["kept_id"]) & (rows["text_sha_"] == kept["kept_sha"]), "left_semi")
-    return found.dropDuplicates([id_col, "text_sha_"]).select(*docs.columns)
+    # most rows have no copy, and stay where they are
+    single = rows.where(~in_group(key(F.col(id_col), F.col("text_sha_"))))
+    verdict = several.toDF("verdict_id_", "verdict_sha_", "verdict_")
+    judged = rows.where(in_group(key(F.col(id_col), F.col("text_sha_")))).join(verdict, F.col(id_col).eqNullSafe(F.col("verdict_id_")) & (F.col("text_sha_") == F.col("verdict_sha_")), "left")
+    judged = judged.where("verdict_ is null or verdict_").dropDuplicates([id_col, "text_sha_"])
+    return single.select(*docs.columns).unionByName(judged.select(*docs.columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
