@@ -175,3 +175,28 @@ ORACLES |= {
         near AS (SELECT DISTINCT type, cluster, dist.node, dist.d FROM pt JOIN dist ON dist.source = pt.node)
         SELECT type, node, round(min(d), 6) AS distance, min(cluster) FILTER (d <= least_ + 1e-9) AS cluster FROM (SELECT *, min(d) OVER (PARTITION BY type, node) AS least_ FROM near) GROUP BY type, node""",
 }
+_SURFACE = f"""{_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
+near AS (SELECT DISTINCT type, cluster, dist.node, dist.d FROM pt JOIN dist ON dist.source = pt.node),
+owner AS (SELECT type, node, min(d) AS d, min(cluster) FILTER (d <= least_ + 1e-9) AS c FROM (SELECT *, min(d) OVER (PARTITION BY type, node) AS least_ FROM near) GROUP BY type, node),
+pc AS (SELECT arc_id, node AS a, o AS o1, lead(node) OVER w AS b, lead(o) OVER w AS o2 FROM stop WINDOW w AS (PARTITION BY arc_id ORDER BY o)),
+line AS (SELECT * FROM pc WHERE b IS NOT NULL UNION ALL SELECT arc_id, u, 0, v, length FROM arcs WHERE arc_id NOT IN (SELECT arc_id FROM cut)),
+geo AS (SELECT a, b, o2 - o1 AS w, ax + o1 / 50 * (ex - ax) AS x1, ay + o1 / 50 * (ey - ay) AS y1, ax + o2 / 50 * (ex - ax) AS x2, ay + o2 / 50 * (ey - ay) AS y2 FROM line JOIN arcs USING (arc_id)),
+grid AS (SELECT ix, iy, ix * 50 + 25.0 AS px, iy * 50 + 25.0 AS py FROM range(20) a(ix), range(20) b(iy)),
+hit AS (SELECT ix, iy, a, b, w, px, py, x1, y1, x2, y2, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM grid, geo),
+far AS (SELECT *, sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) AS r FROM hit),
+both_ends AS (SELECT far.*, p.type, p.c AS ca, p.d AS da, q.c AS cb, q.d AS db FROM far JOIN owner p ON p.node = a JOIN owner q ON q.node = b AND q.type = p.type),
+tied AS (SELECT *, t * w AS off, greatest(0, least(w, (db + w - da) / 2)) AS split FROM both_ends QUALIFY r <= min(r) OVER (PARTITION BY type, ix, iy) + 1e-9),
+cell AS (SELECT type, ix, iy, min(CASE WHEN off <= 1e-10 THEN ca WHEN w - off <= 1e-10 THEN cb WHEN ca = cb THEN ca WHEN off < split - 1e-10 THEN ca WHEN off > split + 1e-10 THEN cb ELSE least(ca, cb) END) AS cluster FROM tied GROUP BY ALL)""".replace("cell AS (SELECT i, j", "lattice AS (SELECT i, j").replace("FROM cell, (VALUES", "FROM lattice, (VALUES")
+_EIGEN = f"""{_Z}, n AS (SELECT s, row_number() OVER (ORDER BY s) AS i FROM (SELECT source AS s FROM z UNION SELECT target FROM z)),
+p AS (SELECT a.i AS i, b.i AS j, sum(cents) / 1e9 AS v FROM z JOIN n a ON a.s IN (source, target) JOIN n b ON b.s IN (source, target) AND b.i <> a.i WHERE source <> target GROUP BY ALL),
+m AS (SELECT list(r ORDER BY i) AS w FROM (SELECT a.i AS i, list(coalesce(v, 0)::DOUBLE ORDER BY b.i) AS r FROM n a CROSS JOIN n b LEFT JOIN p ON p.i = a.i AND p.j = b.i GROUP BY a.i)),
+x AS (SELECT 0 AS k, (SELECT list(1.0::DOUBLE) FROM n) AS x UNION ALL
+  SELECT k + 1, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))) FROM (SELECT k, list_transform(range(1, len(x) + 1), lambda i: x[i] + list_dot_product(w[i], x)) AS y FROM x, m WHERE k < 400))"""
+ORACLES |= {
+    "voronoi_cells": f"WITH RECURSIVE {_SURFACE} SELECT type, cluster, 0 AS level, ix, iy, 2500.0::DOUBLE AS area FROM cell",
+    "partition_area": f"WITH RECURSIVE {_SURFACE} SELECT type, cluster, 2500.0::DOUBLE * count(*) AS area FROM cell GROUP BY type, cluster",
+    "eigenvector_centrality": f"WITH RECURSIVE {_EIGEN} SELECT s AS node_id, round(x[i], 6) AS centrality FROM x, n WHERE k = 400",
+    "acyclicity_check": f"""WITH RECURSIVE {_MWAS}, r AS (SELECT 'source' AS graph, source AS a, target AS b FROM e UNION SELECT 'kept', source, target FROM kept
+        UNION SELECT r.graph, r.a, g.b FROM r JOIN (SELECT 'source' AS graph, source AS a, target AS b FROM e UNION ALL SELECT 'kept', source, target FROM kept) g ON g.graph = r.graph AND g.a = r.b)
+        SELECT graph, NOT bool_or(a = b) AS acyclic FROM r GROUP BY graph""",
+}
