@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, signed, small_batches, table, text_bytes
+from .common import WordHashes, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, native_filter, signed, small_batches, table, text_bytes
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -299,9 +299,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose id is the smallest of their component."""
-    found = jaccard_components(docs, id_col, text_col)
-    kept = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct(), "jaccard-kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    found = jaccard_components(docs, id_col, text_col).select(F.col(id_col).alias("kept_id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("stays"))
+    found = materialize(found, "jaccard-kept")
+    dropped = found.where("not stays").select("kept_id").distinct()
+    may_go = native_filter(dropped.select(F.xxhash64("kept_id").alias("key")), dropped.count())(F.xxhash64(id_col))
+    kept = found.where("stays").select("kept_id").distinct()
+    # most rows have no id of a dropped one, and stay where they are
+    return docs.where(~may_go).unionByName(docs.where(may_go).join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
