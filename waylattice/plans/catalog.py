@@ -125,11 +125,6 @@ def _network(spark):
     return roads.build_network(derived.road_lines(spark))
 
 
-def _poi(spark, sf_dir) -> DataFrame:
-    """The points; those at one place and of one type are one point here, with the smallest id, so that queries do not repeat it."""
-    return derived.poi(spark, sf_dir).groupBy("type", "x", "y").agg(F.min(F.col("point_id").cast("long")).cast("string").alias("point_id"))
-
-
 def _snapped(spark, sf_dir):
     vertices, arcs = _network(spark)
     return vertices, arcs, roads.materialize(roads.snap(derived.poi(spark, sf_dir), vertices, arcs), "snapped")
@@ -376,7 +371,7 @@ def engine_scores(spark, sf_dir):
     from .engine import score_points
 
     z = io_graph.squared(_z(spark, sf_dir))
-    p = derived.poi(spark, sf_dir)
+    p = derived.towns(spark, sf_dir)
     return score_points(spark, p, derived.road_lines(spark), BOUNDARY, z, io_graph.technical_coefficients(z, _x(spark, sf_dir)), CONFIG, SURFACE).scores.select(
         "point_id", "type", "cluster", F.round("cluster_centrality", 6).alias("centrality"), F.round("distance_to_cluster_median", 6).alias("distance"), F.round("score", 6).alias("score")
     )
