@@ -142,6 +142,52 @@ def test_scores_against_plain_counts(spark):
     assert score_texts(df.limit(0), F.lit(True), config=TreeConfig(depth=3)).count() == 0
 
 
+def plain_scores(texts, depth, least):
+    """The probability of each text by plain loops over every context that diverges, however rare."""
+    data = [normalised((t or "").encode())[1] for t in texts]
+    x = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    for s in data:
+        full = bytes([0x0B]) * depth + s
+        for i in range(depth, len(full)):
+            for n in range(depth + 1):
+                x[n][full[i - n : i]][full[i]] += 1
+    total = sum(x[0][b""].values())
+
+    def p(c, b):
+        if not c:
+            return (x[0][b""][b] + 1) / (total + 256)
+        f = x[len(c)][c]
+        return (f[b] + len(f) * p(c[1:], b)) / (sum(f.values()) + len(f))
+
+    kept = {b""}
+    for n in range(1, depth + 1):
+        for c, f in x[n].items():
+            if sum(m * math.log(m / sum(f.values()) / p(c[1:], b)) for b, m in list(f.items())) >= least:
+                kept |= {c[i:] for i in range(n + 1)}
+    out = []
+    for s in data:
+        full, score = bytes([0x0B]) * depth + s, 0.0
+        for i in range(depth, len(full)):
+            n = max(n for n in range(depth + 1) if full[i - n : i] in kept)
+            score += math.log10(p(full[i - n : i], full[i]))
+        out.append(score)
+    return out
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    rows = [*docs_of(3, 20), None, "qzxqzv qzxqzv qzxqzv qzxqzv"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = plain_scores(rows, 3, 8.0)
+    for most in (10_000, 25, 0):  # in the tree, partly, and by the join alone
+        got = dict(score_texts(df, F.lit(True), config=TreeConfig(depth=3), head_contexts=most).select("doc_id", "score").collect())
+        assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-4)
+    # three occurrences in 750,000 symbols
+    rows = ["ta " * 250_000, "qzx qzx qzx"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = dict(score_texts(df, F.lit(True), config=TreeConfig(depth=3)).select("doc_id", "score").collect())
+    assert got[1] == pytest.approx(plain_scores(rows, 3, 8.0)[1], rel=1e-4)
+
+
 def test_tree_beats_unigrams_on_unseen_words(spark):
     d = "/root/testdata/sf0.1"
     try:

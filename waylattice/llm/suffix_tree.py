@@ -5,16 +5,16 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import WordHashes, crc_mod, materialize, run_starts, signed, small_batches, table, text_bytes
+from .common import WordHashes, crc_mod, key_filter, materialize, may_hold, mix, run_starts, signed, small_batches, table, text_bytes
 
 #: Bytes that no normalised text holds: before its start, and its end.
 START, END = 0x0B, 0x0A
@@ -23,12 +23,12 @@ SYMBOLS = 256
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """depth: bytes of the longest context, 7 at most. least_share: contexts rarer than this part of all training symbols are not
-    looked at, so there are at most 1 / least_share of each length, whatever the corpus. divergence: a context is retained if its
-    count times the divergence (in nats) of its distribution from that of the next shorter context reaches it."""
+    """depth: bytes of the longest context, 7 at most. divergence: a context is retained, with its suffixes, if its count times the
+    divergence (in nats) of its distribution from that of the next shorter context reaches it, however rare it is. least_share:
+    retained contexts rarer than this part of all training symbols are never broadcast, but joined."""
 
     depth: int = 6
-    least_share: float = 5e-6
+    least_share: float = 0.0
     divergence: float = 8.0
 
 
@@ -125,6 +125,7 @@ class SuffixTree:
         states = sorted({c[:i] for c in retained for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
         number = {c: i for i, c in enumerate(states)}
         self.width = len(next(iter(dist.values())))
+        self.contexts = list(dist)
         go = np.zeros((len(states), self.width), np.int32)
         logp = np.empty((len(states), self.width), np.float32)
         fail = np.zeros(len(states), np.int64)
@@ -140,6 +141,10 @@ class SuffixTree:
             logp[i] = np.log10(retained[c]) if c in retained else logp[fail[i]]
         self.go, self.logp, self.retained, self.classes = go.ravel(), logp.ravel(), len(retained), classes.astype(np.int32)
         self.depth = max(map(len, states))
+        # bytes of the longest retained suffix of each state
+        self.held = np.zeros(len(states), np.uint8)
+        for i, c in enumerate(states):
+            self.held[i] = len(c) if c in retained else self.held[fail[i]]
         state = 0
         for _ in range(self.depth + 1):
             state = int(go[state, classes[START]])
@@ -150,6 +155,11 @@ class SuffixTree:
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the probability of each text. Long texts are cut into segments that run side by side; a segment first reads the
         `depth` symbols before it, which fix its state."""
+        logp, _ = self.each(texts)
+        return np.array([float(x.sum(dtype=np.float64)) for x in np.split(logp, np.cumsum([len(t) for t in texts])[:-1])]) if texts else np.zeros(0)
+
+    def each(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For every symbol of the texts, one after another: its log10, and the bytes of the retained context that gives it."""
         depth, size = self.depth, self.SEGMENT
         of: list[int] = []
         parts: list[bytes] = []
@@ -165,25 +175,25 @@ class SuffixTree:
         flat = self.classes[np.frombuffer(b"".join(parts[i] for i in order.tolist()), np.uint8)]
         at = np.r_[0, np.cumsum(length)[:-1]]
         state = np.where(warm_ == 0, self.start, 0).astype(np.int32)
-        total = np.zeros(len(parts))
+        logp, held = np.empty(len(flat), np.float32), np.empty(len(flat), np.uint8)
         live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")  # parts longer than t
         for t, k in enumerate(live.tolist()):
-            i = state[:k] * self.width + flat[at[:k] + t]
-            if t < depth:
-                total[:k] += np.where(t >= warm_[:k], self.logp[i], 0)
-            else:
-                total[:k] += self.logp[i]
+            here = at[:k] + t
+            i = state[:k] * self.width + flat[here]
+            logp[here], held[here] = self.logp[i], self.held[state[:k]]
             state[:k] = self.go[i]
-        # sums in the order of segments, whatever the batch
-        out = np.zeros(len(texts))
-        back = np.empty(len(parts))
-        back[order] = total
-        np.add.at(out, np.array(of, np.int64), back)
-        return out
+        # in the order of segments, without what they read before
+        start = np.empty(len(parts), np.int64)
+        start[order] = at + warm_
+        n = np.array([len(p) for p in parts], np.int64) - np.array(warm, np.int64)
+        pick = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+        return logp[pick], held[pick]
 
 
 #: Words whose counts every worker holds (12 bytes each); those of all other words are joined.
 HEAD_WORDS = 500_000
+#: Retained contexts that every worker holds (about 700 bytes each); symbols that follow others are joined with the table of all.
+HEAD_CONTEXTS = 100_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 250_000
 #: The end of a text as a word: no word has a line feed.
@@ -221,34 +231,106 @@ def _counts(train: DataFrame, config: TreeConfig) -> DataFrame:
     return train.mapInArrow(run, schema).groupBy("kind", "key").agg(F.sum("count").alias("count"))
 
 
-def _tree(grams: DataFrame, config: TreeConfig) -> SuffixTree:
-    """The tree from the gram counts of the corpus. What reaches the driver are the contexts of the least share or more: at most
-    1 / least_share of each length, with 256 symbols each."""
-    total = grams.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    levels = {}
-    for n in range(config.depth, -1, -1):
-        if n < config.depth:
-            grams = materialize(grams.groupBy(F.col("key").bitwiseAND((1 << (8 * (n + 1))) - 1).alias("key")).agg(F.sum("count").alias("count")), "lm-grams", grams.count())
-        context = F.shiftright("key", 8)
-        often = grams.groupBy(context.alias("context")).agg(F.sum("count").alias("n")).where(F.col("n") >= config.least_share * total).select("context")
-        rows = grams.withColumn("context", context).join(often, "context").select("key", "count").toArrow()
-        key, count = rows.column("key").to_numpy(), rows.column("count").to_numpy()
-        order = np.argsort(key)
-        levels[n] = key[order] >> 8, key[order] & 255, count[order].astype(np.float64)
-    return build_tree(levels, config)
-
-
-def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: str = "text", config: TreeConfig = TreeConfig(), head_words: int = HEAD_WORDS) -> DataFrame:
+def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """For each context length, key (a context and the next symbol) and count."""
+    levels = [grams]
+    for n in range(depth - 1, -1, -1):
+        shorter = levels[0].groupBy(F.col("key").bitwiseAND((1 << (8 * (n + 1))) - 1).alias("key")).agg(F.sum("count").alias("count"))
+        levels.insert(0, materialize(shorter, "lm-grams", levels[0].count()))
+    return levels
+
+
+def _contexts(levels: list[DataFrame], root: DataFrame, config: TreeConfig) -> dict[int, DataFrame]:
+    """The retained contexts of each length, all of them: context, n (symbols seen to follow) and x (the count of each). Nothing of
+    this is on the driver."""
+    w = Window.partitionBy("context")
+    above, own = root, {}
+    for n in range(1, config.depth + 1):
+        g = levels[n].select("key", "count", F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND((1 << (8 * n)) - 1).alias("below"))
+        g = g.join(above.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
+        g = g.withColumn("n", F.sum("count").over(w)).withColumn("d", F.count("*").over(w))
+        g = g.withColumn("gain", F.sum(F.col("count") * F.ln(F.col("count") / F.col("n") / F.col("q"))).over(w))
+        above = own[n] = materialize(g.select("key", "count", "context", "gain", "n", ((F.col("count") + F.col("d") * F.col("q")) / (F.col("n") + F.col("d"))).alias("p")), "lm-gains", levels[n].count())
+    out: dict[int, DataFrame] = {}
+    longer = None
+    for n in range(config.depth, 0, -1):
+        kept = own[n].where(F.col("gain") >= config.divergence).select("context")
+        if longer is not None:  # with all their suffixes
+            kept = kept.unionByName(longer.select(F.col("context").bitwiseAND((1 << (8 * n)) - 1).alias("context")))
+        seen = own[n].join(kept.distinct(), "context", "left_semi")
+        entry = F.struct(F.col("key").bitwiseAND(255).cast("int").alias("s"), F.col("count").alias("c"))
+        longer = out[n] = materialize(seen.groupBy("context").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(entry)).alias("x")), "lm-contexts")
+    return out
+
+
+def _head(contexts: dict[int, DataFrame], symbols: dict[int, int], config: TreeConfig, most: int) -> SuffixTree:
+    """The tree of the most frequent contexts, `most` at most."""
+    total = sum(symbols.values())
+    level = F.floor(F.log2("n") * 8)
+    many = Counter()
+    for c in contexts.values():
+        many.update(dict(c.where(F.col("n") >= config.least_share * total).groupBy(level).count().collect()))
+    least, held = math.inf, 0
+    for at in sorted(many, reverse=True):
+        if (held := held + many[at]) > most:
+            break
+        least = at
+    s = np.array(sorted(symbols), np.int64)
+    levels = {0: (np.zeros(len(s), np.int64), s, np.array([symbols[i] for i in s.tolist()], np.float64))}
+    for n, c in contexts.items():
+        c = c.where((level >= least) & (F.col("n") >= config.least_share * total)) if least < math.inf else c.limit(0)
+        rows = c.select("context", F.explode("x").alias("s", "c")).toArrow()
+        context, s, count = (rows.column(c).to_numpy() for c in ("context", "s", "c"))
+        order = np.lexsort((s, context))
+        levels[n] = context[order], s[order], count[order].astype(np.float64)
+    return build_tree(levels, replace(config, divergence=-math.inf))
+
+
+def _context_hash(context: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return mix(context.astype(np.uint64) * np.uint64(8) + np.asarray(n).astype(np.uint64))
+
+
+def _tail_filter(contexts: dict[int, DataFrame], tree: SuffixTree):
+    """A broadcast filter of the contexts that the tree lacks."""
+    lacks = None
+    retained = tree.contexts
+    for n, c in contexts.items():
+        shared = c.sparkSession.sparkContext.broadcast(np.array(sorted(x for m, x in retained if m == n), np.int64))
+
+        def run(batches: Iterator[pa.RecordBatch], n=n, shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column("context").to_numpy()
+                x = x[~np.isin(x, shared.value)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_context_hash(x, n)))], names=["h"])
+
+        own = c.select("context").mapInArrow(run, "h long")
+        lacks = own if lacks is None else lacks.unionByName(own)
+    return key_filter(materialize(lacks, "lm-tail"), lambda wide: [F.shiftrightunsigned("h", 18 * j).bitwiseAND(wide - 1) for j in range(3)])
+
+
+def _gram_scores(grams: DataFrame, contexts: dict[int, DataFrame], root: DataFrame, unseen: float) -> DataFrame:
+    """key, lp: log10 of the probability of each gram's symbol by its longest retained context."""
+    d = grams.withColumn("s", F.col("key").bitwiseAND(255)).join(F.broadcast(root.select(F.col("key").alias("s"), "p")), "s", "left")
+    d = d.select("key", F.col("s").cast("int").alias("s"), F.coalesce("p", F.lit(unseen)).alias("p"))
+    for n, c in sorted(contexts.items()):
+        d = d.withColumn("context", F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * n)) - 1)).join(c, "context", "left")
+        p = (F.coalesce(F.try_element_at("x", F.col("s")), F.lit(0)) + F.size("x") * F.col("p")) / (F.col("n") + F.size("x"))
+        d = d.select("key", "s", F.when(F.col("n").isNull(), F.col("p")).otherwise(p).alias("p"))
+    return d.select("key", F.log10("p").alias("lp"))
+
+
+def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: str = "text", config: TreeConfig = TreeConfig(), head_words: int = HEAD_WORDS, head_contexts: int = HEAD_CONTEXTS) -> DataFrame:
     """Fit a tree and word counts to the texts that train_mask selects, and score all texts.
 
     Returns one row per input row: id_col, trained (the mask), n_tokens, n_known, train_tokens, base_score, score. The
     tokens are lower-cased words and one end. base_score is the log10 probability under add-one word counts, score that
     under the tree, whose symbols are the bytes of the words with one blank between and an end.
 
-    All counts are sums over every training text, made in each task and then by shuffle. Contexts that have the least
-    share of all symbols are kept if their next-symbol distribution diverges from that of the next shorter context, so
-    the tree's size is bounded by the share; it is broadcast. The counts of the head_words most frequent words are
-    broadcast too; those of all others, of which a growing corpus has ever more, are joined to the texts.
+    All counts are sums over every training text, made in each task and then by shuffle. Contexts are retained if their
+    next-symbol distribution diverges from that of the next shorter context, however rare they are, so the table of them
+    grows with the corpus. The tree of the head_contexts most frequent ones is broadcast; a filter finds the symbols
+    that a context beyond it may give, and these are joined with the table. The counts of the head_words most frequent
+    words are broadcast too; those of all others, of which a growing corpus has ever more, are joined to the texts.
 
     * A null or empty text is one end. A null id hashes as empty text.
     * Rows may repeat; each is counted and scored.
@@ -268,19 +350,26 @@ def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: s
             break
         least = at
     head = words.where(level >= least).toArrow().sort_by("key") if least < math.inf else words.limit(0).toArrow()
-    shared = spark.sparkContext.broadcast(
-        (_tree(counts.where(F.col("kind") == GRAM).select("key", "count"), config), head.column("key").to_numpy(), head.column("count").to_numpy())
-    )
+    levels = _levels(counts.where(F.col("kind") == GRAM).select("key", "count"), config.depth)
+    symbols = dict(levels[0].collect())
+    total = sum(symbols.values())
+    root = spark.createDataFrame([(k, (c + 1) / (total + SYMBOLS)) for k, c in symbols.items()], "key long, p double")
+    contexts = _contexts(levels, root, config)
+    tree = _head(contexts, symbols, config, head_contexts)
+    wide, tail_bits = _tail_filter(contexts, tree)
+    tree.contexts = []
+    shared = spark.sparkContext.broadcast((tree, head.column("key").to_numpy(), head.column("count").to_numpy()))
     schema = StructType(
         [source.schema["id"], StructField("trained", BooleanType())]
         + [StructField(c, LongType()) for c in ("n_tokens", "n_known")]
         + [StructField(c, DoubleType()) for c in ("base", "score")]
-        + [StructField(c, ArrayType(LongType())) for c in ("rare", "times")]
+        + [StructField(c, ArrayType(LongType())) for c in ("rare", "times", "grams", "often")]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, keys, times = shared.value
         logs, hashes = np.log10(times + 1.0), WordHashes()
+        masks = np.array([(1 << (8 * n)) - 1 for n in range(config.depth + 2)], np.uint64)
         for b in batches:
             rows: list[tuple] = []
             symbols = []
@@ -292,7 +381,23 @@ def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: s
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 rows.append((len(w), int(m[known].sum()), float((m[known] * logs[at[known]]).sum()), h[~known], m[~known]))
-            scores = tree.score(symbols)
+            logp, held = tree.each(symbols)
+            codes = np.concatenate([gram_codes(s, config.depth) for s in symbols]) if symbols else np.empty(0, np.uint64)
+            # contexts come with their suffixes, so a longer one beyond the tree needs the next longer one to be beyond it
+            at = np.flatnonzero(held < config.depth)
+            n = held[at].astype(np.int64) + 1
+            h = _context_hash((codes[at] >> np.uint64(8)) & masks[n], n)
+            at = at[may_hold(tail_bits.value, *(((h >> np.uint64(18 * j)) & np.uint64(wide - 1)) for j in range(3)))]
+            logp = logp.astype(np.float64)
+            logp[at] = 0
+            scores = np.zeros(len(symbols))
+            cuts = np.r_[0, np.cumsum([len(s) for s in symbols])].astype(np.int64)
+            for r in range(len(symbols)):
+                scores[r] = logp[cuts[r] : cuts[r + 1]].sum()
+            found = np.searchsorted(at, cuts)
+            codes = signed(codes[at])
+            for r, row in enumerate(rows):
+                rows[r] = row + np.unique(codes[found[r] : found[r + 1]], return_counts=True)
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("trained"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])],
@@ -300,16 +405,20 @@ def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: s
             )
 
     scored = materialize(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    tail = rare.join(words.where(level < least) if least < math.inf else words, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more"))
-    return scored.drop("rare", "times").join(tail, "row", "left").select(
+    pairs = lambda key, times: scored.select("row", F.explode(F.arrays_zip(key, times)).alias("x")).select("row", F.col(f"x.{key}").alias("key"), F.col(f"x.{times}").alias("times"))
+    rare, grams = pairs("rare", "times"), pairs("grams", "often")
+    lp = materialize(_gram_scores(grams.select("key").distinct(), contexts, root, 1 / (total + SYMBOLS)), "lm-gram-scores")
+    more = rare.join(words.where(level < least) if least < math.inf else words, "key").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("count") + 1)).alias("more"), F.lit(0.0).alias("deep"))
+    deep = grams.join(lp, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("more"), (F.col("times") * F.col("lp")).alias("deep"))
+    tail = more.unionByName(deep).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "more", "deep")])
+    return scored.drop("rare", "times", "grams", "often").join(tail, "row", "left").select(
         F.col("id").alias(id_col),
         "trained",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )
 
 
