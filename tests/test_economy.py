@@ -70,3 +70,28 @@ def test_coefficients_and_checks(spark):
         io.technical_coefficients(z, x.where("sector <> '3'"))
     with pytest.raises(RuntimeError):
         io.exact_acyclic(spark, table(spark, [(a, b, 1) for a in "abc" for b in "abc"]), 2)
+
+
+def test_exact_of_all_sectors(spark):
+    rng = random.Random(9)
+    names = [f"{i:02d}" for i in range(1, 26)]
+    hidden = names[:]
+    rng.shuffle(hidden)
+    at = {s: i for i, s in enumerate(hidden)}
+    # each pair is heavier along the hidden order, so that this is the optimum
+    w = {(a, b): rng.randint(50, 99) if at[a] < at[b] else rng.randint(1, 49) for a in names for b in names if a != b}
+    kept = io.exact_acyclic(spark, table(spark, [(a, b, v) for (a, b), v in w.items()]))
+    assert edges(kept) == {(a, b): v for (a, b), v in w.items() if at[a] < at[b]}
+
+
+def test_whole_queries_leave_no_sector_out(spark):
+    from waylattice.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    wide = QUERIES["io_matrix_whole"](spark, d)
+    assert wide.columns == ["source", *[f"{i:02d}" for i in range(1, 26)]]
+    z = QUERIES["io_transactions_long"](spark, d).collect()
+    got = {(r["source"], c): r[c] for r in wide.collect() for c in wide.columns[1:] if r[c] is not None}
+    assert got == {(r["source"], r["target"]): r["cents"] for r in z}
+    best, fast = QUERIES["mwas_exact_whole"](spark, d).first()[0], sum(r["cents"] for r in QUERIES["mwas_fast_edges"](spark, d).collect())
+    assert best >= fast > 0

@@ -4,6 +4,7 @@ Tables are long: source, target, value. The number of sectors is bounded by the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,26 +76,32 @@ def fast_acyclic(z: DataFrame) -> DataFrame:
 
 def _order_of(members: list[str], weight: dict[tuple[str, str], float]) -> list[str]:
     """The order with the largest forward weight, by subsets: what a set earns when its sectors come first, in the best order."""
-    n = len(members)
-    w = [[weight.get((a, b), 0.0) for b in members] for a in members]
-    into = [[0.0] * (1 << n) for _ in range(n)]  # weight from a set into v
-    best, last = [0.0] * (1 << n), [-1] * (1 << n)
-    for s in range(1, 1 << n):
-        low = (s & -s).bit_length() - 1
-        rest = s & (s - 1)
-        top = -1.0
-        for v in range(n):
-            into[v][s] = into[v][rest] + w[low][v]
-        for v in range(n):
-            if s >> v & 1:
-                t = s ^ (1 << v)
-                if (x := best[t] + into[v][t]) > top:
-                    top, last[s] = x, v
-        best[s] = top
+    n, half = len(members), len(members) // 2
+    w = np.array([[weight.get((a, b), 0.0) for b in members] for a in members])
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        """For each set of the rows, their sum."""
+        out = np.zeros((1 << len(rows), n))
+        for i, r in enumerate(rows):
+            out[1 << i : 2 << i] = out[: 1 << i] + r
+        return np.ascontiguousarray(out.T)
+
+    low, high = sums(w[:half]), sums(w[half:])
+    earned = lambda v, t: best[t] + (low[v][t & ((1 << half) - 1)] + high[v][t >> half])
+    best = np.zeros(1 << n)
+    size = np.bitwise_count(np.arange(1 << n, dtype=np.uint32))
+    for k in range(1, n + 1):
+        for sets in np.array_split(np.flatnonzero(size == k), max(1, (1 << n) >> 20)):
+            top = np.full(len(sets), -1.0)
+            for v in range(n):
+                has = np.flatnonzero(sets >> v & 1)
+                top[has] = np.maximum(top[has], earned(v, sets[has] ^ (1 << v)))
+            best[sets] = top
     out, s = [], (1 << n) - 1
     while s:
-        out.append(members[last[s]])
-        s ^= 1 << last[s]
+        last = next(v for v in range(n) if s >> v & 1 and earned(v, s ^ (1 << v)) == best[s])
+        out.append(members[last])
+        s ^= 1 << last
     return out[::-1]
 
 
@@ -118,7 +125,7 @@ def _strong_components(edges: dict[str, set[str]]) -> list[list[str]]:
     return groups
 
 
-def exact_acyclic(spark: SparkSession, z: DataFrame, most: int = 18) -> DataFrame:
+def exact_acyclic(spark: SparkSession, z: DataFrame, most: int = 25) -> DataFrame:
     """The acyclic subgraph of the largest weight, proven: the best order of each strongly connected group of sectors.
 
     A group of more than `most` sectors is an error, never an approximation. The table has at most as many rows as pairs of sectors."""

@@ -76,6 +76,12 @@ def io_matrix_wide(spark, sf_dir):
     return derived.io_z(spark, sf_dir).groupBy("source").pivot("target", ["01", "02", "03", "04", "05"]).agg(F.sum("cents"))
 
 
+@query
+def io_matrix_whole(spark, sf_dir):
+    """A column for each sector."""
+    return derived.io_z(spark, sf_dir).groupBy("source").pivot("target", [f"{i:02d}" for i in range(1, 26)]).agg(F.sum("cents"))
+
+
 @query
 def technical_coefficients(spark, sf_dir):
     return io_graph.technical_coefficients(_z(spark, sf_dir), _x(spark, sf_dir)).select("source", "target", F.round(F.col("value") * 1e9).cast("long").alias("billionths"))
@@ -118,6 +124,12 @@ def mwas_exact_objective(spark, sf_dir):
     return io_graph.exact_acyclic(spark, z).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("cents"))
 
 
+@query
+def mwas_exact_whole(spark, sf_dir):
+    """Of all sectors, which SQL cannot enumerate."""
+    return io_graph.exact_acyclic(spark, _z(spark, sf_dir)).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("cents"))
+
+
 # --- roads ---
 
 
