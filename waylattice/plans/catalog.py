@@ -264,6 +264,45 @@ def _given(spark, sf_dir):
     return nodes, edges, roads.materialize(s.join(of, "point_id"), "given-points")
 
 
+def _given_whole(spark, sf_dir):
+    """As _given, with every event as a point; those in the corner component are clusters 4 to 7."""
+    v, a = _network(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("point_id"), (F.col("user_id") % 4).alias("own"))
+    s = roads.materialize(roads.snap(derived.poi(spark, sf_dir).join(e, "point_id"), v, a), "given")
+    s = s.withColumn("cluster", F.col("own") + F.when(F.col("component") == 0, 0).otherwise(4)).drop("own")
+    nodes, edges, of = roads.augment(v, a, s)
+    return nodes, edges, roads.materialize(s.join(of, "point_id"), "given-points")
+
+
+@query
+def network_median_whole(spark, sf_dir):
+    nodes, edges, p = _given_whole(spark, sf_dir)
+    return median.cluster_medians(p, nodes, edges).select("type", "cluster", "center_network_node", F.round("objective", 6).alias("objective"))
+
+
+@query
+def point_median_distance_whole(spark, sf_dir):
+    nodes, edges, p = _given_whole(spark, sf_dir)
+    return median.median_distances(p, median.cluster_medians(p, nodes, edges), edges).select("point_id", "type", "cluster", F.round("distance_to_cluster_median", 6).alias("distance"))
+
+
+@query
+def voronoi_node_owner_whole(spark, sf_dir):
+    nodes, edges, p = _given_whole(spark, sf_dir)
+    return paths.nearest_sources(p, edges).select("type", "node", F.round("distance", 6).alias("distance"), "cluster")
+
+
+@query
+def voronoi_cells_whole(spark, sf_dir):
+    nodes, edges, p = _given_whole(spark, sf_dir)
+    return surface.territories(p, nodes, edges, BOUNDARY, SURFACE)
+
+
+@query
+def partition_area_whole(spark, sf_dir):
+    return voronoi_cells_whole(spark, sf_dir).groupBy("type", "cluster").agg(F.round(F.sum("area"), 6).alias("area"))
+
+
 @query
 def network_median(spark, sf_dir):
     nodes, edges, p = _given(spark, sf_dir)
