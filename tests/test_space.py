@@ -193,3 +193,13 @@ def test_whole_queries_take_every_event(spark):
     areas = QUERIES["partition_area_whole"](spark, d).collect()
     assert {(r["type"], r["cluster"]) for r in areas} <= medians.keys() and any(r["cluster"] > 3 for r in areas)
     assert any(r["cluster"] > 3 for r in QUERIES["voronoi_node_owner_whole"](spark, d).select("cluster").distinct().collect())
+
+
+def test_towns_have_every_event(spark):
+    from waylattice.sources import derived
+
+    d = "/root/testdata/sf0.01"
+    towns = derived.towns(spark, d)
+    assert towns.count() == towns.select("point_id").distinct().count() == spark.read.parquet(f"{d}/events.parquet").count()
+    sizes = towns.select("type", (F.col("x") > 400).alias("town"), "x", "y").distinct().groupBy("type", "town").count().collect()
+    assert {r["count"] for r in sizes} == {49}
