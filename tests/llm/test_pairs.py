@@ -214,3 +214,20 @@ def test_winnowing_keeps_one_of_every_window():
     at = set(winnowed(g, 7).tolist())
     assert all(at & set(range(i, i + 7)) for i in range(len(g) - 6)) and len(winnowed(g[:6], 7)) == 0
     assert len(WordHashes().of([b"a", b"b", b"a"])) == 3
+
+
+def test_bands_follow_the_threshold(spark):
+    from waylattice.llm.jaccard_join import BANDS, MISS, ROWS, band_shape
+
+    assert band_shape(80) == (BANDS, ROWS)
+    for percent in range(1, 101):
+        bands, rows = band_shape(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= MISS * (1 + 1e-9)
+    # 150 pairs that share 6 of 20 shingles each
+    docs = []
+    for i in range(150):
+        common = [f"c{i}x{j}" for j in range(6)]
+        docs += [(2 * i, " ".join(common + [f"a{i}x{j}" for j in range(7)])), (2 * i + 1, " ".join(common + [f"b{i}x{j}" for j in range(7)]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jj.jaccard_components(df, shingle=1, percent=30).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}

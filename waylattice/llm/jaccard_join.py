@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ SHINGLE, PERCENT = 5, 80
 #: Band keys of a set, each of ROWS minima of independent orders of its shingles. Linked sets have an equal minimum with probability
 #: 0.8 or more, so no key in common with (1 - 0.8 ** 3) ** 40 = 3e-13 at most; texts that share a passage alone rarely have one.
 BANDS, ROWS = 40, 3
+#: The most that this probability may be, for any percent.
+MISS = 1e-12
 #: Sets that one tile compares; a larger bucket is cut into parts, and each pair of parts is a tile.
 TILE = 2048
 #: Bits of a signature by the least size of a set.
@@ -39,6 +42,16 @@ def least_overlap(total: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * total // (100 + percent))
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """Keys, and minima of each, with which a pair at the threshold is missed with probability MISS at most."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    for rows in range(ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** BANDS <= MISS:
+            return BANDS, rows
+    return math.ceil(math.log(MISS) / math.log(1 - percent / 100)), 1
+
+
 class Bands:
     def __init__(self, bands: int = BANDS, rows: int = ROWS):
         x = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -135,12 +148,12 @@ class Tile:
         return pairs, any(len(x) > most for x in found.values())
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int, shape: tuple[int, int]) -> DataFrame:
     """id, n, k (128-bit hash of the set, null if it is empty), keys."""
     schema = StructType([docs.schema["id"], StructField("n", LongType()), StructField("k", BinaryType()), StructField("keys", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands = WordHashes(), Bands()
+        hashes, bands = WordHashes(), Bands(*shape)
         for b in batches:
             sets = [shingles(x, hashes, shingle) for x in b.column("text").to_pylist()]
             cols = [
@@ -216,10 +229,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns one row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, its own included).
 
-    1. Texts with equal sets are one set from here on. 2. A linked pair shares a hash of its prefixes, which bucket the
-    sets. Shingles that are frequent in sketches rank last, so that a passage common to many texts makes no bucket of
-    texts that have else nothing in common; texts that have such shingles use their whole prefix, so that no link is
-    lost. 3. A tile compares the sets of a bucket that are near in size by their signatures: a bit set in only one of two
+    1. Texts with equal sets are one set from here on. 2. Bands of minima bucket the sets. A pair at the threshold has no
+    key in common with probability MISS at most, if the orders are independent (3e-13 for 80 percent): the lower the
+    percent, the fewer minima a key has, and then the more keys there are. 3. A tile compares the sets of a bucket that are near in size by their signatures: a bit set in only one of two
     counts against the overlap. It gives a spanning forest of the pairs that are still possible, never all of them.
     4. Those pairs are intersected exactly. Where all pairs of a tile's forest link, the tile is done: any other possible
     pair is within a component. Else, the tile gives the likeliest pairs between each two components, more in each
@@ -229,10 +241,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * A null id is never the smallest, unless a component has no other; rows may repeat.
     * An empty table gives an empty result.
     """
+    shape = band_shape(percent)
     spark = docs.sparkSession
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    first = materialize(_sets(source, shingle), "jaccard-sets")
+    first = materialize(_sets(source, shingle, shape), "jaccard-sets")
     n = first.count()
     sets = first.where("k is not null")
     reps = materialize(sets.groupBy("k").agg(F.min("id").alias("rep")), "jaccard-reps", n)
