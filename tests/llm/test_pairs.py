@@ -231,3 +231,14 @@ def test_bands_follow_the_threshold(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jj.jaccard_components(df, shingle=1, percent=30).collect()}
     assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_one_row_of_each_component_stays_without_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long + " more"
+    rows = [(None, long), (None, near), (None, ""), (None, None), (None, "alone in the world of texts"), (7, "some other text of a few words"), (7, long + " end"), (8, "some other text of a few words"), (9, "kept")]
+    kept = jj.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[2], rows[3], rows[4], rows[5], rows[6], rows[8]]))
+    nameless = [(None, long), (None, near), (None, long), (None, "alone in the world of texts")]
+    kept = jj.keep_one_of_each(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert len(kept) == 2 and (None, "alone in the world of texts") in map(tuple, kept)

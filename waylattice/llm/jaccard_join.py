@@ -242,6 +242,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * An empty table gives an empty result.
     """
     shape = band_shape(percent)
+    first, classes = _components(docs, id_col, text_col, shingle, percent, shape)
+    classes = classes.drop("label")
+    return first.join(classes, "k", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shape: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """id, n, k of each row, and for each k its component: a label, and the smallest id."""
     spark = docs.sparkSession
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
@@ -306,19 +313,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     classes = reps.join(labels, reps["k"] == labels["node"], "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
-    classes = materialize(classes.join(least, "label").select("k", "component"), "jaccard-classes", n)
-    return first.join(classes, "k", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    return first, materialize(classes.join(least, "label").select("k", "label", "component"), "jaccard-classes", n)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose id is the smallest of their component."""
-    found = jaccard_components(docs, id_col, text_col).select(F.col(id_col).alias("kept_id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("stays"))
-    found = materialize(found, "jaccard-kept")
-    dropped = found.where("not stays").select("kept_id").distinct()
-    may_go = native_filter(dropped.select(F.xxhash64("kept_id").alias("key")), dropped.count())(F.xxhash64(id_col))
-    kept = found.where("stays").select("kept_id").distinct()
-    # most rows have no id of a dropped one, and stay where they are
-    return docs.where(~may_go).unionByName(docs.where(may_go).join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi"))
+    """One row of docs for each component, with all columns: that of the smallest id, and of rows with this id that of the smallest
+    set key. Ids may be null or repeat. Rows without words are all kept."""
+    first, classes = _components(docs, id_col, text_col, SHINGLE, PERCENT, band_shape(PERCENT))
+    rows = materialize(first.where("k is not null").join(classes.select("k", "label"), "k").groupBy("label", "id", "k").agg(F.count("*").alias("times")), "jaccard-rows")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("best"))
+    judged = rows.join(best, "label").select("id", "k", "times", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("k") == F.col("best.k"))).alias("stays"))
+    judged = materialize(judged, "jaccard-kept")
+    dropped = judged.where("not stays or times > 1").select("id").distinct()
+    may_go = native_filter(dropped.select(F.xxhash64("id").alias("key")), dropped.count())(F.xxhash64(id_col))
+    # most rows have no id of a dropped one, and stay where they are; of the others the text says which row it is
+    schema = StructType([*docs.schema.fields, StructField("k_", BinaryType()), StructField("words_", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            keys = [set_key(shingles(x if isinstance(x, bytes) else (x or "").encode(), hashes)) for x in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array([k is not None for k in keys], pa.bool_())], names=schema.names)
+
+    asked = docs.where(may_go).mapInArrow(run, schema)
+    kept = judged.where("stays").select(F.col("id").alias("id_"), F.col("k").alias("set_"))
+    one = asked.where("words_").join(kept, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("set_")), "left_semi").dropDuplicates([id_col, "k_"])
+    return docs.where(~may_go).unionByName(asked.where("not words_").unionByName(one).select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
