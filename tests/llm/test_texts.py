@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from waylattice.llm import chat
-from waylattice.llm.common import crc_mod
+from waylattice.llm.common import Powers, crc_mod, word_runs
 from waylattice.llm.mixing import mix_sources, source_targets
 from waylattice.llm.quality import accepted, fit_quality, quality_scores, statistics_table
-from waylattice.llm.suffix_tree import GramCounts, TreeConfig, build_tree, gram_codes, normalised, score_texts
+from waylattice.llm.suffix_tree import TreeConfig, score_texts
 from waylattice.llm.toxicity import Folding, Lexicon, folded, toxicity_scores
 from waylattice.llm.url_filter import LONG, RULES, Automaton, Rule, filter_urls
 
@@ -94,41 +95,91 @@ def docs_of(seed, n=60):
     return [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
-def test_tree_is_a_distribution_and_the_longest_suffix():
-    config = TreeConfig(depth=3, least_share=1e-3, divergence=1.0)
-    data = [normalised(t.encode())[1] for t in docs_of(1)]
-    counts = GramCounts()
+def plain_model(texts, config):
+    """By plain loops over every context: p(context, word), and the retained contexts."""
+    data = [["<", *(t or "").encode().lower().split(), ">"] for t in texts]
+    x = [collections.defaultdict(collections.Counter) for _ in range(config.depth + 1)]
     for s in data:
-        counts.add(gram_codes(s, 3))
-    codes, n = counts.merged()
-    levels = {}
-    for k in range(4):
-        c = collections.Counter()
-        for x, m in zip(codes.tolist(), n.tolist(), strict=True):
-            c[x & ((1 << 8 * (k + 1)) - 1)] += m
-        total = collections.Counter()
-        for x, m in c.items():
-            total[x >> 8] += m
-        keys = sorted(x for x in c if total[x >> 8] >= 1e-3 * n.sum())
-        levels[k] = np.array([x >> 8 for x in keys]), np.array([x & 255 for x in keys]), np.array([float(c[x]) for x in keys])
-    tree = build_tree(levels, config)
-    p = 10.0 ** tree.logp.reshape(-1, tree.width)
-    unseen = 256 - (tree.width - 1)
-    assert np.allclose(p[:, 1:].sum(axis=1) + unseen * p[:, 0], 1, atol=1e-3) and tree.retained > 20
-    # segments give what one run gives
-    long = b" ".join(data)[:5000]
-    state, want = tree.start, 0.0
-    for b in long:
-        i = state * tree.width + int(tree.classes[b])
-        want += float(tree.logp[i])
-        state = int(tree.go[i])
-    assert tree.score([long, b"", long])[0] == pytest.approx(want, rel=1e-6)
-
-
-def test_scores_against_plain_counts(spark):
+        for i in range(1, len(s)):
+            for k in range(min(i, config.depth) + 1):
+                x[k][tuple(s[i - k : i])][s[i]] += 1
+    single = x[0][()]
+    n, v = sum(single.values()), len(single)
+    cache = {}
+
+    def p(c, w):
+        if not c:
+            return (single[w] + 1) / (n + v + 1)
+        if (c, w) not in cache:
+            f = x[len(c)][c]
+            own = {y: m for y, m in f.items() if m >= config.least}
+            if not own:
+                return p(c[1:], w)
+            left = sum(f.values()) - sum(own.values()) + len(own)
+            cache[c, w] = (own.get(w, 0) + left * p(c[1:], w)) / (sum(f.values()) + len(own))
+        return cache[c, w]
+
+    kept = {()}
+    for k in range(1, config.depth + 1):
+        for c, f in x[k].items():
+            own, total = {y: m for y, m in f.items() if m >= config.least}, sum(f.values())
+            q = {y: p(c[1:], y) for y in own}
+            rest = total - sum(own.values())
+            gain = sum(m * math.log(m / total / q[y]) for y, m in own.items())
+            gain += rest * math.log(rest / total / max(1 - sum(q.values()), 1 / (n + v + 1))) if rest and own else 0
+            if own and gain >= config.divergence:
+                kept |= {c[i:] for i in range(k + 1)}
+    return p, kept, single
+
+
+def plain_scores(texts, train, config):
+    p, kept, _ = plain_model(train, config)
+    out = []
+    for t in texts:
+        s, score = ["<", *(t or "").encode().lower().split(), ">"], 0.0
+        for i in range(1, len(s)):
+            k = max(k for k in range(min(i, config.depth) + 1) if tuple(s[i - k : i]) in kept)
+            score += math.log10(p(tuple(s[i - k : i]), s[i]))
+        out.append(score)
+    return out
+
+
+def passages(seed, n=80):
+    """Texts with phrases that recur in them, and words that occur once."""
+    rng = random.Random(seed)
+    phrases = ["of the", "in the end of the day", "At  last THE", "one two three four five six", "a rare pair", "of the old town"]
+    return [" ".join(rng.choice(phrases) if rng.random() < 0.5 else rng.choice(["of", "the", "old", f"w{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("least, divergence", [(2, 6.0), (3, 12.0)])
+def test_tree_against_plain_loops(spark, least, divergence):
+    rows = [*passages(3), None, "", "qzxqzv qzxqzv qzxqzv qzxqzv", "unseen words and of the old town", "Of\tthe\u00a0old " * 3_000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, trained int")
+    config = TreeConfig(depth=3, least=least, divergence=divergence)
+    mask = crc_mod(7) != 2
+    train = [t for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = plain_scores(rows, train, config)
+    kept = plain_model(train, config)[1]
+    assert {len(c) for c in kept} == {0, 1, 2, 3}
+    # all in the head, some of it, and none
+    for most in ((500_000, 10_000, 10_000), (20, 12, 40), (0, 0, 0))[: 5 - least]:
+        got = dict(score_texts(df, mask, config=config, head_words=most[0], head_contexts=most[1], head_next=most[2]).select("doc_id", "score").collect())
+        assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-9, abs=1e-9), most
+
+
+def test_retained_contexts_are_distributions():
+    config = TreeConfig(depth=3, divergence=4.0)
+    p, kept, single = plain_model(passages(5), config)
+    unseen = 1 - sum(p((), w) for w in single)
+    for c in kept:
+        rest = math.prod(p(c[i:], "never") / p(c[i + 1 :], "never") for i in range(len(c))) * unseen
+        assert sum(p(c, w) for w in single) + rest == pytest.approx(1)
+
+
+def test_base_scores_against_plain_counts(spark):
     rows = [*docs_of(2), None, "", "ONE  one\tOne", "x" * 30_000]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, trained int")
-    got = {r["doc_id"]: r for r in score_texts(df, crc_mod(7) != 2, config=TreeConfig(depth=3), head_words=20).collect()}
+    got = {r["doc_id"]: r for r in score_texts(df, crc_mod(7) != 2, head_words=20).collect()}
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     c = collections.Counter(w for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
     n, v = sum(c.values()), len(c)
@@ -136,66 +187,33 @@ def test_scores_against_plain_counts(spark):
         w = tokens(t)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), abs=1e-6)
-        assert got[i]["score"] < 0
-    untrained = score_texts(df.where("doc_id < 3"), F.lit(False), config=TreeConfig(depth=3)).collect()
-    assert all(r["train_tokens"] == 0 and r["score"] < 0 for r in untrained)
-    assert score_texts(df.limit(0), F.lit(True), config=TreeConfig(depth=3)).count() == 0
+    untrained = score_texts(df.where("doc_id < 3"), F.lit(False)).collect()
+    assert all(r["train_tokens"] == 0 and r["score"] == r["base_score"] == 0 for r in untrained)
+    assert score_texts(df.limit(0), F.lit(True)).count() == 0
 
 
-def plain_scores(texts, depth, least):
-    """The probability of each text by plain loops over every context that diverges, however rare."""
-    data = [normalised((t or "").encode())[1] for t in texts]
-    x = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
-    for s in data:
-        full = bytes([0x0B]) * depth + s
-        for i in range(depth, len(full)):
-            for n in range(depth + 1):
-                x[n][full[i - n : i]][full[i]] += 1
-    total = sum(x[0][b""].values())
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    # three occurrences in 250,000 words
+    rows = ["ta " * 250_000, "qzx vyk qzx vyk qzx vyk"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    r = dict(score_texts(df, F.lit(True)).select("doc_id", F.col("score") - F.col("base_score")).collect())
+    assert r[1] > 10
 
-    def p(c, b):
-        if not c:
-            return (x[0][b""][b] + 1) / (total + 256)
-        f = x[len(c)][c]
-        return (f[b] + len(f) * p(c[1:], b)) / (sum(f.values()) + len(f))
-
-    kept = {b""}
-    for n in range(1, depth + 1):
-        for c, f in x[n].items():
-            if sum(m * math.log(m / sum(f.values()) / p(c[1:], b)) for b, m in list(f.items())) >= least:
-                kept |= {c[i:] for i in range(n + 1)}
-    out = []
-    for s in data:
-        full, score = bytes([0x0B]) * depth + s, 0.0
-        for i in range(depth, len(full)):
-            n = max(n for n in range(depth + 1) if full[i - n : i] in kept)
-            score += math.log10(p(full[i - n : i], full[i]))
-        out.append(score)
-    return out
 
+def test_tree_beats_unigrams_on_unseen_texts(spark):
+    rows = [(i, t) for i, t in enumerate(passages(8, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = score_texts(df, crc_mod(7) != 2).where("not trained").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > 0.8 * r[1]  # scores are negative: a fifth of the base is saved
 
-def test_rare_contexts_count_in_a_large_corpus(spark):
-    rows = [*docs_of(3, 20), None, "qzxqzv qzxqzv qzxqzv qzxqzv"]
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    want = plain_scores(rows, 3, 8.0)
-    for most in (10_000, 25, 0):  # in the tree, partly, and by the join alone
-        got = dict(score_texts(df, F.lit(True), config=TreeConfig(depth=3), head_contexts=most).select("doc_id", "score").collect())
-        assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-4)
-    # three occurrences in 750,000 symbols
-    rows = ["ta " * 250_000, "qzx qzx qzx"]
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = dict(score_texts(df, F.lit(True), config=TreeConfig(depth=3)).select("doc_id", "score").collect())
-    assert got[1] == pytest.approx(plain_scores(rows, 3, 8.0)[1], rel=1e-4)
-
-
-def test_tree_beats_unigrams_on_unseen_words(spark):
-    d = "/root/testdata/sf0.1"
-    try:
-        docs = spark.read.parquet(f"{d}/documents.parquet")
-    except Exception:
-        pytest.skip("no test tables")
-    r = score_texts(docs, crc_mod(7) != 2).where("not trained").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert r[0] / r[2] > -5 and r[0] > 1.1 * r[1]  # scores are negative
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = [b"", b"One two", b" two\tONE\x0b", b"onetwo", b"", b"\xc3\x89 two", b"x" * 3_000_000 + b" two", b"  "]
+    got = list(word_runs(pa.array(texts, pa.binary()), Powers()))
+    counts, hashes = np.concatenate([c for _, c in got]), np.concatenate([h for h, _ in got])
+    words = [w for t in texts for w in t.lower().split()]
+    assert counts.tolist() == [len(t.lower().split()) for t in texts] and len(got) > 1
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
 
 
 # --- mixing ---

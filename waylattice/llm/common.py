@@ -52,6 +52,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: A-Z to lower case, and each byte of whitespace to a blank.
+_FOLDED = np.array([b + 32 if 65 <= b <= 90 else 32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256)], np.uint8)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are hashed together; a longer text is hashed alone.
+CHUNK = 1 << 20
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     x = x ^ (x >> np.uint64(32))
@@ -61,6 +68,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Powers:
+    """Powers of an odd number and of its inverse, as many as have been asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x)], dtype=np.uint64) for x in (_ODD, inverse))
+        return self.up, self.down
+
+
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def word_runs(texts: pa.Array, powers: Powers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some texts after another, the hashes of their lower-cased words and the number of words of each text: sums of the bytes'
+    numbers times powers, all words at once. texts is a binary array without nulls."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+        x = _FOLDED[data[offsets[a] : offsets[b]]]
+        cuts = offsets[a : b + 1] - offsets[a]
+        inside = x != 32
+        starts, ends = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        edge = cuts[:-1][cuts[:-1] < len(x)]  # a text's first and last byte are ends of words too
+        starts[edge] = inside[edge]
+        edge = cuts[1:][cuts[1:] > 0] - 1
+        ends[edge] = inside[edge]
+        start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        up, down = powers.of(max(1, len(x)))
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_BYTES[x] * up[: len(x)], dtype=np.uint64, out=sums[1:])
+        yield mix((sums[end] - sums[start]) * down[start]), np.diff(np.searchsorted(start, cuts))
+        a = b
+
+
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of every run of k words, from the words' hashes; empty if there are fewer words."""
     n = len(hashes) - k + 1
@@ -147,6 +197,29 @@ def in_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
+def word_filter(keys: DataFrame, rows: int, most: int = FILTER_BITS):
+    """A broadcast Bloom filter of 64-bit hashes (one column, about `rows` rows), FILTER_BITS / 8 bytes at most, in which a hash has four bits
+    of one word; as key_filter, it lets more through when there are more."""
+    wide = 1 << 10
+    while wide < min(most // 64, rows // 4):
+        wide *= 2
+    h = F.col(keys.columns[0])
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * j).bitwiseAND(63).cast("int"))
+    bits = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+    found = keys.groupBy(F.shiftrightunsigned(h, 24).bitwiseAND(wide - 1).alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
+    table_ = np.zeros(wide, np.int64)
+    table_[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(table_.view(np.uint64))
+
+
+def word_may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a word_filter may have each hash."""
+    bits = np.zeros(len(h), np.uint64)
+    for j in range(4):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * j)) & np.uint64(63))
+    return words[((h >> np.uint64(24)) & np.uint64(len(words) - 1)).astype(np.int64)] & bits == bits
+
+
 def native_filter(keys: DataFrame, rows: int, most: int = FILTER_BITS):
     """As key_filter, for expressions only: given a 64-bit hash column, whether it may be among `keys` (one such column, at most
     `rows` rows). The bits are a scalar subquery of one array, of FILTER_BITS / 8 bytes at most."""

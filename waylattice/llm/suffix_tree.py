@@ -1,424 +1,373 @@
-"""Language-model scoring with a probabilistic suffix tree over the bytes of the normalised text."""
+"""Language-model scoring with a probabilistic suffix tree over words."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import WordHashes, crc_mod, key_filter, materialize, may_hold, mix, run_starts, signed, small_batches, table, text_bytes
+from .common import Powers, crc_mod, materialize, mix, run_starts, signed, small_batches, table, text_bytes, word_filter, word_may_hold, word_runs
 
-#: Bytes that no normalised text holds: before its start, and its end.
-START, END = 0x0B, 0x0A
-SYMBOLS = 256
+#: What comes before a text's first word, and after its last; hashes, as of words.
+START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Words, contexts and next words of contexts that every worker holds (16 bytes each); what is rarer is joined.
+HEAD_WORDS, HEAD_CONTEXTS, HEAD_NEXT = 500_000, 1_000_000, 2_000_000
+#: Pairs that a task sums before it passes them on.
+HELD = 2_000_000
 
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """depth: bytes of the longest context, 7 at most. divergence: a context is retained, with its suffixes, if its count times the
-    divergence (in nats) of its distribution from that of the next shorter context reaches it, however rare it is. least_share:
-    retained contexts rarer than this part of all training symbols are never broadcast, but joined."""
-
-    depth: int = 6
-    least_share: float = 0.0
-    divergence: float = 8.0
-
-
-def normalised(data: bytes) -> tuple[list[bytes], bytes]:
-    """The lower-cased words, and the symbols of the text: words with one blank between, then the end."""
-    words = data.lower().split()
-    return words, b" ".join(words) + bytes([END])
-
-
-def gram_codes(symbols: bytes, depth: int) -> np.ndarray:
-    """For every symbol, it and the `depth` symbols before it as one number, the symbol itself in the lowest byte."""
-    x = np.frombuffer(bytes([START]) * depth + symbols, np.uint8).astype(np.uint64)
-    n = len(symbols)
-    code = np.zeros(n, np.uint64)
-    for j in range(depth + 1):
-        code = (code << np.uint64(8)) | x[j : j + n]
-    return code
-
-
-class GramCounts:
-    """Sums of gram codes; sorted and merged whenever many have gathered."""
-
-    LIMIT = 3_000_000
-
-    def __init__(self):
-        self.codes, self.counts, self.size = [np.empty(0, np.uint64)], np.empty(0, np.int64), 0
-
-    def add(self, codes: np.ndarray) -> None:
-        self.codes.append(codes)
-        self.size += len(codes)
-        if self.size >= self.LIMIT:
-            self.merged()
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        old, n = self.codes[0], self.counts
-        new = np.sort(np.concatenate(self.codes[1:])) if len(self.codes) > 1 else np.empty(0, np.uint64)
-        starts = run_starts(new)
-        codes, counts = np.concatenate([old, new[starts]]), np.concatenate([n, np.diff(np.r_[starts, len(new)])])
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        starts = run_starts(codes)
-        self.codes, self.counts = [codes[starts]], np.add.reduceat(counts, starts) if len(starts) else counts
-        self.size = 0
-        return self.codes[0], self.counts
-
-
-def build_tree(levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], config: TreeConfig) -> SuffixTree:
-    """levels: for each context length the contexts as numbers, the next symbols and the counts, sorted by context and symbol."""
-    _, sym, count = levels[0]
-    seen = np.zeros(SYMBOLS)
-    seen[sym] = count
-    # all symbols that training texts lack have the same probability in any context, and share class 0
-    classes = np.zeros(SYMBOLS, np.int64)
-    classes[seen > 0] = np.arange(1, int((seen > 0).sum()) + 1)
-    width = int(classes.max()) + 1
-    root = np.full(width, 1 / (seen.sum() + SYMBOLS))
-    root[classes[seen > 0]] = (seen[seen > 0] + 1) / (seen.sum() + SYMBOLS)
-    chosen: dict[tuple[int, int], np.ndarray] = {(0, 0): root.astype(np.float32)}
-    above: dict[int, np.ndarray] = {0: chosen[0, 0]}
-    older: list[dict[int, np.ndarray]] = []
-    for n in range(1, config.depth + 1):
-        ctx, sym, count = levels[n]
-        own: dict[int, np.ndarray] = {}
-        mask = (1 << (8 * (n - 1))) - 1
-        cls, ids = classes[sym], ctx.tolist()
-        starts = run_starts(ctx).tolist()
-        older.append(above)
-        for s, e in zip(starts, [*starts[1:], len(ctx)], strict=False):
-            c = ids[s]
-            p_above = above[c & mask]
-            x, k = count[s:e], cls[s:e]
-            total = x.sum()
-            weight = total + len(x)  # the shorter context counts for as many symbols as have been seen to follow
-            p = p_above * np.float32(len(x) / weight)
-            p[k] += (x / weight).astype(np.float32)
-            own[c] = p
-            if float((x * np.log(x / total / p_above[k])).sum()) >= config.divergence:
-                m, key = n, c
-                while (m, key) not in chosen:  # with all its suffixes
-                    chosen[m, key] = own[key] if m == n else older[m][key]
-                    m, key = m - 1, key & ((1 << (8 * (m - 1))) - 1)
-        above = own
-    return SuffixTree(chosen, classes)
-
-
-class SuffixTree:
-    """An automaton that is in the state of the longest retained context that ends the text so far.
-
-    Its states are the retained contexts and their prefixes, each with the transitions of all symbol classes and the
-    log-probabilities of its longest retained suffix."""
-
-    def __init__(self, dist: dict[tuple[int, int], np.ndarray], classes: np.ndarray):
-        retained = {c.to_bytes(n, "big"): p for (n, c), p in dist.items()}
-        states = sorted({c[:i] for c in retained for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(states)}
-        self.width = len(next(iter(dist.values())))
-        self.contexts = list(dist)
-        go = np.zeros((len(states), self.width), np.int32)
-        logp = np.empty((len(states), self.width), np.float32)
-        fail = np.zeros(len(states), np.int64)
-        children: list[list[tuple[int, int]]] = [[] for _ in states]
-        for i, c in enumerate(states[1:], 1):
-            children[number[c[:-1]]].append((int(classes[c[-1]]), i))
-        for i, c in enumerate(states):  # shorter ones come first, so the suffix of each is complete
-            if i:
-                go[i] = go[fail[i]]
-            for k, j in children[i]:
-                fail[j] = go[fail[i], k] if i else 0
-                go[i, k] = j
-            logp[i] = np.log10(retained[c]) if c in retained else logp[fail[i]]
-        self.go, self.logp, self.retained, self.classes = go.ravel(), logp.ravel(), len(retained), classes.astype(np.int32)
-        self.depth = max(map(len, states))
-        # bytes of the longest retained suffix of each state
-        self.held = np.zeros(len(states), np.uint8)
-        for i, c in enumerate(states):
-            self.held[i] = len(c) if c in retained else self.held[fail[i]]
-        state = 0
-        for _ in range(self.depth + 1):
-            state = int(go[state, classes[START]])
-        self.start = state
-
-    SEGMENT = 1024
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text. Long texts are cut into segments that run side by side; a segment first reads the
-        `depth` symbols before it, which fix its state."""
-        logp, _ = self.each(texts)
-        return np.array([float(x.sum(dtype=np.float64)) for x in np.split(logp, np.cumsum([len(t) for t in texts])[:-1])]) if texts else np.zeros(0)
-
-    def each(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For every symbol of the texts, one after another: its log10, and the bytes of the retained context that gives it."""
-        depth, size = self.depth, self.SEGMENT
-        of: list[int] = []
-        parts: list[bytes] = []
-        warm: list[int] = []
-        for i, t in enumerate(texts):
-            for a in range(0, len(t), size):
-                of.append(i)
-                parts.append(t[max(0, a - depth) : a + size])
-                warm.append(min(a, depth))
-        length = np.array([len(p) for p in parts])
-        order = np.argsort(-length, kind="stable")
-        length, warm_ = length[order], np.array(warm)[order]
-        flat = self.classes[np.frombuffer(b"".join(parts[i] for i in order.tolist()), np.uint8)]
-        at = np.r_[0, np.cumsum(length)[:-1]]
-        state = np.where(warm_ == 0, self.start, 0).astype(np.int32)
-        logp, held = np.empty(len(flat), np.float32), np.empty(len(flat), np.uint8)
-        live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")  # parts longer than t
-        for t, k in enumerate(live.tolist()):
-            here = at[:k] + t
-            i = state[:k] * self.width + flat[here]
-            logp[here], held[here] = self.logp[i], self.held[state[:k]]
-            state[:k] = self.go[i]
-        # in the order of segments, without what they read before
-        start = np.empty(len(parts), np.int64)
-        start[order] = at + warm_
-        n = np.array([len(p) for p in parts], np.int64) - np.array(warm, np.int64)
-        pick = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-        return logp[pick], held[pick]
-
-
-#: Words whose counts every worker holds (12 bytes each); those of all other words are joined.
-HEAD_WORDS = 500_000
-#: Retained contexts that every worker holds (about 700 bytes each); symbols that follow others are joined with the table of all.
-HEAD_CONTEXTS = 100_000
-#: Distinct words that a task counts before it passes them on.
-COUNTED_WORDS = 250_000
-#: The end of a text as a word: no word has a line feed.
-END_WORD = b"\n"
-WORD, GRAM = 0, 1
-
-
-def _counts(train: DataFrame, config: TreeConfig) -> DataFrame:
-    """kind, key, count: sums over all training texts of words (by hash) and grams."""
-    schema = StructType([StructField("kind", LongType()), StructField("key", LongType()), StructField("count", LongType())])
-
-    def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(keys), 100_000):
-            k = signed(keys[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int64)), pa.array(k), pa.array(counts[i : i + 100_000].astype(np.int64))], names=schema.names)
-
-    def words_out(words: Counter) -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        yield from out(WORD, keys, np.fromiter(words.values(), np.int64, len(words)))
-        words.clear()
+    """depth: words of the longest context. least: occurrences from which on a context has a next word of its own. divergence: a context is
+    retained, with its suffixes, if its count times the divergence (in nats) of its distribution from that of the next shorter
+    context reaches it, however rare it is."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams = Counter(), GramCounts()
-        for b in batches:
-            for data in b.column("text").to_pylist():
-                w, symbols = normalised(data)
-                words.update(w)
-                words[END_WORD] += 1
-                grams.add(gram_codes(symbols, config.depth))
-            if len(words) > COUNTED_WORDS:
-                yield from words_out(words)
-        yield from words_out(words)
-        yield from out(GRAM, *grams.merged())
-
-    return train.mapInArrow(run, schema).groupBy("kind", "key").agg(F.sum("count").alias("count"))
-
-
-def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """For each context length, key (a context and the next symbol) and count."""
-    levels = [grams]
-    for n in range(depth - 1, -1, -1):
-        shorter = levels[0].groupBy(F.col("key").bitwiseAND((1 << (8 * (n + 1))) - 1).alias("key")).agg(F.sum("count").alias("count"))
-        levels.insert(0, materialize(shorter, "lm-grams", levels[0].count()))
-    return levels
-
-
-def _contexts(levels: list[DataFrame], root: DataFrame, config: TreeConfig) -> dict[int, DataFrame]:
-    """The retained contexts of each length, all of them: context, n (symbols seen to follow) and x (the count of each). Nothing of
-    this is on the driver."""
-    w = Window.partitionBy("context")
-    above, own = root, {}
-    for n in range(1, config.depth + 1):
-        g = levels[n].select("key", "count", F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND((1 << (8 * n)) - 1).alias("below"))
-        g = g.join(above.select(F.col("key").alias("below"), F.col("p").alias("q")), "below")
-        g = g.withColumn("n", F.sum("count").over(w)).withColumn("d", F.count("*").over(w))
-        g = g.withColumn("gain", F.sum(F.col("count") * F.ln(F.col("count") / F.col("n") / F.col("q"))).over(w))
-        above = own[n] = materialize(g.select("key", "count", "context", "gain", "n", ((F.col("count") + F.col("d") * F.col("q")) / (F.col("n") + F.col("d"))).alias("p")), "lm-gains", levels[n].count())
-    out: dict[int, DataFrame] = {}
-    longer = None
-    for n in range(config.depth, 0, -1):
-        kept = own[n].where(F.col("gain") >= config.divergence).select("context")
-        if longer is not None:  # with all their suffixes
-            kept = kept.unionByName(longer.select(F.col("context").bitwiseAND((1 << (8 * n)) - 1).alias("context")))
-        seen = own[n].join(kept.distinct(), "context", "left_semi")
-        entry = F.struct(F.col("key").bitwiseAND(255).cast("int").alias("s"), F.col("count").alias("c"))
-        longer = out[n] = materialize(seen.groupBy("context").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(entry)).alias("x")), "lm-contexts")
+    depth: int = 3
+    least: int = 2
+    divergence: float = 12.0
+
+
+def _as_long(x: np.uint64) -> int:
+    return int(x.view(np.int64))
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a gram, from those of the grams without its last and without its first word."""
+    return mix(a * np.uint64(0xD1B54A32D192ED03) + b)
+
+
+def sequence(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """START, words and END of each text, one text after another, and the place of each in its text."""
+    total = counts + 2
+    begin = np.r_[0, np.cumsum(total)[:-1]].astype(np.int64)
+    place = np.arange(int(total.sum())) - np.repeat(begin, total)
+    s = np.empty(len(place), np.uint64)
+    s[begin], s[begin + total - 1] = START, END
+    s[(place > 0) & (place < np.repeat(total - 1, total))] = hashes
+    return s, place
+
+
+def grams(s: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each number of words before it, up to n, the hash of every symbol with them; without meaning where a text has fewer."""
+    out = [s]
+    for _ in range(n):
+        longer = out[-1].copy()
+        longer[1:] = join(out[-1][:-1], out[-1][1:])
+        out.append(longer)
     return out
 
 
-def _head(contexts: dict[int, DataFrame], symbols: dict[int, int], config: TreeConfig, most: int) -> SuffixTree:
-    """The tree of the most frequent contexts, `most` at most."""
-    total = sum(symbols.values())
-    level = F.floor(F.log2("n") * 8)
-    many = Counter()
-    for c in contexts.values():
-        many.update(dict(c.where(F.col("n") >= config.least_share * total).groupBy(level).count().collect()))
-    least, held = math.inf, 0
-    for at in sorted(many, reverse=True):
-        if (held := held + many[at]) > most:
+class Sums:
+    """Pairs of hashes and how often they occur; given out, each once, when many are held."""
+
+    def __init__(self, kind: int):
+        self.kind, self.a, self.b, self.size = kind, [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.a.append(a)
+        self.b.append(b)
+        self.size += len(a)
+        if self.size >= HELD:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            a, b = np.concatenate(self.a), np.concatenate(self.b)
+            key = join(a, b)
+            order = np.argsort(key)
+            starts = run_starts(key[order])
+            first, n = order[starts], np.diff(np.r_[starts, len(key)])
+            for i in range(0, len(first), 100_000):
+                at = first[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), self.kind, np.int32)), pa.array(signed(a[at])), pa.array(signed(b[at])), pa.array(n[i : i + 100_000])], names=["kind", "a", "b", "n"])
+        self.a, self.b, self.size = [], [], 0
+
+
+def _counts(train: DataFrame, level: int, least: int, seen=None, branching=None) -> DataFrame:
+    """kind, a, b, n, g: how often word b follows context a of `level` words. b is the gram of the last `level` symbols, g that with all.
+    Only next words seen `least` times are given. With level 1 also, as kind 0, all words.
+
+    seen and branching: filters of grams of the level before, those that are seen `least` times, and those in contexts that
+    longer ones may diverge from. No other pair can matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, words, pairs = Powers(), Sums(0), Sums(level)
+        for batch in batches:
+            for hashes, counts in word_runs(batch.column("text"), powers):
+                s, place = sequence(hashes, counts)
+                if level == 1:
+                    w = s[place > 0]
+                    yield from words.add(w, np.zeros(len(w), np.uint64))
+                g = grams(s, level - 1)[-1]
+                at = np.flatnonzero(place >= level)
+                a, b = g[at - 1], g[at]
+                if level > 1:
+                    ok = word_may_hold(branching.value, b)
+                    a, b = a[ok], b[ok]
+                    ok = word_may_hold(seen.value, a)
+                    a, b = a[ok], b[ok]
+                yield from pairs.add(a, b)
+        yield from words.out()
+        yield from pairs.out()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b = (x.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+            g = np.where(x.column("kind").to_numpy() == 0, a, join(a, b))
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(signed(g))], names=["kind", "a", "b", "n", "g"])
+
+    sums = train.mapInArrow(run, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return materialize(sums.where((F.col("kind") == 0) | (F.col("n") >= least)).mapInArrow(name, "kind int, a long, b long, n long, g long"), "lm-counts")
+
+
+@dataclass
+class Level:
+    """pairs: context, suffix (of the gram), g, x (how often). stats: context, n (how often), r and z (the next shorter context counts for r of z
+    symbols), gain. probs: g, n, p, branching."""
+
+    pairs: DataFrame
+    stats: DataFrame
+    probs: DataFrame
+
+
+def _levels(train: DataFrame, config: TreeConfig) -> tuple[DataFrame, int, int, list[Level]]:
+    """The words with their counts, how many words there are in all and how many different ones, and the levels of contexts."""
+    counts = _counts(train, 1, config.least)
+    words = counts.where("kind = 0").select(F.col("g").alias("key"), "n")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends = words.where(F.col("key") == F.lit(_as_long(END))).select(F.lit(_as_long(START)).alias("g"), "n", F.lit(None).cast("double").alias("p"))
+    above = words.select(F.col("key").alias("g"), "n", ((F.col("n") + 1) / (n + v + 1)).alias("p")).unionByName(ends)
+    levels: list[Level] = []
+    for k in range(1, config.depth + 1):
+        if k > 1:
+            rows, branching = above.agg(F.count("*"), F.coalesce(F.sum(F.col("branching").cast("int")), F.lit(0))).first()
+            counts = _counts(train, k, config.least, word_filter(above.select("g"), rows), word_filter(above.where("branching").select("g"), branching))
+        pairs = counts.where(F.col("kind") == k).select(F.col("a").alias("context"), F.col("b").alias("suffix"), "g", F.col("n").alias("x"))
+        given = pairs.join(above.select(F.col("g").alias("suffix"), F.col("p").alias("q")), "suffix").select("context", "g", "x", "q")
+        sums = given.groupBy("context").agg(F.sum("x").alias("s"), F.count("*").alias("d"), F.sum("q").alias("q"), F.sum(F.col("x") * F.ln(F.col("x") / F.col("q"))).alias("e"))
+        stats = sums.join(above.select(F.col("g").alias("context"), "n"), "context")
+        # what follows too rarely to be known is one symbol; the least that the shorter context can give it
+        rest, other = F.col("n") - F.col("s"), F.greatest(1 - F.col("q"), F.lit(1 / (n + v + 1)))
+        gain = F.col("e") - F.col("s") * F.ln("n") + F.when(rest > 0, rest * F.ln(rest / (F.col("n") * other))).otherwise(0.0)
+        r, z = rest + F.col("d"), F.col("n") + F.col("d")
+        # no longer context can diverge more than by all of its symbols being the least likely one
+        most = F.col("n") * F.ln(z / F.least(F.lit(float(config.least)), r * other))
+        stats = materialize(stats.select("context", "n", r.alias("r"), z.alias("z"), gain.alias("gain"), (most >= config.divergence).alias("branching")), "lm-contexts")
+        probs = given.join(stats.select("context", "r", "z", "branching"), "context").select("g", F.col("x").alias("n"), ((F.col("x") + F.col("r") * F.col("q")) / F.col("z")).alias("p"), "branching", "context")
+        above = materialize(probs, "lm-next")
+        levels.append(Level(pairs, stats, above))
+    return words, n, v, levels
+
+
+def _model(levels: list[Level], config: TreeConfig) -> DataFrame:
+    """kind, key, n, v of all retained contexts (kind 0: log10 of what the next shorter one counts for) and of their next words (kind 1:
+    log10 of the probability). n is the context's count."""
+    out, longer = None, None
+    for k in range(len(levels), 0, -1):
+        level = levels[k - 1]
+        kept = level.stats.where(F.col("gain") >= config.divergence).select("context")
+        if longer is not None:  # with all their suffixes
+            kept = kept.unionByName(longer.join(level.pairs, longer["context"] == level.pairs["g"]).select(F.col("suffix").alias("context")))
+        longer = materialize(level.stats.join(kept.distinct(), "context", "left_semi"), "lm-retained")
+        contexts = longer.select(F.lit(0).alias("kind"), F.col("context").alias("key"), "n", F.log10(F.col("r") / F.col("z")).alias("v"))
+        words = level.probs.drop("n").join(longer.select("context", "n"), "context").select(F.lit(1).alias("kind"), F.col("g").alias("key"), "n", F.log10("p").alias("v"))
+        both = contexts.unionByName(words)
+        out = both if out is None else out.unionByName(both)
+    return materialize(out, "lm-model")
+
+
+def _least(counts: DataFrame, kinds: int, most: tuple[int, ...]) -> float:
+    """The lowest step, of eighths of a power of two, from which on there are no more rows than `most` of any kind; found without a sort."""
+    held, least = [0] * kinds, math.inf
+    for step, *many in sorted(counts.collect(), reverse=True):
+        held = [h + m for h, m in zip(held, many, strict=True)]
+        if any(h > m for h, m in zip(held, most, strict=True)):
             break
-        least = at
-    s = np.array(sorted(symbols), np.int64)
-    levels = {0: (np.zeros(len(s), np.int64), s, np.array([symbols[i] for i in s.tolist()], np.float64))}
-    for n, c in contexts.items():
-        c = c.where((level >= least) & (F.col("n") >= config.least_share * total)) if least < math.inf else c.limit(0)
-        rows = c.select("context", F.explode("x").alias("s", "c")).toArrow()
-        context, s, count = (rows.column(c).to_numpy() for c in ("context", "s", "c"))
-        order = np.lexsort((s, context))
-        levels[n] = context[order], s[order], count[order].astype(np.float64)
-    return build_tree(levels, replace(config, divergence=-math.inf))
-
-
-def _context_hash(context: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    return mix(context.astype(np.uint64) * np.uint64(8) + np.asarray(n).astype(np.uint64))
-
-
-def _tail_filter(contexts: dict[int, DataFrame], tree: SuffixTree):
-    """A broadcast filter of the contexts that the tree lacks."""
-    lacks = None
-    retained = tree.contexts
-    for n, c in contexts.items():
-        shared = c.sparkSession.sparkContext.broadcast(np.array(sorted(x for m, x in retained if m == n), np.int64))
-
-        def run(batches: Iterator[pa.RecordBatch], n=n, shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = b.column("context").to_numpy()
-                x = x[~np.isin(x, shared.value)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(_context_hash(x, n)))], names=["h"])
-
-        own = c.select("context").mapInArrow(run, "h long")
-        lacks = own if lacks is None else lacks.unionByName(own)
-    return key_filter(materialize(lacks, "lm-tail"), lambda wide: [F.shiftrightunsigned("h", 18 * j).bitwiseAND(wide - 1) for j in range(3)])
-
-
-def _gram_scores(grams: DataFrame, contexts: dict[int, DataFrame], root: DataFrame, unseen: float) -> DataFrame:
-    """key, lp: log10 of the probability of each gram's symbol by its longest retained context."""
-    d = grams.withColumn("s", F.col("key").bitwiseAND(255)).join(F.broadcast(root.select(F.col("key").alias("s"), "p")), "s", "left")
-    d = d.select("key", F.col("s").cast("int").alias("s"), F.coalesce("p", F.lit(unseen)).alias("p"))
-    for n, c in sorted(contexts.items()):
-        d = d.withColumn("context", F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * n)) - 1)).join(c, "context", "left")
-        p = (F.coalesce(F.try_element_at("x", F.col("s")), F.lit(0)) + F.size("x") * F.col("p")) / (F.col("n") + F.size("x"))
-        d = d.select("key", "s", F.when(F.col("n").isNull(), F.col("p")).otherwise(p).alias("p"))
-    return d.select("key", F.log10("p").alias("lp"))
-
-
-def score_texts(docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: str = "text", config: TreeConfig = TreeConfig(), head_words: int = HEAD_WORDS, head_contexts: int = HEAD_CONTEXTS) -> DataFrame:
+        least = step
+    return least
+
+
+def _arrays(df: DataFrame, *cols: str) -> tuple[np.ndarray, ...]:
+    found = df.select(*cols).toArrow().sort_by(cols[0])
+    return tuple(found.column(c).to_numpy() for c in cols)
+
+
+class Lookup:
+    """Places of 64-bit hashes in a table of them, by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys.view(np.uint64))
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Where each is, or -1."""
+        out = np.full(len(q), -1)
+        part = (q >> self.shift).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            hit = self.keys[at[todo]] == q[todo]
+            out[todo[hit]] = at[todo[hit]]
+            at[todo] += 1
+            todo = todo[~hit]
+            todo = todo[at[todo] < end[todo]]
+        return out
+
+
+class Head:
+    """The frequent part of the tree: contexts, their next words, and single words with log10 of one more than their counts."""
+
+    def __init__(self, contexts: tuple[np.ndarray, np.ndarray], following: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray], depth: int):
+        self.depth = depth
+        self.tables = []
+        for keys, values in (contexts, following, words):
+            order = np.argsort(keys.view(np.uint64))
+            self.tables.append((Lookup(keys), values[order].astype(np.float64)))
+
+    def walk(self, s: np.ndarray, place: np.ndarray, less: float, tail: np.ndarray):
+        """For every symbol but starts: its place in s; the place among words, or -1; log10 of the probability by the longest retained
+        context of the head; whether that is by the word alone, and a list of (symbols, contexts, grams) of the contexts beyond,
+        which the tail may retain, shorter ones first."""
+        (contexts, weight), (following, p), (words, logs) = self.tables
+        at = np.flatnonzero(place > 0)
+        w = words.find(s[at])
+        v = np.where(w >= 0, logs[w], 0.0) - less if len(logs) else np.full(len(at), -less)
+        alone = np.ones(len(at), bool)
+        all_ = grams(s, self.depth)
+        live, beyond, waiting = np.arange(len(at)), [], np.empty(0, np.int64)
+        for k in range(1, self.depth + 1):
+            waiting = waiting[place[at[waiting]] >= k]
+            live = live[place[at[live]] >= k]
+            c = contexts.find(all_[k - 1][at[live] - 1])
+            out = live[c < 0]
+            live, c = live[c >= 0], c[c >= 0]
+            e = following.find(all_[k][at[live]])
+            if len(weight):
+                v[live] = np.where(e >= 0, p[e], v[live] + weight[c]) if len(p) else v[live] + weight[c]
+                alone[live[e >= 0]] = False
+            waiting = np.r_[waiting, out]
+            waiting = waiting[word_may_hold(tail, all_[k - 1][at[waiting] - 1])]
+            if len(waiting):
+                beyond.append((waiting, all_[k - 1][at[waiting] - 1], all_[k][at[waiting]]))
+        return at, w, v, alone, beyond
+
+
+DOCUMENT, RARE, BEYOND = 0, 1, 2
+
+
+def score_texts(
+    docs: DataFrame, train_mask, id_col: str = "doc_id", text_col: str = "text", config: TreeConfig = TreeConfig(), head_words: int = HEAD_WORDS, head_contexts: int = HEAD_CONTEXTS, head_next: int = HEAD_NEXT
+) -> DataFrame:
     """Fit a tree and word counts to the texts that train_mask selects, and score all texts.
 
     Returns one row per input row: id_col, trained (the mask), n_tokens, n_known, train_tokens, base_score, score. The
     tokens are lower-cased words and one end. base_score is the log10 probability under add-one word counts, score that
-    under the tree, whose symbols are the bytes of the words with one blank between and an end.
+    under the tree, whose symbols are the tokens, with add-one word counts at its root.
 
-    All counts are sums over every training text, made in each task and then by shuffle. Contexts are retained if their
-    next-symbol distribution diverges from that of the next shorter context, however rare they are, so the table of them
-    grows with the corpus. The tree of the head_contexts most frequent ones is broadcast; a filter finds the symbols
-    that a context beyond it may give, and these are joined with the table. The counts of the head_words most frequent
-    words are broadcast too; those of all others, of which a growing corpus has ever more, are joined to the texts.
+    Contexts are runs of up to config.depth words. Level by level, how often each word follows each context is summed in
+    each task and then by shuffle. A context is retained if its distribution diverges from that of the next shorter one,
+    however rare it is, so the table of contexts grows with the corpus. Next words seen less than config.least times are
+    not told apart: they share what is left to the shorter context, as unseen ones do (Witten-Bell). Longer contexts are
+    counted only where a filter of bounded size has seen their parts; those that it lets through in vain are counted too,
+    and found too rare. The most frequent contexts, next words and words are broadcast; symbols in rarer contexts, found
+    by a filter, and rarer words are joined with the tables.
 
     * A null or empty text is one end. A null id hashes as empty text.
-    * Rows may repeat; each is counted and scored.
-    * If nothing is trained on, train_tokens is 0, and the tree takes all bytes for equally likely.
+    * Rows may repeat; each is counted and scored. Texts may be of any length.
+    * If nothing is trained on, train_tokens is 0, and both scores are 0 for all tokens: the probability of what is unknown is one.
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), train_mask.alias("trained"), text_bytes(text_col).alias("text"))
-    counts = materialize(_counts(source.where("trained").select("text"), config), "lm-counts")
-    words = counts.where(F.col("kind") == WORD).select("key", "count")
-    n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    # the lowest power of two's eighth root from which on there are no more than head_words words; found without a sort
-    level = F.floor(F.log2("count") * 8)
-    least, held = math.inf, 0
-    for at, many in sorted(words.groupBy(level).count().collect(), reverse=True):
-        if (held := held + many) > head_words:
-            break
-        least = at
-    head = words.where(level >= least).toArrow().sort_by("key") if least < math.inf else words.limit(0).toArrow()
-    levels = _levels(counts.where(F.col("kind") == GRAM).select("key", "count"), config.depth)
-    symbols = dict(levels[0].collect())
-    total = sum(symbols.values())
-    root = spark.createDataFrame([(k, (c + 1) / (total + SYMBOLS)) for k, c in symbols.items()], "key long, p double")
-    contexts = _contexts(levels, root, config)
-    tree = _head(contexts, symbols, config, head_contexts)
-    wide, tail_bits = _tail_filter(contexts, tree)
-    tree.contexts = []
-    shared = spark.sparkContext.broadcast((tree, head.column("key").to_numpy(), head.column("count").to_numpy()))
+    words, n, v, levels = _levels(source.where("trained").select("text"), config)
+    model = _model(levels, config)
+    step = F.floor(F.log2("n") * 8)
+    word_step = _least(words.groupBy(step.alias("step")).count(), 1, (head_words,))
+    least = _least(model.groupBy(step.alias("step")).agg(F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)), 2, (head_contexts, head_next))
+    within = lambda df, x: df.where(step >= x) if x < math.inf else df.limit(0)
+    head = Head(
+        *(_arrays(within(model.where(F.col("kind") == k), least), "key", "v") for k in (0, 1)),
+        _arrays(within(words, word_step).select("key", F.log10(F.col("n") + 1).alias("v")), "key", "v"),
+        config.depth,
+    )
+    rarer = model.where(step < least) if least < math.inf else model
+    contexts = rarer.where("kind = 0").select(F.col("key").alias("c"), F.col("v").alias("weight"))
+    following = rarer.where("kind = 1").select(F.col("key").alias("g"), F.col("v").alias("p"))
+    tail = word_filter(contexts.select("c"), contexts.count())
+    shared, less = spark.sparkContext.broadcast(head), math.log10(n + v + 1)
+    keys = ArrayType(LongType())
     schema = StructType(
-        [source.schema["id"], StructField("trained", BooleanType())]
-        + [StructField(c, LongType()) for c in ("n_tokens", "n_known")]
-        + [StructField(c, DoubleType()) for c in ("base", "score")]
-        + [StructField(c, ArrayType(LongType())) for c in ("rare", "times", "grams", "often")]
+        [StructField("kind", IntegerType()), StructField("row", LongType()), source.schema["id"], StructField("trained", BooleanType())]
+        + [StructField(c, t()) for c, t in (("n_tokens", LongType), ("n_known", LongType), ("base", DoubleType), ("score", DoubleType), ("key", LongType), ("times", LongType), ("alone", LongType))]
+        + [StructField("contexts", keys), StructField("grams", keys)]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, times = shared.value
-        logs, hashes = np.log10(times + 1.0), WordHashes()
-        masks = np.array([(1 << (8 * n)) - 1 for n in range(config.depth + 2)], np.uint64)
-        for b in batches:
-            rows: list[tuple] = []
-            symbols = []
-            for data in b.column("text").to_pylist():
-                w, s = normalised(data)
-                symbols.append(s)
-                w.append(END_WORD)
-                h, m = np.unique(signed(hashes.of(w)), return_counts=True)
-                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                rows.append((len(w), int(m[known].sum()), float((m[known] * logs[at[known]]).sum()), h[~known], m[~known]))
-            logp, held = tree.each(symbols)
-            codes = np.concatenate([gram_codes(s, config.depth) for s in symbols]) if symbols else np.empty(0, np.uint64)
-            # contexts come with their suffixes, so a longer one beyond the tree needs the next longer one to be beyond it
-            at = np.flatnonzero(held < config.depth)
-            n = held[at].astype(np.int64) + 1
-            h = _context_hash((codes[at] >> np.uint64(8)) & masks[n], n)
-            at = at[may_hold(tail_bits.value, *(((h >> np.uint64(18 * j)) & np.uint64(wide - 1)) for j in range(3)))]
-            logp = logp.astype(np.float64)
-            logp[at] = 0
-            scores = np.zeros(len(symbols))
-            cuts = np.r_[0, np.cumsum([len(s) for s in symbols])].astype(np.int64)
-            for r in range(len(symbols)):
-                scores[r] = logp[cuts[r] : cuts[r + 1]].sum()
-            found = np.searchsorted(at, cuts)
-            codes = signed(codes[at])
-            for r, row in enumerate(rows):
-                rows[r] = row + np.unique(codes[found[r] : found[r + 1]], return_counts=True)
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("trained"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(scores), *(pa.array(c, pa.list_(pa.int64())) for c in cols[3:])],
-                names=schema.names,
-            )
-
-    scored = materialize(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    pairs = lambda key, times: scored.select("row", F.explode(F.arrays_zip(key, times)).alias("x")).select("row", F.col(f"x.{key}").alias("key"), F.col(f"x.{times}").alias("times"))
-    rare, grams = pairs("rare", "times"), pairs("grams", "often")
-    lp = materialize(_gram_scores(grams.select("key").distinct(), contexts, root, 1 / (total + SYMBOLS)), "lm-gram-scores")
-    more = rare.join(words.where(level < least) if least < math.inf else words, "key").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("count") + 1)).alias("more"), F.lit(0.0).alias("deep"))
-    deep = grams.join(lp, "key").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("more"), (F.col("times") * F.col("lp")).alias("deep"))
-    tail = more.unionByName(deep).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "more", "deep")])
-    return scored.drop("rare", "times", "grams", "often").join(tail, "row", "left").select(
+        powers, head = Powers(), shared.value
+        for batch in batches:
+            types = {f.name: f.type for f in batch.schema} | dict(n_tokens=pa.int64(), n_known=pa.int64(), base=pa.float64(), score=pa.float64(), key=pa.int64(), times=pa.int64(), alone=pa.int64(), contexts=pa.list_(pa.int64()), grams=pa.list_(pa.int64()))
+
+            def out(kind: int, size: int, **cols) -> pa.RecordBatch:
+                cols = {"kind": pa.array(np.full(size, kind, np.int32))} | {c: x if isinstance(x, pa.Array) else pa.array(x, types[c]) for c, x in cols.items()}
+                return pa.RecordBatch.from_arrays([cols[f] if f in cols else pa.nulls(size, types[f]) for f in schema.names], names=schema.names)
+
+            a = 0
+            for hashes, counts in word_runs(batch.column("text"), powers):
+                s, place = sequence(hashes, counts)
+                own = batch.slice(a, len(counts))
+                a += len(counts)
+                text = np.repeat(np.arange(len(counts)), counts + 1)  # of every symbol but the starts
+                at, w, logp, alone, beyond = head.walk(s, place, less, tail.value)
+                sums = lambda x: np.bincount(text, x, len(counts))
+                logs = head.tables[2][1]
+                base = np.where(w >= 0, logs[w], 0.0) if len(logs) else np.zeros(len(w))
+                late = np.zeros(len(at), bool)
+                if beyond:
+                    late[np.concatenate([x for x, _, _ in beyond])] = True
+                yield out(DOCUMENT, len(counts), row=own.column("row"), id=own.column("id"), trained=own.column("trained"), n_tokens=counts + 1, n_known=sums(w >= 0).astype(np.int64), base=sums(base), score=sums(np.where(late, 0.0, logp)))
+                rows = own.column("row").to_numpy()[text]
+                rare = np.flatnonzero(w < 0)
+                if len(rare):
+                    order = rare[np.lexsort((s[at[rare]], text[rare]))]
+                    word = s[at[order]]
+                    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[order[1:]] != text[order[:-1]])])
+                    yield out(RARE, len(first), row=rows[order[first]], key=signed(word[first]), times=np.diff(np.r_[first, len(order)]), alone=np.add.reduceat((alone & ~late)[order].astype(np.int64), first))
+                if beyond:
+                    i, c, g = (np.concatenate([x[j] for x in beyond]) for j in range(3))
+                    order = np.argsort(i, kind="stable")
+                    first = run_starts(i[order])
+                    i, cuts = i[order[first]], pa.array(np.r_[first, len(order)], pa.int32())
+                    lists = {c_: pa.ListArray.from_arrays(cuts, pa.array(signed(x[order]))) for c_, x in (("contexts", c), ("grams", g))}
+                    yield out(BEYOND, len(i), row=rows[i], score=logp[i], key=pa.array(signed(s[at[i]]), mask=(w[i] >= 0) | ~alone[i]), times=i, **lists)
+
+    scored = materialize(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema), "lm-scored")
+    # of symbols beyond the head: next words and weights of all contexts, shorter ones first
+    each = scored.where(F.col("kind") == BEYOND).select("row", "times", "score", "key", F.posexplode(F.arrays_zip("contexts", "grams")).alias("i", "x")).select("row", "times", "score", "key", "i", F.col("x.contexts").alias("c"), F.col("x.grams").alias("g"))
+    each = each.join(contexts, "c", "left").join(following, "g", "left")
+    chain = each.groupBy("row", "times").agg(F.first("score").alias("score"), F.first("key").alias("key"), F.max("p").alias("found"), F.array_sort(F.collect_list(F.struct("i", "p", "weight"))).alias("chain"))
+    late = chain.select("row", F.when(F.col("found").isNull(), F.col("key")).alias("key"), F.aggregate("chain", F.col("score"), lambda a, x: F.coalesce(x["p"], a + F.coalesce(x["weight"], F.lit(0.0)))).alias("late"))
+    late = materialize(late, "lm-late")
+    rare = scored.where(F.col("kind") == RARE).select("row", "key", "times", "alone").unionByName(late.where("key is not null").select("row", "key", F.lit(0).cast("long").alias("times"), F.lit(1).cast("long").alias("alone")))
+    log = F.log10(F.col("n") + 1)
+    more = rare.join(words.where(step < word_step) if word_step < math.inf else words, "key").select("row", F.col("times").alias("known"), (F.col("times") * log).alias("base_more"), (F.col("alone") * log).alias("score_more"))
+    more = more.unionByName(late.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base_more"), F.col("late").alias("score_more")))
+    more = more.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base_more").alias("base_more"), F.sum("score_more").alias("score_more"))
+    return scored.where(F.col("kind") == DOCUMENT).select("row", "id", "trained", "n_tokens", "n_known", "base", "score").join(more, "row", "left").select(
         F.col("id").alias(id_col),
         "trained",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * less).alias("base_score"),
+        (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"),
     )
 
 
