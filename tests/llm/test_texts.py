@@ -56,6 +56,7 @@ def test_url_rules(spark):
     assert got[5] == ("x.net", "/example.org/es/", None, "allow") and got[6] == ("example.org", "", None, "allow")
     assert got[7] == ("", "", None, "allow") == got[8] == got[9] and got[10] == ("example.org", "", None, "allow") and got[11][2] == "org/"
     assert filter_urls(df.limit(0), RULES).count() == 0 and filter_urls(df, [], "block").where("verdict = 'block'").count() == len(urls)
+    assert [r["rule"] for r in filter_urls(spark.createDataFrame([("http://a.com/xZy",), ("http://a.com/x?y",), ("http://a.com/x*y/1",), ("http://a.com/xy/",), ("http://a.com/x\\\\y",)], "url string"), [Rule.of("a.com", p, "block") for p in ("/x?y", "/x*y", "/x\\\\y")]).collect()] == [None, None, "a.com/x*y", None, "a.com/x\\\\y"]
     many = [Rule.of(f"h{i}.net", f"/p{i}/", "block") for i in range(100)]
     assert filter_urls(spark.createDataFrame([("http://h77.net/p77/x",)], "url string"), many).first()["rule"] == "h77.net/p77/"
 

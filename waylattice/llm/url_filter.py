@@ -19,7 +19,8 @@ LONG = 4096
 
 @dataclass(frozen=True)
 class Rule:
-    """What a glob over `.` + host + path does. `*` is any run without a slash, `**` any run, `?` a character but a slash."""
+    """What a glob over `.` + host + path does. `*` is any run without a slash, `**` any run, `?` a character but a slash;
+    a character after a backslash is itself."""
 
     name: str
     glob: str
@@ -28,7 +29,26 @@ class Rule:
     @staticmethod
     def of(host: str, path: str, verdict: str) -> Rule:
         """A host with all its subdomains, and all paths that begin with path. No character of them is a wildcard."""
-        return Rule(host + path, f"*.{host.replace('*', '')}{path.replace('*', '')}**", verdict)
+        plain = "".join("\\" + c if c in "*?\\" else c for c in host + path)
+        return Rule(host + path, f"*.{plain}**", verdict)
+
+
+def parts_of(glob: str) -> list[tuple[str, str]]:
+    """Kind and text of each part of a glob: stars, a question mark, or a character that stands for itself."""
+    out, i = [], 0
+    while i < len(glob):
+        if glob[i] == "*":
+            run = len(glob[i:]) - len(glob[i:].lstrip("*"))
+            out.append(("stars", glob[i : i + run]))
+            i += run
+        elif glob[i] == "?":
+            out.append(("one", "?"))
+            i += 1
+        else:
+            i += glob[i] == "\\" and i + 1 < len(glob)
+            out.append(("itself", glob[i]))
+            i += 1
+    return out
 
 
 class Automaton:
@@ -37,7 +57,8 @@ class Automaton:
     lowest final state that is reached."""
 
     def __init__(self, globs: list[str]):
-        letters = sorted({c for g in globs for c in g if c not in "*?"} | {"/"})
+        parts = [parts_of(g) for g in globs]
+        letters = sorted({c for g in parts for kind, c in g if kind == "itself"} | {"/"})
         self.letters = np.array([ord(c) for c in letters], np.uint32)
         number = {c: i + 1 for i, c in enumerate(letters)}  # 0: any other character
         slash, classes = number["/"], len(letters) + 1
@@ -45,20 +66,16 @@ class Automaton:
         stay: list[set[int]] = []
         starts, finals = [], []
         anything = set(range(classes))
-        for g in globs:
+        for g in parts:
             starts.append(len(step))
             step.append(set())
             stay.append(set())
-            i = 0
-            while i < len(g):
-                if g[i] == "*":
-                    run = len(g[i:]) - len(g[i:].lstrip("*"))
-                    stay[-1] |= anything if run > 1 else anything - {slash}
-                    i += run
+            for kind, text in g:
+                if kind == "stars":
+                    stay[-1] |= anything if len(text) > 1 else anything - {slash}
                     continue
-                step.append(anything - {slash} if g[i] == "?" else {number[g[i]]})
+                step.append(anything - {slash} if kind == "one" else {number[text]})
                 stay.append(set())
-                i += 1
             finals.append(len(step) - 1)
         self.words = max(1, -(-len(step) // 64))
         pack = lambda states: sum(1 << s for s in states)
