@@ -242,3 +242,29 @@ def test_one_row_of_each_component_stays_without_ids(spark):
     nameless = [(None, long), (None, near), (None, long), (None, "alone in the world of texts")]
     kept = jj.keep_one_of_each(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
     assert len(kept) == 2 and (None, "alone in the world of texts") in map(tuple, kept)
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["doc_id", "text", "text_sha", "verdict", "verdict_id", "verdict_sha", "set", "kept_id", "kept_set", "text_sha_", "verdict_"]
+    df = spark.createDataFrame([(1, "a  b", *"mine45678"), (2, "a b", *"other4567"), (3, "c", *"123456789")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    for keep in (keep_first, jj.keep_one_of_each):
+        assert sorted(map(tuple, keep(df).collect())) == [(1, "a  b", *"mine45678"), (3, "c", *"123456789")]
+
+
+def test_blocks_hold_what_they_may():
+    from waylattice.llm.decontaminate import Block, pack
+
+    assert pack({3: 5, 1: 4, 2: 6, 9: 30, 10: 1}, 10) == [[1, 2], [3], [9], [10]]
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(5_000)]
+    items = [(str(i), " ".join(rng.choices(words, k=500)).encode()) for i in range(400)]
+    block = Block(items)
+    held = sum(x.nbytes for x in (block.starts, block.ends, block.fingerprints, *(y for w in block.windows.values() for y in w))) + len(block.text)
+    assert held < 55 * 200_000  # bytes for each word
+
+
+def test_repeated_benchmark_items_are_one(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "x " + item), (2, "y")], "doc_id long, text string")
+    found = contamination(find_spans(docs, spark.createDataFrame([(5, item)] * 50 + [(6, item)], "item_id long, text string"), block_words=100))
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found.collect()} == {1: (40, ["5", "6"]), 2: (0, [])}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, native_filter, table
+from .common import SPACE, free_names, materialize, native_filter, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,19 +48,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that exact_dedup keeps; of rows that repeat id and text, one."""
+    """The rows of docs, with all columns, that exact_dedup keeps; of rows that repeat id and text, one. Columns may have any
+    names."""
     found = exact_dedup(docs, id_col, text_col)
     key = lambda id_, sha: F.xxhash64(id_, sha)
     several = found.where("group_size > 1").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept")
     several = materialize(several.groupBy("id", "sha").agg(F.max("kept").alias("kept")), "dedup-verdicts")
     in_group = native_filter(several.select(key("id", "sha").alias("key")), several.count())
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), 256)
-    rows = docs.withColumn("text_sha_", sha)
+    own, other_id, other_sha, verdict = free_names(docs, "text_sha", "verdict_id", "verdict_sha", "verdict")
+    rows = docs.withColumn(own, sha)
     # most rows have no copy, and stay where they are
-    single = rows.where(~in_group(key(F.col(id_col), F.col("text_sha_"))))
-    verdict = several.toDF("verdict_id_", "verdict_sha_", "verdict_")
-    judged = rows.where(in_group(key(F.col(id_col), F.col("text_sha_")))).join(verdict, F.col(id_col).eqNullSafe(F.col("verdict_id_")) & (F.col("text_sha_") == F.col("verdict_sha_")), "left")
-    judged = judged.where("verdict_ is null or verdict_").dropDuplicates([id_col, "text_sha_"])
+    single = rows.where(~in_group(key(F.col(id_col), F.col(own))))
+    judged = rows.where(in_group(key(F.col(id_col), F.col(own)))).join(several.toDF(other_id, other_sha, verdict), F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_sha)), "left")
+    judged = judged.where(F.col(verdict).isNull() | F.col(verdict)).dropDuplicates([id_col, own])
     return single.select(*docs.columns).unionByName(judged.select(*docs.columns))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, native_filter, signed, small_batches, table, text_bytes
+from .common import WordHashes, free_names, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, native_filter, signed, small_batches, table, text_bytes
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -327,18 +327,19 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped = judged.where("not stays or times > 1").select("id").distinct()
     may_go = native_filter(dropped.select(F.xxhash64("id").alias("key")), dropped.count())(F.xxhash64(id_col))
     # most rows have no id of a dropped one, and stay where they are; of the others the text says which row it is
-    schema = StructType([*docs.schema.fields, StructField("k_", BinaryType()), StructField("words_", BooleanType())])
+    own, other_id, other_set = free_names(docs, "set", "kept_id", "kept_set")
+    schema = StructType([*docs.schema.fields, StructField(own, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             keys = [set_key(shingles(x if isinstance(x, bytes) else (x or "").encode(), hashes)) for x in b.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array([k is not None for k in keys], pa.bool_())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=schema.names)
 
     asked = docs.where(may_go).mapInArrow(run, schema)
-    kept = judged.where("stays").select(F.col("id").alias("id_"), F.col("k").alias("set_"))
-    one = asked.where("words_").join(kept, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("set_")), "left_semi").dropDuplicates([id_col, "k_"])
-    return docs.where(~may_go).unionByName(asked.where("not words_").unionByName(one).select(*docs.columns))
+    kept = judged.where("stays").select(F.col("id").alias(other_id), F.col("k").alias(other_set))
+    one = asked.where(F.col(own).isNotNull()).join(kept, F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_set)), "left_semi").dropDuplicates([id_col, own])
+    return docs.where(~may_go).unionByName(asked.where(F.col(own).isNull()).unionByName(one).select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
