@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import crc_mod, materialize, small_batches, table, text_bytes
+from .common import crc_mod, materialize, native_filter, small_batches, table, text_bytes
 
 _LOWER = bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))
@@ -121,10 +121,16 @@ def statistics_table(docs: DataFrame, train_mask, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float32()))
+            x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("trained"), x], names=["id", "trained", "x"])
 
-    return materialize(source.mapInArrow(run, StructType([*kept, StructField("x", ArrayType(FloatType()))])), "quality-statistics")
+    return materialize(source.mapInArrow(run, StructType([*kept, StructField("x", ArrayType(DoubleType()))])), "quality-statistics")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that labels may have, and some others, by a filter of bounded size; nothing is shuffled. For a fit that needs no more."""
+    ids = labels.select(F.xxhash64(F.col(id_col).cast(docs.schema[id_col].dataType)).alias("key"))
+    return docs.where(native_filter(ids, ids.count())(F.xxhash64(id_col)))
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Discriminant | float:
