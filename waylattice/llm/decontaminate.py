@@ -41,25 +41,52 @@ def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 class Block:
-    """Fingerprints and windows of some benchmark items. Windows are compared word by word, so that no hash decides."""
+    """Fingerprints and windows of some benchmark items: some 40 bytes for each word. Windows are compared by their bytes, so that
+    no hash decides."""
 
     def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, gram: int = GRAM):
         self.span, self.gram = span, gram
         hashes = WordHashes()
-        fingerprints: list[np.ndarray] = []
-        self.windows: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = {}  # by length, hash and words
+        self.items: list[str] = []
+        texts, starts, lengths, fingerprints = [], [], [], []
+        found: dict[int, tuple[list, list]] = {}  # by length: hashes and first words of windows
+        at, n = 0, 0
         for item, data in items:
             if not (words := words_of(data)):
                 continue
             h, length = hashes.of(words), min(span, len(words))
-            by_hash = self.windows.setdefault(length, {})
-            for i, x in enumerate(gram_hashes(h, length).tolist()):
-                by_hash.setdefault(x, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
+            g = gram_hashes(h, length)
+            own = found.setdefault(length, ([], []))
+            own[0].append(g)
+            own[1].append(np.arange(n, n + len(g)))
             if length == span:
-                g = gram_hashes(h, gram)
-                fingerprints.append(g[winnowed(g, span - gram + 1)])
+                f = gram_hashes(h, gram)
+                fingerprints.append(f[winnowed(f, span - gram + 1)])
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            starts.append(at + np.r_[0, np.cumsum(size[:-1] + 1)])
+            lengths.append(size)
+            texts.append(b" ".join(words) + b" ")
+            at += len(texts[-1])
+            self.items.append(item)
+            n += len(words)
+        self.text = b"".join(texts)
+        self.starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        self.ends = self.starts + (np.concatenate(lengths) if lengths else 0)
+        self.first = np.cumsum([0, *map(len, lengths)])  # the first word of each item
         self.fingerprints = np.unique(np.concatenate(fingerprints)) if fingerprints else np.empty(0, np.uint64)
-        self.keys = {n: np.array(sorted(x), np.uint64) for n, x in self.windows.items()}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length, (g, i) in found.items():
+            g, i = np.concatenate(g), np.concatenate(i).astype(np.int32)
+            order = np.argsort(g, kind="stable")
+            self.windows[length] = g[order], i[order]
+
+    def items_with(self, length: int, hash_: int, words: list[bytes]) -> set[str]:
+        """The items that have these words as a window."""
+        keys, at = self.windows[length]
+        i = at[np.searchsorted(keys, hash_, "left") : np.searchsorted(keys, hash_, "right")]
+        text = b" ".join(words)
+        same = [w for w in i.tolist() if self.text[self.starts[w] : self.ends[w + length - 1]] == text]
+        return {self.items[x] for x in np.unique(np.searchsorted(self.first, same, "right") - 1).tolist()}
 
     @staticmethod
     def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -69,7 +96,7 @@ class Block:
         """Spans of words that some window covers, joined where they touch, and the items of these windows."""
         starts: list[tuple[int, int]] = []
         items: set[str] = set()
-        for length, keys in self.keys.items():
+        for length, (keys, _) in self.windows.items():
             if len(words) < length:
                 continue
             if length == self.span:
@@ -88,10 +115,15 @@ class Block:
                 grams = gram_hashes(h, length)
                 at = np.arange(len(grams))
             found = self.among(grams, keys)
-            for i, x in zip(at[found].tolist(), grams[found].tolist(), strict=True):
-                if of := self.windows[length][x].get(tuple(words[i : i + length])):
+            seen: dict[int, tuple[list[bytes], set[str]]] = {}  # windows that repeat in this text are looked up once
+            for i, x in zip(at[found].tolist(), grams[found], strict=True):
+                w = words[i : i + length]
+                known = seen.get(int(x))
+                if known is None or known[0] != w:
+                    known = seen[int(x)] = w, self.items_with(length, x, w)
+                if known[1]:
                     starts.append((i, i + length))
-                    items |= of
+                    items |= known[1]
         spans: list[tuple[int, int]] = []
         for s, e in sorted(starts):
             if spans and s <= spans[-1][1]:
@@ -111,6 +143,18 @@ JOINED = """aggregate(array_sort(spans), cast(array() as array<struct<start:int,
      concat(a, array(x))))"""
 
 
+def pack(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Parts put together, in order, as long as no more than `most` words come together."""
+    out, held = [], math.inf
+    for p in sorted(sizes):
+        if held + sizes[p] > most:
+            out.append([])
+            held = 0
+        out[-1].append(p)
+        held += sizes[p]
+    return out
+
+
 def find_spans(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -121,9 +165,9 @@ def find_spans(
 
     Winnowing keeps the smallest gram hash of every span - gram + 1 grams on both sides, so any shared span of `span`
     words shares a fingerprint. Fingerprints are joined in memory, and each hit is extended to all windows that hold it,
-    which are then compared word by word. The benchmark is cut into blocks of at most block_words words (and one item);
-    documents pass once by each block, so the memory of a worker is bounded whatever the benchmark's size. With one block,
-    the usual case, nothing is shuffled.
+    which are then compared word by word. Different items and texts of the benchmark are packed into blocks of block_words words;
+    a block holds more only where one item, or the items of one of many hash values, has more. Documents pass once by each
+    block, so the memory of a worker is bounded whatever the benchmark's size. With one block, the usual case, nothing is shuffled.
 
     * A null or empty text has no words and no spans; an item without words has no windows; a null item id is the empty string.
     * Rows may repeat in either table: each document row gets a row, and an item id counts once for a document.
@@ -132,10 +176,13 @@ def find_spans(
     spark = docs.sparkSession
     small_batches(spark)
     carry = tuple(c for c in carry if c not in ("n_words", "spans", "items"))
-    # no more words than every second byte
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("text"))
-    total = bench.agg(F.sum(F.ceil((F.length("text") + 1) / 2))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("text")).distinct()
+    most = F.ceil((F.length("text") + 1) / 2)  # no more words than every second byte
+    total = bench.agg(F.sum(most)).first()[0] or 0
+    parts = 1 if total <= block_words else 64 * math.ceil(total / block_words)
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    packed = pack(dict(bench.groupBy(part.alias("part")).agg(F.sum(most)).collect()), block_words) if parts > 1 else [[0]]
+    blocks = len(packed)
     source = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(carry)], text_bytes(text_col).alias("text_"))
     kept = source.schema.fields[:-1]
 
@@ -156,8 +203,8 @@ def find_spans(
         return run
 
     def load(k: int):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        return spark.sparkContext.broadcast(Block([(r[0], bytes(r[1])) for r in part.toLocalIterator()], span, gram))
+        own = bench if parts == 1 else bench.where(part.isin(packed[k]))
+        return spark.sparkContext.broadcast(Block([(r[0], bytes(r[1])) for r in own.toLocalIterator()], span, gram))
 
     names = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(carry)]
     if blocks == 1:
