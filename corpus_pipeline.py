@@ -9,12 +9,13 @@ from waylattice.llm.decontaminate import contamination, find_spans
 from waylattice.llm.exact_dedup import keep_first
 from waylattice.llm.jaccard_join import keep_one_of_each
 from waylattice.llm.mixing import mix_sources
-from waylattice.llm.quality import accepted, fit_quality, statistics_table
+from waylattice.llm.quality import accepted, fit_quality, labelled, statistics_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, fitted on the labelled ones among them, scores under 0.7."""
-    model = fit_quality(statistics_table(docs, crc_mod(4) != 2), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    model = fit_quality(statistics_table(labelled(docs, labels), crc_mod(4) != 2), labels)
     return accepted(docs, model)
 
 
@@ -30,13 +31,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth of the words or more lies in benchmark windows."""
-    rows = docs
-    for c in ("n_words", "spans", "items"):  # names of the operator's own
-        if c in docs.columns:
-            rows = rows.withColumnRenamed(c, f"{c}_of_document")
-    found = contamination(find_spans(rows, table(spark, sf_dir, "benchmark"), carry=tuple(rows.columns)))
-    found = found.where("not contaminated").select(*rows.columns)
-    return found.toDF(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the operator's own names may be among the columns
+    rows = docs.toDF(*names)
+    found = contamination(find_spans(rows, table(spark, sf_dir, "benchmark"), text_col=names[docs.columns.index("text")], carry=tuple(names)))
+    return found.where("not contaminated").select(*names).toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
