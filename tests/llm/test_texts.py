@@ -17,9 +17,10 @@ import corpus_pipeline
 from waylattice.llm import chat
 from waylattice.llm.common import Powers, crc_mod, word_runs
 from waylattice.llm.mixing import mix_sources, source_targets
-from waylattice.llm.quality import accepted, fit_quality, quality_scores, statistics_table
+from waylattice.llm.quality import accepted, fit_quality, quality_scores, statistics, statistics_table
+from waylattice.llm.quality import labelled as labelled_rows
 from waylattice.llm.suffix_tree import TreeConfig, score_texts
-from waylattice.llm.toxicity import Folding, Lexicon, folded, toxicity_scores
+from waylattice.llm.toxicity import EXCEPTIONS, Folding, Lexicon, LexiconConfig, calibrate, folded, measures, toxicity_scores
 from waylattice.llm.url_filter import LONG, RULES, Automaton, Rule, filter_urls
 
 
@@ -319,6 +320,111 @@ def test_folding_and_exceptions():
     assert lexicon.match("")[:3] == (0.0, 0, 0) and lexicon.match("strash")[1] == 0
 
 
+def plain_toxicity(rows, labels, config):
+    """Weight, words found and all words of each text, and its score: patterns counted and matched by plain substring search."""
+    fold = Folding()
+    flat = [folded(t or "", fold) for _, t in rows]
+    train = [(i, y) for i, (d, _) in enumerate(rows) for y in {labels.get(d)} if y is not None and zlib.crc32(str(d).encode()) % 5]
+    texts = {y: {rows[i][1] or "" for i, z in train if z == y} for y in (0, 1)}
+
+    def telling(find, among=lambda t: True):
+        n = {y: collections.Counter(p for t in texts[y] for p in find(folded(t, fold))) for y in (0, 1)}
+        toxic, clean = (sum(among(folded(t, fold)) for t in texts[y]) for y in (1, 0))
+        for p in n[0] | n[1]:
+            t, c = n[1][p], n[0][p]
+            odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+            proof = sum(m * math.log(m * (toxic + clean) / ((t + c) * of)) for m, of in ((t, toxic), (c, clean)) if m)
+            if proof >= config.least_evidence and abs(odds) >= config.least_odds:
+                yield p, odds, t
+
+    def patterns(t):
+        return {q for w in t.split() for q in (f" {w} ", *(f" {w[:k]}" for k in range(config.prefix[0], min(config.prefix[1], len(w) - 1) + 1)))}
+
+    weights = {}
+    for p, odds, _ in sorted((x for x in telling(patterns) if x[1] > 0), key=lambda x: (-x[1], -x[2], len(x[0]), x[0])):
+        if not any(p.startswith(q) for q in weights if q != p):
+            weights[p] = odds
+    masks = [folded(e, fold) for e in EXCEPTIONS]
+
+    def hits(t, masks):
+        out = {}
+        for i in (i for i, c in enumerate(t[:-1]) if c == " "):
+            best = max((w for p, w in weights.items() if t.startswith(p, i)), default=0)
+            if best and not any(t.startswith(m, j) for m in masks for j in range(max(0, i - len(m) + 2), i + 1)):
+                out[i] = best
+        return out
+
+    def phrases(t):
+        words, at = t.split(), [i for i, c in enumerate(t[:-1]) if c == " "]
+        found = hits(t, masks)
+        return {" ".join(words[k : k + 2]) for k in range(len(words) - 1) if at[k] in found or at[k + 1] in found}
+
+    learned = [f" {p} " for p, odds, _ in telling(phrases, lambda t: bool(hits(t, masks))) if odds < 0]
+    masks = masks + learned
+    measured = [(float(sum(h.values())), len(h), len(t.split())) for t in flat for h in [hits(t, masks)]]
+    seen = [(y, *(lambda t: (lambda h: (float(sum(h.values())), len(h), len(t.split())))(hits(t, masks)))(folded(x, fold))) for y in (0, 1) for x in texts[y]]
+    y, *cols = (np.array(c, float) for c in zip(*seen, strict=True))
+    w = calibrate(measures(*cols), y)
+    z = np.c_[np.ones(len(rows)), measures(*(np.array(c, float) for c in zip(*measured, strict=True)))] @ w
+    return measured, 1 / (1 + np.exp(-z)), learned
+
+
+def test_toxicity_against_plain_search(spark):
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(60)]
+    rows, labels = [], {}
+    for i in range(400):
+        x = rng.choices(words, k=rng.randint(3, 30))
+        if i % 2 == 0:
+            x += rng.choices(["gr0bble", "GROBBLER", "snurf", "trash"], k=3)
+        elif i % 20 == 1:
+            x[1:1] = rng.choice([["snurf", "board"], ["trash", "can"]])
+        rows.append((i, " ".join(x)))
+        labels[i] = int(i % 2 == 0)
+    rows += [(400, None), (401, ""), (402, "snurf board snurf"), (403, "grobble " * 5000), (404, "trash, bin")]
+    labels |= {401: 0, 403: 1}
+    config = LexiconConfig(least_odds=2.0)
+    measured, score, learned = plain_toxicity(rows, labels, config)
+    assert learned == [" snurf board "]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), crc_mod(5) != 0, config=config).collect()}
+    for (i, _), m, p in zip(rows, measured, score, strict=True):
+        assert (got[i]["n_found"], got[i]["n_words"]) == m[1:] and got[i]["weight"] == pytest.approx(m[0]), i
+        assert got[i]["score"] == pytest.approx(p, abs=1e-6)
+    assert got[402]["n_found"] == 1 and got[404]["n_found"] == 0
+
+
+def test_labels_that_differ_count_twice(spark):
+    docs = spark.createDataFrame([(i, f"bad{i % 3} text" if i < 50 else "good words") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(100)] + [(1, 0), (1, 1), (None, 1), (2, 7)], "doc_id long, toxic int")
+    assert toxicity_scores(docs, labels, F.lit(True)).where("score is null").count() == 0
+
+
+def plain_discriminant(x, y, shrinkage=0.1, floor=1e-3):
+    """Log-density differences from full covariance matrices, without factors."""
+    mean, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    z, out = (x - mean) / scale, []
+    for c in (0, 1):
+        own = z[y == c]
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov)) + floor * np.eye(len(cov))
+        d = lambda a, m=own.mean(axis=0), k=cov, n=len(own): np.log(n) - 0.5 * np.linalg.slogdet(k)[1] - 0.5 * np.einsum("ij,jk,ik->i", a - m, np.linalg.inv(k), a - m)
+        out.append(d)
+    return lambda a: 1 / (1 + np.exp(np.clip(out[0]((a - mean) / scale) - out[1]((a - mean) / scale), -700, 700)))
+
+
+def test_quality_against_plain_discriminant(spark):
+    docs, labels = labelled(spark)
+    rows = {r["doc_id"]: statistics((r["text"] or "").encode()) for r in docs.where("doc_id is not null").collect()}
+    train = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    want = plain_discriminant(np.array([rows[i] for i, _ in train]), np.array([y for _, y in train]))(np.array(list(rows.values())))
+    got = dict(quality_scores(docs, labels, crc_mod(4) != 2).select("doc_id", "score").collect())
+    assert [got[i] for i in rows] == pytest.approx(want.tolist(), abs=1e-6)
+    # the filter of the pipeline decides alike
+    kept = {r["doc_id"] for r in accepted(docs, fit_quality(statistics_table(labelled_rows(docs, labels), crc_mod(4) != 2), labels)).collect()}
+    assert kept == {i for i, s in got.items() if s >= 0.7}
+
+
 # --- the pipeline ---
 
 

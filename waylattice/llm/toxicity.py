@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -48,17 +48,18 @@ def folded(text: str, table_: Folding) -> str:
 
 @dataclass(frozen=True)
 class LexiconConfig:
-    """sample: labelled rows of each class that the lexicon is learned from, at most. least_texts and least_share: different toxic texts, and their part of all, that a
-    pattern must be in. least_odds: log odds ratio that it must have. prefix: lengths of word beginnings that may be patterns. size: patterns
-    at most. candidates: patterns of which clean texts are counted, at most."""
+    """sample: labelled rows of each class, about, that the lexicon is learned from. least_odds: log odds ratio that a pattern must have.
+    least_evidence: log likelihood ratio, in nats, between its two rates and one for both. prefix: lengths of word beginnings
+    that may be patterns."""
 
     sample: int = 20_000
-    least_texts: int = 3
-    least_share: float = 0.002
     least_odds: float = 3.0
+    least_evidence: float = 8.0
     prefix: tuple[int, int] = (3, 8)
-    size: int = 5_000
-    candidates: int = 200_000
+
+
+#: Counts of patterns that a task holds before it passes them on.
+COUNTED = 500_000
 
 
 def patterns_of(text: str, prefix: tuple[int, int]) -> set[str]:
@@ -83,14 +84,11 @@ class Lexicon:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def match(self, text: str) -> tuple[float, int, int]:
-        """Sum of the weights of words that some pattern begins, each word once by its best pattern; such words; all words."""
-        t = folded(text, self.fold)
-        if not self.weights:
-            return 0.0, 0, t.count(" ") - 1
+    def hits(self, t: str) -> dict[int, float]:
+        """Of folded text: the places before words that some pattern begins, outside exception phrases, with the best pattern's weight."""
         at: dict[int, float] = {}
         masked: list[tuple[int, int]] = []
-        for end, (size, w) in self.automaton.iter(t):
+        for end, (size, w) in self.automaton.iter(t) if self.weights else ():
             start = end - size + 1
             if w is None:
                 masked.append((start, end))
@@ -99,20 +97,42 @@ class Lexicon:
         for s, e in masked:
             for i in [i for i in at if s <= i < e]:
                 del at[i]
-        return sum(at.values()), len(at), max(0, t.count(" ") - 1) if t.strip() else 0
+        return at
 
+    def match(self, text: str) -> tuple[float, int, int]:
+        """Sum of the weights of words that some pattern begins, each word once by its best pattern; such words; all words."""
+        t = folded(text, self.fold)
+        at = self.hits(t)
+        return float(sum(at.values())), len(at), t.count(" ") - 1 if t.strip() else 0
 
-def choose_patterns(rows: list[tuple[str, int, int]], toxic: int, clean: int, config: LexiconConfig) -> dict[str, float]:
-    """Weights of patterns from (pattern, toxic texts, clean texts): their log odds ratio. A beginning that is as telling replaces all
-    patterns that it begins; a pattern that begins one of more texts and the same odds goes first."""
-    odds = {p: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) for p, t, c in rows}
-    texts = {p: t for p, t, _ in rows}
+    def phrases(self, text: str) -> set[str]:
+        """Each word that is hit, with the word before it and with the one after it; and the empty phrase if there is any."""
+        t = folded(text, self.fold)
+        found = self.hits(t)
+        out = {""} if found else set()
+        for i in found:
+            end = t.index(" ", i + 1)
+            if i:
+                out.add(t[t.rindex(" ", 0, i) + 1 : end])
+            if end < len(t) - 1:
+                out.add(t[i + 1 : t.index(" ", end + 1)])
+        return out
+
+
+def evidence(t: Column, c: Column, toxic: int, clean: int) -> tuple[Column, Column]:
+    """The log odds ratio of t of `toxic` and c of `clean` texts, and the log likelihood ratio of two rates against one."""
+    odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    part = lambda n, of: F.when(n > 0, n * F.log(n * (toxic + clean) / ((t + c) * of))).otherwise(0.0)
+    return odds, part(t, float(max(toxic, 1))) + part(c, float(max(clean, 1)))
+
+
+def choose_patterns(rows: list[tuple[str, float, int]]) -> dict[str, float]:
+    """Weights of patterns from (pattern, log odds ratio, toxic texts). A beginning that is as telling replaces all patterns that it
+    begins; a pattern that begins one of more texts and the same odds goes first."""
     chosen: dict[str, float] = {}
-    for p in sorted((p for p in odds if odds[p] >= config.least_odds), key=lambda p: (-odds[p], -texts[p], len(p), p)):
-        if len(chosen) >= config.size:
-            break
+    for p, odds, _ in sorted(rows, key=lambda r: (-r[1], -r[2], len(r[0]), r[0])):
         if not any(p[:k] in chosen for k in range(2, len(p))):
-            chosen[p] = odds[p]
+            chosen[p] = odds
     return chosen
 
 
@@ -143,45 +163,67 @@ def toxicity_scores(
 
     Returns one row per input row: id_col, trained (the mask), score, weight, n_found, n_words. Scores depend on the text alone.
 
-    The lexicon is learned from config.sample rows of each class at most, those whose ids hash lowest, so what is joined
-    and counted for it is bounded; equal texts count once. Its patterns are words and beginnings of words, weighed by
-    their log odds ratio. A text is folded (case, look-alike letters, digits for letters, zero-width characters), matched
-    in one pass by an automaton, matches inside exception phrases are taken out, and weight and weight by length are
-    turned into a probability by a logistic regression on the same sample.
+    The lexicon is learned from about config.sample rows of each class, those whose ids hash lowest, so what is joined and
+    counted for it is bounded; equal texts count once. Its patterns are words and beginnings of words in toxic texts,
+    weighed by their log odds ratio; every one with enough odds and evidence is taken, so their number is bounded by the
+    sample alone. Exception phrases are those given, and pairs of words with a match inside that, of
+    texts with a match, are as telling of clean ones. A text is folded (case, look-alike letters, digits for letters, zero-width characters), matched in one pass by
+    an automaton, matches inside exception phrases are taken out, and weight and weight by length are turned into a
+    probability by a logistic regression on the same sample.
 
     * A null or empty text has no matches, and the score that goes with none. A null id is never trained on.
-    * Rows may repeat in both tables. Labels other than 0 and 1 are left out.
+    * Rows may repeat in both tables; a text with both labels counts in both classes. Other labels than 0 and 1 are left out.
     * Without toxic labels the lexicon is empty and all scores are 0.
-    * An empty table gives an empty result.
+    * An empty table gives an empty result. Texts may be of any length.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    mask = F.col("trained")
     source = docs.select(F.col(id_col).alias("id"), train_mask.alias("trained"), text_bytes(text_col).alias("text"))
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
-    marked = marked.withColumn("trained", train_mask).where(mask) if id_col == "id" else marked.withColumnRenamed("id", id_col).withColumn("trained", train_mask).where(mask).withColumnRenamed(id_col, "id")
-    sample = [marked.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(config.sample).select("id", "label") for y in (0, 1)]
-    chosen = materialize(sample[0].unionByName(sample[1]), "toxicity-sample")  # at most 2 * sample rows of 12 bytes
+    marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label_")).where(F.col("label_").isin(0, 1) & F.col(id_col).isNotNull()).distinct()
+    marked = marked.where(train_mask).select(F.col(id_col).alias("id"), F.col("label_").alias("label"))
+    of_class = dict(marked.groupBy("label").count().collect())
+    share = F.when(F.col("label") == 1, min(1.0, config.sample / of_class.get(1, 1))).otherwise(min(1.0, config.sample / of_class.get(0, 1)))
+    chosen = materialize(marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)), "toxicity-sample")  # about 2 * sample rows of 12 bytes
     texts = materialize(source.join(F.broadcast(chosen), "id").groupBy(F.xxhash64("text").alias("key"), "label").agg(F.first("text").alias("text")).select("label", "text"), "toxicity-texts")
-    sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
-    lo, hi = config.prefix
-    counted = StructType([StructField("pattern", StringType()), StructField("n", LongType())])
+    sizes = dict(texts.groupBy("label").count().collect())
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    counted = StructType([texts.schema["label"], StructField("pattern", StringType()), StructField("n", LongType())])
+
+    def count(found_in):
+        """How many texts of each class have each pattern."""
 
-    def count(only):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fold, counts = Folding(), Counter()
+            find, counts = found_in(), Counter()
+
+            def out() -> pa.RecordBatch:
+                own = list(counts.items())
+                counts.clear()
+                return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in own], pa.int32()), pa.array([k[1] for k, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=counted.names)
+
             for b in batches:
-                for x in b.column("text").to_pylist():
-                    found = patterns_of(folded(x.decode("utf-8", "replace"), fold), (lo, hi))
-                    counts.update(found if only is None else found & only.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=counted.names)
+                for label, x in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    counts.update((label, p) for p in find(x.decode("utf-8", "replace")))
+                if len(counts) > COUNTED:
+                    yield out()
+            yield out()
 
-        return run
+        return texts.mapInArrow(run, counted).groupBy("pattern").agg(*[F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((1, "t"), (0, "c"))])
+
+    def telling(sums: DataFrame, toxic: int, clean: int) -> DataFrame:
+        odds, proof = evidence(F.col("t"), F.col("c"), toxic, clean)
+        return sums.withColumn("odds", odds).where((F.abs("odds") >= config.least_odds) & (proof >= config.least_evidence))
 
-    of = lambda y, only=None: texts.where(F.col("label") == y).select("text").mapInArrow(count(only), counted).groupBy("pattern").agg(F.sum("n").alias("n"))
-    toxic = {r[0]: r[1] for r in of(1).where(F.col("n") >= max(config.least_texts, config.least_share * sizes.get(1, 0))).orderBy(F.desc("n"), "pattern").limit(config.candidates).toLocalIterator()}
-    clean = {r[0]: r[1] for r in of(0, spark.sparkContext.broadcast(frozenset(toxic))).toLocalIterator()} if toxic else {}
-    weights = choose_patterns([(p, t, clean.get(p, 0)) for p, t in toxic.items()], sizes.get(1, 0), sizes.get(0, 0), config)
+    def patterns():
+        fold = Folding()
+        return lambda text: patterns_of(folded(text, fold), config.prefix)
+
+    weights = choose_patterns([tuple(r) for r in telling(count(patterns), toxic, clean).where("odds > 0").select("pattern", "odds", "t").toLocalIterator()]) if toxic and clean else {}
+    if weights:
+        given = spark.sparkContext.broadcast((weights, exceptions))
+        found = materialize(count(lambda: Lexicon(*given.value).phrases), "toxicity-phrases", 0)
+        hit = found.where("pattern = ''").select("t", "c").first() or (0, 0)
+        learned = telling(found.where("pattern <> ''"), *hit).where("odds < 0").select("pattern").toLocalIterator()
+        exceptions = (*exceptions, *sorted(r[0] for r in learned))
     shared = spark.sparkContext.broadcast((weights, exceptions))
     matched = [StructField("total", DoubleType()), StructField("found", LongType()), StructField("words", LongType())]
 
