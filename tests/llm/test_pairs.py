@@ -268,3 +268,37 @@ def test_repeated_benchmark_items_are_one(spark):
     docs = spark.createDataFrame([(1, "x " + item), (2, "y")], "doc_id long, text string")
     found = contamination(find_spans(docs, spark.createDataFrame([(5, item)] * 50 + [(6, item)], "item_id long, text string"), block_words=100))
     assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found.collect()} == {1: (40, ["5", "6"]), 2: (0, [])}
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    docs = []
+    for i in range(400):  # 8 m words in common, and m on either side: 80 percent
+        m = i % 5 + 1
+        common = [f"c{i}x{j}" for j in range(8 * m)]
+        docs += [(2 * i, " ".join([*common, *(f"a{i}x{j}" for j in range(m))])), (2 * i + 1, " ".join([*common, *(f"b{i}x{j}" for j in range(m))]))]
+    got = {r["doc_id"]: r["component_id"] for r in jj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jj, "TILE", 64)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = [" ".join(base[:k] + [f"x{rng.randrange(10**6)}"] + base[k + 1 :]) for k in (rng.randrange(100) for _ in range(1500))]
+    rows += [" ".join(base[:70] + [f"y{i}z{j}" for j in range(30)]) for i in range(200)]  # much in common, but no link
+    rows += [" ".join(base + [f"v{i}z{j}" for j in range(40 + i)]) for i in range(60)]  # longer
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_likeliest_pairs_are_held_in_bounds(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64)) for _ in range(40)]
+    tile = jj.Tile(np.array(list(map(len, sets))), [jj.signature(s) for s in sets], 10)
+    group, yes = np.arange(40) % 7, np.ones(40, bool)
+    whole = tile.between(group, yes, yes, 3)
+    monkeypatch.setattr(jj, "PAIRS", 50)
+    few = tile.between(group, yes, yes, 3)
+    codes = lambda x: sorted(map(tuple, np.sort(group[x[0]], axis=1).tolist()))
+    assert codes(whole) == codes(few) and whole[1] and few[1] and max(collections.Counter(codes(whole)).values()) == 3
+    assert len(tile.between(group, yes, yes, 10**6)[0]) > len(whole[0]) and not tile.between(group, yes, yes, 10**6)[1]

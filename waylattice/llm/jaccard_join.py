@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import WordHashes, free_names, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, native_filter, signed, small_batches, table, text_bytes
-from .components import components
+from ..operators.components import components
+from .common import WordHashes, free_names, gram_hashes, in_runs, key_filter, materialize, may_hold, mix, native_filter, run_starts, signed, small_batches, table, text_bytes
 
 SHINGLE, PERCENT = 5, 80
 #: Band keys of a set, each of ROWS minima of independent orders of its shingles. Linked sets have an equal minimum with probability
@@ -21,8 +21,10 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 3
 #: The most that this probability may be, for any percent.
 MISS = 1e-12
-#: Sets that one tile compares; a larger bucket is cut into parts, and each pair of parts is a tile.
+#: Sets of a side of a tile. A larger bucket is cut by size, and what is still larger into parts.
 TILE = 2048
+#: Pairs that a tile holds before it drops those that are not the likeliest.
+PAIRS = 1_000_000
 #: Bits of a signature by the least size of a set.
 WIDTHS = ((0, 512), (128, 1024), (256, 2048), (1024, 8192), (4096, 32768))
 
@@ -135,17 +137,29 @@ class Tile:
                 todo[cur] = False
         return edges
 
-    def between(self, group: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
-        """Of the allowed pairs between each two groups the `most` likeliest; whether there are more."""
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for i in range(len(self.n) - 1):
-            rest = np.arange(i + 1, len(self.n))
-            rest = rest[group[rest] != group[i]]
+    def between(self, group: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+        """Of the allowed pairs of a left and a right set, between each two groups the `most` likeliest; whether there are more."""
+        held, size, more = [np.empty((0, 3))], 0, False
+        for i in np.flatnonzero(left).tolist():
+            rest = np.flatnonzero(right & (group != group[i]) & ~((left & right[i]) & (np.arange(len(group)) < i)))
             s = self.score(i, rest)
-            for j, x in zip(rest[s >= 0].tolist(), s[s >= 0].tolist(), strict=True):
-                found.setdefault((min(group[i], group[j]), max(group[i], group[j])), []).append((-x, i, j))
-        pairs = [(i, j) for x in found.values() for _, i, j in sorted(x)[:most]]
-        return pairs, any(len(x) > most for x in found.values())
+            found = s >= 0
+            held.append(np.c_[np.full(found.sum(), i), rest[found], s[found]])
+            size += len(held[-1])
+            if size > PAIRS:
+                best, rest_out = self._likeliest(np.concatenate(held), group, most)
+                held, size, more = [best], 0, more or rest_out
+        best, rest_out = self._likeliest(np.concatenate(held), group, most)
+        return best[:, :2].astype(np.int64), more or rest_out
+
+    @staticmethod
+    def _likeliest(pairs: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+        a, b = group[pairs[:, 0].astype(np.int64)], group[pairs[:, 1].astype(np.int64)]
+        code = np.minimum(a, b) * len(group) + np.maximum(a, b)
+        order = np.lexsort((-pairs[:, 2], code))
+        starts = run_starts(code[order])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+        return pairs[order[rank < most]], bool((rank >= most).any())
 
 
 def _sets(docs: DataFrame, shingle: int, shape: tuple[int, int]) -> DataFrame:
@@ -191,11 +205,17 @@ def _read_again(docs: DataFrame, found: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+#: Partners of a set that are intersected with it in one place.
+PARTNERS = 256
+
+
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """a, b and whether they link: each set b travels to its a, and is intersected there."""
-    other = pairs.join(arrays, pairs["b"] == arrays["k"]).select("a", "b", "s")
-    own = arrays.join(pairs.select("a").distinct(), arrays["k"] == F.col("a")).select("a", F.lit(None).cast("binary").alias("b"), "s")
-    both = own.unionByName(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    """a, b and whether they link: each set b travels to a copy of its a, one for PARTNERS of them, and is intersected there."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slices"))
+    pairs = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"))
+    other = pairs.join(arrays, pairs["b"] == arrays["k"]).select("a", "slice", "b", "s")
+    own = arrays.join(pairs.select("a", "slice").distinct(), arrays["k"] == F.col("a")).select("a", "slice", F.lit(None).cast("binary").alias("b"), "s")
+    both = own.unionByName(other).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
     schema = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("linked", BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +236,44 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """One row for each tile that a set of a bucket takes part in: a bucket of up to TILE sets is one tile, a larger one is cut by hash
-    into parts, and each pair of parts is a tile."""
+def _placed(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """k, key, window, members: the sets that meet. A bucket of up to TILE sets is one window. In a larger one, sets are in bands of
+    size, as wide as linked sets can differ at most, and each window has two neighbouring bands: no pair that can link is apart."""
+    step = math.log(100 / percent) * (1 + 1e-9)
+    band = F.floor(F.log("n") / step) if step else F.col("n")
+    few = members.where(F.col("members") <= TILE).select("k", "key", F.lit(-1).cast("long").alias("window"), "members")
+    large = members.where(F.col("members") > TILE).join(sizes, "k").select("k", "key", F.explode(F.array(band.cast("long"), band.cast("long") + 1)).alias("window"))
+    counts = large.groupBy("key", "window").agg(F.count("*").alias("members"))
+    return few.unionByName(large.join(counts, ["key", "window"]))
+
+
+def _tiles(rows: DataFrame, turn: int) -> DataFrame:
+    """Adds lo, hi, the tile among those of a window, and on which sides of it a set is.
+
+    A window of up to TILE sets is one tile. A larger one is cut by hash into parts. At turn 0 each part is a tile; at turn 1
+    the first part meets all others; later, sets outside the window's largest component meet all sets. Of two sets that are
+    not in one component, one at least is outside the largest, so every pair that is still open meets; and a group of
+    like sets, one component after turn 1, costs its size and not its square."""
     rows = rows.withColumn("parts", F.ceil(F.col("members") / TILE).cast("int")).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return rows.select("*", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("parts", "part", "other")
+    side = lambda lo, hi, left, right: {"lo": lo, "hi": hi, "left": left, "right": right}
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    each = lambda n: F.explode(F.sequence(zero, n - 1))
+    if turn == 0:
+        return rows.withColumns(side(F.col("part"), F.col("part"), yes, yes)).drop("parts", "part")
+    one = rows.where("parts = 1").withColumns(side(zero, zero, yes, yes))
+    several = rows.where("parts > 1")
+    if turn == 1:
+        first = several.where("part = 0").withColumn("hi", each(F.col("parts"))).withColumns({"lo": zero, "left": yes, "right": F.col("hi") == 0})
+        out = one.unionByName(first).unionByName(several.where("part > 0").withColumns(side(zero, F.col("part"), no, yes)))
+    else:
+        labels = several.groupBy("key", "window", "label").agg(F.count("*").alias("size"))
+        largest = labels.groupBy("key", "window").agg(F.max(F.struct("size", "label")).alias("largest"))
+        several = several.join(largest, ["key", "window"]).withColumn("rest", F.ceil((F.col("members") - F.col("largest.size")) / TILE).cast("int")).where("rest > 0")
+        outside = several.where(F.col("label") != F.col("largest.label")).withColumn("hi", each(F.col("parts")))
+        outside = outside.withColumns({"lo": F.pmod(F.xxhash64("k", F.lit(1)), F.col("rest")).cast("int"), "left": yes, "right": no})
+        all_ = several.withColumn("lo", each(F.col("rest"))).withColumns({"hi": F.col("part"), "left": no, "right": yes})
+        out = one.unionByName(outside.unionByName(all_).drop("rest", "largest"))
+    return out.drop("parts", "part")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -229,13 +281,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns one row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, its own included).
 
-    1. Texts with equal sets are one set from here on. 2. Bands of minima bucket the sets. A pair at the threshold has no
-    key in common with probability MISS at most, if the orders are independent (3e-13 for 80 percent): the lower the
-    percent, the fewer minima a key has, and then the more keys there are. 3. A tile compares the sets of a bucket that are near in size by their signatures: a bit set in only one of two
-    counts against the overlap. It gives a spanning forest of the pairs that are still possible, never all of them.
-    4. Those pairs are intersected exactly. Where all pairs of a tile's forest link, the tile is done: any other possible
-    pair is within a component. Else, the tile gives the likeliest pairs between each two components, more in each
-    round, until none is left out. So what is sent grows with the sets and with the pairs just below the threshold.
+    1. Texts with equal sets are one set from here on. 2. Bands of minima bucket the sets, in front of the join, so that only
+    sets that may link are compared. A pair at the threshold has no key in common with probability MISS at most, if the
+    orders are independent (3e-13 for 80 percent): the lower the percent, the fewer minima a key has, and then the more
+    keys there are. 3. Within a bucket, sets meet in tiles; those of a large bucket are cut into bands of size, and a tile
+    has only sizes that can link (_placed, _tiles). A tile compares the bitmap signatures of its sets: a bit set in only one
+    of two counts against the overlap, which bounds it from above. It gives a spanning forest of the pairs that are still
+    possible, never all of them. 4. Those pairs are intersected exactly, as sorted arrays. Where all pairs of a tile's forest
+    link, the tile is done: any other possible pair is within a component. Else, the tile gives the likeliest pairs
+    between each two components, more in each turn, until none is left out. So what is sent grows with the sets and with
+    the pairs just below the threshold.
 
     * Null and empty texts, and texts without words, have 0 shingles, no links, and their own id as component_id.
     * A null id is never the smallest, unless a component has no other; rows may repeat.
@@ -267,49 +322,56 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     whole = materialize(_read_again(source, found, shingle).join(found, "k", "left_semi").dropDuplicates(["k"]), "jaccard-whole", n)
     signatures, arrays = whole.select("k", "n", "bits"), whole.select("k", "s")
 
-    edge = StructType([StructField("key", LongType()), StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("more", BooleanType())])
+    edge = StructType([StructField("key", LongType()), StructField("window", LongType()), StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("more", BooleanType())])
 
-    def candidates(rows: DataFrame, most: int) -> DataFrame:
-        """Pairs of each tile, a < b, and whether it has more: of a forest if most is 0, else between groups."""
+    def candidates(rows: DataFrame, turn: int, most: int) -> DataFrame:
+        """Pairs of each tile, a < b, and whether it has more: of a forest at turn 0, then between components."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in in_runs(batches, "key", "lo", "hi"):
+            for t in in_runs(batches, "key", "window", "lo", "hi"):
                 if t.num_rows < 2:
                     continue
-                k, key = t.column("k").to_pylist(), t.column("key")[0].as_py()
-                if most:
-                    labels = {x: i for i, x in enumerate(dict.fromkeys(t.column("label").to_pylist()))}
-                    if len(labels) < 2:
+                k, key, window = t.column("k").to_pylist(), t.column("key")[0], t.column("window")[0]
+                if turn:
+                    _, group = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)
+                    if not group.any():
                         continue
-                    group = np.array([labels[x] for x in t.column("label").to_pylist()])
-                tile = Tile(t.column("n").to_numpy(), t.column("bits").to_pylist(), percent)
-                pairs, more = tile.between(group, most) if most else (tile.forest(), False)
+                tile, more = Tile(t.column("n").to_numpy(), t.column("bits").to_pylist(), percent), False
+                if turn:
+                    pairs, more = tile.between(group, t.column("left").to_numpy(), t.column("right").to_numpy(), most)
+                else:
+                    pairs = tile.forest()
                 ordered = [(k[i], k[j]) if k[i] < k[j] else (k[j], k[i]) for i, j in pairs]
+                size = len(ordered)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(ordered), pa.int64()), pa.array([a for a, _ in ordered], pa.binary()), pa.array([b for _, b in ordered], pa.binary()), pa.array([more] * len(ordered), pa.bool_())],
+                    [pa.array([key.as_py()] * size, pa.int64()), pa.array([window.as_py()] * size, pa.int64()), pa.array([a for a, _ in ordered], pa.binary()), pa.array([b for _, b in ordered], pa.binary()), pa.array([more] * size, pa.bool_())],
                     names=edge.names,
                 )
 
-        tiles = _tiles(rows).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "k")
+        tiles = _tiles(rows, turn).join(signatures, "k").repartition("key", "window", "lo", "hi").sortWithinPartitions("key", "window", "lo", "hi", "n", "k")
         return tiles.mapInArrow(run, edge)
 
-    links, labels, most = None, None, 0
+    placed = materialize(_placed(members, whole.select("k", "n"), percent), "jaccard-placed", 8 * n)
+    links, labels, turn, most = None, None, 0, 4
     while True:
-        rows = members.join(signatures, "k")
-        if most:
+        rows = placed
+        if turn:
             rows = rows.join(labels.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        pairs = materialize(candidates(rows, most), "jaccard-pairs", 8 * n)
+        pairs = materialize(candidates(rows, turn, most), "jaccard-pairs", 8 * n)
         checked = materialize(_verified(pairs.select("a", "b").distinct(), arrays, percent), "jaccard-checked", 4 * n)
         new = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = new if links is None else links.unionByName(new)
         labels = materialize(components(links, n), "jaccard-labels", n)
-        # buckets of which some possible pair was not intersected, or in the first round, of which some pair does not link
-        refuted = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi") if not most else pairs.where("more")
-        open_keys = materialize(refuted.select("key").distinct(), "jaccard-open", n)
-        if open_keys.isEmpty():
+        # windows of which some possible pair was not intersected: at turn 0, in which some pair does not link
+        still = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi") if not turn else pairs.where("more")
+        still = still.select("key", "window")
+        if turn < 2:  # of several parts
+            still = still.unionByName(placed.where(F.col("members") > TILE).select("key", "window"))
+        still = materialize(still.distinct(), "jaccard-open", n)
+        if still.isEmpty():
             break
-        members = materialize(members.join(open_keys, "key", "left_semi"), "jaccard-members", 8 * n)
-        most = max(4, most * 16)
+        placed = materialize(placed.join(still, ["key", "window"], "left_semi"), "jaccard-placed", 8 * n)
+        most, turn = most * (16 if turn > 1 else 1), turn + 1
 
     classes = reps.join(labels, reps["k"] == labels["node"], "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
