@@ -238,13 +238,16 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 def _placed(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """k, key, window, members: the sets that meet. A bucket of up to TILE sets is one window. In a larger one, sets are in bands of
-    size, as wide as linked sets can differ at most, and each window has two neighbouring bands: no pair that can link is apart."""
+    size, as wide as linked sets can differ at most, and each window has a band and the one below: no pair that can link is apart."""
     step = math.log(100 / percent) * (1 + 1e-9)
     band = F.floor(F.log("n") / step) if step else F.col("n")
     few = members.where(F.col("members") <= TILE).select("k", "key", F.lit(-1).cast("long").alias("window"), "members")
-    large = members.where(F.col("members") > TILE).join(sizes, "k").select("k", "key", F.explode(F.array(band.cast("long"), band.cast("long") + 1)).alias("window"))
-    counts = large.groupBy("key", "window").agg(F.count("*").alias("members"))
-    return few.unionByName(large.join(counts, ["key", "window"]))
+    large = members.where(F.col("members") > TILE).join(sizes, "k").withColumn("band", band.cast("long"))
+    counts = large.groupBy("key", "band").agg(F.count("*").alias("own"))
+    below = counts.select("key", (F.col("band") + 1).alias("band"), F.col("own").alias("below"))
+    windows = counts.join(below, ["key", "band"], "left").select("key", F.col("band").alias("window"), (F.col("own") + F.coalesce("below", F.lit(0))).alias("members"))
+    # windows that have no band of their own would have pairs of the band below alone
+    return few.unionByName(large.select("k", "key", F.explode(F.array("band", F.col("band") + 1)).alias("window")).join(windows, ["key", "window"]))
 
 
 def _tiles(rows: DataFrame, turn: int) -> DataFrame:
@@ -352,12 +355,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         return tiles.mapInArrow(run, edge)
 
     placed = materialize(_placed(members, whole.select("k", "n"), percent), "jaccard-placed", 8 * n)
-    links, labels, turn, most = None, None, 0, 4
+    links, turn, most = None, 0, 4
     while True:
-        rows = placed
-        if turn:
-            rows = rows.join(labels.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        pairs = materialize(candidates(rows, turn, most), "jaccard-pairs", 8 * n)
+        pairs = materialize(candidates(placed, turn, most), "jaccard-pairs", 8 * n)
         checked = materialize(_verified(pairs.select("a", "b").distinct(), arrays, percent), "jaccard-checked", 4 * n)
         new = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = new if links is None else links.unionByName(new)
@@ -370,7 +370,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         still = materialize(still.distinct(), "jaccard-open", n)
         if still.isEmpty():
             break
-        placed = materialize(placed.join(still, ["key", "window"], "left_semi"), "jaccard-placed", 8 * n)
+        # what is one component by now needs no more pairs
+        rows = placed.drop("label").join(still, ["key", "window"], "left_semi").join(labels.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        rows = materialize(rows, "jaccard-labelled", 8 * n)
+        apart = rows.groupBy("key", "window").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "window")
+        placed = materialize(rows.join(apart, ["key", "window"], "left_semi"), "jaccard-placed", 8 * n)
+        if placed.isEmpty():
+            break
         most, turn = most * (16 if turn > 1 else 1), turn + 1
 
     classes = reps.join(labels, reps["k"] == labels["node"], "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
