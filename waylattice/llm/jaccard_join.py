@@ -253,21 +253,19 @@ def _placed(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def _tiles(rows: DataFrame, turn: int) -> DataFrame:
     """Adds lo, hi, the tile among those of a window, and on which sides of it a set is.
 
-    A window of up to TILE sets is one tile. A larger one is cut by hash into parts. At turn 0 each part is a tile; at turn 1
-    the first part meets all others; later, sets outside the window's largest component meet all sets. Of two sets that are
-    not in one component, one at least is outside the largest, so every pair that is still open meets; and a group of
-    like sets, one component after turn 1, costs its size and not its square."""
+    A window of up to TILE sets is one tile. A larger one is cut by hash into parts. At turn 0 the first part meets each other
+    one; later, sets outside the window's largest component meet all sets. Of two sets that are not in one component, one
+    at least is outside the largest, so every pair that is still open meets; and a group of like sets, one component
+    after turn 0, costs its size and not its square."""
     rows = rows.withColumn("parts", F.ceil(F.col("members") / TILE).cast("int")).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
     side = lambda lo, hi, left, right: {"lo": lo, "hi": hi, "left": left, "right": right}
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
     each = lambda n: F.explode(F.sequence(zero, n - 1))
-    if turn == 0:
-        return rows.withColumns(side(F.col("part"), F.col("part"), yes, yes)).drop("parts", "part")
     one = rows.where("parts = 1").withColumns(side(zero, zero, yes, yes))
     several = rows.where("parts > 1")
-    if turn == 1:
-        first = several.where("part = 0").withColumn("hi", each(F.col("parts"))).withColumns({"lo": zero, "left": yes, "right": F.col("hi") == 0})
-        out = one.unionByName(first).unionByName(several.where("part > 0").withColumns(side(zero, F.col("part"), no, yes)))
+    if turn == 0:
+        first = several.where("part = 0").withColumn("hi", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).withColumns({"lo": zero, "left": yes, "right": yes})
+        out = one.unionByName(first).unionByName(several.where("part > 0").withColumns(side(zero, F.col("part"), yes, yes)))
     else:
         labels = several.groupBy("key", "window", "label").agg(F.count("*").alias("size"))
         largest = labels.groupBy("key", "window").agg(F.max(F.struct("size", "label")).alias("largest"))
@@ -328,7 +326,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     edge = StructType([StructField("key", LongType()), StructField("window", LongType()), StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("more", BooleanType())])
 
     def candidates(rows: DataFrame, turn: int, most: int) -> DataFrame:
-        """Pairs of each tile, a < b, and whether it has more: of a forest at turn 0, then between components."""
+        """Pairs of each tile, a < b, and whether it may have more: of a forest at turn 0, then between components. A part of a window
+        whose forest is not one tree may have more in other parts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in in_runs(batches, "key", "window", "lo", "hi"):
@@ -344,6 +343,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
                     pairs, more = tile.between(group, t.column("left").to_numpy(), t.column("right").to_numpy(), most)
                 else:
                     pairs = tile.forest()
+                    more = t.column("members")[0].as_py() > TILE and len(pairs) < t.num_rows - 1
+                if more and not len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], y) for x, y in ((key, pa.int64()), (window, pa.int64()))] + [pa.nulls(1, pa.binary())] * 2 + [pa.array([True])], names=edge.names)
                 ordered = [(k[i], k[j]) if k[i] < k[j] else (k[j], k[i]) for i, j in pairs]
                 size = len(ordered)
                 yield pa.RecordBatch.from_arrays(
@@ -358,15 +360,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     links, turn, most = None, 0, 4
     while True:
         pairs = materialize(candidates(placed, turn, most), "jaccard-pairs", 8 * n)
-        checked = materialize(_verified(pairs.select("a", "b").distinct(), arrays, percent), "jaccard-checked", 4 * n)
+        checked = materialize(_verified(pairs.where("a is not null").select("a", "b").distinct(), arrays, percent), "jaccard-checked", 4 * n)
         new = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = new if links is None else links.unionByName(new)
         labels = materialize(components(links, n), "jaccard-labels", n)
-        # windows of which some possible pair was not intersected: at turn 0, in which some pair does not link
-        still = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi") if not turn else pairs.where("more")
-        still = still.select("key", "window")
-        if turn < 2:  # of several parts
-            still = still.unionByName(placed.where(F.col("members") > TILE).select("key", "window"))
+        # windows of which some possible pair may not have been intersected: at turn 0, also those in which some pair does not link
+        still = pairs.where("more").select("key", "window")
+        if not turn:
+            still = still.unionByName(pairs.join(checked.where("not linked"), ["a", "b"], "left_semi").select("key", "window"))
         still = materialize(still.distinct(), "jaccard-open", n)
         if still.isEmpty():
             break
@@ -377,7 +378,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         placed = materialize(rows.join(apart, ["key", "window"], "left_semi"), "jaccard-placed", 8 * n)
         if placed.isEmpty():
             break
-        most, turn = most * (16 if turn > 1 else 1), turn + 1
+        most, turn = most * (16 if turn else 1), turn + 1
 
     classes = reps.join(labels, reps["k"] == labels["node"], "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
     least = classes.groupBy("label").agg(F.min("rep").alias("component"))
