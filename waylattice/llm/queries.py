@@ -8,7 +8,7 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import OP5_SQL, op5_mix_sources
 from .quality import op6_quality
-from .suffix_dedup import op4_suffix_dedup
+from .suffix_dedup import OP4_SQL, op4_suffix_dedup
 from .suffix_tree import op3_suffix_tree
 from .toxicity import op8_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": OP1_SQL,
     "op2_chat_format": OP2_SQL,
+    "op4_suffix_dedup": OP4_SQL,
     "op5_mix_sources": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_jaccard_join": OP9_SQL,

@@ -123,7 +123,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64())], names=["key"])
 
     sorted_ = first.where(F.col("kind") == SUFFIX).select("a", "b", "c").repartition("a").sortWithinPartitions("a")
-    matches = materialize(sorted_.mapInArrow(compare, StructType([StructField("key", LongType())])), "suffix-matches", n)
+    matches = materialize(sorted_.mapInArrow(compare, StructType([StructField("key", LongType())])), "suffix-matches", 8 * n)
     wide, shared = key_filter(matches, lambda wide: [F.shiftrightunsigned("key", 18 * j).bitwiseAND(wide - 1) for j in range(3)])
     passage = StructType([StructField("d", LongType()), StructField("at", ArrayType(IntegerType())), StructField("h", ArrayType(LongType()))])
 
@@ -189,3 +189,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_repeated", (F.col("n_repeated") > 0).alias("repeats"), F.col("first_id").alias("first_doc_id"), F.to_json("spans").alias("spans"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+p AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM i),
+f AS (SELECT h, min(doc_id) AS first FROM p GROUP BY h HAVING count(DISTINCT r) > 1),
+x AS (SELECT r, i, first, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM p JOIN f USING (h)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM x),
+s AS (SELECT r, min(first) AS first, min(i) - 1 AS s, max(i) + 49 AS e FROM g GROUP BY r, g),
+o AS (SELECT r, min(first) AS first, sum(e - s) AS n, '[' || string_agg('{"start":' || s || ',"end":' || e || '}', ',' ORDER BY s) || ']' AS spans FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(n, 0) > 0 AS repeats, first AS first_doc_id, coalesce(spans, '[]') AS spans
+FROM d LEFT JOIN o USING (r)
+"""
