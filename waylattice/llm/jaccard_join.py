@@ -265,7 +265,7 @@ def _tiles(rows: DataFrame, turn: int) -> DataFrame:
     several = rows.where("parts > 1")
     if turn == 0:
         first = several.where("part = 0").withColumn("hi", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).withColumns({"lo": zero, "left": yes, "right": yes})
-        out = one.unionByName(first).unionByName(several.where("part > 0").withColumns(side(zero, F.col("part"), yes, yes)))
+        out = one.unionByName(first).unionByName(several.where("part > 0").withColumns(side(zero, F.col("part"), no, yes)))
     else:
         labels = several.groupBy("key", "window", "label").agg(F.count("*").alias("size"))
         largest = labels.groupBy("key", "window").agg(F.max(F.struct("size", "label")).alias("largest"))
@@ -331,7 +331,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in in_runs(batches, "key", "window", "lo", "hi"):
-                if t.num_rows < 2:
+                several = t.column("members")[0].as_py() > TILE
+                if t.num_rows < 2 and not several:
                     continue
                 k, key, window = t.column("k").to_pylist(), t.column("key")[0], t.column("window")[0]
                 if turn:
@@ -343,7 +344,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
                     pairs, more = tile.between(group, t.column("left").to_numpy(), t.column("right").to_numpy(), most)
                 else:
                     pairs = tile.forest()
-                    more = t.column("members")[0].as_py() > TILE and len(pairs) < t.num_rows - 1
+                    more = several and (len(pairs) < t.num_rows - 1 or not t.column("left").to_numpy().any())
                 if more and not len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], y) for x, y in ((key, pa.int64()), (window, pa.int64()))] + [pa.nulls(1, pa.binary())] * 2 + [pa.array([True])], names=edge.names)
                 ordered = [(k[i], k[j]) if k[i] < k[j] else (k[j], k[i]) for i, j in pairs]
