@@ -372,13 +372,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
         still = materialize(still.distinct(), "jaccard-open", n)
         if still.isEmpty():
             break
-        # what is one component by now needs no more pairs
-        rows = placed.drop("label").join(still, ["key", "window"], "left_semi").join(labels.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        rows = materialize(rows, "jaccard-labelled", 8 * n)
-        apart = rows.groupBy("key", "window").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "window")
-        placed = materialize(rows.join(apart, ["key", "window"], "left_semi"), "jaccard-placed", 8 * n)
-        if placed.isEmpty():
-            break
+        rows = placed.drop("label").join(still, ["key", "window"], "left_semi").join(labels.withColumnsRenamed({"node": "k"}), "k", "left")
+        placed = materialize(rows.withColumn("label", F.coalesce("label", "k")), "jaccard-placed", 8 * n)
         most, turn = most * (16 if turn else 1), turn + 1
 
     classes = reps.join(labels, reps["k"] == labels["node"], "left").select("k", "rep", F.coalesce("label", "k").alias("label"))
