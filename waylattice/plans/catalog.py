@@ -73,13 +73,14 @@ def io_total_output(spark, sf_dir):
 
 @query
 def io_matrix_wide(spark, sf_dir):
-    return derived.io_z(spark, sf_dir).groupBy("source").pivot("target", ["01", "02", "03", "04", "05"]).agg(F.sum("cents"))
+    """A column for each sector."""
+    return derived.io_z(spark, sf_dir).groupBy("source").pivot("target", [f"{i:02d}" for i in range(1, 26)]).agg(F.sum("cents"))
 
 
 @query
 def io_matrix_whole(spark, sf_dir):
-    """A column for each sector."""
-    return derived.io_z(spark, sf_dir).groupBy("source").pivot("target", [f"{i:02d}" for i in range(1, 26)]).agg(F.sum("cents"))
+    """As io_matrix_wide."""
+    return io_matrix_wide(spark, sf_dir)
 
 
 @query
@@ -119,15 +120,14 @@ def acyclicity_check(spark, sf_dir):
 
 @query
 def mwas_exact_objective(spark, sf_dir):
-    """Of the first seven sectors on each axis."""
-    z = _z(spark, sf_dir).where("source <= '07' and target <= '07'")
-    return io_graph.exact_acyclic(spark, z).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("cents"))
+    """Of all sectors, which SQL cannot enumerate."""
+    return io_graph.exact_acyclic(spark, _z(spark, sf_dir)).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("cents"))
 
 
 @query
 def mwas_exact_whole(spark, sf_dir):
-    """Of all sectors, which SQL cannot enumerate."""
-    return io_graph.exact_acyclic(spark, _z(spark, sf_dir)).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("cents"))
+    """As mwas_exact_objective."""
+    return mwas_exact_objective(spark, sf_dir)
 
 
 # --- roads ---
@@ -340,13 +340,6 @@ def _cells(spark) -> DataFrame:
     return cells.select("type", ((F.col("ix") * 3 + F.col("iy") * 7 + F.col("k") * 5).cast("long") % 31 % 4).alias("cluster"), "level", "ix", "iy", F.lit(1.0).alias("area")).where("(ix + iy) % 3 <> 0 or cluster < 2")
 
 
-def _dag(spark, sf_dir) -> DataFrame:
-    z = _z(spark, sf_dir).where("source <= '05' and target <= '05'")
-    all_ = _z(spark, sf_dir)
-    kept = io_graph.fast_acyclic(all_).where("source <= '05' and target <= '05'")
-    return io_graph.reweighted(kept, io_graph.technical_coefficients(z, _x(spark, sf_dir)), "fast")
-
-
 @query
 def overlap_pairs(spark, sf_dir):
     dag = spark.createDataFrame([("01", "02"), ("02", "03"), ("01", "05"), ("04", "02")], "source_type string, target_type string")

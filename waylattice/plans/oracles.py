@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
         sector AS type, c_acctbal AS x, c_nationkey::DOUBLE AS y FROM sector WHERE sector IS NOT NULL""",
     "io_transactions_long": f"WITH {_Z} SELECT * FROM z",
     "io_total_output": f"WITH {_X} SELECT * FROM x",
-    "io_matrix_wide": f"WITH {_Z} SELECT source, " + ", ".join(f"sum(cents) FILTER (target = '{t}')::BIGINT AS \"{t}\"" for t in ("01", "02", "03", "04", "05")) + " FROM z GROUP BY source",
+    "io_matrix_wide": f"WITH {_Z} SELECT source, " + ", ".join(f"sum(cents) FILTER (target = '{t}')::BIGINT AS \"{t}\"" for t in (f"{i:02d}" for i in range(1, 26))) + " FROM z GROUP BY source",
     "technical_coefficients": f"WITH {_X} SELECT source, target, round(z.cents::DOUBLE / x.cents::DOUBLE * 1e9)::BIGINT AS billionths FROM z JOIN x ON x.sector = z.target",
     "io_candidate_edges": f"WITH {_Z} SELECT source, target, cents FROM z WHERE cents > 0 AND source <> target",
     "mwas_fast_edges": f"WITH RECURSIVE {_MWAS} SELECT source, target, cents FROM kept",
@@ -108,11 +108,6 @@ ORACLES: dict[str, str] = {
         s.n AS source_edges, k.n AS retained_edges, s.n - k.n AS removed_edges FROM s, k""",
     "io_dag_reweighted": f"""WITH RECURSIVE {_MWAS.replace(_Z, _X)} SELECT source AS source_type, target AS target_type, kept.cents, round(kept.cents::DOUBLE / x.cents::DOUBLE * 1e9)::BIGINT AS billionths, 'fast' AS mwas_method
         FROM kept JOIN x ON x.sector = target""",
-    "mwas_exact_objective": f"""WITH {_Z}, s AS (SELECT DISTINCT s, dense_rank() OVER (ORDER BY s) AS i FROM (SELECT source AS s FROM z WHERE source <= '07' UNION SELECT target FROM z WHERE target <= '07')),
-        w AS (SELECT a.i AS u, b.i AS v, cents FROM z JOIN s a ON a.s = source JOIN s b ON b.s = target WHERE source <> target),
-        o AS (SELECT [a, b, c, d, e, f, g] AS o FROM range(1, 8) a(a), range(1, 8) b(b), range(1, 8) c(c), range(1, 8) d(d), range(1, 8) e(e), range(1, 8) f(f), range(1, 8) g(g)
-          WHERE b <> a AND c NOT IN (a, b) AND d NOT IN (a, b, c) AND e NOT IN (a, b, c, d) AND f NOT IN (a, b, c, d, e) AND g NOT IN (a, b, c, d, e, f))
-        SELECT max(t)::BIGINT AS cents FROM (SELECT o, sum(cents) AS t FROM o JOIN w ON o[u] < o[v] GROUP BY o)""",
     "road_vertices": f"WITH {_ARCS} SELECT vid, x, y FROM vert",
     "road_arcs": f"WITH {_ARCS} SELECT arc_id, u, v, length FROM arcs",
     "road_components": f"WITH {_ARCS} SELECT CASE WHEN vid // 21 >= 17 AND vid % 21 >= 17 THEN 17 * 21 + 17 ELSE 0 END AS component, count(*) AS vertices FROM vert GROUP BY 1",
@@ -200,3 +195,10 @@ ORACLES |= {
         UNION SELECT r.graph, r.a, g.b FROM r JOIN (SELECT 'source' AS graph, source AS a, target AS b FROM e UNION ALL SELECT 'kept', source, target FROM kept) g ON g.graph = r.graph AND g.a = r.b)
         SELECT graph, NOT bool_or(a = b) AS acyclic FROM r GROUP BY graph""",
 }
+
+# every event as a point, in both components: clusters 4 to 7 are those in the corner
+_OWN_WHOLE = """pt AS (SELECT own.type, own.cluster, event_id AS point_id, CASE WHEN own.kind = 0 THEN own.a ELSE cut.node END AS node FROM own LEFT JOIN cut ON cut.arc_id = own.arc_id AND cut.o = own.off AND own.kind = 1)"""
+_MAIN_ONLY = "own AS (SELECT k.*, k.user_id % 4 AS cluster FROM keyed k JOIN comp ON comp.vid = k.u AND comp.main)"
+_BOTH = "own AS (SELECT k.*, k.user_id % 4 + CASE WHEN comp.main THEN 0 ELSE 4 END AS cluster FROM keyed k JOIN comp ON comp.vid = k.u)"
+ORACLES |= {f"{k}_whole": ORACLES[k].replace(_MAIN_ONLY, _BOTH).replace(_OWN, _OWN_WHOLE) for k in ("network_median", "point_median_distance", "voronoi_node_owner", "voronoi_cells", "partition_area")}
+ORACLES["io_matrix_whole"] = ORACLES["io_matrix_wide"]
