@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With it, the shuffle files of a query are removed from all executors as soon as the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files: what they wrote is read from its files, never from their shuffles."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 #: Rows of a file of a table whose size is known before it is written.
 FILE_ROWS, LEAST_FILES = 50_000, 8
 
@@ -34,7 +51,8 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
