@@ -62,6 +62,17 @@ def test_run_and_restart(spark, inputs, tmp_path):
     assert a.count() == 56 and a.exceptAll(b).count() == 0
 
 
+    # partitions of anyone else come without cells
+    alone = tmp_path / "alone"
+    alone.mkdir()
+    part, _ = read_vector(spark, f"{out}/partitions.parquet")
+    write_geoparquet(part.withColumn("note", F.lit("x")), str(alone / "partitions.parquet"), EPSG)
+    code = cli.main(["from-partitions", "--partitions", str(alone / "partitions.parquet"), "--centers", f"{out}/network_centers.parquet", "--points-with-center-distance", f"{out}/points_with_center_distance.parquet", "--output-dir", str(alone / "out"), *common], spark)
+    assert code == 0
+    c = spark.read.parquet(str(alone / "out" / "points_centrality.parquet")).select("point_id", F.round("score", 9).alias("score"))
+    assert c.count() == 56 and a.exceptAll(c).count() == 0
+
+
 def test_errors_are_reported(spark, inputs, capsys):
     assert cli.main(["run", "--points", "none.parquet", "--boundary", "none.gpkg", "--roads", "none.gpkg"], spark) == 1
     assert "error:" in capsys.readouterr().err

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,17 +56,19 @@ def score_points(
     return late_steps(spark, w, z, a, w.edges, mwas, tempering, surface_config.split)
 
 
-def late_steps(spark: SparkSession, w: Workflow, z: DataFrame, a: DataFrame, edges: DataFrame, mwas: str, tempering: float, split: int = 2, overlap: DataFrame | None = None) -> Workflow:
-    """The economy's graph, the graph of clusters, centrality and scores; the same for a whole run and a restart."""
+def late_steps(spark: SparkSession, w: Workflow, z: DataFrame, a: DataFrame, edges: DataFrame, mwas: str, tempering: float, split: int = 2, overlap: Callable[[DataFrame], DataFrame] | None = None) -> Workflow:
+    """The economy's graph, the graph of clusters, centrality and scores; the same for a whole run and a restart.
+
+    overlap: given the economy's graph, which territories overlap, where they aren't cells."""
     w.dag, w.audit = io_graph.build_dag(spark, z, a, mwas)
     w.dag = materialize(w.dag, "dag")
     if overlap is None:
         keys = ["type", "cluster"]
         clusters = pts.check_clusters(w.distances, w.centers, w.cells.select(*keys).distinct())
-        overlap = surface.overlaps(w.cells, w.dag, split)
+        met = surface.overlaps(w.cells, w.dag, split)
     else:
-        clusters = w.centers.count()
-    nodes, w.x_edges, w.disconnected = xgraph.cluster_graph(w.centers, w.dag, materialize(overlap, "overlaps"), edges)
+        clusters, met = w.centers.count(), overlap(w.dag)
+    nodes, w.x_edges, w.disconnected = xgraph.cluster_graph(w.centers, w.dag, materialize(met, "overlaps"), edges)
     w.x_edges, w.disconnected = materialize(w.x_edges, "x-edges"), materialize(w.disconnected, "disconnected")
     values = xgraph.centrality(nodes, w.x_edges)
     w.x_nodes = materialize(xgraph.degrees(nodes, w.x_edges).join(values, "node_id"), "x-nodes")

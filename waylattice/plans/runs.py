@@ -14,7 +14,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .. import __version__
 from ..functions.geometry import point_wkb
 from ..functions.sectors import sector_id
-from ..operators import density, outputs, points as pts, roads, surface
+from ..operators import density, outputs, points as pts, polygons, roads, surface
 from ..operators.storage import materialize, require
 from ..sources.iotable import SECTORS, load_pair
 from ..sources.vectors import boundary_of, lines_of, points_of, read_vector, write_geoparquet
@@ -169,9 +169,10 @@ def run_engine(spark: SparkSession, c: EngineConfig) -> EngineResult:
 
 def run_from_partitions(spark: SparkSession, c: ContinueConfig) -> EngineResult:
     """Steps from the economy's graph on, from saved points, centers and territories. The roads are built again, with decimal digits,
-    and the saved centers are snapped to them; saved node numbers are not used. Territories are read as cells, beside the outlines."""
+    and the saved centers are snapped to them; saved node numbers are not used. Territories of a run of our own are read as cells, beside
+    the outlines; polygons of anyone else are checked, and overlap where they share an area."""
     folder = os.path.dirname(os.path.abspath(_file(c.partitions_path, "partitions")))
-    cells_path = _file(os.path.join(folder, "partition_cells.parquet"), "cells of the territories")
+    cells_path = os.path.join(folder, "partition_cells.parquet")
     centers_path = _file(c.centers_path or os.path.join(folder, "network_centers.parquet"), "centers")
     points_path = _file(c.points_path or os.path.join(folder, "points_with_center_distance.parquet"), "points")
     z, a, found = load_pair(spark, c.classification, c.transactions_path, c.transactions_sheet, c.technical_coefficients_path, c.technical_coefficients_sheet, c.io_data)
@@ -181,10 +182,12 @@ def run_from_partitions(spark: SparkSession, c: ContinueConfig) -> EngineResult:
     centers = materialize(pts.clean_centers(points_of(raw_centers, centers_epsg, epsg)), "centers")
     raw_points, points_epsg = read_vector(spark, points_path)
     points = pts.restart_points(points_of(raw_points, points_epsg, epsg))
-    partitions, _ = read_vector(spark, c.partitions_path)
-    partitions = partitions.withColumn("type", sector_id(F.col("type")))
-    cells = spark.read.parquet(cells_path).withColumn("type", sector_id(F.col("type")))
-    surface.check_territories(cells)
+    raw_partitions, partitions_epsg = read_vector(spark, c.partitions_path)
+    partitions = polygons.clean_partitions(raw_partitions, partitions_epsg, epsg)
+    cells = None
+    if os.path.exists(cells_path):
+        cells = spark.read.parquet(cells_path).withColumn("type", sector_id(F.col("type")))
+        surface.check_territories(cells)
     points, dropped = pts.align_restart(points, centers, partitions)
     pts.check_clusters(points, centers, partitions)
     vertices, arcs = roads.build_network(lines_of(lines), c.vertex_digits, True)
@@ -196,8 +199,10 @@ def run_from_partitions(spark: SparkSession, c: ContinueConfig) -> EngineResult:
     w = Workflow()
     w.centers = materialize(named.drop("center_network_node").join(of, "point_id").select("type", "cluster", F.col("node").alias("center_network_node"), "x", "y"), "centers")
     w.distances, w.cells, w.nodes, w.edges = materialize(points, "points"), cells, nodes, edges
-    late_steps(spark, w, z, a, edges, c.mwas_method, c.distance_tempering)
+    overlap = None if cells is not None else lambda dag: polygons.polygon_overlaps(partitions, dag)
+    late_steps(spark, w, z, a, edges, c.mwas_method, c.distance_tempering, overlap=overlap)
     os.makedirs(c.output_dir, exist_ok=True)
     metadata = {"entrypoint": "from-partitions", "classification": c.classification, "transactions_source": found.source_id, "partitions_path": c.partitions_path, "centers_path": centers_path, "points_path": points_path, "maximum_center_resnap_distance": farthest, "extra_point_rows_dropped": dropped}
+    partitions = partitions.select("type", "cluster", "geometry")
     files = _write_late(w, partitions, nodes, c.output_dir, epsg, metadata)
     return EngineResult(w.scores, w.centers, partitions, files, metadata)
