@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import polygon_wkb
 from ..functions.sectors import node_id, sector_id
-from ..operators import density, io_graph, median, paths, points, roads, scoring, surface, xgraph
+from ..operators import density, io_graph, median, paths, points, polygons, roads, scoring, surface, xgraph
 from ..sources import derived
 from .oracles import ORACLES
 
@@ -346,6 +348,24 @@ def overlap_pairs(spark, sf_dir):
     return surface.overlaps(_cells(spark), dag)
 
 
+@query
+def polygon_overlap_pairs(spark, sf_dir):
+    """A box for each customer, as a polygon from anyone: which boxes of joined types share an area."""
+    k = F.col("c_custkey")
+    boxes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.format_string("%02d", F.col("c_nationkey") % 5 + 1).alias("type"), k.cast("long").alias("cluster"), (k * 37 % 1000).cast("double").alias("x0"), ((k * k * 7 + k * 11) % 997).cast("double").alias("y0"),
+        (1 + k % 17).cast("double").alias("w"), (1 + k % 13).cast("double").alias("h"),
+    )
+
+    def outlines(batches):
+        for b in batches:
+            g = [polygon_wkb([[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]]) for x, y, w, h in zip(*(b.column(c).to_pylist() for c in ("x0", "y0", "w", "h")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("type"), b.column("cluster"), pa.array(g, pa.binary())], names=["type", "cluster", "geometry"])
+
+    dag = spark.createDataFrame([("01", "02"), ("02", "03"), ("01", "05"), ("04", "02")], "source_type string, target_type string")
+    return polygons.polygon_overlaps(polygons.clean_partitions(boxes.mapInArrow(outlines, "type string, cluster long, geometry binary")), dag)
+
+
 def _x_parts(spark, sf_dir):
     vertices, arcs = _network(spark)
     centers = spark.range(20).select(F.format_string("%02d", F.col("id") % 5 + 1).alias("type"), F.expr("id div 5").alias("cluster"), (F.col("id") * 53 % 441).alias("center_network_node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))

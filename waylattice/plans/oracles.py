@@ -136,6 +136,21 @@ ORACLES: dict[str, str] = {
         SELECT type, cluster, n_centers, n_partitions FROM c WHERE n_centers <> 1 OR n_partitions <> 1""",
 }
 
+#: A spanning forest has as many edges of a distance as there are components fewer with the edges of that distance than without.
+_FOREST = f"""{_CORE}, pair AS (SELECT p.type, i, j, greatest(x.core, y.core, d)::DOUBLE AS m FROM pairs p JOIN core x ON x.type = p.type AND x.position = i JOIN core y ON y.type = p.type AND y.position = j
+  WHERE x.core IS NOT NULL AND y.core IS NOT NULL),
+way2 AS (SELECT type, i AS a, j AS b, m FROM pair UNION ALL SELECT type, j, i, m FROM pair), ends AS (SELECT DISTINCT type, a AS node FROM way2), level AS (SELECT DISTINCT type, m AS t FROM pair),
+part(type, t, node, l) USING KEY (type, t, node) AS (SELECT type, t, node, node AS l FROM ends JOIN level USING (type)
+  UNION SELECT x.type, x.t, x.b, min(x.l) FROM (SELECT part.type, part.t, way2.b, part.l FROM part JOIN way2 ON way2.type = part.type AND way2.a = part.node AND way2.m <= part.t) x
+  JOIN recurring.part r ON r.type = x.type AND r.t = x.t AND r.node = x.b WHERE x.l < r.l GROUP BY x.type, x.t, x.b),
+many AS (SELECT type, t, count(*) AS n, count(*) FILTER (l = node) AS k FROM part GROUP BY type, t),
+merged AS (SELECT type, t, coalesce(lag(k) OVER (PARTITION BY type ORDER BY t), n) - k AS edges FROM many)"""
+ORACLES["spanning_forest_weight"] = f"WITH RECURSIVE {_FOREST} SELECT type, sum(edges)::BIGINT AS edges, round(sum(edges * t), 6) AS weight FROM merged GROUP BY type"
+ORACLES["polygon_overlap_pairs"] = """WITH p AS (SELECT printf('%02d', c_nationkey % 5 + 1) AS type, c_custkey::BIGINT AS cluster, c_custkey * 37 % 1000 AS x0, (c_custkey * c_custkey * 7 + c_custkey * 11) % 997 AS y0,
+  1 + c_custkey % 17 AS w, 1 + c_custkey % 13 AS h FROM customer), dag AS (SELECT * FROM (VALUES ('01', '02'), ('02', '03'), ('01', '05'), ('04', '02')) d(s, t))
+SELECT a.type AS source_type, a.cluster AS source_cluster, b.type AS target_type, b.cluster AS target_cluster FROM dag JOIN p a ON a.type = s JOIN p b ON b.type = t
+WHERE least(a.x0 + a.w, b.x0 + b.w) > greatest(a.x0, b.x0) AND least(a.y0 + a.h, b.y0 + b.h) > greatest(a.y0, b.y0)"""
+
 #: Distances from a set of sources by repeated relaxation, in a recursion that keeps one row for each key.
 _FROM = """dist(source, node, d) USING KEY (source, node) AS (SELECT {source} AS source, {source} AS node, 0.0::DOUBLE AS d FROM {sources}
   UNION SELECT x.source, x.b, min(x.d) FROM (SELECT dist.source, way.b, dist.d + way.w AS d FROM dist JOIN way ON way.a = dist.node) x
