@@ -12,7 +12,7 @@ from waylattice.llm import jaccard_join as jj
 from waylattice.llm.common import WordHashes, gram_hashes, long_gram_hashes, native_filter
 from waylattice.llm.decontaminate import contamination, find_spans, winnowed, words_of
 from waylattice.llm.exact_dedup import exact_dedup, keep_first
-from waylattice.llm.suffix_dedup import repeated_passages
+from waylattice.llm.suffix_dedup import extend, repeated_passages
 
 SCHEMA = "doc_id long, text string, component_id string, spans int"
 
@@ -147,10 +147,11 @@ def brute_repeats(rows, span=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_repeated_passages(spark, seed):
+@pytest.mark.parametrize(("seed", "group"), [(3, 20_000), (4, 20_000), (3, 1), (4, 6)])
+def test_repeated_passages(spark, seed, group):
+    """Also when all matched heads, or the frequent ones, are too frequent to be brought together."""
     rows = texts(seed)
-    got = repeated_passages(frame(spark, rows)).collect()
+    got = repeated_passages(frame(spark, rows), group=group).collect()
     want = brute_repeats(rows)
     assert len(got) == len(rows) and sum(any(h) for h, _ in want.values()) > 20
     for r in got:
@@ -161,6 +162,13 @@ def test_repeated_passages(spark, seed):
         assert r["n_repeated"] == sum(hit)
 
 
+def test_extension_to_both_sides():
+    """Suffixes 0 and 1 agree in one word to the left and one to the right, 2 only to the left, 3 is of another head, 4 is 0's text again."""
+    left, right = [b"x a", b"y a", b"a", b"x a", b"x a"], [b"b c", b"b d", b"e", b"b c", b"b c"]
+    x, j, lowest = extend(np.array([0, 0, 0, 1, 0]), left, right, np.array([1, 2, 3, 4, 1]), np.array([3, 0, 2, 1, 4]), 2)
+    assert sorted(zip(x.tolist(), j.tolist(), lowest.tolist(), strict=True)) == [(0, 1, 0), (1, 1, 0), (4, 1, 0)]
+
+
 def test_repeats_of_empty_table(spark):
     assert repeated_passages(frame(spark, []).limit(0)).count() == 0
     same = spark.createDataFrame([(7, " ".join(map(str, range(60))))] * 2, "doc_id long, text string")

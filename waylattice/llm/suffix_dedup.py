@@ -6,172 +6,281 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import WordHashes, key_filter, long_gram_hashes, materialize, may_hold, run_starts, signed, small_batches, table, text_bytes
+from .common import WordHashes, key_filter, long_gram_hashes, materialize, may_hold, mix, run_starts, signed, small_batches, table, text_bytes
 from .decontaminate import winnowed
 
 #: Words of the shortest passage, and words by which suffixes are sorted. Of any SPAN - HEAD + 1 following suffixes the one whose
 #: head has the smallest hash is retained, so two equal passages retain the same suffix.
 SPAN, HEAD = 50, 20
-#: Suffixes that a task sorts before it passes them on.
-SORTED = 1_000_000
+#: Different suffixes that a task sorts before it passes them on.
+SORTED = 250_000
+#: Suffixes with one head that a task compares at once; those of a more frequent head meet passage by passage.
+GROUP = 20_000
+#: Matched suffixes, of whole groups, that are extended together.
+EXTENDED = 5_000
 
 
-def text_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+class Words:
+    """A text's lower-cased words, one blank between them, and where each begins."""
 
+    def __init__(self, text: bytes):
+        self.words = text.lower().split()
+        self.bytes = b" ".join(self.words)
+        self.begin = np.r_[0, np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)]
+        self.key = xxhash.xxh3_64_intdigest(self.bytes) - (1 << 63)
 
-def retained(h: np.ndarray, span: int, head: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the retained suffixes and the hashes of their heads."""
-    g = long_gram_hashes(h, head)
-    at = winnowed(g, span - head + 1)
-    return at, g[at]
+    def runs(self, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The words from each start to each end, that excluded."""
+        return [self.bytes[a : max(a, b - 1)] for a, b in zip(self.begin[start].tolist(), self.begin[end].tolist(), strict=True)]
 
 
-def neighbours(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted suffixes, each head once, with the first and last text that has it."""
-    starts = run_starts(keys)
-    ends = np.r_[starts[1:], len(keys)] - 1 if len(starts) else starts
-    return keys[starts], texts[starts], texts[ends]
+def head_key(head: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(head) - (1 << 63)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, head: int = HEAD) -> DataFrame:
+def retained(h: np.ndarray, span: int, head: int) -> np.ndarray:
+    """Positions of the retained suffixes."""
+    return winnowed(long_gram_hashes(h, head), span - head + 1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str, least: int) -> Iterator[pa.Table]:
+    """Sorted rows in tables of about `least` rows, none of which parts rows with equal `by`."""
+    kept, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            kept.append(b)
+            size += b.num_rows
+        if size >= least:
+            t = pa.Table.from_batches(kept)
+            cut = pc.index(t[by], t[by][-1]).as_py()
+            if cut:
+                yield t.slice(0, cut)
+            kept, size = t.slice(cut).to_batches(), len(t) - cut
+            least = max(least, 2 * size)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _numbers(runs: list[bytes], wide: int, known: dict[bytes, int], backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some runs of words the number of words, and their numbers (equal for equal words), the nearest to the head first; 0 where a run has no more."""
+    out, sizes = np.zeros((wide, len(runs)), np.int64), np.zeros(len(runs), np.int64)
+    for i, run in enumerate(runs):
+        words = run.split()
+        sizes[i] = len(words)
+        out[: len(words), i] = [known.setdefault(w, len(known) + 1) for w in (reversed(words) if backwards else words)]
+    return sizes, out
+
+
+def _prefixes(group: np.ndarray, words: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each length, the class of suffixes of one group that agree in so many words: those whose common prefix is that long."""
+    out = [group]
+    for word in words:
+        out.append(np.unique(out[-1] * most + word, return_inverse=True)[1])
+    return out
+
+
+def extend(group: np.ndarray, left: list[bytes], right: list[bytes], texts: np.ndarray, rank: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Extend suffixes that share a head (the same group) by up to `wide` words in all, so many to the left and the rest to the right.
+
+    Returns, one entry for each extension that another text of the group has too: the suffix, how many words the passage
+    begins before it, and the lowest rank of a suffix with that passage."""
+    known: dict[bytes, int] = {}
+    n_left, before = _numbers(left, wide, known, True)
+    n_right, after = _numbers(right, wide, known, False)
+    to_left, to_right = (_prefixes(group, w, len(known) + 1) for w in (before, after))
+    found = []
+    for j in range(wide + 1):
+        x = np.flatnonzero((n_left >= j) & (n_right >= wide - j))
+        if len(x):
+            same = to_left[j][x] * len(group) + to_right[wide - j][x]
+            order = np.argsort(same, kind="stable")
+            x, starts = x[order], run_starts(same[order])
+            sizes = np.diff(np.r_[starts, len(x)])
+            several = np.minimum.reduceat(texts[x], starts) < np.maximum.reduceat(texts[x], starts)
+            hit = np.repeat(several, sizes)
+            found.append((x[hit], np.full(int(hit.sum()), j), np.repeat(np.minimum.reduceat(rank[x], starts), sizes)[hit]))
+    empty = np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, head: int = HEAD, group: int = GROUP) -> DataFrame:
     """Find the passages of at least `span` words (lower-cased, whatever the whitespace) that two rows or more have.
 
     Returns one row per input row: id_col, n_words, spans (start and end word of each maximal run of words that lie in a
     repeated passage, end excluded), n_repeated (words in them), first_id (the smallest id that has one of these
     passages, or null without any).
 
-    1. Suffixes at minimiser positions are sorted by their head, first in each task, then by shuffle, and each is
-    compared with its neighbours: a head that two different texts have is a match. A task passes on at most two rows of
-    a head, so a passage that all texts have weighs as any other. 2. A match is extended: every passage of `span` words
-    that holds the head, up to span - head words to the left and to the right, is looked up among those of all other
-    matches. Only these passages are shuffled, not the texts; the heads reach the texts as a filter of bounded size.
-    3. Passages that two different texts have are joined into runs. Texts that are equal as a whole are one text; they
-    are repeated from end to end, if long enough.
+    1. Suffixes at minimiser positions are sorted by the words of their heads, in each task and then in ranges over all
+    tasks, and each is compared with its neighbour: a head that two different texts have is a match. A task passes on one
+    row for each head, so a passage that all texts have weighs as any other. 2. Matched suffixes meet by their head, with
+    the words on both sides that a passage around it may have, and are extended: suffixes that agree in j words to the
+    left and in span - head - j to the right have a passage in common. All words are compared. Texts find their matched
+    suffixes by a filter of bounded size; what it lets through in vain meets no other. A head with more than `group`
+    suffixes is not brought together: each of its passages is looked up by 128 bits of hash instead, combined in each
+    task before the shuffle. 3. Passages that two different texts have are joined into runs. Texts that are equal as a
+    whole (by 64 bits of hash) are one text; they are repeated from end to end, if long enough.
 
     * Null and empty texts, and those shorter than span, have no spans. A null id never is first_id, unless all are null.
     * Rows with the same id and text count as two rows; so do rows with the same id and another text.
+    * A passage that repeats within one row alone is not reported.
     * An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     TEXT, SUFFIX = 0, 1
-    schema = StructType([StructField("kind", IntegerType()), source.schema["id"], StructField("a", LongType()), StructField("b", LongType()), StructField("c", LongType())])
-    id_type = pa.null()
+    id_type = source.schema["id"].dataType
+    schema = StructType([StructField("kind", IntegerType()), StructField("id", id_type), StructField("head", BinaryType()), StructField("a", LongType()), StructField("b", LongType()), StructField("n", LongType())])
+    wide = span - head
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, texts, size = WordHashes(), [], [], 0
+        hashes = WordHashes()
+        held: dict[bytes, tuple[int, int, int]] = {}  # of each head the first and last text, and how many suffixes have it
 
         def suffixes(like: pa.DataType) -> Iterator[pa.RecordBatch]:
-            if keys:
-                k, t = np.concatenate(keys), np.concatenate(texts)
-                order = np.lexsort((t, k))
-                k, lo, hi = neighbours(k[order], t[order])
-                for i in range(0, len(k), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), SUFFIX, np.int32)), pa.nulls(len(k[part]), like), pa.array(k[part]), pa.array(lo[part]), pa.array(hi[part])], names=schema.names)
-                keys.clear()
-                texts.clear()
-
-        like = id_type
+            array = sorted(held)
+            for i in range(0, len(array), 20_000):
+                part = array[i : i + 20_000]
+                lo, hi, n = zip(*map(held.__getitem__, part), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), SUFFIX, np.int32)), pa.nulls(len(part), like), pa.array(part, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(n, pa.int64())], names=schema.names
+                )
+            held.clear()
+
+        like = pa.null()
         for b in batches:
             like = b.column("id").type
-            ids, counts = [], []
+            keys, counts = [], []
             for x in b.column("text").to_pylist():
-                words = x.lower().split()
-                d = text_key(words)
-                ids.append(d)
-                counts.append(len(words))
-                if len(words) >= span:
-                    _, k = retained(hashes.of(words), span, head)
-                    keys.append(signed(np.unique(k)))
-                    texts.append(np.full(len(keys[-1]), d, np.int64))
-                    size += len(keys[-1])
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TEXT, np.int32)), b.column("id"), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(n, pa.int64())], names=schema.names)
-            if size > SORTED:
-                yield from suffixes(like)
-                size = 0
+                text = Words(x)
+                d = text.key
+                keys.append(d)
+                counts.append(len(text.words))
+                if len(text.words) >= span:
+                    at = retained(hashes.of(text.words), span, head)
+                    for s in text.runs(at, at + head):
+                        lo, hi, n = held.get(s, (d, d, 0))
+                        held[s] = min(lo, d), max(hi, d), n + 1
+                    if len(held) > SORTED:
+                        yield from suffixes(like)
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TEXT, np.int32)), b.column("id"), pa.nulls(n, pa.binary()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int64()), pa.array(counts, pa.int64())], names=schema.names)
         yield from suffixes(like)
 
     first = materialize(source.mapInArrow(first_pass, schema), "suffix-first")
-    rows = first.where(F.col("kind") == TEXT).select("id", F.col("a").alias("d"), F.col("b").alias("n_words"))
+    rows = first.where(F.col("kind") == TEXT).select("id", F.col("a").alias("d"), F.col("n").alias("n_words"))
     n = rows.count()
     texts = materialize(rows.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "suffix-texts", n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Heads whose neighbour in the sorted array has the same head and another text."""
-        last: tuple[int, int, int] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, lo, hi = (b.column(c).to_numpy() for c in ("a", "b", "c"))
-            if last:
-                k, lo, hi = np.r_[last[0], k], np.r_[last[1], lo], np.r_[last[2], hi]
-            starts = run_starts(k)
-            low, high = np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
-            last = int(k[starts[-1]]), int(low[-1]), int(high[-1])
-            matched = k[starts[:-1]][low[:-1] != high[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(matched)], names=["key"])
-        if last and last[1] != last[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64())], names=["key"])
-
-    sorted_ = first.where(F.col("kind") == SUFFIX).select("a", "b", "c").repartition("a").sortWithinPartitions("a")
-    matches = materialize(sorted_.mapInArrow(compare, StructType([StructField("key", LongType())])), "suffix-matches", 8 * n)
-    wide, shared = key_filter(matches, lambda wide: [F.shiftrightunsigned("key", 18 * j).bitwiseAND(wide - 1) for j in range(3)])
-    passage = StructType([StructField("d", LongType()), StructField("at", ArrayType(IntegerType())), StructField("h", ArrayType(LongType()))])
+        """Heads whose neighbour in the sorted array has the same head and another text, and how many suffixes have each."""
+        for t in _groups(batches, "head", EXTENDED):
+            heads = t["head"].combine_chunks()
+            starts = np.flatnonzero(np.r_[True, pc.not_equal(heads[1:], heads[:-1]).to_numpy(zero_copy_only=False)])
+            low, high, count = np.minimum.reduceat(t["a"].to_numpy(), starts), np.maximum.reduceat(t["b"].to_numpy(), starts), np.add.reduceat(t["n"].to_numpy(), starts)
+            matched = low < high
+            keys = [head_key(x) for x in heads.take(pa.array(starts[matched])).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(count[matched], pa.int64())], names=["key", "n"])
+
+    sorted_ = first.where(F.col("kind") == SUFFIX).select("head", "a", "b", "n").repartitionByRange("head").sortWithinPartitions("head")
+    matches = materialize(sorted_.mapInArrow(compare, "key long, n long"), "suffix-matches")
+    places = lambda wide: [F.shiftrightunsigned("key", 18 * j).bitwiseAND(wide - 1) for j in range(3)]
+    filters = [key_filter(m.select("key"), places) for m in (matches, matches.where(F.col("n") > group))]
+    HEADS, PASSAGES = 0, 1
+    near = StructType(
+        [StructField("kind", IntegerType()), StructField("d", LongType()), StructField("at", ArrayType(IntegerType())), StructField("head", BinaryType()), StructField("left", BinaryType()), StructField("right", BinaryType())]
+        + [StructField(c, ArrayType(LongType())) for c in ("h", "h2")]
+    )
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), shared.value
+        hashes, bits = WordHashes(), [(w, x.value) for w, x in filters]
         given: set[int] = set()  # equal texts in one task are given once
         for b in batches:
             out: list[tuple] = []
             if len(given) > 300_000:
                 given.clear()
             for x in b.column("text").to_pylist():
-                words = x.lower().split()
-                if len(words) < span or (d := text_key(words)) in given:
+                text = Words(x)
+                size = len(text.words)
+                if size < span or text.key in given:
                     continue
-                given.add(d)
-                h = hashes.of(words)
-                at, k = retained(h, span, head)
-                at = at[may_hold(bits, *[(k >> np.uint64(18 * j)) & np.uint64(wide - 1) for j in range(3)])]
-                if not len(at):
-                    continue
-                near = np.zeros(len(words) - span + 1, bool)
-                for j in range(span - head + 1):
-                    i = at - j
-                    near[i[(i >= 0) & (i < len(near))]] = True
-                i = np.flatnonzero(near)
-                out.append((d, i.astype(np.int32), signed(long_gram_hashes(h, span)[i])))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int32())), pa.array(cols[2], pa.list_(pa.int64()))], names=passage.names)
-
-    around = materialize(source.mapInArrow(second_pass, passage), "suffix-around")
-    each = around.join(texts.select("d", "first"), "d").select("d", "first", F.explode(F.arrays_zip("at", "h")).alias("x")).select("d", "first", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
-    both = each.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("first").alias("other_first")).where("lo <> hi")
-    both = materialize(both.select("h", "other_first"), "suffix-both", n)
-    hits = each.select("d", "at", "h").join(both, "h").groupBy("d").agg(F.collect_set("at").alias("at"), F.min("other_first").alias("other_first"))
-    spans = StructType([StructField("d", LongType()), StructField("other_first", source.schema["id"].dataType), StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
+                given.add(text.key)
+                h = hashes.of(text.words)
+                at = retained(h, span, head)
+                heads = text.runs(at, at + head)
+                k = np.array([head_key(s) for s in heads], np.int64).view(np.uint64)
+                matched, frequent = (may_hold(x, *[(k >> np.uint64(18 * j)) & np.uint64(w - 1) for j in range(3)]) for w, x in bits)
+                i = np.flatnonzero(matched & ~frequent)
+                start, end = np.maximum(at[i] - wide, 0), np.minimum(at[i] + span, size)
+                lefts, rights = text.runs(start, at[i]), text.runs(at[i] + head, end)
+                out += [(HEADS, text.key, [a], heads[m], left, right, None, None) for a, m, left, right in zip(at[i].tolist(), i.tolist(), lefts, rights, strict=True)]
+                i = at[matched & frequent]
+                if len(i):
+                    around = np.zeros(size - span + 1, bool)
+                    for j in range(wide + 1):
+                        p = i - j
+                        around[p[(p >= 0) & (p < len(around))]] = True
+                    p = np.flatnonzero(around)
+                    out.append((PASSAGES, text.key, p.astype(np.int32), None, None, None, signed(long_gram_hashes(h, span)[p]), signed(long_gram_hashes(mix(h), span)[p])))
+                if len(out) > 20_000:
+                    yield batch_of(out)
+                    out = []
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=near.names)
+
+    around = materialize(source.mapInArrow(second_pass, near), "suffix-around")
+    found = StructType([StructField("d", LongType()), StructField("at", ArrayType(IntegerType())), StructField("other_first", id_type)])
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "head", EXTENDED):
+            heads = t["head"].combine_chunks()
+            number = np.cumsum(np.r_[False, pc.not_equal(heads[1:], heads[:-1]).to_numpy(zero_copy_only=False)]).astype(np.int64)
+            ids = t["first"].combine_chunks()
+            order = pc.sort_indices(ids).to_numpy().astype(np.int64)  # nulls last
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            d, position = t["d"].to_numpy(), t["position"].to_numpy().astype(np.int64)
+            x, j, lowest = extend(number, t["left"].to_pylist(), t["right"].to_pylist(), d, rank, wide)
+            by = np.argsort(x, kind="stable")
+            x, j, lowest = x[by], j[by], lowest[by]
+            starts = run_starts(x)
+            if len(starts):
+                at = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(x)], pa.int32()), pa.array((position[x] - j).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(d[x[starts]]), at, ids.take(pa.array(order[np.minimum.reduceat(lowest, starts)]))], names=found.names)
+
+    known = around.join(texts.select("d", "first"), "d")
+    members = known.where(F.col("kind") == HEADS).select("head", "left", "right", "d", F.col("at")[0].alias("position"), "first")
+    hits = members.repartition("head").sortWithinPartitions("head").mapInArrow(extended, found)
+    if matches.where(F.col("n") > group).limit(1).count():
+        each = known.where(F.col("kind") == PASSAGES).select("d", "first", F.explode(F.arrays_zip("at", "h", "h2")).alias("x")).select("d", "first", "x.at", "x.h", "x.h2")
+        both = each.groupBy("h", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("first").alias("other_first")).where("lo <> hi")
+        both = materialize(both.select("h", "h2", "other_first"), "suffix-both")
+        hits = hits.unionByName(each.join(both, ["h", "h2"]).groupBy("d").agg(F.collect_set("at").alias("at"), F.min("other_first").alias("other_first")))
+    hits = hits.groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("other_first").alias("other_first"))
+    spans = StructType([StructField("d", LongType()), StructField("other_first", id_type), StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             found = []
             for at in b.column("at").to_pylist():
-                a = np.sort(np.array(at))
+                a = np.unique(np.array(at))
                 s = np.flatnonzero(np.r_[True, np.diff(a) > span])
                 e = np.r_[s[1:], len(a)] - 1
                 found.append([{"start": x, "end": y + span} for x, y in zip(a[s].tolist(), a[e].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("d"), b.column("other_first"), pa.array(found, kind)], names=spans.names)
 
-    partly = materialize(hits.mapInArrow(runs, spans), "suffix-spans", n)
+    partly = materialize(hits.mapInArrow(runs, spans), "suffix-spans")
     known = materialize(texts.join(partly, "d", "left"), "suffix-known", n)
     full = (F.col("copies") > 1) & (F.col("n_words") >= span)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
