@@ -70,6 +70,35 @@ def test_medians(spark):
         assert d == sum(abs(x - want) for x in xs)
 
 
+def test_medians_equal_enumeration(spark, monkeypatch):
+    """On a grid of streets, with the kernel and by relaxation, the bound around the hub loses no median."""
+    rng = random.Random(5)
+    road = lines(spark, *[[(10 * k, 10 * i) for k in range(5)] for i in range(5)], *[[(10 * i, 10 * k) for k in range(5)] for i in range(5)])
+    rows = [(rng.randrange(41), 10 * rng.randrange(5)) for _ in range(24)]
+    n, e, p = inserted(spark, road, rows, [i % 3 for i in range(24)])
+    arcs = [(r["u"], r["v"], r["length"]) for r in e.collect()]
+    ids = sorted({x for u, v, _ in arcs for x in (u, v)})
+    d = {(a, b): 0.0 if a == b else float("inf") for a in ids for b in ids}
+    for u, v, w in arcs:
+        d[u, v] = d[v, u] = min(w, d[u, v])
+    for k in ids:
+        for a in ids:
+            if d[a, k] < float("inf"):
+                for b in ids:
+                    d[a, b] = min(d[a, b], d[a, k] + d[k, b])
+    want = {}
+    for c in range(3):
+        at = [r["node"] for r in p.where(F.col("cluster") == c).collect()]
+        sums = {v: sum(d[v, x] for x in at) for v in ids}
+        want[c] = min(v for v in ids if sums[v] <= min(sums.values()) + 1e-9)
+    for most in (paths.KERNEL_ARCS, 0):
+        monkeypatch.setattr(paths, "KERNEL_ARCS", most)
+        m = median.cluster_medians(p, n, e)
+        assert {r["cluster"]: r["center_network_node"] for r in m.collect()} == want
+        got = median.median_distances(p, m, e).select("cluster", "node", "distance_to_cluster_median").collect()
+        assert len(got) == 24 and all(abs(x - d[want[c], v]) < 1e-9 for c, v, x in got)
+
+
 def test_two_dense_groups(spark):
     v, a = roads.build_network(lines(spark, [(0, 0), (100, 0)]))
     xs = [*range(1, 6), *range(95, 100)]

@@ -19,6 +19,7 @@ MOST_SECTORS = 2 * BITS
 def validated(table: DataFrame) -> DataFrame:
     """Normal sector ids on both axes, each pair once, equal axes, finite values of 0 or more."""
     t = table.select(sector_id(F.col("source")).alias("source"), sector_id(F.col("target")).alias("target"), F.col("value").cast("double").alias("value"))
+    t = materialize(t, "io-table")  # a row for each pair of sectors; checks and users read it, not what it came from
     require(t.where("source is null or target is null"), "rows without a sector")
     require(t.where("value is null or isnan(value) or value = double('Infinity') or value < 0"), "values must be finite and not negative")
     require(t.groupBy("source", "target").count().where("count > 1"), "repeated sector pairs")
@@ -29,6 +30,7 @@ def validated(table: DataFrame) -> DataFrame:
 
 def squared(table: DataFrame) -> DataFrame:
     """With a row for every pair of the sectors on either axis; those that a long table leaves out are 0."""
+    table = materialize(table, "io-long")
     names = table.select(F.col("source").alias("s")).union(table.select("target")).distinct().agg(F.collect_list("s").alias("names"))  # the classification's
     pairs = names.select(F.explode("names").alias("source"), "names").select("source", F.explode("names").alias("target"))
     return pairs.join(table, ["source", "target"], "left").na.fill(0.0, ["value"])

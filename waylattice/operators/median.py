@@ -10,17 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .paths import broadcast_graph, distances
+from .paths import broadcast_graph, distances, pair_distances
 from .storage import materialize, require
 
 
-def _sums(demand: DataFrame, edges: DataFrame) -> DataFrame:
-    """type, cluster, node, objective, reached: weighted distance sums from all demand to every node, and the demand that reaches it.
-    Where a worker can hold the graph, each task adds up the demand of a cluster that it has, so demand by node rows never exist."""
-    shared = broadcast_graph(edges)
+#: Added to bounds of distances, by which rounding can't lose a node.
+RELATIVE, ABSOLUTE = 1e-9, 1e-9
+
+
+def _sums(demand: DataFrame, edges: DataFrame, shared) -> DataFrame:
+    """type, cluster, node, objective, reached: weighted distance sums from all demand to the nodes within `bound` of the hub, and the
+    demand that reaches them. Where a worker can hold the graph, each task adds up the demand of a cluster that it has, so demand
+    by node rows never exist."""
+    far = (F.col("from_hub") + F.col("bound")) * (1 + RELATIVE) + ABSOLUTE
     if shared is None:
-        d = distances(demand.select(F.col("node").alias("source")), edges)
-        each = demand.withColumnRenamed("node", "source").join(d, "source")
+        d = distances(demand.select(F.col("node").alias("source")), edges, demand.agg(F.max(far)).first()[0], False)
+        each = demand.select("type", "cluster", F.col("node").alias("source"), "w").join(d, "source")
         return each.groupBy("type", "cluster", "node").agg(F.sum(F.col("w") * F.col("distance")).alias("objective"), F.sum("w").alias("reached"))
     schema = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("node", LongType()), StructField("objective", DoubleType()), StructField("reached", LongType())])
 
@@ -34,29 +39,42 @@ def _sums(demand: DataFrame, edges: DataFrame) -> DataFrame:
             )
 
         for b in batches:
-            for t, c, node, w in zip(*[b.column(x).to_pylist() for x in ("type", "cluster", "node", "w")], strict=True):
+            for t, c, node, w, hub, bound, cutoff in zip(*[b.column(x).to_pylist() for x in ("type", "cluster", "node", "w", "hub", "bound", "far")], strict=True):
                 if (t, c) != key:
                     if key:
                         yield out()
-                    key, total, reached = (t, c), {}, {}
-                for v, d in graph.distances(node)[0].items():
-                    total[v] = total.get(v, 0.0) + w * d
-                    reached[v] = reached.get(v, 0) + w
+                    key, total = (t, c), dict.fromkeys(graph.distances(hub, bound)[0], 0.0)
+                    reached = dict.fromkeys(total, 0)
+                for v, d in graph.distances(node, cutoff)[0].items():
+                    if v in total:
+                        total[v] += w * d
+                        reached[v] += w
         if key:
             yield out()
 
-    parts = demand.repartition("type", "cluster", F.pmod(F.xxhash64("node"), F.lit(16))).sortWithinPartitions("type", "cluster", "node").mapInArrow(run, schema)
+    placed = demand.withColumn("far", far).repartition("type", "cluster", F.pmod(F.xxhash64("node"), F.lit(16)))
+    parts = placed.sortWithinPartitions("type", "cluster", "node").mapInArrow(run, schema)
     return parts.groupBy("type", "cluster", "node").agg(F.sum("objective").alias("objective"), F.sum("reached").alias("reached"))
 
 
 def cluster_medians(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """type, cluster, center_network_node, objective, x, y of points (type, cluster, node): the node with the smallest sum of road
     distances to all points of the cluster; of nodes within max(1e-9, 1e-12 * sum) of it, the smallest. Any node is a candidate.
-    Points of one cluster in different components are an error."""
+    Points of one cluster in different components are an error.
+
+    One node of each cluster, its hub, is solved first. By the triangle inequality the median is at most twice the hub's sum,
+    divided by the number of points, away from it; so only nodes within that bound are summed, and searches from a point end
+    at its distance to the hub plus the bound. What a cluster costs grows with its reach, not with the network."""
+    keys, shared = ["type", "cluster"], broadcast_graph(edges)
     demand = materialize(points.groupBy("type", "cluster", "node").agg(F.count("*").alias("w")), "demand")
-    size = demand.groupBy("type", "cluster").agg(F.sum("w").alias("size"))
-    sums = materialize(_sums(demand, edges).join(size, ["type", "cluster"]).where("reached = size"), "median-sums")
-    require(size.join(sums, ["type", "cluster"], "left_anti").select("type", "cluster"), "clusters that no node reaches as a whole")
+    size = materialize(demand.groupBy(*keys).agg(F.sum("w").alias("size"), F.min("node").alias("hub")), "hubs")
+    demand = demand.join(size, keys)
+    to_hub = pair_distances(demand.select(F.col("hub").alias("source"), F.col("node").alias("target")), edges, shared).toDF("hub", "node", "from_hub")
+    demand = materialize(demand.join(to_hub, ["hub", "node"], "left"), "demand-from-hub")
+    require(demand.where("from_hub is null").select(*keys).distinct(), "clusters that no node reaches as a whole")
+    bound = (2 * F.sum(F.col("w") * F.col("from_hub")) / F.first("size")) * (1 + RELATIVE) + ABSOLUTE
+    demand = demand.join(demand.groupBy(*keys).agg(bound.alias("bound")), keys)
+    sums = materialize(_sums(demand, edges, shared).join(size.drop("hub"), keys).where("reached = size"), "median-sums")
     best = sums.groupBy("type", "cluster").agg(F.min("objective").alias("best"))
     slack = F.greatest(F.lit(1e-9), 1e-12 * F.abs("best"))
     tied = sums.join(best, ["type", "cluster"]).where(F.col("objective") <= F.col("best") + slack)
@@ -69,8 +87,8 @@ def median_distances(points: DataFrame, centers: DataFrame, edges: DataFrame) ->
     keys = ["type", "cluster"]
     require(points.join(centers, keys, "left_anti").select("point_id", *keys), "points of clusters without a center")
     asked = points.join(centers.select(*keys, F.col("center_network_node").alias("source")), keys)
-    d = distances(centers.select(F.col("center_network_node").alias("source")), edges)
-    out = asked.join(d.withColumnRenamed("distance", "distance_to_cluster_median"), ["source", "node"], "left")
+    d = pair_distances(asked.select("source", F.col("node").alias("target")), edges).toDF("source", "node", "distance_to_cluster_median")
+    out = asked.join(d, ["source", "node"], "left")
     out = materialize(out.withColumn("point_center_distance_method", F.lit("network_shortest_path")).drop("source"), "median-distances")
     require(out.where("distance_to_cluster_median is null").select("point_id", *keys), "points without a road to their center")
     return out

@@ -27,9 +27,10 @@ class Graph:
         self.to, self.length = b[order], w[order]
         self.start = np.searchsorted(a[order], np.arange(n + 1))
 
-    def distances(self, source: int, cutoff: float | None = None, paths: bool = False) -> tuple[dict[int, float], dict[int, int]]:
+    def distances(self, source: int, cutoff: float | None = None, paths: bool = False, targets: set[int] | None = None) -> tuple[dict[int, float], dict[int, int]]:
         """Distance of every node within the cutoff, and if asked the node before it on a shortest path; of equal paths, by the
-        smallest node before."""
+        smallest node before. With targets, only until these are reached."""
+        left = len(targets) if targets is not None else -1
         done: dict[int, float] = {}
         before: dict[int, int] = {}
         heap = [(0.0, source, -1)]
@@ -40,6 +41,10 @@ class Graph:
             done[x] = d
             if paths:
                 before[x] = p
+            if targets is not None and x in targets:
+                left -= 1
+                if not left:
+                    break
             if x + 1 >= len(self.start):
                 continue
             for i in range(self.start[x], self.start[x + 1]):
@@ -93,6 +98,36 @@ def distances(sources: DataFrame, edges: DataFrame, cutoff: float | None = None,
     return one.repartition("source").mapInArrow(run, schema)
 
 
+def pair_distances(pairs: DataFrame, edges: DataFrame, shared=None) -> DataFrame:
+    """source, target, distance of distinct pairs that roads connect. Each source is solved once, as far as its farthest target; only
+    the pairs asked for leave a task. shared: the graph, if it was broadcast before."""
+    asked = pairs.select("source", "target").distinct()
+    shared = shared or broadcast_graph(edges)
+    if shared is None:
+        return relaxed(asked, edges).withColumnRenamed("node", "target").join(asked, ["source", "target"])
+    names = ["source", "target", "distance"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, source, targets = shared.value, None, []
+
+        def solved() -> pa.RecordBatch:
+            d, _ = graph.distances(source, targets=set(targets))
+            found = [t for t in targets if t in d]
+            return pa.RecordBatch.from_arrays([pa.array([source] * len(found), pa.int64()), pa.array(found, pa.int64()), pa.array([d[t] for t in found], pa.float64())], names=names)
+
+        for b in batches:
+            for s, t in zip(b.column("source").to_pylist(), b.column("target").to_pylist(), strict=True):
+                if s != source and targets:
+                    yield solved()
+                    targets = []
+                source = s
+                targets.append(t)
+        if targets:
+            yield solved()
+
+    return asked.repartition("source").sortWithinPartitions("source").mapInArrow(run, "source long, target long, distance double")
+
+
 def paths_to(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """source, target, distance, path (nodes from source to target) of distinct pairs; null where no road leads. Each source is
     solved once for all its targets. Larger graphs than the kernel's are an error here, as paths are for cluster medians."""
