@@ -6,6 +6,7 @@ from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import OP9_SQL, op9_jaccard_join
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import OP5_SQL, op5_mix_sources
 from .quality import op6_quality
 from .suffix_dedup import OP4_SQL, op4_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -34,4 +36,5 @@ ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op9_jaccard_join": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
