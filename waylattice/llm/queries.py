@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op12_byte_bpe
 from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES = {
