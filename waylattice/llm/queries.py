@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op12_byte_bpe
 from .chat import OP2_SQL, op2_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .divergence import OP13_SQL, op13_source_divergence
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .merkle import OP11_SQL, op11_merkle_manifest
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
@@ -39,4 +41,5 @@ ORACLES = {
     "op9_jaccard_join": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
