@@ -142,7 +142,7 @@ class Manifest:
         both = [(k, r, b) for k, all_ in (("source", self.blocks), ("root", self.over)) for r, b in enumerate(all_)]
         out = None
         for kind, r, b in both:
-            b = b.select(F.lit(kind).alias("kind"), F.lit(r).alias("round"), F.when(F.col("tree") != "-", F.substring("tree", 2, 2**31 - 1)).alias("source"), "block", "leaves", "height", "nodes", "digest")
+            b = b.select(F.lit(kind).alias("kind"), F.lit(r).alias("round"), F.when(F.col("tree").startswith("="), F.substring("tree", 2, 2**31 - 1)).alias("source"), "block", "leaves", "height", "nodes", "digest")
             out = b if out is None else out.unionByName(b)
         return out
 
