@@ -88,10 +88,10 @@ def test_whole_queries_leave_no_sector_out(spark):
     from waylattice.plans.catalog import QUERIES
 
     d = "/root/testdata/sf0.001"
-    wide = QUERIES["io_matrix_whole"](spark, d)
+    wide = QUERIES["io_matrix_wide"](spark, d)
     assert wide.columns == ["source", *[f"{i:02d}" for i in range(1, 26)]]
     z = QUERIES["io_transactions_long"](spark, d).collect()
     got = {(r["source"], c): r[c] for r in wide.collect() for c in wide.columns[1:] if r[c] is not None}
     assert got == {(r["source"], r["target"]): r["cents"] for r in z}
-    best, fast = QUERIES["mwas_exact_whole"](spark, d).first()[0], sum(r["cents"] for r in QUERIES["mwas_fast_edges"](spark, d).collect())
+    best, fast = QUERIES["mwas_exact_objective"](spark, d).first()[0], sum(r["cents"] for r in QUERIES["mwas_fast_edges"](spark, d).collect())
     assert best >= fast > 0

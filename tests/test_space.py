@@ -211,17 +211,17 @@ def test_whole_queries_take_every_event(spark):
     from waylattice.plans.catalog import QUERIES
 
     d = "/root/testdata/sf0.01"
-    rows = QUERIES["point_median_distance_whole"](spark, d).collect()
+    rows = QUERIES["point_median_distance"](spark, d).collect()
     assert len({r["point_id"] for r in rows}) == len(rows) == spark.read.parquet(f"{d}/events.parquet").count()
     sums = {}
     for r in rows:
         sums[r["type"], r["cluster"]] = sums.get((r["type"], r["cluster"]), 0.0) + r["distance"]
-    medians = {(r["type"], r["cluster"]): r["objective"] for r in QUERIES["network_median_whole"](spark, d).collect()}
+    medians = {(r["type"], r["cluster"]): r["objective"] for r in QUERIES["network_median"](spark, d).collect()}
     # each point has its weight, and the corner has clusters of its own
     assert medians == pytest.approx(sums, abs=1e-2) and {c for _, c in medians} >= {0, 1, 2, 3} and max(c for _, c in medians) > 3
-    areas = QUERIES["partition_area_whole"](spark, d).collect()
+    areas = QUERIES["partition_area"](spark, d).collect()
     assert {(r["type"], r["cluster"]) for r in areas} <= medians.keys() and any(r["cluster"] > 3 for r in areas)
-    assert any(r["cluster"] > 3 for r in QUERIES["voronoi_node_owner_whole"](spark, d).select("cluster").distinct().collect())
+    assert any(r["cluster"] > 3 for r in QUERIES["voronoi_node_owner"](spark, d).select("cluster").distinct().collect())
 
 
 def test_towns_have_every_event(spark):

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..functions.geometry import line_wkb, multipolygon_wkb, outline, point_wkb, polygons_of, read_wkb, to_wgs84
+from ..functions.overlay import cut
 from ..functions.sectors import node_id
 from ..sources.vectors import write_geopackage
 
 
-def partitions_of(cells: DataFrame, origin: tuple[float, float], resolution: float, split: int = 2, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+def partitions_of(cells: DataFrame, origin: tuple[float, float], resolution: float, split: int = 2, box: tuple[float, float, float, float] | None = None, boundary=None) -> DataFrame:
     """type, cluster, geometry: the outline of each territory, one territory in memory at a time. Corners beyond the boundary's box
-    move onto it."""
+    move onto it. With a boundary (polygons, a geometry that every task gets), outlines are cut along it, its holes included."""
     schema = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("geometry", BinaryType())])
     grouped = cells.groupBy("type", "cluster", "level").agg(F.collect_list(F.struct("ix", "iy")).alias("cells"))  # max_cells at most
 
@@ -29,7 +30,8 @@ def partitions_of(cells: DataFrame, origin: tuple[float, float], resolution: flo
             for level, own in zip(b.column("level").to_pylist(), b.column("cells").to_pylist(), strict=True):
                 size = resolution / split**level
                 place = lambda p, size=size: tuple(min(max(origin[k] + p[k] * size, box[k]), box[k + 2]) if box else origin[k] + p[k] * size for k in (0, 1))
-                out.append(multipolygon_wkb([[[place(p) for p in ring] for ring in polygon] for polygon in outline((c["ix"], c["iy"]) for c in own)]))
+                found = [[[place(p) for p in ring] for ring in polygon] for polygon in outline((c["ix"], c["iy"]) for c in own)]
+                out.append(multipolygon_wkb(cut(found, boundary) if boundary else found))
             yield pa.RecordBatch.from_arrays([b.column("type"), b.column("cluster"), pa.array(out, pa.binary())], names=schema.names)
 
     return grouped.mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""Territories that come as polygons, from anyone: checks, and which of them overlap."""
+"""Territories that come as polygons, from anyone: checks, which of them overlap, and what they cover together."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.geometry import MULTIPOLYGON, POLYGON, area, clip, is_simple, multipolygon_wkb, overlap_area, polygons_of, read_wkb, reproject
+from ..functions.geometry import MULTIPOLYGON, POLYGON, area, clip, multipolygon_wkb, overlap_area, polygons_of, read_wkb, reproject
+from ..functions.overlay import difference, invalid, union
 from .points import normal_type
 from .storage import materialize, require
 
@@ -18,24 +19,26 @@ from .storage import materialize, require
 LEAST_SHARE = 1e-9
 #: Pieces of a polygon that are written at once.
 PIECES = 512
+#: A polygon is cut in cells of a width that is a power of two, between 2 ** -FINE of its own width and half of that.
+FINE = 2
+#: Pieces of one cell that are united in one task.
+MEET = 256
 
 _CHECKED = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("geometry", BinaryType()), *[StructField(c, DoubleType()) for c in ("area", "x0", "y0", "x1", "y1")], StructField("problem", StringType())])
-_PIECE = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("kx", LongType()), StructField("ky", LongType()), StructField("piece", BinaryType()), StructField("area", DoubleType())])
+_PIECE = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("level", LongType()), StructField("kx", LongType()), StructField("ky", LongType()), StructField("piece", BinaryType()), StructField("area", DoubleType())])
 
 
 def _problem(kind: int, polygons, size: float) -> str | None:
     if kind not in (POLYGON, MULTIPOLYGON) or not polygons:
         return "not one polygonal geometry that is not empty"
-    if not all(p and all(is_simple(r) for r in p) for p in polygons):
-        return "rings that are open, flat or cross themselves"
-    return None if 0 < size < math.inf else "no area"
+    return (invalid(polygons) if all(polygons) else "a polygon without rings") or (None if 0 < size < math.inf else "no area")
 
 
 def clean_partitions(partitions: DataFrame, source: int | None = None, target: int | None = None) -> DataFrame:
     """type, cluster, geometry, area and box (x0, y0, x1, y1) of territories, in another reference system if both codes are given.
 
     ValueError if a column is missing, a cluster is negative or null, a key repeats, or a geometry is null, empty, not
-    polygonal, without an area, or has a ring that is open or crosses itself. An empty table stays empty; other columns go."""
+    polygonal, without an area, or has a ring that is open or rings that cross themselves or each other. An empty table stays empty; other columns go."""
     if missing := sorted({"type", "cluster", "geometry"} - {*partitions.columns}):
         raise ValueError(f"partitions lack the columns {', '.join(missing)}")
     rows = normal_type(partitions.select("type", "cluster", "geometry")).select("type", F.col("cluster").cast("long").alias("cluster"), "geometry")
@@ -65,19 +68,22 @@ def _arrow(schema: StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.typeName()]) for f in schema.fields])
 
 
-def pieces(partitions: DataFrame, size: float) -> DataFrame:
-    """The parts of each polygon in the cells of a grid over the plane: type, cluster, kx, ky, piece, area."""
+def pieces(partitions: DataFrame) -> DataFrame:
+    """The parts of each polygon in the cells of a grid over the plane: type, cluster, level, kx, ky, piece, area. A cell is 2 ** level wide, and
+    the level goes by the polygon's own width, so that a polygon of any width has (2 ** (FINE + 1) + 1) ** 2 pieces at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 polygons, out = polygons_of(read_wkb(r["geometry"])), []
+                level = math.floor(math.log2(max(r["x1"] - r["x0"], r["y1"] - r["y0"]))) - FINE
+                size = 2.0**level
                 for kx in range(math.floor(r["x0"] / size), math.floor(r["x1"] / size) + 1):
                     strip = clip(polygons, (kx * size, r["y0"], (kx + 1) * size, r["y1"]))
                     for ky in range(math.floor(r["y0"] / size), math.floor(r["y1"] / size) + 1) if strip else ():
                         piece = clip(strip, (kx * size, ky * size, (kx + 1) * size, (ky + 1) * size))
                         if piece and (a := area(piece)) > 0:
-                            out.append({"type": r["type"], "cluster": r["cluster"], "kx": kx, "ky": ky, "piece": multipolygon_wkb(piece), "area": a})
+                            out.append({"type": r["type"], "cluster": r["cluster"], "level": level, "kx": kx, "ky": ky, "piece": multipolygon_wkb(piece), "area": a})
                         if len(out) >= PIECES:
                             yield pa.RecordBatch.from_pylist(out, _arrow(_PIECE))
                             out = []
@@ -87,16 +93,28 @@ def pieces(partitions: DataFrame, size: float) -> DataFrame:
     return partitions.select("type", "cluster", "geometry", "x0", "y0", "x1", "y1").mapInArrow(run, _PIECE)
 
 
+def _lifted(cut: DataFrame, levels: list[int], own: bool) -> DataFrame:
+    """Each piece for its cell and for all wider cells that hold it (only those, unless own), of the levels that occur: columns at, cx, cy."""
+    at = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level") if own else x > F.col("level"))
+    up = lambda k: F.floor(F.col(k) * F.pow(F.lit(2.0), F.col("level") - F.col("at"))).cast("long")
+    return cut.withColumn("at", F.explode(at)).withColumn("cx", up("kx")).withColumn("cy", up("ky"))
+
+
+def _levels(cut: DataFrame) -> list[int]:
+    """One value for each doubling of the width of polygons, so a few tens."""
+    return sorted(r[0] for r in cut.select("level").distinct().collect())
+
+
 def polygon_overlaps(partitions: DataFrame, dag: DataFrame) -> DataFrame:
     """source_type, source_cluster, target_type, target_cluster of polygons (as clean_partitions gives them) of types that the graph
     joins and that share an area; a common edge or corner is none.
 
-    Polygons are cut along a grid whose cells are as wide as polygons are on average, pieces meet in cells, and the area that two share is
+    Polygons are cut along grids that nest, each by its own width; pieces meet in the wider one's cells, and the area that two share is
     integrated exactly. A broadcast of pairs of types, at most sectors squared, keeps types apart that the graph does not join."""
-    wide = partitions.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
-    cut = materialize(pieces(partitions, wide or 1.0), "partition-pieces")
-    side = lambda of: cut.select(F.col("type").alias(f"{of}_type"), F.col("cluster").alias(f"{of}_cluster"), "kx", "ky", F.col("piece").alias(f"{of}_piece"), F.col("area").alias(f"{of}_area"))
-    met = side("source").join(F.broadcast(dag.select("source_type", "target_type").distinct()), "source_type").join(side("target"), ["target_type", "kx", "ky"])
+    cut = materialize(pieces(partitions), "partition-pieces")
+    every = _lifted(cut, _levels(cut), True).withColumn("own", F.col("at") == F.col("level"))
+    side = lambda of: every.select(F.col("type").alias(f"{of}_type"), F.col("cluster").alias(f"{of}_cluster"), "at", "cx", "cy", *[F.col(c).alias(f"{of}_{c}") for c in ("piece", "area", "own")])
+    met = side("source").join(F.broadcast(dag.select("source_type", "target_type").distinct()), "source_type").join(side("target"), ["target_type", "at", "cx", "cy"]).where("source_own or target_own")
     keys = ["source_type", "source_cluster", "target_type", "target_cluster"]
     met = met.select(*keys, "source_piece", "target_piece", F.least("source_area", "target_area").alias("least"))
 
@@ -107,3 +125,76 @@ def polygon_overlaps(partitions: DataFrame, dag: DataFrame) -> DataFrame:
             yield b.select(keys).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(run, met.select(*keys).schema).distinct()
+
+
+def _united(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """One piece for each key, the union of its pieces. At most MEET of them meet in a task; where there are more, their unions meet next."""
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("piece", BinaryType())])
+
+    def unite(t: pa.Table) -> pa.Table:
+        whole = union([p for g in t.column("piece").to_pylist() for p in polygons_of(read_wkb(g))]) if len(t) > 1 else None
+        return t.slice(0, 1).select([*keys, "piece"]) if whole is None else pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([multipolygon_wkb(whole)], pa.binary())], names=[*keys, "piece"])
+
+    rows = rows.select(*keys, "piece").distinct()
+    while True:
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / MEET).alias("parts"))
+        one = (sizes.agg(F.max("parts")).first()[0] or 1) <= 1
+        dealt = rows.withColumn("part", F.lit(0)) if one else rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts"))).drop("parts")
+        rows = materialize(dealt.groupBy(*keys, "part").applyInArrow(unite, schema), tag)
+        if one:
+            return rows
+
+
+def disjoint_parts(partitions: DataFrame) -> DataFrame:
+    """type, level, kx, ky, piece, area: what the polygons of a type (as clean_partitions gives them) cover together, in parts that share no area.
+
+    Pieces of one cell are united; from a cell's union goes what wider polygons cover of it. So wide polygons are never cut as finely as narrow
+    ones, and no task holds more than a cell's pieces."""
+    cut = materialize(pieces(partitions), "union-pieces")
+    keys = ["type", "level", "kx", "ky"]
+    whole = _united(cut, keys, "union-cells")
+    wider = whole.select("type", F.col("level").alias("at"), F.col("kx").alias("cx"), F.col("ky").alias("cy"), F.col("piece").alias("over"))
+    over = _lifted(whole.select(*keys), _levels(cut), False).join(wider, ["type", "at", "cx", "cy"]).groupBy(*keys).agg(F.collect_list("over").alias("over"))  # one for each level
+    schema = StructType([*[whole.schema[k] for k in keys], StructField("piece", BinaryType()), StructField("area", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for level, kx, ky, piece, over in zip(*(b.column(c).to_pylist() for c in ("level", "kx", "ky", "piece", "over")), strict=True):
+                part, size = polygons_of(read_wkb(piece)), 2.0**level
+                if over:
+                    box = (kx * size, ky * size, (kx + 1) * size, (ky + 1) * size)
+                    part = difference(part, [q for g in over for q in clip(polygons_of(read_wkb(g)), box)])
+                out.append((multipolygon_wkb(part), area(part)))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.float64())], names=schema.names)
+
+    return whole.join(over, keys, "left").mapInArrow(run, schema).where("area > 0")
+
+
+def dissolve(partitions: DataFrame) -> DataFrame:
+    """type, geometry, area: one geometry for each type, what its polygons cover together. Parts of neighbouring cells are united in cells four
+    times as wide, and so on, so borders between cells vanish where they are; the last rows are the geometries themselves."""
+    parts = materialize(disjoint_parts(partitions), "dissolve-parts")
+    total = parts.groupBy("type").agg(F.sum("area").alias("area"))
+    level = max(_levels(parts), default=0)
+    rows = parts
+    while not rows.groupBy("type").count().where("count > 1").isEmpty():
+        level += 2
+        up = lambda k, to=level: F.floor(F.col(k) * F.pow(F.lit(2.0), F.col("level") - to)).cast("long").alias(k)
+        rows = _united(rows.select("type", F.lit(level).cast("long").alias("level"), up("kx"), up("ky"), "piece"), ["type", "level", "kx", "ky"], "dissolve-cells")
+        low_x, high_x, low_y, high_y = rows.agg(F.min("kx"), F.max("kx"), F.min("ky"), F.max("ky")).first()
+        if min(low_x, low_y) >= -1 and max(high_x, high_y) <= 0:  # cells on both sides of zero never share a wider one
+            rows = _united(rows.select("type", "piece"), ["type"], "dissolved")
+            break
+    return rows.select("type", F.col("piece").alias("geometry")).join(total, "type")
+
+
+def outline_facts(geometries: DataFrame) -> DataFrame:
+    """type, area (of the rings) and valid, for geometries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [polygons_of(read_wkb(g)) for g in b.column("geometry").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("type"), pa.array([area(f) for f in found], pa.float64()), pa.array([invalid(f) is None for f in found], pa.bool_())], names=["type", "area", "valid"])
+
+    return geometries.select("type", "geometry").mapInArrow(run, "type string, area double, valid boolean")

@@ -38,6 +38,14 @@ class SurfaceConfig:
         return round(1 / self.refine_factor)
 
 
+def is_box(boundary: list[list[list[tuple[float, float]]]]) -> bool:
+    """Whether a boundary is one rectangle along the axes."""
+    if len(boundary) != 1 or len(boundary[0]) != 1 or len(boundary[0][0]) != 5:
+        return False
+    xs, ys = zip(*boundary[0][0], strict=True)
+    return {*boundary[0][0]} == {(x, y) for x in (min(xs), max(xs)) for y in (min(ys), max(ys))}
+
+
 def grid(spark: SparkSession, boundary: list[list[list[tuple[float, float]]]], resolution: float, max_cells: int) -> DataFrame:
     """ix, iy, area, px, py of the cells of a boundary's box that have an area within it; px, py is a point inside that part.
 
@@ -49,7 +57,7 @@ def grid(spark: SparkSession, boundary: list[list[list[tuple[float, float]]]], r
     if nx * ny > max_cells:
         raise ValueError(f"{nx * ny} cells; at most {max_cells}")
     cells = spark.range(nx * ny).select((F.col("id") % nx).alias("ix"), F.expr(f"id div {nx}").alias("iy"))
-    if len(boundary) == 1 and len(boundary[0]) == 1 and len(boundary[0][0]) == 5 and {*boundary[0][0]} == {(x0, y0), (x1, y0), (x1, y1), (x0, y1)}:
+    if is_box(boundary):
         left, low = x0 + F.col("ix") * resolution, y0 + F.col("iy") * resolution
         right, top = F.least(left + resolution, F.lit(x1)), F.least(low + resolution, F.lit(y1))
         return cells.select("ix", "iy", ((right - left) * (top - low)).alias("area"), ((left + right) / 2).alias("px"), ((low + top) / 2).alias("py")).where("area > 0")

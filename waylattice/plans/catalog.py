@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import polygon_wkb
 from ..functions.sectors import node_id, sector_id
-from ..operators import density, io_graph, median, paths, points, polygons, roads, scoring, surface, xgraph
+from ..operators import density, io_graph, median, paths, planar, points, polygons, roads, scoring, surface, xgraph
 from ..sources import derived
 from .oracles import ORACLES
 
@@ -79,12 +79,6 @@ def io_matrix_wide(spark, sf_dir):
     return derived.io_z(spark, sf_dir).groupBy("source").pivot("target", [f"{i:02d}" for i in range(1, 26)]).agg(F.sum("cents"))
 
 
-@query
-def io_matrix_whole(spark, sf_dir):
-    """As io_matrix_wide."""
-    return io_matrix_wide(spark, sf_dir)
-
-
 @query
 def technical_coefficients(spark, sf_dir):
     return io_graph.technical_coefficients(_z(spark, sf_dir), _x(spark, sf_dir)).select("source", "target", F.round(F.col("value") * 1e9).cast("long").alias("billionths"))
@@ -126,37 +120,31 @@ def mwas_exact_objective(spark, sf_dir):
     return io_graph.exact_acyclic(spark, _z(spark, sf_dir)).agg(F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("cents"))
 
 
-@query
-def mwas_exact_whole(spark, sf_dir):
-    """As mwas_exact_objective."""
-    return mwas_exact_objective(spark, sf_dir)
-
-
 # --- roads ---
 
 
-def _network(spark):
-    return roads.build_network(derived.road_lines(spark))
+def _network(spark, sf_dir):
+    return roads.build_network(derived.road_lines(spark, sf_dir))
 
 
 def _snapped(spark, sf_dir):
-    vertices, arcs = _network(spark)
+    vertices, arcs = _network(spark, sf_dir)
     return vertices, arcs, roads.materialize(roads.snap(derived.poi(spark, sf_dir), vertices, arcs), "snapped")
 
 
 @query
 def road_vertices(spark, sf_dir):
-    return _network(spark)[0].select("vid", "x", "y")
+    return _network(spark, sf_dir)[0].select("vid", "x", "y")
 
 
 @query
 def road_arcs(spark, sf_dir):
-    return _network(spark)[1]
+    return _network(spark, sf_dir)[1]
 
 
 @query
 def road_components(spark, sf_dir):
-    return _network(spark)[0].groupBy("component").agg(F.count("*").alias("vertices"))
+    return _network(spark, sf_dir)[0].groupBy("component").agg(F.count("*").alias("vertices"))
 
 
 @query
@@ -184,12 +172,12 @@ def augment_edges(spark, sf_dir):
 
 @query
 def sssp_distances(spark, sf_dir):
-    return paths.distances(spark.createDataFrame([(0,), (440,)], "source long"), _network(spark)[1]).select("source", "node", "distance")
+    return paths.distances(spark.createDataFrame([(0,), (440,)], "source long"), _network(spark, sf_dir)[1]).select("source", "node", "distance")
 
 
 @query
 def sssp_relaxed(spark, sf_dir):
-    return paths.relaxed(spark.createDataFrame([(0,), (440,)], "source long"), _network(spark)[1]).select("source", "node", "distance")
+    return paths.relaxed(spark.createDataFrame([(0,), (440,)], "source long"), _network(spark, sf_dir)[1]).select("source", "node", "distance")
 
 
 def _places(spark, sf_dir):
@@ -257,18 +245,8 @@ def clustering_trace(spark, sf_dir):
 
 
 def _given(spark, sf_dir):
-    """Points of four clusters for each type, in the large component, on the network that they are inserted in."""
-    v, a = _network(spark)
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("point_id"), (F.col("user_id") % 4).alias("cluster"))
-    p = derived.poi(spark, sf_dir).join(e, "point_id").groupBy("type", "cluster", "x", "y").agg(F.min(F.col("point_id").cast("long")).cast("string").alias("point_id"))
-    s = roads.snap(p, v, a).where("component = 0")
-    nodes, edges, of = roads.augment(v, a, roads.materialize(s, "given"))
-    return nodes, edges, roads.materialize(s.join(of, "point_id"), "given-points")
-
-
-def _given_whole(spark, sf_dir):
-    """As _given, with every event as a point; those in the corner component are clusters 4 to 7."""
-    v, a = _network(spark)
+    """Every event as a point of one of four clusters for each type, on the network that they are inserted in; those in the corner component are clusters 4 to 7."""
+    v, a = _network(spark, sf_dir)
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("point_id"), (F.col("user_id") % 4).alias("own"))
     s = roads.materialize(roads.snap(derived.poi(spark, sf_dir).join(e, "point_id"), v, a), "given")
     s = s.withColumn("cluster", F.col("own") + F.when(F.col("component") == 0, 0).otherwise(4)).drop("own")
@@ -276,35 +254,6 @@ def _given_whole(spark, sf_dir):
     return nodes, edges, roads.materialize(s.join(of, "point_id"), "given-points")
 
 
-@query
-def network_median_whole(spark, sf_dir):
-    nodes, edges, p = _given_whole(spark, sf_dir)
-    return median.cluster_medians(p, nodes, edges).select("type", "cluster", "center_network_node", F.round("objective", 6).alias("objective"))
-
-
-@query
-def point_median_distance_whole(spark, sf_dir):
-    nodes, edges, p = _given_whole(spark, sf_dir)
-    return median.median_distances(p, median.cluster_medians(p, nodes, edges), edges).select("point_id", "type", "cluster", F.round("distance_to_cluster_median", 6).alias("distance"))
-
-
-@query
-def voronoi_node_owner_whole(spark, sf_dir):
-    nodes, edges, p = _given_whole(spark, sf_dir)
-    return paths.nearest_sources(p, edges).select("type", "node", F.round("distance", 6).alias("distance"), "cluster")
-
-
-@query
-def voronoi_cells_whole(spark, sf_dir):
-    nodes, edges, p = _given_whole(spark, sf_dir)
-    return surface.territories(p, nodes, edges, BOUNDARY, SURFACE)
-
-
-@query
-def partition_area_whole(spark, sf_dir):
-    return voronoi_cells_whole(spark, sf_dir).groupBy("type", "cluster").agg(F.round(F.sum("area"), 6).alias("area"))
-
-
 @query
 def network_median(spark, sf_dir):
     nodes, edges, p = _given(spark, sf_dir)
@@ -334,23 +283,28 @@ def partition_area(spark, sf_dir):
     return voronoi_cells(spark, sf_dir).groupBy("type", "cluster").agg(F.round(F.sum("area"), 6).alias("area"))
 
 
-def _cells(spark) -> DataFrame:
-    """Territories on two levels, by arithmetic: types 01 to 05, four clusters each; odd types on the finer level."""
-    t = spark.range(5).select(F.format_string("%02d", F.col("id") + 1).alias("type"), (F.col("id") % 2).cast("int").alias("level"), F.col("id").alias("k"))
-    n = F.when(F.col("level") == 1, 20).otherwise(10)
-    cells = t.withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))).withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))))
-    return cells.select("type", ((F.col("ix") * 3 + F.col("iy") * 7 + F.col("k") * 5).cast("long") % 31 % 4).alias("cluster"), "level", "ix", "iy", F.lit(1.0).alias("area")).where("(ix + iy) % 3 <> 0 or cluster < 2")
+#: Pairs of types that the queries' graph joins, and their coefficients.
+JOINED = [("01", "02", 0.5), ("02", "03", 0.25), ("01", "05", 0.125), ("04", "02", 2.0)]
+
+
+def _dag(spark) -> DataFrame:
+    return spark.createDataFrame(JOINED, "source_type string, target_type string, technical_coefficient double")
+
+
+def _cells(p: DataFrame) -> DataFrame:
+    """The cells that clusters have points in, on two levels: even types on the finer one."""
+    level = (F.col("type").cast("int") + 1) % 2
+    size = 100 / (F.col("level") + 1)
+    return p.withColumn("level", level).select("type", "cluster", "level", F.floor(F.col("x") / size).alias("ix"), F.floor(F.col("y") / size).alias("iy"), F.lit(1.0).alias("area")).distinct()
 
 
 @query
 def overlap_pairs(spark, sf_dir):
-    dag = spark.createDataFrame([("01", "02"), ("02", "03"), ("01", "05"), ("04", "02")], "source_type string, target_type string")
-    return surface.overlaps(_cells(spark), dag)
+    return surface.overlaps(_cells(_given(spark, sf_dir)[2]), _dag(spark))
 
 
-@query
-def polygon_overlap_pairs(spark, sf_dir):
-    """A box for each customer, as a polygon from anyone: which boxes of joined types share an area."""
+def _customer_boxes(spark, sf_dir) -> DataFrame:
+    """A box for each customer, as a polygon from anyone."""
     k = F.col("c_custkey")
     boxes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.format_string("%02d", F.col("c_nationkey") % 5 + 1).alias("type"), k.cast("long").alias("cluster"), (k * 37 % 1000).cast("double").alias("x0"), ((k * k * 7 + k * 11) % 997).cast("double").alias("y0"),
@@ -362,15 +316,42 @@ def polygon_overlap_pairs(spark, sf_dir):
             g = [polygon_wkb([[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]]) for x, y, w, h in zip(*(b.column(c).to_pylist() for c in ("x0", "y0", "w", "h")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("type"), b.column("cluster"), pa.array(g, pa.binary())], names=["type", "cluster", "geometry"])
 
-    dag = spark.createDataFrame([("01", "02"), ("02", "03"), ("01", "05"), ("04", "02")], "source_type string, target_type string")
-    return polygons.polygon_overlaps(polygons.clean_partitions(boxes.mapInArrow(outlines, "type string, cluster long, geometry binary")), dag)
+    return polygons.clean_partitions(boxes.mapInArrow(outlines, "type string, cluster long, geometry binary"))
+
+
+@query
+def polygon_overlap_pairs(spark, sf_dir):
+    """Which customers' boxes of joined types share an area."""
+    return polygons.polygon_overlaps(_customer_boxes(spark, sf_dir), _dag(spark))
+
+
+@query
+def polygon_union_area(spark, sf_dir):
+    """The area that each type's boxes cover together, from parts that are disjoint."""
+    return polygons.disjoint_parts(_customer_boxes(spark, sf_dir)).groupBy("type").agg(F.round(F.sum("area"), 6).alias("area"))
+
+
+@query
+def polygon_union_outline(spark, sf_dir):
+    """The same from the dissolved outlines, whose rings are traced: their area, and that they are valid."""
+    whole = polygons.dissolve(_customer_boxes(spark, sf_dir))
+    return polygons.outline_facts(whole).select("type", F.round("area", 6).alias("area"), "valid")
+
+
+@query
+def planar_voronoi_area(spark, sf_dir):
+    """Exact Voronoi cells of all suppliers by type, within the box around them."""
+    k = F.col("s_suppkey").cast("long")
+    sites = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.format_string("%02d", F.col("s_nationkey") % 5 + 1).alias("type"), k.alias("cluster"), k.cast("double").alias("x"), (k * 7919 % 1009).cast("double").alias("y"))
+    x1 = sites.agg(F.max("x")).first()[0] + 1
+    box = [[[(0.0, -1.0), (x1, -1.0), (x1, 1010.0), (0.0, 1010.0), (0.0, -1.0)]]]
+    return planar.planar_territories(sites, sites, box).select("type", "cluster", F.round("area", 3).alias("area"))
 
 
 def _x_parts(spark, sf_dir):
-    vertices, arcs = _network(spark)
-    centers = spark.range(20).select(F.format_string("%02d", F.col("id") % 5 + 1).alias("type"), F.expr("id div 5").alias("cluster"), (F.col("id") * 53 % 441).alias("center_network_node"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    dag = spark.createDataFrame([("01", "02", 0.5), ("02", "03", 0.25), ("01", "05", 0.125), ("04", "02", 2.0)], "source_type string, target_type string, technical_coefficient double")
-    return xgraph.cluster_graph(centers, dag, overlap_pairs(spark, sf_dir), arcs)
+    nodes, edges, p = _given(spark, sf_dir)
+    centers = roads.materialize(median.cluster_medians(p, nodes, edges), "given-centers")
+    return xgraph.cluster_graph(centers, _dag(spark), roads.materialize(surface.overlaps(_cells(p), _dag(spark)), "given-overlaps"), edges)
 
 
 @query
@@ -436,7 +417,7 @@ def engine_scores(spark, sf_dir):
 
     z = io_graph.squared(_z(spark, sf_dir))
     p = derived.towns(spark, sf_dir)
-    return score_points(spark, p, derived.road_lines(spark), BOUNDARY, z, io_graph.technical_coefficients(z, _x(spark, sf_dir)), CONFIG, SURFACE).scores.select(
+    return score_points(spark, p, derived.road_lines(spark, sf_dir), BOUNDARY, z, io_graph.technical_coefficients(z, _x(spark, sf_dir)), CONFIG, SURFACE).scores.select(
         "point_id", "type", "cluster", F.round("cluster_centrality", 6).alias("centrality"), F.round("distance_to_cluster_median", 6).alias("distance"), F.round("score", 6).alias("score")
     )
 

@@ -27,8 +27,8 @@ f AS (SELECT 0::BIGINT AS k, (SELECT list(1::BIGINT << i::INTEGER ORDER BY i) FR
   FROM f JOIN e ON e.k = f.k + 1),
 kept AS (SELECT source, target, cents FROM e JOIN f USING (k) WHERE kept)"""
 
-_ARCS = """cell AS (SELECT i, j FROM range(21) a(i), range(21) b(j)),
-hop AS (SELECT i, j, h, i + h AS i2, j + 1 - h AS j2 FROM cell, (VALUES (0), (1)) x(h)),
+_ARCS = """way_key AS (SELECT DISTINCT (l_orderkey * 7 + l_linenumber) % 882 AS k FROM lineitem),
+hop AS (SELECT i, j, h, i + h AS i2, j + 1 - h AS j2 FROM (SELECT k // 2 // 21 AS i, k // 2 % 21 AS j, k % 2 AS h FROM way_key)),
 arc AS (SELECT i * 21 + j AS u, i2 * 21 + j2 AS v, i * 50.0::DOUBLE AS ax, j * 50.0::DOUBLE AS ay, i2 * 50.0::DOUBLE AS ex, j2 * 50.0::DOUBLE AS ey
   FROM hop WHERE i2 < 21 AND j2 < 21 AND (i * 7 + j * 3 + h * 5) % 11 <> 0 AND (i >= 17 AND j >= 17) = (i2 >= 17 AND j2 >= 17)),
 vert AS (SELECT vid, (vid // 21) * 50.0::DOUBLE AS x, (vid % 21) * 50.0::DOUBLE AS y FROM (SELECT u AS vid FROM arc UNION SELECT v FROM arc)),
@@ -72,22 +72,18 @@ way AS (SELECT u AS a, v AS b, length AS w FROM arcs UNION ALL SELECT v, u, leng
 
 _GIVEN = f"""{_SNAP},
 comp AS (SELECT vid, NOT (vid // 21 >= 17 AND vid % 21 >= 17) AS main FROM vert),
-own AS (SELECT k.*, k.user_id % 4 AS cluster FROM keyed k JOIN comp ON comp.vid = k.u AND comp.main),
+own AS (SELECT k.*, k.user_id % 4 + CASE WHEN comp.main THEN 0 ELSE 4 END AS cluster FROM keyed k JOIN comp ON comp.vid = k.u),
 cut AS (SELECT arc_id, o, 441 + row_number() OVER (ORDER BY arc_id, o) - 1 AS node FROM (SELECT DISTINCT arc_id, off AS o FROM own WHERE kind = 1)),
 stop AS (SELECT arc_id, o, node FROM cut UNION ALL SELECT arc_id, 0, u FROM arcs WHERE arc_id IN (SELECT arc_id FROM cut) UNION ALL SELECT arc_id, length, v FROM arcs WHERE arc_id IN (SELECT arc_id FROM cut)),
 piece AS (SELECT node AS a, lead(node) OVER w AS b, lead(o) OVER w - o AS w FROM stop WINDOW w AS (PARTITION BY arc_id ORDER BY o)),
 edge AS (SELECT a, b, w FROM piece WHERE b IS NOT NULL UNION ALL SELECT u, v, length FROM arcs WHERE arc_id NOT IN (SELECT arc_id FROM cut))"""
 
-_CELLS = """base AS (SELECT lpad((k + 1)::VARCHAR, 2, '0') AS type, k, (k % 2)::INTEGER AS level FROM range(5) t(k)),
-cells AS (SELECT type, (ix * 3 + iy * 7 + k * 5) % 31 % 4 AS cluster, level, ix, iy FROM base, range(20) a(ix), range(20) b(iy)
-  WHERE ix < 10 * (level + 1) AND iy < 10 * (level + 1) AND ((ix + iy) % 3 <> 0 OR (ix * 3 + iy * 7 + k * 5) % 31 % 4 < 2)),
+_CELLS = """cells AS (SELECT DISTINCT type, cluster, (type::INTEGER + 1) % 2 AS level, floor(x / (100 / ((type::INTEGER + 1) % 2 + 1)))::BIGINT AS ix, floor(y / (100 / ((type::INTEGER + 1) % 2 + 1)))::BIGINT AS iy FROM own),
 dag AS (SELECT * FROM (VALUES ('01', '02', 0.5::DOUBLE), ('02', '03', 0.25::DOUBLE), ('01', '05', 0.125::DOUBLE), ('04', '02', 2.0::DOUBLE)) x(source_type, target_type, coefficient)),
 overlap AS (SELECT DISTINCT d.source_type, a.cluster AS source_cluster, d.target_type, b.cluster AS target_cluster, d.coefficient
   FROM dag d JOIN cells a ON a.type = d.source_type JOIN cells b ON b.type = d.target_type
    AND (a.ix >> greatest(a.level - b.level, 0)) = (b.ix >> greatest(b.level - a.level, 0)) AND (a.iy >> greatest(a.level - b.level, 0)) = (b.iy >> greatest(b.level - a.level, 0)))"""
 
-_DISTINCT_CENTERS = """center AS (SELECT lpad((id % 5 + 1)::VARCHAR, 2, '0') AS type, id // 5 AS cluster, id * 53 % 441 AS node FROM range(20) t(id))"""
-
 _SCORED = f"""{_POI},
 scored AS (SELECT point_id, type, user_id % 4 AS cluster, (event_id % 997)::DOUBLE AS distance, (1 + user_id % 4)::DOUBLE AS centrality FROM poi),
 p90 AS (SELECT type, cluster, quantile_cont(distance, 0.9) AS p90 FROM scored GROUP BY ALL)"""
@@ -126,7 +122,7 @@ ORACLES: dict[str, str] = {
     "neighbor_pairs": f"WITH {_PAIRS} SELECT type, i, j, d::DOUBLE AS d FROM pairs",
     "core_distance": f"WITH {_CORE} SELECT type, position, core::DOUBLE AS core FROM core",
     "mutual_reachability": f"WITH {_CORE} SELECT p.type, i, j, greatest(x.core, y.core, d)::DOUBLE AS m FROM pairs p JOIN core x ON x.type = p.type AND x.position = i JOIN core y ON y.type = p.type AND y.position = j WHERE x.core IS NOT NULL AND y.core IS NOT NULL",
-    "overlap_pairs": f"WITH {_CELLS} SELECT source_type, source_cluster, target_type, target_cluster FROM overlap",
+    "overlap_pairs": f"WITH {_GIVEN}, {_CELLS} SELECT source_type, source_cluster, target_type, target_cluster FROM overlap",
     "node_ids": "SELECT p_partkey, 'type=' || url_encode(p_type) || '::cluster=' || (p_partkey % 7) AS node_id FROM part",
     "cluster_p90": f"WITH {_SCORED} SELECT type, cluster, round(p90, 6) AS p90 FROM p90",
     "tempered_scores": f"""WITH {_SCORED} SELECT point_id, type, cluster, round(least(distance / greatest(p90, 1), 1), 9) AS q, round(centrality * (1 - 0.15 * least(distance / greatest(p90, 1), 1)), 9) AS score
@@ -157,10 +153,22 @@ _FROM = """dist(source, node, d) USING KEY (source, node) AS (SELECT {source} AS
   LEFT JOIN recurring.dist r ON r.source = x.source AND r.node = x.b WHERE r.d IS NULL OR x.d < r.d GROUP BY x.source, x.b)"""
 ORACLES["sssp_distances"] = ORACLES["sssp_relaxed"] = f"WITH RECURSIVE {_SSSP}, src AS (SELECT * FROM (VALUES (0), (440)) x(id)), {_FROM.format(source='id', sources='src')} SELECT source::BIGINT AS source, node::BIGINT AS node, d AS distance FROM dist"
 
-_XPARTS = f"""{_CELLS}, {_DISTINCT_CENTERS}, {_SSSP}, src AS (SELECT DISTINCT node AS id FROM center), {_FROM.format(source='id', sources='src')},
-x AS (SELECT 'type=' || o.source_type || '::cluster=' || o.source_cluster AS source_id, 'type=' || o.target_type || '::cluster=' || o.target_cluster AS target_id, o.*, dist.d
+_WAY = "way AS (SELECT a, b, w FROM edge UNION ALL SELECT b, a, w FROM edge)"
+_OWN = """pt AS (SELECT own.type, own.cluster, event_id AS point_id, CASE WHEN own.kind = 0 THEN own.a ELSE cut.node END AS node FROM own LEFT JOIN cut ON cut.arc_id = own.arc_id AND cut.o = own.off AND own.kind = 1)"""
+_MEDIAN = f"""{_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
+sums AS (SELECT type, cluster, dist.node AS node, sum(d) AS objective FROM pt JOIN dist ON dist.source = pt.node GROUP BY ALL),
+med AS (SELECT type, cluster, min(node) AS node, min(objective) AS objective FROM (SELECT *, min(objective) OVER (PARTITION BY type, cluster) AS best FROM sums) WHERE objective <= best + 1e-9 GROUP BY ALL)"""
+ORACLES |= {
+    "network_median": f"WITH RECURSIVE {_MEDIAN} SELECT type, cluster, node AS center_network_node, round(objective, 6) AS objective FROM med",
+    "point_median_distance": f"WITH RECURSIVE {_MEDIAN} SELECT pt.point_id::VARCHAR AS point_id, pt.type, pt.cluster, round(dist.d, 6) AS distance FROM pt JOIN med USING (type, cluster) JOIN dist ON dist.source = pt.node AND dist.node = med.node",
+    "voronoi_node_owner": f"""WITH RECURSIVE {_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
+        near AS (SELECT DISTINCT type, cluster, dist.node, dist.d FROM pt JOIN dist ON dist.source = pt.node)
+        SELECT type, node, round(min(d), 6) AS distance, min(cluster) FILTER (d <= least_ + 1e-9) AS cluster FROM (SELECT *, min(d) OVER (PARTITION BY type, node) AS least_ FROM near) GROUP BY type, node""",
+}
+_XPARTS = f"""{_MEDIAN}, {_CELLS}, center AS (SELECT type, cluster, node FROM med), hub AS (SELECT DISTINCT node AS id FROM center), {_FROM.format(source='id', sources='hub').replace('dist', 'far')},
+x AS (SELECT 'type=' || o.source_type || '::cluster=' || o.source_cluster AS source_id, 'type=' || o.target_type || '::cluster=' || o.target_cluster AS target_id, o.*, far.d
   FROM overlap o JOIN center a ON a.type = o.source_type AND a.cluster = o.source_cluster JOIN center b ON b.type = o.target_type AND b.cluster = o.target_cluster
-  LEFT JOIN dist ON dist.source = a.node AND dist.node = b.node)"""
+  LEFT JOIN far ON far.source = a.node AND far.node = b.node)"""
 ORACLES |= {
     "x_edges": f"WITH RECURSIVE {_XPARTS} SELECT source_id, target_id, coefficient AS technical_coefficient, d AS road_distance, coefficient * d AS edge_weight FROM x WHERE d IS NOT NULL",
     "disconnected_pairs": f"WITH RECURSIVE {_XPARTS} SELECT source_type, source_cluster, target_type, target_cluster, 'disconnected_centers' AS reason FROM x WHERE d IS NULL",
@@ -172,19 +180,6 @@ ORACLES |= {
         (SELECT max(g) FROM deg) AS degree_max, (SELECT avg(g) FROM deg) AS degree_mean, (SELECT count(*) FROM r) AS routes, (SELECT sum(d) FROM r) AS route_sum, (SELECT min(d) FROM r) AS route_min,
         (SELECT quantile_cont(d, 0.5) FROM r)::DOUBLE AS route_median, (SELECT max(d) FROM r) AS route_max""",
 }
-_WAY = "way AS (SELECT a, b, w FROM edge UNION ALL SELECT b, a, w FROM edge)"
-_OWN = """pt AS (SELECT own.type, own.cluster, own.x, own.y, min(event_id) AS point_id, min(CASE WHEN own.kind = 0 THEN own.a ELSE cut.node END) AS node FROM own LEFT JOIN cut ON cut.arc_id = own.arc_id AND cut.o = own.off AND own.kind = 1
-  GROUP BY own.type, own.cluster, own.x, own.y)"""
-_MEDIAN = f"""{_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
-sums AS (SELECT type, cluster, dist.node AS node, sum(d) AS objective FROM pt JOIN dist ON dist.source = pt.node GROUP BY ALL),
-med AS (SELECT type, cluster, min(node) AS node, min(objective) AS objective FROM (SELECT *, min(objective) OVER (PARTITION BY type, cluster) AS best FROM sums) WHERE objective <= best + 1e-9 GROUP BY ALL)"""
-ORACLES |= {
-    "network_median": f"WITH RECURSIVE {_MEDIAN} SELECT type, cluster, node AS center_network_node, round(objective, 6) AS objective FROM med",
-    "point_median_distance": f"WITH RECURSIVE {_MEDIAN} SELECT pt.point_id::VARCHAR AS point_id, pt.type, pt.cluster, round(dist.d, 6) AS distance FROM pt JOIN med USING (type, cluster) JOIN dist ON dist.source = pt.node AND dist.node = med.node",
-    "voronoi_node_owner": f"""WITH RECURSIVE {_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
-        near AS (SELECT DISTINCT type, cluster, dist.node, dist.d FROM pt JOIN dist ON dist.source = pt.node)
-        SELECT type, node, round(min(d), 6) AS distance, min(cluster) FILTER (d <= least_ + 1e-9) AS cluster FROM (SELECT *, min(d) OVER (PARTITION BY type, node) AS least_ FROM near) GROUP BY type, node""",
-}
 _SURFACE = f"""{_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
 near AS (SELECT DISTINCT type, cluster, dist.node, dist.d FROM pt JOIN dist ON dist.source = pt.node),
 owner AS (SELECT type, node, min(d) AS d, min(cluster) FILTER (d <= least_ + 1e-9) AS c FROM (SELECT *, min(d) OVER (PARTITION BY type, node) AS least_ FROM near) GROUP BY type, node),
@@ -196,7 +191,7 @@ hit AS (SELECT ix, iy, a, b, w, px, py, x1, y1, x2, y2, greatest(0, least(1, ((p
 far AS (SELECT *, sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) AS r FROM hit),
 both_ends AS (SELECT far.*, p.type, p.c AS ca, p.d AS da, q.c AS cb, q.d AS db FROM far JOIN owner p ON p.node = a JOIN owner q ON q.node = b AND q.type = p.type),
 tied AS (SELECT *, t * w AS off, greatest(0, least(w, (db + w - da) / 2)) AS split FROM both_ends QUALIFY r <= min(r) OVER (PARTITION BY type, ix, iy) + 1e-9),
-cell AS (SELECT type, ix, iy, min(CASE WHEN off <= 1e-10 THEN ca WHEN w - off <= 1e-10 THEN cb WHEN ca = cb THEN ca WHEN off < split - 1e-10 THEN ca WHEN off > split + 1e-10 THEN cb ELSE least(ca, cb) END) AS cluster FROM tied GROUP BY ALL)""".replace("cell AS (SELECT i, j", "lattice AS (SELECT i, j").replace("FROM cell, (VALUES", "FROM lattice, (VALUES")
+cell AS (SELECT type, ix, iy, min(CASE WHEN off <= 1e-10 THEN ca WHEN w - off <= 1e-10 THEN cb WHEN ca = cb THEN ca WHEN off < split - 1e-10 THEN ca WHEN off > split + 1e-10 THEN cb ELSE least(ca, cb) END) AS cluster FROM tied GROUP BY ALL)"""
 _EIGEN = f"""{_Z}, n AS (SELECT s, row_number() OVER (ORDER BY s) AS i FROM (SELECT source AS s FROM z UNION SELECT target FROM z)),
 p AS (SELECT a.i AS i, b.i AS j, sum(cents) / 1e9 AS v FROM z JOIN n a ON a.s IN (source, target) JOIN n b ON b.s IN (source, target) AND b.i <> a.i WHERE source <> target GROUP BY ALL),
 m AS (SELECT list(r ORDER BY i) AS w FROM (SELECT a.i AS i, list(coalesce(v, 0)::DOUBLE ORDER BY b.i) AS r FROM n a CROSS JOIN n b LEFT JOIN p ON p.i = a.i AND p.j = b.i GROUP BY a.i)),
@@ -211,9 +206,24 @@ ORACLES |= {
         SELECT graph, NOT bool_or(a = b) AS acyclic FROM r GROUP BY graph""",
 }
 
-# every event as a point, in both components: clusters 4 to 7 are those in the corner
-_OWN_WHOLE = """pt AS (SELECT own.type, own.cluster, event_id AS point_id, CASE WHEN own.kind = 0 THEN own.a ELSE cut.node END AS node FROM own LEFT JOIN cut ON cut.arc_id = own.arc_id AND cut.o = own.off AND own.kind = 1)"""
-_MAIN_ONLY = "own AS (SELECT k.*, k.user_id % 4 AS cluster FROM keyed k JOIN comp ON comp.vid = k.u AND comp.main)"
-_BOTH = "own AS (SELECT k.*, k.user_id % 4 + CASE WHEN comp.main THEN 0 ELSE 4 END AS cluster FROM keyed k JOIN comp ON comp.vid = k.u)"
-ORACLES |= {f"{k}_whole": ORACLES[k].replace(_MAIN_ONLY, _BOTH).replace(_OWN, _OWN_WHOLE) for k in ("network_median", "point_median_distance", "voronoi_node_owner", "voronoi_cells", "partition_area")}
-ORACLES["io_matrix_whole"] = ORACLES["io_matrix_wide"]
+# in a slab between neighbouring left and right ends, boxes are intervals, whose union is a sum of gaps and overlaps
+_BOXES = """p AS (SELECT printf('%02d', c_nationkey % 5 + 1) AS type, c_custkey * 37 % 1000 AS x0, (c_custkey * c_custkey * 7 + c_custkey * 11) % 997 AS y0, 1 + c_custkey % 17 AS w, 1 + c_custkey % 13 AS h FROM customer),
+e AS (SELECT type, x0 AS x FROM p UNION SELECT type, x0 + w FROM p), slab AS (SELECT type, x, lead(x) OVER (PARTITION BY type ORDER BY x) AS nx FROM e),
+cover AS (SELECT s.type, x, nx, y0, y0 + h AS y1, max(y0 + h) OVER (PARTITION BY s.type, x ORDER BY y0, y0 + h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM slab s JOIN p ON p.type = s.type AND p.x0 <= s.x AND p.x0 + p.w >= s.nx),
+covered AS (SELECT type, sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(before, y0))))::DOUBLE AS area FROM cover GROUP BY type)"""
+ORACLES["polygon_union_area"] = f"WITH {_BOXES} SELECT type, area FROM covered"
+ORACLES["polygon_union_outline"] = f"WITH {_BOXES} SELECT type, area, true AS valid FROM covered"
+# the box around a site is cut by the line between the site and one neighbour after another
+ORACLES["planar_voronoi_area"] = """WITH RECURSIVE s AS (SELECT printf('%02d', s_nationkey % 5 + 1) AS type, s_suppkey::BIGINT AS cluster, s_suppkey::DOUBLE AS x, (s_suppkey * 7919 % 1009)::DOUBLE AS y FROM supplier),
+w AS (SELECT max(x) + 1 AS x1 FROM s),
+n AS (SELECT a.type, a.cluster, row_number() OVER (PARTITION BY a.type, a.cluster ORDER BY (b.x - a.x) ** 2 + (b.y - a.y) ** 2, b.cluster) AS k, b.x - a.x AS dx, b.y - a.y AS dy FROM s a JOIN s b ON a.type = b.type AND a.cluster <> b.cluster),
+r AS (SELECT type, cluster, 0::BIGINT AS k, [{'x': 0 - x, 'y': -1 - y}, {'x': x1 - x, 'y': -1 - y}, {'x': x1 - x, 'y': 1010 - y}, {'x': 0 - x, 'y': 1010 - y}] AS ring FROM s, w
+  UNION ALL
+  SELECT r.type, r.cluster, n.k, flatten(list_transform(range(1, len(ring) + 1), lambda i: list_filter([
+    CASE WHEN dx * ring[i].x + dy * ring[i].y <= (dx * dx + dy * dy) / 2 THEN ring[i] END,
+    CASE WHEN (dx * ring[i].x + dy * ring[i].y - (dx * dx + dy * dy) / 2) * (dx * ring[i % len(ring) + 1].x + dy * ring[i % len(ring) + 1].y - (dx * dx + dy * dy) / 2) < 0 THEN
+      {'x': ring[i].x + (dx * ring[i].x + dy * ring[i].y - (dx * dx + dy * dy) / 2) / (dx * (ring[i].x - ring[i % len(ring) + 1].x) + dy * (ring[i].y - ring[i % len(ring) + 1].y)) * (ring[i % len(ring) + 1].x - ring[i].x),
+       'y': ring[i].y + (dx * ring[i].x + dy * ring[i].y - (dx * dx + dy * dy) / 2) / (dx * (ring[i].x - ring[i % len(ring) + 1].x) + dy * (ring[i].y - ring[i % len(ring) + 1].y)) * (ring[i % len(ring) + 1].y - ring[i].y)} END
+    ], lambda p: p IS NOT NULL))) FROM r JOIN n ON n.type = r.type AND n.cluster = r.cluster AND n.k = r.k + 1),
+f AS (SELECT type, cluster, arg_max(ring, k) AS ring FROM r GROUP BY type, cluster)
+SELECT type, cluster, round(list_sum(list_transform(range(1, len(ring) + 1), lambda i: ring[i].x * ring[i % len(ring) + 1].y - ring[i % len(ring) + 1].x * ring[i].y)) / 2, 3) AS area FROM f"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import multipolygon_wkb, polygons_of, read_wkb
-from .vectors import read_vector, write_geopackage
+from .vectors import read_vector, united, write_geopackage
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def _same(value: F.Column) -> F.Column:
 
 
 def area_boundary(spark: SparkSession, area: Area, target: str) -> str:
-    """A GeoPackage with the boundary's features of the area, or its bbox, as one multipolygon."""
+    """A GeoPackage with the boundary's features of the area, or its bbox, united as one multipolygon."""
     if area.boundary_path:
         df, epsg = read_vector(spark, area.boundary_path, area.boundary_layer)
         if area.boundary_field:
@@ -69,7 +69,7 @@ def area_boundary(spark: SparkSession, area: Area, target: str) -> str:
     else:
         w, s, e, n = area.bbox
         polygons, epsg = [[[(w, s), (e, s), (e, n), (w, n), (w, s)]]], 4326
-    return write_geopackage(target, {"boundary": ([{"geometry": multipolygon_wkb(polygons), "name": area.name}], "MULTIPOLYGON")}, epsg or 4326)
+    return write_geopackage(target, {"boundary": ([{"geometry": multipolygon_wkb(united(polygons)), "name": area.name}], "MULTIPOLYGON")}, epsg or 4326)
 
 
 def check_area_points(points: DataFrame, classification: str) -> None:

@@ -38,19 +38,20 @@ def io_x(spark: SparkSession, sf_dir: str, z: DataFrame | None = None) -> DataFr
 SIDE, SPACING, CORNER = 21, 50, 17
 
 
-def road_lattice(spark: SparkSession) -> DataFrame:
-    """u, v, len: arcs of the lattice, u < v, by lattice number i * 21 + j."""
-    cells = spark.range(SIDE * SIDE).select(F.expr(f"cast(id div {SIDE} as long)").alias("i"), (F.col("id") % SIDE).alias("j"))
-    arcs = cells.withColumn("h", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("i2", F.col("i") + F.col("h")).withColumn("j2", F.col("j") + 1 - F.col("h"))
+def road_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u, v, len: arcs of the lattice, u < v, by lattice number i * 21 + j. An arc is there if some order line has its number."""
+    key = _read(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % (2 * SIDE * SIDE)).alias("k")).distinct()
+    cells = key.select(F.expr(f"cast(k div 2 div {SIDE} as long)").alias("i"), F.expr(f"cast(k div 2 as long) % {SIDE}").alias("j"), (F.col("k") % 2).alias("h"))
+    arcs = cells.withColumn("i2", F.col("i") + F.col("h")).withColumn("j2", F.col("j") + 1 - F.col("h"))
     arcs = arcs.where((F.col("i2") < SIDE) & (F.col("j2") < SIDE)).where((F.col("i") * 7 + F.col("j") * 3 + F.col("h") * 5) % 11 != 0)
     corner = lambda i, j: (F.col(i) >= CORNER) & (F.col(j) >= CORNER)
     arcs = arcs.where(corner("i", "j") == corner("i2", "j2"))
     return arcs.select((F.col("i") * SIDE + F.col("j")).alias("u"), (F.col("i2") * SIDE + F.col("j2")).alias("v"), F.lit(float(SPACING)).alias("len"))
 
 
-def road_lines(spark: SparkSession) -> DataFrame:
+def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_id, part, coords: the lattice as lines, every seventh also reversed, as road files have them."""
-    arcs = road_lattice(spark)
+    arcs = road_lattice(spark, sf_dir)
     point = lambda c: F.struct((F.expr(f"cast({c} div {SIDE} as double)") * SPACING).alias("x"), ((F.col(c) % SIDE).cast("double") * SPACING).alias("y"))
     lines = arcs.select((F.col("u") * 2 + (F.col("v") > F.col("u") + 1).cast("long")).alias("line_id"), F.lit(0).alias("part"), F.array(point("u"), point("v")).alias("coords"))
     again = lines.where("line_id % 7 = 0").select((F.col("line_id") + 10_000).alias("line_id"), "part", F.reverse("coords").alias("coords"))

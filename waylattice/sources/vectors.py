@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.geometry import LINE, MULTILINE, POINT, polygons_of, read_wkb, reproject
+from ..functions.overlay import invalid, union
 
 _POINTS = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
@@ -164,11 +165,19 @@ def lines_of(df: DataFrame) -> DataFrame:
 
 
 def boundary_of(df: DataFrame, source: int | None = None, target: int | None = None):
-    """The polygons of a boundary layer, one geometry for the driver, reprojected corner by corner. Features must not overlap."""
+    """The polygons of a boundary layer, united: one geometry for the driver, reprojected corner by corner. Features may overlap; each must be valid."""
     out = []
     for r in df.select("geometry").collect():
         for p in polygons_of(read_wkb(bytes(r[0]))) if r[0] else []:
             out.append([[reproject(x, y, source, target) if source and target else (x, y) for x, y in ring] for ring in p])
     if not out:
         raise ValueError("the boundary has no polygon")
-    return out
+    return united(out)
+
+
+def united(polygons: list) -> list:
+    """Valid polygons as one valid geometry; a single one stays as it is."""
+    for p in polygons:
+        if why := invalid([p]):
+            raise ValueError(f"the boundary is not valid: {why}")
+    return union(polygons) if len(polygons) > 1 else polygons
