@@ -41,6 +41,83 @@ def test_selection(config, want):
     assert {*got} == want and np.all((member >= 0) & (member <= 1))
 
 
+def test_the_root_is_as_large_as_the_clusters_born_from_it():
+    xs = [0, 1, 2, 10, 11, 12]
+    got, _, _ = hierarchy(xs, allow_single_cluster=True, max_cluster_size=4)
+    assert {*got} == {frozenset(map(float, xs[:3])), frozenset(map(float, xs[3:]))}
+    assert len(hierarchy([0, 1, 2, 3, 4], allow_single_cluster=True, max_cluster_size=4)[0]) <= 1
+
+
+def plain_tree(x, core, least):
+    """Condensed clusters by their definition: (points at birth, birth, exits of points, children), from components of ever smaller distances."""
+    d = np.maximum(np.abs(x[:, None] - x), np.maximum(core[:, None], core))
+
+    def parts(own, limit):
+        left, out = set(own), []
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                p = todo.pop()
+                part.add(p)
+                near = {q for q in left if d[p, q] < limit}
+                left -= near
+                todo += near
+            out.append(part)
+        return out
+
+    def grow(own, birth):
+        node = {"own": own, "birth": birth, "exits": {}, "children": []}
+        now = own
+        while now:
+            inside = {d[p, q] for p in now for q in now if p < q}
+            level = max((t for t in inside if len(parts(now, t)) > 1), default=None)
+            if level is None:
+                break
+            big = [p for p in parts(now, level) if len(p) >= least]
+            for p in now - set().union(*big):
+                node["exits"][p] = 1 / level
+            if len(big) > 1:
+                node["children"] = [grow(p, 1 / level) for p in big]
+                break
+            now = big[0] if big else set()
+        return node
+
+    return grow(set(range(len(x))), 0.0)
+
+
+def plain_stability(node):
+    return sum(lam - node["birth"] for lam in node["exits"].values()) + sum((c["birth"] - node["birth"]) * len(c["own"]) for c in node["children"])
+
+
+def cuts(node, root=True, single=False):
+    """All choices of clusters of which none is below another."""
+    rest = [()]
+    for c in node["children"]:
+        rest = [a + b for a in rest for b in cuts(c, False)]
+    return rest if root and not single else [*rest, (node,)]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_selection_is_the_best_cut(seed):
+    """Of all sets of clusters apart from each other, the chosen one has the largest sum of stabilities."""
+    rng = np.random.default_rng(seed)
+    x = np.sort(np.concatenate([rng.normal(50 * k, rng.uniform(1, 15), rng.integers(3, 9)) for k in range(4)]))
+    single = bool(seed % 2)
+    most = None if seed % 3 else 8
+    core = np.sort(np.abs(x[:, None] - x), axis=1)[:, 1]
+    got, _, member = hierarchy(x, allow_single_cluster=single, max_cluster_size=most)
+    tree = plain_tree(x, core, 3)
+    size = lambda c: sum(len(k["own"]) for k in c["children"]) if c is tree else len(c["own"])
+    allowed = [c for c in cuts(tree, True, single) if most is None or all(size(n) <= most for n in c)]
+    best = max(sum(map(plain_stability, c)) for c in allowed)
+    own = [frozenset(map(float, x[sorted(n["own"])])) for c in allowed if sum(map(plain_stability, c)) > best * (1 - 1e-12) for n in c]
+    for cluster in got:  # the root alone keeps fewer points
+        assert any(cluster <= o for o in own)
+    if len(got) > 1:
+        assert {*got} <= {*own}
+    assert np.all((member >= 0) & (member <= 1))
+
+
 def test_one_cluster_needs_leave():
     xs = [0, 1, 2, 3, 4]
     assert hierarchy(xs)[0] == []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waylattice import cli
+from waylattice.operators import paths
 from waylattice.functions.geometry import line_wkb, multipolygon_wkb, point_wkb
 from waylattice.sources import iotable
 from waylattice.sources.area import area_boundary, load_area
@@ -40,11 +41,23 @@ def inputs(spark, tmp_path_factory):
     return d
 
 
-def test_run_and_restart(spark, inputs, tmp_path):
-    out = str(tmp_path / "out")
-    common = ["--roads", str(inputs / "roads.gpkg"), "--classification", "io16", "--transactions", str(inputs / "z.csv"), "--technical-coefficients", str(inputs / "a.csv"), "--no-progress"]
-    code = cli.main(["run", "--points", str(inputs / "points.parquet"), "--boundary", str(inputs / "boundary.gpkg"), "--output-dir", out, "--voronoi-resolution", "100", *common], spark)
-    assert code == 0
+def common_of(inputs):
+    return ["--roads", str(inputs / "roads.gpkg"), "--classification", "io16", "--transactions", str(inputs / "z.csv"), "--technical-coefficients", str(inputs / "a.csv"), "--no-progress"]
+
+
+def run_of(inputs):
+    return ["run", "--points", str(inputs / "points.parquet"), "--boundary", str(inputs / "boundary.gpkg"), "--voronoi-resolution", "100", *common_of(inputs)]
+
+
+@pytest.fixture(scope="module")
+def finished(spark, inputs, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("finished") / "out")
+    assert cli.main([*run_of(inputs), "--output-dir", out], spark) == 0
+    return out
+
+
+def test_run_and_restart(spark, inputs, finished, tmp_path):
+    out, common = finished, common_of(inputs)
     meta = json.load(open(f"{out}/run_metadata.json"))
     assert meta["cluster_count"] == 8 and meta["scored_points"] == 56 and meta["x_nodes"] == 8
     rows = list(csv.DictReader(open(f"{out}/X_nodes.csv")))
@@ -73,6 +86,19 @@ def test_run_and_restart(spark, inputs, tmp_path):
     assert c.count() == 56 and a.exceptAll(c).count() == 0
 
 
+def test_run_beyond_the_kernel(spark, inputs, finished, tmp_path, monkeypatch):
+    """The whole workflow with every search by relaxation, paths included, gives the same files."""
+    monkeypatch.setattr(paths, "KERNEL_ARCS", 0)
+    out = str(tmp_path / "out")
+    assert cli.main([*run_of(inputs), "--output-dir", out], spark) == 0
+    scores = lambda d: spark.read.parquet(f"{d}/points_centrality.parquet").select("point_id", "cluster", F.round("score", 9).alias("score"))
+    assert scores(out).count() == 56 and scores(out).exceptAll(scores(finished)).count() == 0
+    edges = lambda d: sorted(tuple(r.values()) for r in csv.DictReader(open(f"{d}/X_edges.csv")))
+    assert edges(out) == edges(finished)
+    lines = lambda d: sorted(map(str, read_geopackage(spark, f"{d}/spatial_outputs.gpkg", "paths")[0].collect()))
+    assert lines(out) == lines(finished)
+
+
 def test_errors_are_reported(spark, inputs, capsys):
     assert cli.main(["run", "--points", "none.parquet", "--boundary", "none.gpkg", "--roads", "none.gpkg"], spark) == 1
     assert "error:" in capsys.readouterr().err

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .paths import broadcast_graph, distances, pair_distances
+from .paths import broadcast_graph, pair_distances, relaxed
 from .storage import materialize, require
 
 
@@ -24,8 +24,11 @@ def _sums(demand: DataFrame, edges: DataFrame, shared) -> DataFrame:
     by node rows never exist."""
     far = (F.col("from_hub") + F.col("bound")) * (1 + RELATIVE) + ABSOLUTE
     if shared is None:
-        d = distances(demand.select(F.col("node").alias("source")), edges, demand.agg(F.max(far)).first()[0], False)
-        each = demand.select("type", "cluster", F.col("node").alias("source"), "w").join(d, "source")
+        d = relaxed(demand.select(F.col("node").alias("source"), far.alias("cutoff")), edges)
+        hubs = demand.select("type", "cluster", "hub", "bound").distinct()
+        near = relaxed(hubs.select(F.col("hub").alias("source"), F.col("bound").alias("cutoff")), edges).select(F.col("source").alias("hub"), "node", F.col("distance").alias("off"))
+        near = hubs.join(near, "hub").where("off <= bound").select("type", "cluster", "node")
+        each = demand.select("type", "cluster", F.col("node").alias("source"), "w", far.alias("far")).join(d, "source").where("distance <= far").join(near, ["type", "cluster", "node"])
         return each.groupBy("type", "cluster", "node").agg(F.sum(F.col("w") * F.col("distance")).alias("objective"), F.sum("w").alias("reached"))
     schema = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("node", LongType()), StructField("objective", DoubleType()), StructField("reached", LongType())])
 

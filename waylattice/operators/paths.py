@@ -62,29 +62,40 @@ def broadcast_graph(edges: DataFrame):
     return edges.sparkSession.sparkContext.broadcast(Graph(*(t.column(c).to_numpy() for c in ("u", "v", "length"))))
 
 
-def relaxed(sources: DataFrame, edges: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """source, node, distance by relaxation: labels go along arcs, the smallest of each node stays, until none falls. Each round is
-    two joins; nothing is held by one task."""
+def relaxed(sources: DataFrame, edges: DataFrame, cutoff: float | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """source, node, distance, round by relaxation: labels go along arcs, the smallest of each node stays, until none falls; round is the one in which it
+    last fell. Each round is a few joins; nothing is held by one task.
+
+    A column cutoff of sources is a limit for each of them. With targets (source, target), a label stops where it is longer than those of all targets of its
+    source, once they have some; so what a source costs goes by its farthest target, not by the network."""
     arcs = materialize(edges.select("u", "v", "length").union(edges.select("v", "u", "length")).toDF("node", "to", "length"), "both-ways")
-    labels = materialize(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance")), "labels")
-    front = labels
+    limit = F.max("cutoff") if "cutoff" in sources.columns else F.max(F.lit(cutoff).cast("double"))
+    limits = materialize(sources.groupBy("source").agg(limit.alias("cutoff")), "relax-sources")
+    labels = limits.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).alias("round"))
+    front, k = labels, 0
+    wanted = None if targets is None else targets.select("source", F.col("target").alias("node")).distinct()
     while True:
+        k += 1
         reached = front.join(arcs, "node").select("source", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        if cutoff is not None:
-            reached = reached.where(F.col("distance") <= cutoff)
         best = reached.groupBy("source", "node").agg(F.min("distance").alias("distance"))
-        old = labels.withColumnRenamed("distance", "old")
-        front = materialize(best.join(old, ["source", "node"], "left").where("old is null or distance < old").drop("old"), "front")
+        bound = limits
+        if wanted is not None:
+            ends = wanted.join(labels.select("source", "node", "distance"), ["source", "node"], "left").groupBy("source").agg(F.max("distance").alias("far"), F.max(F.col("distance").isNull()).alias("missing"))
+            bound = limits.join(ends, "source", "left").select("source", F.least("cutoff", F.when(~F.col("missing"), F.col("far"))).alias("cutoff"))
+        best = best.join(bound, "source").where("cutoff is null or distance <= cutoff").drop("cutoff")
+        old = labels.select("source", "node", F.col("distance").alias("old"))
+        front = materialize(best.join(old, ["source", "node"], "left").where("old is null or distance < old").select("source", "node", "distance", F.lit(k).alias("round")), "front")
         if front.isEmpty():
             return labels
-        labels = materialize(labels.unionByName(front).groupBy("source", "node").agg(F.min("distance").alias("distance")), "labels")
+        best = F.min(F.struct("distance", F.col("round"))).alias("b")
+        labels = materialize(labels.unionByName(front).groupBy("source", "node").agg(best).select("source", "node", "b.distance", "b.round"), "labels")
 
 
 def distances(sources: DataFrame, edges: DataFrame, cutoff: float | None = None, kernel: bool | None = None) -> DataFrame:
     """source, node, distance of all nodes that roads lead to from each distinct source, within the cutoff."""
     shared = None if kernel is False else broadcast_graph(edges)
     if shared is None:
-        return relaxed(sources, edges, cutoff)
+        return relaxed(sources.select("source"), edges, cutoff).drop("round")
     schema = StructType([StructField("source", LongType()), StructField("node", LongType()), StructField("distance", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +115,7 @@ def pair_distances(pairs: DataFrame, edges: DataFrame, shared=None) -> DataFrame
     asked = pairs.select("source", "target").distinct()
     shared = shared or broadcast_graph(edges)
     if shared is None:
-        return relaxed(asked, edges).withColumnRenamed("node", "target").join(asked, ["source", "target"])
+        return relaxed(asked, edges, targets=asked).drop("round").withColumnRenamed("node", "target").join(asked, ["source", "target"])
     names = ["source", "target", "distance"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +139,41 @@ def pair_distances(pairs: DataFrame, edges: DataFrame, shared=None) -> DataFrame
     return asked.repartition("source").sortWithinPartitions("source").mapInArrow(run, "source long, target long, distance double")
 
 
+def walked_back(asked: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, target, distance, path of pairs, from the labels of relaxed().
+
+    The node before another is the smallest whose distance and arc make up its distance, as in the kernel. Pointers to the node 2 ** k steps before are
+    doubled in tables; a path's nodes are then found from its target by the pointers, the longest first, so rounds grow with the
+    logarithm of its arcs."""
+    arcs = edges.select("u", "v", "length").union(edges.select("v", "u", "length")).toDF("before", "node", "length")
+    come = labels.join(arcs, "node").join(labels.select("source", F.col("node").alias("before"), F.col("distance").alias("d"), F.col("round").alias("r")), ["source", "before"])
+    # arcs may be too short to make a difference to a sum; then the round tells which came first
+    come = come.where("d + length = distance and (d < distance or r < round)").where("node <> source")
+    jumps = [materialize(come.groupBy("source", "node").agg(F.min("before").alias("before")), "pointers")]
+    while True:
+        last = jumps[-1]
+        again = last.select("source", F.col("node").alias("before"), F.col("before").alias("far"))
+        longer = materialize(last.join(again, ["source", "before"]).select("source", "node", F.col("far").alias("before")), "pointers")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    found = asked.join(labels.select("source", F.col("node").alias("target"), "distance"), ["source", "target"])
+    on = found.select("source", "target", F.col("target").alias("node"), F.lit(0).cast("long").alias("step"))
+    for k in reversed(range(len(jumps))):
+        more = on.join(jumps[k], ["source", "node"]).select("source", "target", F.col("before").alias("node"), (F.col("step") + (1 << k)).alias("step"))
+        on = materialize(on.unionByName(more), "path-nodes")
+    ordered = F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]))  # a path is one row in the end
+    path = on.groupBy("source", "target").agg(ordered.alias("path"))
+    return asked.join(found.join(path, ["source", "target"]), ["source", "target"], "left")
+
+
 def paths_to(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """source, target, distance, path (nodes from source to target) of distinct pairs; null where no road leads. Each source is
-    solved once for all its targets. Larger graphs than the kernel's are an error here, as paths are for cluster medians."""
+    solved once for all its targets; on a graph beyond the kernel's size by relaxation, with the same result."""
     shared = broadcast_graph(edges)
     if shared is None:
-        raise ValueError(f"paths need a graph of at most {KERNEL_ARCS} arcs")
+        asked = materialize(pairs.select("source", "target").distinct(), "path-pairs")
+        return walked_back(asked, relaxed(asked, edges, targets=asked), edges)
     schema = StructType([StructField("source", LongType()), StructField("target", LongType()), StructField("distance", DoubleType()), StructField("path", ArrayType(LongType()))])
     asked = pairs.select("source", "target").distinct().repartition("source").sortWithinPartitions("source")
 
