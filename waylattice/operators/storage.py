@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import io
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers of a session this package, as a zip in the shared folder: their functions and broadcasts name its modules, which need not be
+    on a worker's own path. Once for each application; the queries and materialize() call it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/code/{sc.applicationId}/{os.path.basename(root)}.zip")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = files.create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(files.makeQualified(path).toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 #: With it, the shuffle files of a query are removed from all executors as soon as the query ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,6 +77,7 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
 
     rows: how many there are at most, if known; a small table is then written as a few files, not one for each partition."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
