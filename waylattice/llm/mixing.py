@@ -91,7 +91,7 @@ def mix_sources(
     crossing = upto.where(F.col("upto") >= budget).orderBy("range").first()
     if crossing is None:  # no words at all
         return queued.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    order = lambda e: F.struct(e.alias("a"), F.col("source").isNull().alias("b"), F.coalesce("source", F.lit("")).alias("c"), F.col("key").alias("d"), F.coalesce("id", F.lit(0)).cast("string").alias("e"), F.col("size").alias("f"))
+    order = lambda e: F.struct(e.alias("a"), F.col("source").isNull().alias("b"), F.coalesce("source", F.lit("")).alias("c"), F.col("key").alias("d"), F.coalesce(F.col("id").cast("string"), F.lit("0")).alias("e"), F.col("size").alias("f"))
     cut = (
         copies.where(F.col("range") == crossing["range"])
         .withColumn("order", order(F.col("finish")))
