@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import re
 import zlib
 
@@ -20,7 +21,7 @@ from waylattice.llm.mixing import mix_sources, source_targets
 from waylattice.llm.quality import accepted, fit_quality, quality_scores, statistics, statistics_table
 from waylattice.llm.quality import labelled as labelled_rows
 from waylattice.llm.suffix_tree import TreeConfig, score_texts
-from waylattice.llm.toxicity import EXCEPTIONS, Folding, Lexicon, LexiconConfig, calibrate, folded, measures, toxicity_scores
+from waylattice.llm.toxicity import Folding, Lexicon, LexiconConfig, calibrate, folded, measures, toxicity_scores
 from waylattice.llm.url_filter import LONG, RULES, Automaton, Rule, filter_urls
 
 
@@ -260,6 +261,9 @@ def test_mixing(spark):
         by[r["source"]] += r["taken"]
     for r in got:
         assert abs(by[r["source"]] - r["target"]) <= 90
+    as_text = mix_sources(df.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string"))))
+    assert as_text.schema["doc_id"].dataType.simpleString() == "string" and as_text.count() == len(got)
+    assert as_text.agg(F.sum("taken")).first()[0] == sum(r["taken"] for r in got)
     assert mix_sources(df.limit(0)).count() == 0 and mix_sources(df.where("doc_id = 5000")).first()["taken"] == 0
 
 
@@ -311,15 +315,31 @@ def test_toxicity(spark):
     assert toxicity_scores(docs.limit(0), labels, crc_mod(5) != 0).count() == 0
 
 
+#: Phrases that a caller gives.
+GIVEN = ("trash can", "trash bin", "pond scum")
+
+
 def test_folding_and_exceptions():
     fold = Folding()
     assert folded("M0R0N", fold) == folded("mоrоn", fold) == folded("mo\u200bron", fold) == " moron "
-    lexicon = Lexicon({folded("trash", fold): 2.0, folded("scum", fold).rstrip(): 1.0})
+    lexicon = Lexicon({folded("trash", fold): 2.0, folded("scum", fold).rstrip(): 1.0}, GIVEN)
     assert lexicon.match("trash, TRA5H and scummy")[:2] == (5.0, 3)
     assert lexicon.match("a trash can of pond scum")[:2] == (0.0, 0)
     assert lexicon.match("")[:3] == (0.0, 0, 0) and lexicon.match("strash")[1] == 0
 
 
+def test_matching_is_linear_in_long_texts():
+    """A text with many exceptions: eight times the words may take no more than some twenty times as long."""
+    lexicon = Lexicon({" trash ": 1.0}, GIVEN)
+    took = []
+    for n in (5_000, 40_000):
+        text = "trash can trash x " * n
+        start = time.perf_counter()
+        assert lexicon.match(text)[:2] == (float(n), n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 20 * took[0]
+
+
 def plain_toxicity(rows, labels, config):
     """Weight, words found and all words of each text, and its score: patterns counted and matched by plain substring search."""
     fold = Folding()
@@ -344,7 +364,7 @@ def plain_toxicity(rows, labels, config):
     for p, odds, _ in sorted((x for x in telling(patterns) if x[1] > 0), key=lambda x: (-x[1], -x[2], len(x[0]), x[0])):
         if not any(p.startswith(q) for q in weights if q != p):
             weights[p] = odds
-    masks = [folded(e, fold) for e in EXCEPTIONS]
+    masks = [folded(e, fold) for e in GIVEN]
 
     def hits(t, masks):
         out = {}
@@ -387,7 +407,7 @@ def test_toxicity_against_plain_search(spark):
     measured, score, learned = plain_toxicity(rows, labels, config)
     assert learned == [" snurf board "]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in toxicity_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), crc_mod(5) != 0, config=config).collect()}
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), crc_mod(5) != 0, config=config, exceptions=GIVEN).collect()}
     for (i, _), m, p in zip(rows, measured, score, strict=True):
         assert (got[i]["n_found"], got[i]["n_words"]) == m[1:] and got[i]["weight"] == pytest.approx(m[0]), i
         assert got[i]["score"] == pytest.approx(p, abs=1e-6)

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import materialize, shared_dir
+from ..operators.storage import materialize, shared_dir, ship
 
-__all__ = ["materialize", "shared_dir"]
+__all__ = ["materialize", "shared_dir", "ship"]
 
 #: Whitespace of the contracts: blank and the five controls from tab to carriage return. Python's bytes.split() uses the same six.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,6 +20,8 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, whose workers get the package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
