@@ -37,11 +37,13 @@ def test_paths_by_relaxation(spark, rows, monkeypatch):
         assert [r for r in by_kernel if r[1] == nodes[-1]][0][2:] == (None, None)
 
 
-def test_targets_bound_what_is_relaxed(spark):
-    edges = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(300)], EDGES)
+def test_targets_bound_what_is_relaxed(spark, monkeypatch):
+    monkeypatch.setattr(paths, "PART_NODES", 16)
+    edges = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(150)], EDGES)
     near = spark.createDataFrame([(0, 3), (0, 5), (100, 98)], "source long, target long")
     got = paths.relaxed(near, edges, targets=near)
-    assert got.where("source = 0").agg(F.max("distance")).first()[0] <= 6 and got.where("source = 100").agg(F.max("distance")).first()[0] <= 3
+    # no further than the part that the targets are in
+    assert got.agg(F.max("node")).first()[0] < 7 * paths.PART_NODES and got.where("source = 0").agg(F.max("node")).first()[0] < paths.PART_NODES and got.where("source = 100 and node = 98").first()["distance"] == 2
     limits = spark.createDataFrame([(0, 2.0), (0, 4.0), (50, 1.0)], "source long, cutoff double")
     assert {(r["source"], r["count"]) for r in paths.relaxed(limits, edges).groupBy("source").count().collect()} == {(0, 5), (50, 3)}
 
@@ -62,3 +64,34 @@ def test_cluster_graph_and_medians_by_relaxation(spark, monkeypatch):
     want = both()
     monkeypatch.setattr(paths, "KERNEL_ARCS", 0)
     assert both() == want and len(want[2]) == 4
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """5,000 arcs: rounds grow with parts; owners are those of the nearer end."""
+    written = []
+    keep = paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda df, tag, *a: (written.append(tag), keep(df, tag, *a))[1])
+    edges = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(5000)], EDGES)
+    ends = spark.createDataFrame([("A", 1, 0), ("A", 0, 5000), ("B", 7, 2500), ("B", 8, 2500)], "type string, cluster long, node long")
+    got = paths.nearest_sources(ends, edges).collect()
+    assert len(got) == 2 * 5001 and len(written) < 100
+    for r in got:
+        want = (min(r["node"], 5000 - r["node"]), 1 if r["node"] < 2500 else 0) if r["type"] == "A" else (abs(r["node"] - 2500), 7)
+        assert (r["distance"], r["cluster"]) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_sources_over_many_parts(spark, seed, monkeypatch):
+    """With small parts, whose arcs mostly cross, owners are those of plain searches from every source."""
+    monkeypatch.setattr(paths, "PART_NODES", 7)
+    rows = lattice(6) if seed == 1 else tangle(40, seed)
+    rng, nodes = random.Random(seed), sorted({x for r in rows for x in r[1:3]})
+    sources = [(t, c, rng.choice(nodes)) for t in ("A", "B") for c in range(4) for _ in range(2)]
+    edges = spark.createDataFrame(rows, EDGES)
+    graph = paths.Graph(*(__import__("numpy").array([r[k] for r in rows]) for k in (1, 2, 3)))
+    want = {}
+    for t, c, n in sources:
+        for node, d in graph.distances(n)[0].items():
+            want.setdefault((t, node), []).append((d, c))
+    got = {(r["type"], r["node"]): (r["distance"], r["cluster"]) for r in paths.nearest_sources(spark.createDataFrame(sources, "type string, cluster long, node long"), edges).collect()}
+    assert got == {k: (min(v)[0], min(c for d, c in v if d <= min(v)[0] + 1e-9)) for k, v in want.items()}

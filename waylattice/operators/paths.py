@@ -1,9 +1,10 @@
-"""Road distances: relaxation in DataFrames, a kernel for graphs of bounded size, neighbours, nearest sources."""
+"""Road distances: parts of a graph that are searched side by side, a kernel for graphs of bounded size, neighbours, nearest sources."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .storage import materialize
 
 #: Arcs of a graph that every worker may hold (about 40 bytes each); larger graphs are relaxed in DataFrames.
 KERNEL_ARCS = 5_000_000
+#: Nodes of a part of a larger graph, and shares of the groups that a part is searched for in one task.
+PART_NODES, BUCKETS = 4096, 64
 
 
 class Graph:
@@ -62,33 +65,129 @@ def broadcast_graph(edges: DataFrame):
     return edges.sparkSession.sparkContext.broadcast(Graph(*(t.column(c).to_numpy() for c in ("u", "v", "length"))))
 
 
+def _parts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs inside a part of PART_NODES nodes with neighbouring numbers (part, u, v, length), and both ways of those between parts (node, to, length)."""
+    e = edges.select("u", "v", "length").withColumn("part", F.floor(F.col("u") / PART_NODES)).withColumn("other", F.floor(F.col("v") / PART_NODES))
+    e = materialize(e, "parted")
+    between = e.where("part <> other")
+    return e.where("part = other").select("part", "u", "v", "length"), between.select("u", "v", "length").union(between.select("v", "u", "length")).toDF("node", "to", "length")
+
+
+def _spread_inside(arcs: pa.Table, labels: pa.Table, tied: bool, number: int) -> pa.Table:
+    """Labels of one part that fall when the fresh ones go along the arcs inside it, with the order in which they got their values."""
+    out: dict[str, list] = {c: [] for c in ("grp", "owner", "node", "distance", "round")}
+    known = labels.sort_by("grp") if labels.num_rows else labels
+    ends = np.unique(np.r_[arcs.column("u").to_numpy(), arcs.column("v").to_numpy()]) if arcs.num_rows else np.zeros(0, np.int64)
+    graph = Graph(np.searchsorted(ends, arcs.column("u").to_numpy()), np.searchsorted(ends, arcs.column("v").to_numpy()), arcs.column("length").to_numpy()) if len(ends) else None
+    place = {x: k for k, x in enumerate(ends.tolist())}
+    start, to, length = (graph.start.tolist(), graph.to.tolist(), graph.length.tolist()) if graph else ([], [], [])
+    at, order = 0, number << 40
+    groups = known.column("grp").to_pylist()
+    columns = [known.column(c).to_pylist() for c in ("owner", "node", "distance", "fresh", "cutoff")]
+    while at < len(groups):
+        end = at
+        best: dict[tuple, float] = {}
+        least: dict[int, float] = {}
+        heap = []
+        while end < len(groups) and groups[end] == groups[at]:
+            owner, node, d, fresh, _ = (c[end] for c in columns)
+            if d < best.get((owner, node), math.inf):
+                best[owner, node] = d
+            if fresh:
+                heap.append((d, node, owner))
+            least[node] = min(d, least.get(node, math.inf))
+            end += 1
+        limit = math.inf if columns[4][at] is None else columns[4][at]
+        heapq.heapify(heap)
+        done = set()
+        while heap:
+            d, node, owner = heapq.heappop(heap)
+            if (owner, node) in done or d > best[owner, node] or (tied and _behind(d, least[node])):
+                continue
+            done.add((owner, node))
+            order += 1
+            for c, x in zip(out.values(), (groups[at], owner, node, d, order), strict=True):
+                c.append(x)
+            k = place.get(node)
+            for i in range(start[k], start[k + 1]) if k is not None else ():
+                y, e = int(ends[to[i]]), d + length[i]
+                if e <= limit and e < best.get((owner, y), math.inf) and not (tied and _behind(e, least.get(y, math.inf))):
+                    best[owner, y] = e
+                    least[y] = min(e, least.get(y, math.inf))
+                    heapq.heappush(heap, (e, y, owner))
+        at = end
+    return pa.table({"grp": pa.array(out["grp"], labels.schema.field("grp").type), "owner": pa.array(out["owner"], pa.int64()), "node": pa.array(out["node"], pa.int64()), "distance": pa.array(out["distance"], pa.float64()), "round": pa.array(out["round"], pa.int64())})
+
+
+def _behind(d: float, least: float) -> bool:
+    """Whether a label is so far behind the nearest that it never is as near for any node beyond."""
+    return d > least + 2 * max(1e-9, 1e-12 * max(1.0, d, least)) if least < math.inf else False
+
+
+def _searching(tied: bool, number: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(arcs: pa.Table, labels: pa.Table) -> pa.Table:
+        return _spread_inside(arcs, labels, tied, number)
+
+    return run
+
+
+def spread(sources: DataFrame, edges: DataFrame, limits: Callable[[DataFrame], DataFrame] | None = None, tied: bool = False) -> DataFrame:
+    """grp, owner, node, distance, round: the smallest distances along arcs from sources (grp, owner, node), of each owner in a group.
+
+    The graph is cut into parts of neighbouring node numbers. In a round, the parts that got new labels search inside, each in a task for some groups, and
+    only labels that cross between parts move on; so rounds grow with the parts on the way and not with its arcs. round rises in the order in which
+    labels got their values. limits: given the labels so far, grp and cutoff (null: none). tied: of each group and node only the owners that are about as
+    near as the nearest are kept."""
+    spark = sources.sparkSession
+    keys = ["grp", "owner", "node"]
+    inside, between = _parts(edges)
+    kind = sources.schema["grp"].dataType.simpleString()
+    schema = f"grp {kind}, owner long, node long, distance double, round long"
+    front = materialize(sources.select(*keys).distinct().withColumn("distance", F.lit(0.0)), "spread-front")
+    labels = spark.createDataFrame([], schema)
+    part = F.floor(F.col("node") / PART_NODES).alias("part")
+    bucket = F.pmod(F.xxhash64("grp"), F.lit(BUCKETS)).alias("bucket")
+    number = 0
+    while not front.isEmpty():
+        number += 1
+        cutoffs = limits(labels) if limits else None
+        moved = front.select(*keys, "distance", F.lit(True).alias("fresh"), part, bucket)
+        active = materialize(moved.select("part", "bucket").distinct(), "spread-active")
+        old = labels.select(*keys, "distance", F.lit(False).alias("fresh"), part, bucket).join(active, ["part", "bucket"], "left_semi")
+        given = old.unionByName(moved)
+        given = given.join(cutoffs, "grp", "left") if cutoffs is not None else given.withColumn("cutoff", F.lit(None).cast("double"))
+        own = inside.join(active, "part")
+        fell = materialize(own.groupBy("part", "bucket").cogroup(given.groupBy("part", "bucket")).applyInArrow(_searching(tied, number), schema), "spread-fell")
+        best = F.min(F.struct("distance", "round")).alias("b")
+        labels = materialize(labels.unionByName(fell).groupBy(*keys).agg(best).select(*keys, "b.distance", "b.round"), "spread-labels")
+        over = fell.join(between, "node").select("grp", "owner", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
+        over = over.groupBy(*keys).agg(F.min("distance").alias("distance")).join(labels.select(*keys, F.col("distance").alias("old")), keys, "left").where("old is null or distance < old").drop("old")
+        if cutoffs is not None:
+            over = over.join(limits(labels), "grp", "left").where("cutoff is null or distance <= cutoff").drop("cutoff")
+        if tied:
+            least = labels.groupBy("grp", "node").agg(F.min("distance").alias("least"))
+            over = over.join(least, ["grp", "node"], "left").where(F.col("least").isNull() | (F.col("distance") <= F.col("least") + 2 * tolerance(F.col("distance"), F.col("least")))).drop("least")
+        front = materialize(over, "spread-front")
+    return labels
+
+
 def relaxed(sources: DataFrame, edges: DataFrame, cutoff: float | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """source, node, distance, round by relaxation: labels go along arcs, the smallest of each node stays, until none falls; round is the one in which it
-    last fell. Each round is a few joins; nothing is held by one task.
+    """source, node, distance, round of spread() from single nodes; nothing that grows with the graph is held by one task.
 
     A column cutoff of sources is a limit for each of them. With targets (source, target), a label stops where it is longer than those of all targets of its
-    source, once they have some; so what a source costs goes by its farthest target, not by the network."""
-    arcs = materialize(edges.select("u", "v", "length").union(edges.select("v", "u", "length")).toDF("node", "to", "length"), "both-ways")
+    source, once they have some; so what a source costs goes by its farthest target and the parts on the way, not by the network."""
     limit = F.max("cutoff") if "cutoff" in sources.columns else F.max(F.lit(cutoff).cast("double"))
-    limits = materialize(sources.groupBy("source").agg(limit.alias("cutoff")), "relax-sources")
-    labels = limits.select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).alias("round"))
-    front, k = labels, 0
-    wanted = None if targets is None else targets.select("source", F.col("target").alias("node")).distinct()
-    while True:
-        k += 1
-        reached = front.join(arcs, "node").select("source", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        best = reached.groupBy("source", "node").agg(F.min("distance").alias("distance"))
-        bound = limits
-        if wanted is not None:
-            ends = wanted.join(labels.select("source", "node", "distance"), ["source", "node"], "left").groupBy("source").agg(F.max("distance").alias("far"), F.max(F.col("distance").isNull()).alias("missing"))
-            bound = limits.join(ends, "source", "left").select("source", F.least("cutoff", F.when(~F.col("missing"), F.col("far"))).alias("cutoff"))
-        best = best.join(bound, "source").where("cutoff is null or distance <= cutoff").drop("cutoff")
-        old = labels.select("source", "node", F.col("distance").alias("old"))
-        front = materialize(best.join(old, ["source", "node"], "left").where("old is null or distance < old").select("source", "node", "distance", F.lit(k).alias("round")), "front")
-        if front.isEmpty():
-            return labels
-        best = F.min(F.struct("distance", F.col("round"))).alias("b")
-        labels = materialize(labels.unionByName(front).groupBy("source", "node").agg(best).select("source", "node", "b.distance", "b.round"), "labels")
+    given = materialize(sources.groupBy(F.col("source").alias("grp")).agg(limit.alias("cutoff")), "relax-sources")
+    wanted = None if targets is None else targets.select(F.col("source").alias("grp"), F.col("target").alias("node")).distinct()
+
+    def limits(labels: DataFrame) -> DataFrame:
+        if wanted is None:
+            return given
+        ends = wanted.join(labels.select("grp", "node", "distance"), ["grp", "node"], "left").groupBy("grp").agg(F.max("distance").alias("far"), F.max(F.col("distance").isNull()).alias("missing"))
+        return given.join(ends, "grp", "left").select("grp", F.least("cutoff", F.when(~F.col("missing"), F.col("far"))).alias("cutoff"))
+
+    found = spread(given.select("grp", F.lit(0).cast("long").alias("owner"), F.col("grp").alias("node")), edges, limits)
+    return found.select(F.col("grp").alias("source"), "node", "distance", "round")
 
 
 def distances(sources: DataFrame, edges: DataFrame, cutoff: float | None = None, kernel: bool | None = None) -> DataFrame:
@@ -248,21 +347,8 @@ def tolerance(a, b):
 
 def nearest_sources(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """type, node, distance, cluster: of sources (type, cluster, node) the nearest by road to every node that one leads to; of those
-    within the tolerance of the nearest, the smallest cluster. Labels of a node are relaxed together, per type and cluster."""
-    arcs = materialize(edges.select("u", "v", "length").union(edges.select("v", "u", "length")).toDF("node", "to", "length"), "both-ways")
-    keys = ["type", "cluster", "node"]
-    labels = materialize(sources.select(*keys).distinct().withColumn("distance", F.lit(0.0)), "owner-labels")
-    front = labels
-    while True:
-        least = labels.groupBy("type", "node").agg(F.min("distance").alias("least"))
-        reached = front.join(arcs, "node").select("type", "cluster", F.col("to").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        best = reached.groupBy(*keys).agg(F.min("distance").alias("distance"))
-        # a label that is already behind the nearest by more than the tolerance never becomes the nearest of a node beyond
-        best = best.join(least, ["type", "node"], "left").where(F.col("least").isNull() | (F.col("distance") <= F.col("least") + 2 * tolerance(F.col("distance"), F.col("least")))).drop("least")
-        front = materialize(best.join(labels.withColumnRenamed("distance", "old"), keys, "left").where("old is null or distance < old").drop("old"), "owner-front")
-        if front.isEmpty():
-            break
-        labels = materialize(labels.unionByName(front).groupBy(*keys).agg(F.min("distance").alias("distance")), "owner-labels")
+    within the tolerance of the nearest, the smallest cluster. Labels of a node are spread together, per type and cluster."""
+    labels = spread(sources.select(F.col("type").alias("grp"), F.col("cluster").alias("owner"), "node"), edges, tied=True).select(F.col("grp").alias("type"), F.col("owner").alias("cluster"), "node", "distance")
     least = labels.groupBy("type", "node").agg(F.min("distance").alias("least"))
     tied = labels.join(least, ["type", "node"]).where(F.col("distance") <= F.col("least") + tolerance(F.col("distance"), F.col("least")))
     return tied.groupBy("type", "node").agg(F.first("least").alias("distance"), F.min("cluster").alias("cluster"))
