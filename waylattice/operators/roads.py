@@ -76,30 +76,37 @@ def near_arcs(points: DataFrame, ends: DataFrame, cell: float | None = None, by:
     """Every arc at the smallest distance from each point (id, px, py): id, arc columns, t, sx, sy, d. by: columns of both sides that
     must be equal; ids differ between their values.
 
-    Points meet arcs in grid cells: an arc is in the cells that its box touches, a point looks at its own cell and the
-    eight around it. A distance up to the cell's side is proven; the points beyond are tried again with cells twice as
-    large, until none is left. An arc that would fill more than 4,096 cells is met in larger cells only, so they start
-    from the mean length."""
-    if cell is None:
-        cell = max(ends.agg(F.avg("length"), F.max("length") / 64).first())
-    proven, todo, arc = None, points, "aug_edge_id" if "aug_edge_id" in ends.columns else "arc_id"
+    Points meet arcs in grid cells of several sizes, each a power of two. With a reach, an arc is on the level of its own extent, or of the reach if that
+    is larger, and in the few cells there that its box, widened by the reach, touches; a point looks at the one cell of each level that it is in. So a pair
+    meets once, and a long arc is in few cells. A distance up to the reach is proven; the points beyond are tried again with twice the reach, until none is left."""
+    reach = cell
+    if reach is None:
+        reach = ends.agg(F.percentile_approx("length", 0.5)).first()[0]
+    reach = 2.0 ** math.ceil(math.log2(reach or 1.0))
+    proven, todo = None, points
+    own = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    sized = ends.withColumn("own_level", F.when(own > 0, F.ceil(F.log2(own))).otherwise(-1074).cast("int"))
     box = ends.agg(F.min(F.least("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ax", "bx")), F.max(F.greatest("ay", "by"))).first()
     span = max(box[2] - box[0], box[3] - box[1])
+    present = sorted(r[0] for r in sized.select("own_level").distinct().collect())  # one for each doubling of an arc's extent
+    side = F.pow(F.lit(2.0), F.col("level"))
     while True:
-        number = lambda c, size=cell: F.floor(c / size).cast("long")
-        arcs = ends.withColumn("cx", F.explode(F.sequence(number(F.least("ax", "bx")), number(F.greatest("ax", "bx"))))).withColumn("cy", F.explode(F.sequence(number(F.least("ay", "by")), number(F.greatest("ay", "by")))))
-        around = lambda c, n=number: F.explode(F.array(*[n(F.col(c)) + i for i in (-1, 0, 1)]))
-        looking = todo.withColumn("cx", around("px")).withColumn("cy", around("py"))
-        pairs = _segment_distance(looking.join(arcs, ["cx", "cy", *by]).drop("cx", "cy").dropDuplicates(["id", arc]))
+        least_level = round(math.log2(reach))
+        levels = sorted({max(least_level, k) for k in present})
+        number = lambda c: F.floor(c / side).cast("long")
+        touched = lambda a, b, r=reach, n=number: F.explode(F.sequence(n(F.least(a, b) - r), n(F.greatest(a, b) + r)))
+        arcs = sized.withColumn("level", F.greatest(F.lit(least_level), "own_level")).drop("own_level").withColumn("cx", touched("ax", "bx")).withColumn("cy", touched("ay", "by"))
+        looking = todo.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("cx", number(F.col("px"))).withColumn("cy", number(F.col("py")))
+        pairs = _segment_distance(looking.join(arcs, ["level", "cx", "cy", *by]).drop("level", "cx", "cy"))
         least = pairs.groupBy("id").agg(F.min("d").alias("least"))
-        final = cell > 2 * span  # then all arcs are in the cells looked at, for points near the network's box
-        found = materialize(pairs.join(least, "id").where(F.col("d") == F.col("least")).where((F.col("d") <= cell) if not final else F.lit(True)).drop("least"), "near-arcs")
+        final = reach > 2 * span  # then all arcs are in the cells looked at, for points near the network's box
+        found = materialize(pairs.join(least, "id").where(F.col("d") == F.col("least")).where((F.col("d") <= reach) if not final else F.lit(True)).drop("least"), "near-arcs")
         proven = found if proven is None else proven.unionByName(found)
         todo = materialize(todo.join(found.select("id").distinct(), "id", "left_anti"), "far-points")
         if todo.isEmpty():
             return proven
-        cell *= 2
-        if not math.isfinite(cell):
+        reach *= 2
+        if not math.isfinite(reach):
             raise ValueError("points without a nearest road")
 
 
