@@ -174,3 +174,54 @@ def test_too_many_pairs_at_a_fixed_radius(spark):
     places, of = roads.positions(s)
     with pytest.raises(paths.TooManyPairs):
         density.cluster_by_type(s, places, of, a, density.ClusteringConfig(max_distance=50.0, distance_mode="fixed", max_pairs=10))
+
+
+def planar(spark, groups):
+    """Points of one type by road component."""
+    rows = [(f"{c}-{k:03d}", "A", c, float(x), float(y)) for c, xy in groups.items() for k, (x, y) in enumerate(xy)]
+    return spark.createDataFrame(rows, "point_id string, type string, component long, x double, y double")
+
+
+@pytest.mark.parametrize("config", [{}, {"allow_single_cluster": True}, {"core_floor": 2.0}])
+def test_planar_clusters_equal_those_of_all_pairs(spark, config):
+    rng = np.random.default_rng(4)
+    xy = {c: np.concatenate([rng.normal((40 * k, 30 * c), s, (n, 2)) for k, (s, n) in enumerate(((1, 12), (4, 15), (0.2, 9), (30, 6)))]) for c in (0, 1)}
+    own = density.ClusteringConfig(4, 3, **config)
+    got = {r["point_id"]: (r["cluster"], r["membership"]) for r in density.euclidean_clusters(planar(spark, xy), own).collect()}
+    assert len(got) == sum(map(len, xy.values()))
+    for c, p in xy.items():
+        d = np.hypot(*(p[:, None] - p).transpose(2, 0, 1))
+        core = np.maximum(np.sort(d, axis=1)[:, 2], own.core_floor)
+        m = np.maximum(d, np.maximum(core[:, None], core))
+        i, j = np.triu_indices(len(p), 1)
+        sets, keep = density.Sets(), []
+        for k in np.lexsort((j, i, m[i, j])):
+            if sets.join(int(i[k]), int(j[k])):
+                keep.append(k)
+        label, member = density.Hierarchy(np.ones(len(p), np.int64), core, i[keep], j[keep], m[i, j][keep], own).labels()
+        mine = [got[f"{c}-{k:03d}"] for k in range(len(p))]
+        assert [(x < 0) for x, _ in mine] == list(label < 0)
+        assert len({(a, b) for (a, _), b in zip(mine, label, strict=True)}) == len(set(label))
+        assert [x for _, x in mine] == pytest.approx(list(member))
+    assert len({x for x, _ in got.values() if x >= 0}) >= 2
+
+
+def test_planar_clusters_never_join_road_components(spark):
+    near = {0: [(1, 0), (2, 0), (3, 0)], 1: [(1, 1), (2, 1), (3, 1)], 2: [(9, 9)]}
+    got = density.euclidean_clusters(planar(spark, near), density.ClusteringConfig(2, 2, allow_single_cluster=True)).collect()
+    assert {(r["point_id"][0], r["cluster"]) for r in got} == {("0", 0), ("1", 1), ("2", -1)}
+    assert density.euclidean_clusters(planar(spark, {0: []}), density.ClusteringConfig(2, 2)).count() == 0
+    same = density.euclidean_clusters(planar(spark, {0: [(5, 5)] * 6}), density.ClusteringConfig(3, 3, allow_single_cluster=True)).collect()
+    assert len(same) == 6
+
+
+def test_a_type_with_too_many_pairs_is_clustered_in_the_plane(spark):
+    v, a = roads.build_network(spark.createDataFrame([line(0, (0, 0), (100, 0))], "line_id long, part int, coords array<struct<x:double,y:double>>"))
+    rows = [(f"a{k}", "a", float(k if k < 5 else 80 + k), 0.0) for k in range(10)] + [(f"b{k}", "b", float(k), 0.0) for k in range(3)]
+    s = roads.materialize(roads.snap(spark.createDataFrame(rows, "point_id string, type string, x double, y double"), v, a), "s")
+    places, of = roads.positions(s)
+    config = density.ClusteringConfig(3, 2, max_distance=50.0, distance_mode="fixed", max_pairs=10)
+    out, summary, _ = density.cluster_by_type(s, places, of, a, config, continue_on_error=True)
+    assert {r["type"]: r["status"] for r in summary.collect()} == {"a": "fallback_euclidean_hdbscan", "b": "fixed"}
+    got = {r["point_id"]: r["cluster"] for r in out.where("type = 'a'").collect()}
+    assert {got[f"a{k}"] for k in range(5)} == {0} and {got[f"a{k}"] for k in range(5, 10)} == {1} and out.count() == 13
