@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waylattice.operators import median, paths, xgraph
+from waylattice.operators import density, median, paths, roads, xgraph
 
 EDGES = "aug_edge_id long, u long, v long, length double"
 
@@ -95,3 +95,33 @@ def test_nearest_sources_over_many_parts(spark, seed, monkeypatch):
             want.setdefault((t, node), []).append((d, c))
     got = {(r["type"], r["node"]): (r["distance"], r["cluster"]) for r in paths.nearest_sources(spark.createDataFrame(sources, "type string, cluster long, node long"), edges).collect()}
     assert got == {k: (min(v)[0], min(c for d, c in v if d <= min(v)[0] + 1e-9)) for k, v in want.items()}
+
+
+def test_pairs_are_counted_before_they_are_written(spark, monkeypatch):
+    """Bounds hold from above; over the cap no pair is written, and the number is exact."""
+    rng = random.Random(6)
+    ways = [(k, 0, [{"x": 0.0, "y": 40.0 * k}, {"x": 200.0, "y": 40.0 * k}]) for k in range(3)] + [(9, 0, [{"x": 0.0, "y": 0.0}, {"x": 0.0, "y": 40.0}, {"x": 0.0, "y": 80.0}])]
+    v, a = roads.build_network(spark.createDataFrame(ways, "line_id long, part int, coords array<struct<x:double,y:double>>"))
+    rows = [(str(k), "few" if k % 4 == 0 else "many", rng.choice([0.0, rng.uniform(0, 60)]), 40.0 * rng.randrange(3)) for k in range(80)]
+    places, _ = roads.positions(roads.materialize(roads.snap(spark.createDataFrame(rows, "point_id string, type string, x double, y double"), v, a), "s"))
+    exact = {r["type"]: r["count"] for r in paths.neighbor_pairs(places, a, 70.0).groupBy("type").count().collect()}
+    at = paths.attachments(places).where("along <= 70")
+    bound = paths._most_pairs(at, paths.distances(at.select(F.col("node").alias("source")), a, 70.0), places, 70.0)
+    assert set(bound) == set(exact) and all(exact[t] <= bound[t] <= 8 * exact[t] + 400 for t in exact)
+    written = {}
+    keep = paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda df, tag, *r: written.setdefault(tag, keep(df, tag, *r)))
+    pairs, over = paths.pairs_within(places, a, 70.0, exact["many"] - 1)
+    assert over == {"many": exact["many"]} and pairs.count() == exact["few"]
+    assert written["neighbours"].where("type = 'many'").count() == 0
+    with pytest.raises(paths.TooManyPairs, match=str(exact["many"])):
+        paths.neighbor_pairs(places, a, 70.0, exact["many"] - 1)
+    assert paths.pairs_within(places, a, 70.0, exact["many"])[1] == {}
+
+
+def test_a_given_table_of_distances_is_checked(spark):
+    pairs = lambda *rows: spark.createDataFrame(rows, "type string, i long, j long, d double")
+    density.check_pairs(pairs(("a", 0, 1, 1.0), ("b", 0, 1, 0.0)))
+    for wrong in ([("a", 0, 0, 1.0)], [("a", 0, 1, -1.0)], [("a", 0, 1, float("nan"))], [("a", 0, 1, float("inf"))], [("a", 0, 1, None)], [("a", 0, 1, 1.0), ("a", 1, 0, 1.0)]):
+        with pytest.raises(ValueError):
+            density.check_pairs(pairs(*wrong))

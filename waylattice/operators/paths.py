@@ -319,13 +319,28 @@ def attachments(places: DataFrame) -> DataFrame:
     )
 
 
-def neighbor_pairs(places: DataFrame, edges: DataFrame, radius: float, most: int | None = 20_000_000) -> DataFrame:
-    """type, i, j, d: places of a type at most radius apart by road, i < j, each pair once with its smallest distance.
-
-    Distances between vertices within the radius are found once for all types, from the vertices that have places; then
-    both sides are attached. Places on one arc are compared directly too. More pairs than `most` are an error, by type."""
+def _most_pairs(at: DataFrame, roads: DataFrame, places: DataFrame, radius: float) -> dict[str, int]:
+    """For each type a number that its pairs within the radius don't exceed, without making a pair. What is left of the radius at a vertex is compared with
+    how far away the places there are, by running counts over both; a pair counts once for each pair of ends that joins it. Places on one arc
+    are counted over ranges of their offsets."""
+    asks = at.select("type", F.col("node").alias("source"), "along").join(roads, "source").select("type", "node", (F.lit(radius) - F.col("along") - F.col("distance")).alias("key"), F.lit(0).alias("here"), F.lit(1).alias("asks"))
+    holds = at.select("type", "node", F.col("along").alias("key"), F.lit(1).alias("here"), F.lit(0).alias("asks"))
+    # rounding of the sums differs from that of the pairs, so a little more than the radius counts
+    slack = float(radius) * 1e-9
+    near = F.expr(f"sum(here) over (partition by type, node order by key range between unbounded preceding and {slack!r}D following)")
+    found = asks.where("key >= 0").unionByName(holds).withColumn("n", near).where("asks = 1")
+    through = found.groupBy("type").agg(F.sum("n").alias("n"))
+    same = F.expr(f"count(*) over (partition by type, u, v order by offset range between {radius + slack!r}D preceding and {slack!r}D following)")
+    along = places.where("kind = 1").withColumn("n", same).groupBy("type").agg(F.sum("n").alias("n"))
+    return {r["type"]: r["n"] // 2 for r in through.unionByName(along.withColumn("n", 2 * F.col("n"))).groupBy("type").agg(F.sum("n").alias("n")).collect()}
+
+
+def pairs_within(places: DataFrame, edges: DataFrame, radius: float, most: int | None) -> tuple[DataFrame, dict[str, int]]:
+    """The neighbour pairs (see neighbor_pairs) of all types that have at most `most`, and of other types the number.
+
+    Pairs are written only once they are known to be few enough: from above, or where that does not tell, by an exact count."""
     if radius <= 0 or places.isEmpty():
-        return places.sparkSession.createDataFrame([], "type string, i long, j long, d double")
+        return places.sparkSession.createDataFrame([], "type string, i long, j long, d double"), {}
     at = materialize(attachments(places).where(F.col("along") <= radius), "attachments")
     roads = materialize(distances(at.select(F.col("node").alias("source")), edges, radius), "vertex-distances")
     left = at.select("type", F.col("position").alias("i"), F.col("node").alias("source"), F.col("along").alias("from_"))
@@ -334,11 +349,22 @@ def neighbor_pairs(places: DataFrame, edges: DataFrame, radius: float, most: int
     # summed from the side of the smaller position, so the result doesn't depend on the order of rows
     through = through.where("i < j").select("type", "i", "j", (F.col("from_") + F.col("distance") + F.col("to_")).alias("d")).where(F.col("d") <= radius)
     pairs = through.unionByName(same_arc_pairs(places, radius)).groupBy("type", "i", "j").agg(F.min("d").alias("d"))
-    out = materialize(pairs, "neighbours")
-    worst = out.groupBy("type").count().orderBy(F.desc("count")).first() if most is not None else None
-    if worst and worst["count"] > most:
-        raise TooManyPairs(worst["count"], most, radius)
-    return out
+    over: dict[str, int] = {}
+    if most is not None and (unsure := [t for t, n in _most_pairs(at, roads, places, radius).items() if n > most]):
+        exact = pairs.where(F.col("type").isin(unsure)).groupBy("type").count()
+        over = {r["type"]: r["count"] for r in exact.where(F.col("count") > most).collect()}
+    return materialize(pairs.where(~F.col("type").isin([*over])), "neighbours"), over
+
+
+def neighbor_pairs(places: DataFrame, edges: DataFrame, radius: float, most: int | None = 20_000_000) -> DataFrame:
+    """type, i, j, d: places of a type at most radius apart by road, i < j, each pair once with its smallest distance.
+
+    Distances between vertices within the radius are found once for all types, from the vertices that have places; then
+    both sides are attached. Places on one arc are compared directly too. More pairs than `most` are an error, by type."""
+    pairs, over = pairs_within(places, edges, radius, most)
+    if over:
+        raise TooManyPairs(max(over.values()), most, radius)
+    return pairs
 
 
 def tolerance(a, b):
