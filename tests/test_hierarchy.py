@@ -225,3 +225,21 @@ def test_a_type_with_too_many_pairs_is_clustered_in_the_plane(spark):
     assert {r["type"]: r["status"] for r in summary.collect()} == {"a": "fallback_euclidean_hdbscan", "b": "fixed"}
     got = {r["point_id"]: r["cluster"] for r in out.where("type = 'a'").collect()}
     assert {got[f"a{k}"] for k in range(5)} == {0} and {got[f"a{k}"] for k in range(5, 10)} == {1} and out.count() == 13
+
+
+@pytest.mark.parametrize("most", [None, 10, 0])
+def test_forest_by_contraction_is_that_of_kruskal(spark, most):
+    """With many equal distances, several components and types; the order m, i, j makes the forest one."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for t, n in (("a", 60), ("b", 25), ("c", 2)):
+        side = n // 2
+        pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (4 * n, 2)).tolist() if p[0] != p[1] and (p[0] < side) == (p[1] < side)}
+        rows += [(t, i, j, float(rng.integers(1, 6))) for i, j in pairs]
+    want = set()
+    for t in "abc":
+        sets = density.Sets()
+        want |= {r for r in sorted((r for r in rows if r[0] == t), key=lambda r: (r[3], r[1], r[2])) if sets.join(r[1], r[2])}
+    got = density.spanning_forest(spark.createDataFrame(rows, "type string, i long, j long, m double"), most=most)
+    found = [tuple(r) for r in got.select("type", "i", "j", "m").collect()]
+    assert len(found) == len(want) and set(found) == want

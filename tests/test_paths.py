@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waylattice.operators import density, median, paths, roads, xgraph
+from waylattice.operators import density, median, outputs, paths, roads, xgraph
 
 EDGES = "aug_edge_id long, u long, v long, length double"
 
@@ -125,3 +125,42 @@ def test_a_given_table_of_distances_is_checked(spark):
     for wrong in ([("a", 0, 0, 1.0)], [("a", 0, 1, -1.0)], [("a", 0, 1, float("nan"))], [("a", 0, 1, float("inf"))], [("a", 0, 1, None)], [("a", 0, 1, 1.0), ("a", 1, 0, 1.0)]):
         with pytest.raises(ValueError):
             density.check_pairs(pairs(*wrong))
+
+
+def test_clusters_that_no_road_joins_get_centroids(spark):
+    edges = spark.createDataFrame([(0, 0, 1, 10.0), (1, 2, 3, 10.0)], EDGES)
+    nodes = spark.createDataFrame([(0, 0.0, 0.0, 0), (1, 10.0, 0.0, 0), (2, 0.0, 8.0, 2), (3, 10.0, 8.0, 2)], "node long, x double, y double, component long")
+    points = spark.createDataFrame([("a", "A", 0, 0, 0.0, 0.0), ("b", "A", 0, 0, 0.0, 0.0), ("c", "A", 0, 1, 10.0, 0.0), ("d", "B", 0, 0, 0.0, 0.0), ("e", "B", 0, 3, 10.0, 8.0), ("f", "B", 0, 3, 10.0, 8.0)], "point_id string, type string, cluster long, node long, x double, y double")
+    with pytest.raises(ValueError, match="as a whole"):
+        median.cluster_medians(points, nodes, edges)
+    got = {r["type"]: r for r in median.medians_or_centroids(points, nodes, edges).collect()}
+    assert got["A"]["center_network_node"] == 0 and got["A"]["center_method"] == "network_1_median"
+    assert got["B"]["center_network_node"] == 3 and got["B"]["objective"] is None and "fallback" in got["B"]["center_method"]
+
+
+def test_saved_networks_are_checked(spark):
+    nodes = spark.createDataFrame([(0,), (1,), (2,)], "node long")
+    edges = lambda *rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], EDGES)
+    roads.check_augmented(nodes, edges((0, 1, 1.0), (1, 2, 2.0)))
+    for wrong in ([(0, 1, 0.0)], [(0, 3, 1.0)], [(0, 1, 1.0), (1, 0, 2.0)], [(-1, 1, 1.0)]):
+        with pytest.raises(ValueError):
+            roads.check_augmented(nodes, edges(*wrong))
+    with pytest.raises(ValueError, match="numbers"):
+        roads.check_augmented(nodes.where("node <> 1"), edges((0, 2, 1.0)))
+
+
+def test_x_is_restored_from_its_files(spark, tmp_path):
+    """Both forms of the columns give the same graph, and types keep their zeros."""
+    (tmp_path / "n.csv").write_text("node_id,type,cluster,cluster_no\ntype=01::cluster=0,01,0,1\ntype=02::cluster=1,02,1,2\n")
+    (tmp_path / "e.csv").write_text("source_type,source_cluster,target_type,target_cluster,technical_coefficient,road_distance,edge_weight\n01,0,02,1,0.5,10,5\n")
+    (tmp_path / "old.csv").write_text("node_from,node_to,dag_weight,road_distance,weight\ntype=01::cluster=0,type=02::cluster=1,0.5,10,5\n")
+    (tmp_path / "d.csv").write_text("source_type,source_cluster,target_type,target_cluster,reason\n01,0,02,3,disconnected_centers\n")
+    (tmp_path / "oldd.csv").write_text("type1,cluster1,type2,cluster2,status\n01,0,02,3,disconnected_centers\n")
+    at = lambda name: str(tmp_path / name)
+    for e, d in (("e.csv", "d.csv"), ("old.csv", "oldd.csv")):
+        n, x, apart = outputs.restore_x(spark, at("n.csv"), at(e), at(d))
+        assert sorted(map(tuple, n.collect())) == [("type=01::cluster=0", "01", 0), ("type=02::cluster=1", "02", 1)]
+        assert [tuple(r) for r in x.collect()] == [("type=01::cluster=0", "type=02::cluster=1", 0.5, 10.0, 5.0)]
+        assert [tuple(r) for r in apart.collect()] == [("01", "0", "02", "3", "disconnected_centers")]
+        values = {r["node_id"]: r["centrality"] for r in xgraph.centrality(n, x).collect()}
+        assert values == pytest.approx({"type=01::cluster=0": 0.5**0.5, "type=02::cluster=1": 0.5**0.5})

@@ -225,3 +225,14 @@ def test_coincident_centers_take_the_means_of_their_points(spark):
     with pytest.raises(ValueError, match="without an area"):
         planar.planar_territories(points, spark.createDataFrame([("A", 0, 5.0, 0.0), ("A", 1, 500.0, 0.0)], centers.schema), [[box(0, -5, 10, 5)]])
     assert planar.planar_territories(points.limit(0), centers, [[box(0, -5, 10, 5)]]).count() == 0
+
+
+def test_types_too_dense_for_the_grid_get_planar_territories(spark):
+    n, e = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 20.0, 0.0)], "node long, x double, y double"), spark.createDataFrame([(0, 0, 1, 1.0), (1, 1, 2, 19.0)], "aug_edge_id long, u long, v long, length double")
+    points = spark.createDataFrame([("A", 0, 0, 0.0, 0.0), ("A", 1, 1, 1.0, 0.0), ("A", 2, 2, 20.0, 0.0), ("B", 0, 0, 0.0, 0.0), ("B", 1, 2, 20.0, 0.0)], "type string, cluster long, node long, x double, y double")
+    config = surface.SurfaceConfig(10.0, max_refinements=0)
+    with pytest.raises(ValueError, match="too coarse"):
+        surface.territories(points, n, e, [[box(0, -5, 20, 5)]], config)
+    cells, planar_ = surface.territories_or_planar(points, points, n, e, [[box(0, -5, 20, 5)]], config)
+    assert {r[0] for r in cells.select("type").distinct().collect()} == {"B"} and cells.agg(F.sum("area")).first()[0] == 200
+    assert {(r["type"], r["cluster"], round(r["area"], 6)) for r in planar_.collect()} == {("A", 0, 5.0), ("A", 1, 100.0), ("A", 2, 95.0)}

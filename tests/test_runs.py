@@ -141,3 +141,22 @@ def test_xlsx(spark, tmp_path):
     got = {(r["source"], r["target"]): r["value"] for r in iotable.read_io_table(spark, str(path), "Z", None).collect()}
     assert got == {("01", "01"): 5, ("01", "02"): 6.5, ("02", "01"): 7, ("02", "02"): 8}
     assert iotable.text_sha256(b"a\r\nb") == iotable.text_sha256(b"a\nb")
+
+
+def test_public_tables_must_be_unchanged(spark, tmp_path, monkeypatch):
+    """Files under their public names are held against their hashes, whatever their line ends; other names are anyone's."""
+    head = "sector," + ",".join(f"{k:02d}" for k in range(1, 17))
+    text = "\n".join([head, *(f"{i:02d}," + ",".join(str(i + j) for j in range(16)) for i in range(1, 17))]) + "\n"
+    output = "sector,total_output\n" + "".join(f"{i:02d},{1000 * i}\n" for i in range(1, 17))
+    (tmp_path / "psa_2018_io16.csv").write_bytes(text.replace("\n", "\r\n").encode())
+    (tmp_path / "psa_2018_io16_total_output.csv").write_text(output)
+    with pytest.raises(ValueError, match="not the expected file"):
+        iotable.load_pair(spark, "io16", folder=str(tmp_path))
+    hashes = [iotable.text_sha256(t.encode()) for t in (text, output)]
+    monkeypatch.setitem(iotable.PUBLIC, "io16", ("psa_2018_io16", *hashes))
+    z, a, found = iotable.load_pair(spark, "io16", folder=str(tmp_path))
+    assert z.count() == 256 and found.resource_sha256 == hashes[0] and found.source_id == "psa_2018_io16"
+    assert a.where("source = '01' and target = '02'").first()["value"] == pytest.approx(2 / 2000)
+    (tmp_path / "psa_2018_io16_total_output.csv").write_text(output + "17,1\n")
+    with pytest.raises(ValueError, match="total_output.csv is not the expected"):
+        iotable.load_pair(spark, "io16", folder=str(tmp_path))

@@ -98,8 +98,7 @@ def median_distances(points: DataFrame, centers: DataFrame, edges: DataFrame) ->
 
 
 def centroid_nodes(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """type, cluster, center_network_node, x, y by the mean of the points' coordinates: the nearer end of the nearest edge. Where
-    exact medians fail; the pipeline does not use it."""
+    """type, cluster, center_network_node, x, y by the mean of the points' coordinates: the nearer end of the nearest edge."""
     from .roads import near_arcs
 
     mean = points.groupBy("type", "cluster").agg(F.avg("x").alias("px"), F.avg("y").alias("py")).withColumn("id", F.concat_ws("\u0000", "type", F.col("cluster").cast("string")))
@@ -108,3 +107,16 @@ def centroid_nodes(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     near = near_arcs(mean.select("id", "px", "py"), edges.join(a, "u").join(b, "v"))
     first = near.groupBy("id").agg(F.min(F.struct("aug_edge_id", "t", "u", "v")).alias("e")).select("id", F.when(F.col("e.t") <= 0.5, F.col("e.u")).otherwise(F.col("e.v")).alias("node"))
     return mean.join(first, "id").join(nodes.select("node", "x", "y"), "node").select("type", "cluster", F.col("node").alias("center_network_node"), "x", "y")
+
+
+def medians_or_centroids(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As cluster_medians, with center_method. A cluster whose points roads don't join has no median: its center is the end of a road that is near the mean of its
+    points, with a null objective."""
+    keys = ["type", "cluster"]
+    apart = points.join(nodes.select("node", "component"), "node").groupBy(*keys).agg(F.count_distinct("component").alias("n")).where("n > 1").select(*keys)
+    apart = materialize(apart, "apart-clusters")
+    whole = cluster_medians(points.join(apart, keys, "left_anti"), nodes, edges).withColumn("center_method", F.lit("network_1_median"))
+    rest = centroid_nodes(points.join(apart, keys, "left_semi"), nodes, edges) if not apart.isEmpty() else None
+    if rest is None:
+        return whole
+    return whole.unionByName(rest.select(*keys, "center_network_node", F.lit(None).cast("double").alias("objective"), "x", "y", F.lit("euclidean_centroid_road_snap_fallback").alias("center_method")))

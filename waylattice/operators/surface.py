@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.geometry import area, clip, interior_point
 from .paths import nearest_sources
+from .planar import planar_territories
 from .roads import near_arcs
 from .storage import materialize, require
 
@@ -103,11 +104,11 @@ def cell_owners(cells: DataFrame, owners: DataFrame, nodes: DataFrame, edges: Da
     return looking.join(owner, "id").select("type", "cluster", "ix", "iy", "area")
 
 
-def territories(points: DataFrame, nodes: DataFrame, edges: DataFrame, boundary, config: SurfaceConfig, progress=None) -> DataFrame:
+def territories(points: DataFrame, nodes: DataFrame, edges: DataFrame, boundary, config: SurfaceConfig, progress=None, failing: list[str] | None = None) -> DataFrame:
     """type, cluster, level, ix, iy, area of all clusters of points (type, cluster, node).
 
     A type of which some cluster gets no cell is tried again on the next finer grid, up to max_refinements; then it is an
-    error. Types are solved together; only the failing ones go on."""
+    error, unless a list is given that gets the failing types. Types are solved together; only the failing ones go on."""
     spark = points.sparkSession
     sources = materialize(points.select("type", "cluster", "node").distinct(), "surface-sources")
     owners = materialize(nearest_sources(sources, edges), "owners")
@@ -119,23 +120,24 @@ def territories(points: DataFrame, nodes: DataFrame, edges: DataFrame, boundary,
         cells = grid(spark, boundary, size, config.max_cells)
         now = materialize(cell_owners(cells, owners.where(F.col("type").isin(todo)), nodes, edges), "cells")
         missing = wanted.where(F.col("type").isin(todo)).join(now, ["type", "cluster"], "left_anti")
-        failing = [r[0] for r in missing.select("type").distinct().collect()]
-        done = now.where(~F.col("type").isin(failing)).select("type", "cluster", F.lit(level).alias("level"), "ix", "iy", "area")
+        without = [r[0] for r in missing.select("type").distinct().collect()]
+        done = now.where(~F.col("type").isin(without)).select("type", "cluster", F.lit(level).alias("level"), "ix", "iy", "area")
         found = done if found is None else found.unionByName(done)
-        todo, size = failing, size * config.refine_factor
+        todo, size = without, size * config.refine_factor
         if not todo:
             return materialize(found, "territories")
+    if failing is not None:
+        failing += todo
+        return materialize(found, "territories")
     raise ValueError(f"the grid is too coarse for a cluster of types {', '.join(sorted(todo))}")
 
 
-def euclidean_territories(centers: DataFrame, boundary, config: SurfaceConfig) -> DataFrame:
-    """Cells by the nearest center in the plane, ties to the smallest cluster: on a grid, so an approximation of the exact planar
-    partition. Where road surfaces fail; the pipeline does not use it. Centers of a type are few beside its cells."""
-    cells = grid(centers.sparkSession, boundary, config.resolution, config.max_cells)
-    c = centers.groupBy("type").agg(F.collect_list(F.struct("cluster", "x", "y")).alias("centers")).withColumn("one_", F.lit(1))
-    each = cells.withColumn("one_", F.lit(1)).join(F.broadcast(c), "one_")
-    nearest = F.expr("array_min(transform(centers, c -> struct(hypot(px - c.x, py - c.y) as d, c.cluster as cluster)))")
-    return each.select("type", nearest["cluster"].alias("cluster"), F.lit(0).alias("level"), "ix", "iy", "area")
+def territories_or_planar(points: DataFrame, centers: DataFrame, nodes: DataFrame, edges: DataFrame, boundary, config: SurfaceConfig, progress=None) -> tuple[DataFrame, DataFrame]:
+    """Territories, and for types of which some cluster gets no cell of the finest grid, planar ones (see planar_territories) by the clusters' centers."""
+    failing: list[str] = []
+    cells = territories(points, nodes, edges, boundary, config, progress, failing)
+    own = points.where(F.col("type").isin(failing))
+    return cells, planar_territories(own, centers.where(F.col("type").isin(failing)), boundary)
 
 
 def overlaps(cells: DataFrame, dag: DataFrame, split: int = 2) -> DataFrame:

@@ -226,6 +226,17 @@ def spanning_forest_weight(spark, sf_dir):
     return forest.groupBy("type").agg(F.count("*").alias("edges"), F.round(F.sum("m"), 6).alias("weight"))
 
 
+@query
+def condensed_tree(spark, sf_dir):
+    """Every cluster of the condensed trees at one radius, before some are chosen."""
+    places, _, arcs = _places(spark, sf_dir)
+    pairs = paths.neighbor_pairs(places, arcs, RADIUS)
+    cores = roads.materialize(density.core_distances(places, pairs, CONFIG.samples), "cores")
+    found = density.condensed_clusters(cores, density.spanning_forest(density.mutual_reachability(pairs, cores)), CONFIG)
+    finite = F.when(F.abs(F.col("stability")) < float("inf"), F.round("stability", 6))
+    return found.select("type", "first", "members", F.round("birth", 9).alias("birth"), finite.alias("stability"))
+
+
 def _clustered(spark, sf_dir):
     v, a, s = _snapped(spark, sf_dir)
     places, of = roads.positions(s)

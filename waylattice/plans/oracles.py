@@ -142,6 +142,24 @@ part(type, t, node, l) USING KEY (type, t, node) AS (SELECT type, t, node, node
 many AS (SELECT type, t, count(*) AS n, count(*) FILTER (l = node) AS k FROM part GROUP BY type, t),
 merged AS (SELECT type, t, coalesce(lag(k) OVER (PARTITION BY type ORDER BY t), n) - k AS edges FROM many)"""
 ORACLES["spanning_forest_weight"] = f"WITH RECURSIVE {_FOREST} SELECT type, sum(edges)::BIGINT AS edges, round(sum(edges * t), 6) AS weight FROM merged GROUP BY type"
+#: Components of at least five points by level of distance; a cluster is a chain of them, born where one falls apart into several.
+_TREE = f"""{_FOREST}, step AS (SELECT type, t, row_number() OVER (PARTITION BY type ORDER BY t) AS k FROM level),
+node AS (SELECT p.type, p.position, p.weight, core FROM place p JOIN core USING (type, position)),
+lab AS (SELECT type, 0 AS k, position, position AS l, weight, core FROM node
+  UNION ALL SELECT n.type, s.k, n.position, coalesce(q.l, n.position), n.weight, n.core FROM node n JOIN step s USING (type) LEFT JOIN part q ON q.type = n.type AND q.t = s.t AND q.node = n.position),
+comp AS (SELECT type, k, l, sum(weight) AS n, min(position) AS first FROM lab GROUP BY type, k, l HAVING sum(weight) >= 5),
+last AS (SELECT type, max(k) AS k FROM lab GROUP BY type),
+hang AS (SELECT c.type, c.k, c.l, c.n, c.first, up.l AS ul FROM comp c LEFT JOIN lab up ON up.type = c.type AND up.k = c.k + 1 AND up.position = c.first),
+falls AS (SELECT type, k + 1 AS k, ul AS l, count(*) AS n FROM hang WHERE ul IS NOT NULL GROUP BY type, k, ul),
+chain AS (SELECT h.type, h.k, h.l, h.k AS sk, h.l AS sl, 1 / s.t AS birth FROM hang h JOIN falls f ON f.type = h.type AND f.k = h.k + 1 AND f.l = h.ul AND f.n > 1 JOIN step s ON s.type = h.type AND s.k = h.k + 1
+  UNION ALL SELECT h.type, h.k, h.l, h.k, h.l, 0 FROM hang h JOIN last USING (type, k) WHERE (SELECT count(*) FROM comp c WHERE c.type = h.type AND c.k = h.k) > 1
+  UNION ALL SELECT h.type, h.k, h.l, c.sk, c.sl, c.birth FROM chain c JOIN falls f ON f.type = c.type AND f.k = c.k AND f.l = c.l AND f.n = 1 JOIN hang h ON h.type = c.type AND h.k = c.k - 1 AND h.ul = c.l),
+leave AS (SELECT c.type, c.sk, c.sl, c.birth, p.weight, CASE WHEN c.k > 0 THEN 1 / s.t WHEN p.core > 0 THEN 1 / p.core ELSE 'Infinity'::DOUBLE END AS gone
+  FROM chain c JOIN lab p ON p.type = c.type AND p.k = c.k AND p.l = c.l LEFT JOIN step s ON s.type = c.type AND s.k = c.k
+  LEFT JOIN lab below ON below.type = p.type AND below.k = p.k - 1 AND below.position = p.position
+  LEFT JOIN chain d ON d.type = c.type AND d.k = c.k - 1 AND d.l = below.l AND d.sk = c.sk AND d.sl = c.sl WHERE d.l IS NULL)"""
+ORACLES["condensed_tree"] = f"""WITH RECURSIVE {_TREE} SELECT x.type, c.first, c.n::BIGINT AS members, round(x.birth, 9) AS birth, CASE WHEN isinf(sum((gone - x.birth) * weight)) THEN NULL ELSE round(sum((gone - x.birth) * weight), 6) END AS stability
+  FROM leave x JOIN comp c ON c.type = x.type AND c.k = x.sk AND c.l = x.sl GROUP BY x.type, x.sk, x.sl, c.first, c.n, x.birth"""
 ORACLES["polygon_overlap_pairs"] = """WITH p AS (SELECT printf('%02d', c_nationkey % 5 + 1) AS type, c_custkey::BIGINT AS cluster, c_custkey * 37 % 1000 AS x0, (c_custkey * c_custkey * 7 + c_custkey * 11) % 997 AS y0,
   1 + c_custkey % 17 AS w, 1 + c_custkey % 13 AS h FROM customer), dag AS (SELECT * FROM (VALUES ('01', '02'), ('02', '03'), ('01', '05'), ('04', '02')) d(s, t))
 SELECT a.type AS source_type, a.cluster AS source_cluster, b.type AS target_type, b.cluster AS target_cluster FROM dag JOIN p a ON a.type = s JOIN p b ON b.type = t

@@ -174,16 +174,28 @@ def text_sha256(data: bytes) -> str:
     return hashlib.sha256(data.replace(b"\r\n", b"\n").replace(b"\r", b"\n")).hexdigest()
 
 
-def packaged(folder: str | None, classification: str, expected_sha256: str | None = None) -> tuple[str, str | None, Provenance]:
-    """The folder's transactions and output files of a classification (<name>.csv, <name>_total_output.csv), checked against a hash."""
+#: SHA-256 of the public tables of 2018, transactions and total output, as text with line feeds.
+PUBLIC = {
+    "io80": ("psa_2018_io80", "9335f4de98d6b11205b431f8702f26a2c932d641fdd911ce7ddcf08f604840a1", "7159ef3cdc7368d949b4846e21927ddba3c5d116c7cceafcd9efd48273aca061"),
+    "io16": ("psa_2018_io16", "f5a2105fc67d2c992eb86531b310b0ce7eff3046a981da88570cea196a49ba76", "8b5653e65002fbedcb7602793da044c4a13cd9664bc0e7f8d7d41ebe9f53e9cf"),
+}
+
+
+def packaged(folder: str | None, classification: str) -> tuple[str, str | None, Provenance]:
+    """The folder's transactions and output files of a classification: those of the public tables by their own names, which must be unchanged, else any named
+    <classification>.csv and <classification>_total_output.csv."""
     folder = folder or os.environ.get("WAYLATTICE_IO_DATA", "")
-    z, x = os.path.join(folder, f"{classification}.csv"), os.path.join(folder, f"{classification}_total_output.csv")
+    public, *hashes = PUBLIC[classification]
+    stem = public if os.path.isfile(os.path.join(folder, f"{public}.csv")) else classification
+    z, x = os.path.join(folder, f"{stem}.csv"), os.path.join(folder, f"{stem}_total_output.csv")
     if not os.path.isfile(z):
         raise FileNotFoundError(f"no transactions for {classification} in {folder or 'the data folder'}")
-    sha = text_sha256(Path(z).read_bytes())
-    if expected_sha256 and sha != expected_sha256:
-        raise ValueError(f"{z} is not the expected file")
-    return z, x if os.path.isfile(x) else None, Provenance(classification, "packaged", z, sha)
+    found = [text_sha256(Path(p).read_bytes()) if os.path.isfile(p) else None for p in (z, x)]
+    if stem == public:
+        for path, sha, expected in zip((z, x), found, hashes, strict=True):
+            if sha is not None and sha != expected:
+                raise ValueError(f"{path} is not the expected file: SHA-256 {sha}, not {expected}")
+    return z, x if found[1] else None, Provenance(stem, "packaged", z, found[0])
 
 
 def load_pair(spark: SparkSession, classification: str, transactions: str | None = None, sheet: str | int = 0, coefficients: str | None = None, coefficients_sheet: str | int = 0, folder: str | None = None) -> tuple[DataFrame, DataFrame, Provenance]:

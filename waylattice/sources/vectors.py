@@ -4,25 +4,32 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sqlite3
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.geometry import LINE, MULTILINE, POINT, polygons_of, read_wkb, reproject
 from ..functions.overlay import invalid, union
+from ..operators.storage import ship
 
 _POINTS = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
 
 
 def read_vector(spark: SparkSession, path: str, layer: str | None = None) -> tuple[DataFrame, int | None]:
-    """The layer's columns with `geometry` as WKB, and its EPSG code (null if the file names none). A GeoPackage is read on the driver, as
-    it is one database file; a GeoParquet by Spark."""
+    """The layer's columns with `geometry` as WKB, and its EPSG code (null if the file names none). Rows are read by the tasks, those of a GeoPackage
+    in ranges of row numbers, from a path that driver and workers share."""
     if path.endswith((".parquet", ".pq")):
         return spark.read.parquet(path), _geoparquet_epsg(spark, path)
     if path.endswith(".gpkg"):
@@ -42,23 +49,74 @@ def _geoparquet_epsg(spark: SparkSession, path: str) -> int | None:
     return int(crs["id"]["code"]) if crs and "id" in crs else None
 
 
+class GeoParquetSink(DataSource):
+    """A folder of GeoParquet parts, one for each task, whose footers have the geometry's metadata. Options: path (which driver and workers
+    share), epsg, geometry."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "geoparquet"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return GeoParquetWriter(self.options["path"], schema, int(self.options["epsg"]), self.options.get("geometry", "geometry"))
+
+
+@dataclass
+class WrittenPart(WriterCommitMessage):
+    name: str
+    rows: int
+
+
+class GeoParquetWriter(DataSourceArrowWriter):
+    """Parts are written aside and moved when all tasks are done; what was there before is replaced."""
+
+    def __init__(self, path: str, schema: StructType, epsg: int, geometry: str):
+        crs = {"type": "ProjectedCRS" if epsg != 4326 else "GeographicCRS", "name": f"EPSG:{epsg}", "id": {"authority": "EPSG", "code": epsg}}
+        geo = {"version": "1.1.0", "primary_column": geometry, "columns": {geometry: {"encoding": "WKB", "geometry_types": [], "crs": crs}}}
+        self.path, self.fields, self.geo = path, schema, json.dumps(geo).encode()
+        self.aside = f"{path}.parts-{uuid.uuid4().hex}"
+
+    def _schema(self) -> pa.Schema:
+        return to_arrow_schema(self.fields).with_metadata({b"geo": self.geo})
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        os.makedirs(self.aside, exist_ok=True)
+        name, rows, schema = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet", 0, self._schema()
+        with pq.ParquetWriter(f"{self.aside}/{name}", schema) as out:
+            for b in batches:
+                out.write_table(pa.Table.from_batches([b]).cast(schema))
+                rows += b.num_rows
+        return WrittenPart(name, rows)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        parts = [m for m in messages if m is not None]
+        os.makedirs(self.aside, exist_ok=True)
+        if not parts:
+            pq.write_table(self._schema().empty_table(), f"{self.aside}/part-00000.parquet")
+        for m in parts:
+            if pq.ParquetFile(f"{self.aside}/{m.name}").metadata.num_rows != m.rows:
+                raise RuntimeError(f"{m.name} does not hold what was written")
+        keep = {m.name for m in parts} or {"part-00000.parquet"}
+        for name in os.listdir(self.aside):
+            if name not in keep:  # of a task that was run twice
+                os.remove(f"{self.aside}/{name}")
+        if os.path.isfile(self.path):
+            os.remove(self.path)
+        elif os.path.isdir(self.path):
+            shutil.rmtree(self.path)
+        os.replace(self.aside, self.path)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.aside, ignore_errors=True)
+
+
 def write_geoparquet(df: DataFrame, path: str, epsg: int, geometry: str = "geometry") -> str:
-    """One file with the geometry's metadata, read back to check its reference system and rows. For public artifacts, whose rows go
-    through the driver in batches; large tables are written by Spark, without metadata."""
-    schema = pa.schema([pa.field(f.name, t) for f, t in zip(df.schema, (pa.binary() if f.dataType.typeName() == "binary" else df.limit(0).toArrow().schema.field(f.name).type for f in df.schema), strict=True)])
-    geo = {"version": "1.1.0", "primary_column": geometry, "columns": {geometry: {"encoding": "WKB", "geometry_types": [], "crs": {"type": "ProjectedCRS" if epsg != 4326 else "GeographicCRS", "name": f"EPSG:{epsg}", "id": {"authority": "EPSG", "code": epsg}}}}}
-    n = 0
-    with pq.ParquetWriter(path, schema.with_metadata({b"geo": json.dumps(geo).encode()})) as out:
-        rows: list[dict] = []
-        for r in df.toLocalIterator():
-            rows.append(r.asDict(recursive=True))
-            n += 1
-            if len(rows) == 10_000:
-                out.write_table(pa.Table.from_pylist(rows, schema))
-                rows = []
-        out.write_table(pa.Table.from_pylist(rows, schema))
-    back = pq.ParquetFile(path)
-    if back.metadata.num_rows != n or _geoparquet_epsg(df.sparkSession, path) != epsg:
+    """A folder of GeoParquet parts, written by the tasks; its reference system is read back."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.dataSource.register(GeoParquetSink)
+    df.write.format("geoparquet").mode("overwrite").option("path", path).option("epsg", str(epsg)).option("geometry", geometry).save()
+    if _geoparquet_epsg(spark, path) != epsg:
         raise RuntimeError(f"{path} does not hold what was written")
     return path
 
@@ -70,7 +128,8 @@ def _blob_wkb(blob: bytes) -> bytes:
     return blob[8 + 8 * (0, 4, 6, 6, 8)[blob[3] >> 1 & 7] :]
 
 
-def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> tuple[DataFrame, int | None]:
+def _layer_of(path: str, layer: str | None) -> tuple[str, str, int, list[tuple[str, str]]]:
+    """Name, geometry column, reference system, and columns with their types of a layer."""
     db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
         layers = [r[0] for r in db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY table_name")]
@@ -78,15 +137,71 @@ def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) ->
         if name not in layers:
             raise ValueError(f"{path} has the layers {', '.join(layers)}; name one")
         column, srs = db.execute("SELECT column_name, srs_id FROM gpkg_geometry_columns WHERE table_name = ?", (name,)).fetchone()
-        quoted = '"' + name.replace('"', '""') + '"'
-        cursor = db.execute(f"SELECT * FROM {quoted}")
-        names = [d[0] for d in cursor.description]
-        rows = [[bytearray(_blob_wkb(v)) if n == column and v is not None else v for n, v in zip(names, r, strict=True)] for r in cursor]
+        declared = [(r[1], (r[2] or "").upper()) for r in db.execute(f"PRAGMA table_info({_quoted(name)})")]
     finally:
         db.close()
-    types = {n: "binary" if n == column else next(({int: "long", float: "double"}.get(type(r[i]), "string") for r in rows if r[i] is not None), "string") for i, n in enumerate(names)}
-    schema = ", ".join(f"`{'geometry' if n == column else n}` {t}" for n, t in types.items())
-    return spark.createDataFrame([tuple(str(v) if types[n] == "string" and v is not None else float(v) if types[n] == "double" and v is not None else v for n, v in zip(names, r, strict=True)) for r in rows], schema), srs
+    kind = lambda t: "long" if "INT" in t or t == "BOOLEAN" else "double" if any(k in t for k in ("REAL", "FLOA", "DOUB")) else "string"
+    return name, column, srs, [(n, "binary" if n == column else kind(t)) for n, t in declared]
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+@dataclass
+class Rows(InputPartition):
+    first: int
+    last: int
+
+
+class GeoPackageSource(DataSource):
+    """A layer of a GeoPackage, read by the tasks in ranges of row numbers. Options: path (which driver and workers share), layer, rows of a range."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "geopackage"
+
+    def schema(self) -> str:
+        _, column, _, columns = _layer_of(self.options["path"], self.options.get("layer"))
+        return ", ".join(f"`{'geometry' if n == column else n}` {t}" for n, t in columns)
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return GeoPackageReader(self.options["path"], self.options.get("layer"), int(self.options.get("rows", "50000")), schema)
+
+
+class GeoPackageReader(DataSourceReader):
+    def __init__(self, path: str, layer: str | None, rows: int, schema: StructType):
+        self.path, self.rows, self.fields = path, rows, schema
+        self.name, self.column, _, self.columns = _layer_of(path, layer)
+
+    def partitions(self) -> list[InputPartition]:
+        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        try:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.name)}").fetchone()
+        finally:
+            db.close()
+        return [Rows(k, min(k + self.rows - 1, high)) for k in range(low, high + 1, self.rows)] if low is not None else [Rows(0, -1)]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(self.fields)
+        as_ = {"long": int, "double": float, "string": str}
+        change = [(lambda v: bytes(_blob_wkb(v))) if t == "binary" else as_[t] for _, t in self.columns]
+        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        try:
+            cursor = db.execute(f"SELECT {', '.join(_quoted(n) for n, _ in self.columns)} FROM {_quoted(self.name)} WHERE rowid BETWEEN ? AND ?", (partition.first, partition.last))
+            while rows := cursor.fetchmany(10_000):
+                columns = [[None if v is None else f(v) for v in c] for f, c in zip(change, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        finally:
+            db.close()
+
+
+def read_geopackage(spark: SparkSession, path: str, layer: str | None = None, rows: int = 50_000) -> tuple[DataFrame, int | None]:
+    """A layer's columns, by their declared types, with `geometry` as WKB, and its EPSG code."""
+    name, _, srs, _ = _layer_of(path, layer)
+    ship(spark)
+    spark.dataSource.register(GeoPackageSource)
+    return spark.read.format("geopackage").option("path", path).option("layer", name).option("rows", str(rows)).load(), srs
 
 
 def write_geopackage(path: str, layers: dict[str, tuple[list[dict], str]], epsg: int = 4326) -> str:
