@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from ..functions.geometry import area, multipolygon_wkb
+from ..functions.geometry import area, is_box, multipolygon_wkb
 from ..functions.overlay import cut, half_plane
 from .storage import materialize, require
 
@@ -115,13 +115,13 @@ def planar_territories(points: DataFrame, centers: DataFrame, boundary: list) ->
 
     ValueError for sites as sites_of says, for a cluster that gets no area, or if areas don't add up to the boundary's. Empty points give an empty result."""
     xs, ys = [x for p in boundary for x, _ in p[0]], [y for p in boundary for _, y in p[0]]
-    whole = area(boundary)
+    whole, irregular = area(boundary), not is_box(boundary)
     sites = sites_of(points, centers)
     schema = StructType([*sites.schema.fields[:2], StructField("geometry", BinaryType()), StructField("area", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [cut([[[*ring, ring[0]]]], boundary) if len(ring) > 2 else [] for ring in ([(p["x"], p["y"]) for p in r] for r in b.column("ring").to_pylist())]
+            found = [(cut(own, boundary) if irregular else own) if len(ring) > 2 and (own := [[[*ring, ring[0]]]]) else [] for ring in ([(p["x"], p["y"]) for p in r] for r in b.column("ring").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("type"), b.column("cluster"), pa.array([multipolygon_wkb(f) for f in found], pa.binary()), pa.array([area(f) for f in found], pa.float64())], names=schema.names)
 
     cells = materialize(voronoi_cells(sites, (min(xs), min(ys), max(xs), max(ys))).mapInArrow(run, schema), "planar-territories")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.geometry import area, clip, interior_point
+from ..functions.geometry import area, clip, interior_point, is_box
 from .paths import nearest_sources
 from .planar import planar_territories
 from .roads import near_arcs
@@ -39,14 +39,6 @@ class SurfaceConfig:
         return round(1 / self.refine_factor)
 
 
-def is_box(boundary: list[list[list[tuple[float, float]]]]) -> bool:
-    """Whether a boundary is one rectangle along the axes."""
-    if len(boundary) != 1 or len(boundary[0]) != 1 or len(boundary[0][0]) != 5:
-        return False
-    xs, ys = zip(*boundary[0][0], strict=True)
-    return {*boundary[0][0]} == {(x, y) for x in (min(xs), max(xs)) for y in (min(ys), max(ys))}
-
-
 def grid(spark: SparkSession, boundary: list[list[list[tuple[float, float]]]], resolution: float, max_cells: int) -> DataFrame:
     """ix, iy, area, px, py of the cells of a boundary's box that have an area within it; px, py is a point inside that part.
 

@@ -312,7 +312,7 @@ def _dag(spark) -> DataFrame:
 def _cells(p: DataFrame) -> DataFrame:
     """The cells that clusters have points in, on two levels: even types on the finer one."""
     level = (F.col("type").cast("int") + 1) % 2
-    size = 100 / (F.col("level") + 1)
+    size = 400 / (F.col("level") + 1)
     return p.withColumn("level", level).select("type", "cluster", "level", F.floor(F.col("x") / size).alias("ix"), F.floor(F.col("y") / size).alias("iy"), F.lit(1.0).alias("area")).distinct()
 
 
@@ -363,7 +363,7 @@ def planar_voronoi_area(spark, sf_dir):
     sites = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.format_string("%02d", F.col("s_nationkey") % 5 + 1).alias("type"), k.alias("cluster"), k.cast("double").alias("x"), (k * 7919 % 1009).cast("double").alias("y"))
     x1 = sites.agg(F.max("x")).first()[0] + 1
     box = [[[(0.0, -1.0), (x1, -1.0), (x1, 1010.0), (0.0, 1010.0), (0.0, -1.0)]]]
-    return planar.planar_territories(sites, sites, box).select("type", "cluster", F.round("area", 3).alias("area"))
+    return planar.planar_territories(sites, sites, box).select("type", "cluster", F.round("area", 6).alias("area"))
 
 
 def _x_parts(spark, sf_dir):

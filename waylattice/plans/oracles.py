@@ -78,7 +78,7 @@ stop AS (SELECT arc_id, o, node FROM cut UNION ALL SELECT arc_id, 0, u FROM arcs
 piece AS (SELECT node AS a, lead(node) OVER w AS b, lead(o) OVER w - o AS w FROM stop WINDOW w AS (PARTITION BY arc_id ORDER BY o)),
 edge AS (SELECT a, b, w FROM piece WHERE b IS NOT NULL UNION ALL SELECT u, v, length FROM arcs WHERE arc_id NOT IN (SELECT arc_id FROM cut))"""
 
-_CELLS = """cells AS (SELECT DISTINCT type, cluster, (type::INTEGER + 1) % 2 AS level, floor(x / (100 / ((type::INTEGER + 1) % 2 + 1)))::BIGINT AS ix, floor(y / (100 / ((type::INTEGER + 1) % 2 + 1)))::BIGINT AS iy FROM own),
+_CELLS = """cells AS (SELECT DISTINCT type, cluster, (type::INTEGER + 1) % 2 AS level, floor(x / (400 / ((type::INTEGER + 1) % 2 + 1)))::BIGINT AS ix, floor(y / (400 / ((type::INTEGER + 1) % 2 + 1)))::BIGINT AS iy FROM own),
 dag AS (SELECT * FROM (VALUES ('01', '02', 0.5::DOUBLE), ('02', '03', 0.25::DOUBLE), ('01', '05', 0.125::DOUBLE), ('04', '02', 2.0::DOUBLE)) x(source_type, target_type, coefficient)),
 overlap AS (SELECT DISTINCT d.source_type, a.cluster AS source_cluster, d.target_type, b.cluster AS target_cluster, d.coefficient
   FROM dag d JOIN cells a ON a.type = d.source_type JOIN cells b ON b.type = d.target_type
@@ -192,11 +192,11 @@ ORACLES |= {
     "disconnected_pairs": f"WITH RECURSIVE {_XPARTS} SELECT source_type, source_cluster, target_type, target_cluster, 'disconnected_centers' AS reason FROM x WHERE d IS NULL",
     "x_degrees": f"WITH RECURSIVE {_XPARTS} SELECT 'type=' || type || '::cluster=' || cluster AS node_id, (SELECT count(*) FROM x WHERE d IS NOT NULL AND target_type = type AND target_cluster = cluster) AS in_degree, (SELECT count(*) FROM x WHERE d IS NOT NULL AND source_type = type AND source_cluster = cluster) AS out_degree FROM center",
     "undirected_projection": f"WITH RECURSIVE {_XPARTS} SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, sum(coefficient * d) AS weight FROM x WHERE coefficient * d > 0 GROUP BY 1, 2",
-    "spatial_summary": f"""WITH RECURSIVE {_XPARTS}, deg AS (SELECT type, cluster, (SELECT count(*) FROM x WHERE d IS NOT NULL AND ((target_type = type AND target_cluster = cluster) OR (source_type = type AND source_cluster = cluster))) AS g FROM center),
-        t AS (SELECT type, count(*) AS n FROM center GROUP BY type), r AS (SELECT d FROM x WHERE d IS NOT NULL)
-        SELECT (SELECT count(*) FROM t) AS types, (SELECT min(n) FROM t) AS clusters_min, (SELECT quantile_cont(n, 0.5) FROM t)::DOUBLE AS clusters_median, (SELECT max(n) FROM t) AS clusters_max,
-        (SELECT max(g) FROM deg) AS degree_max, (SELECT avg(g) FROM deg) AS degree_mean, (SELECT count(*) FROM r) AS routes, (SELECT sum(d) FROM r) AS route_sum, (SELECT min(d) FROM r) AS route_min,
-        (SELECT quantile_cont(d, 0.5) FROM r)::DOUBLE AS route_median, (SELECT max(d) FROM r) AS route_max""",
+    "spatial_summary": f"""WITH RECURSIVE {_XPARTS}, degree_of AS (SELECT type, cluster, (SELECT count(*) FROM x WHERE d IS NOT NULL AND ((target_type = type AND target_cluster = cluster) OR (source_type = type AND source_cluster = cluster))) AS g FROM center),
+        type_size AS (SELECT type, count(*) AS n FROM center GROUP BY type), route AS (SELECT d FROM x WHERE d IS NOT NULL)
+        SELECT (SELECT count(*) FROM type_size) AS types, (SELECT min(n) FROM type_size) AS clusters_min, (SELECT quantile_cont(n, 0.5) FROM type_size)::DOUBLE AS clusters_median, (SELECT max(n) FROM type_size) AS clusters_max,
+        (SELECT max(g) FROM degree_of) AS degree_max, (SELECT avg(g) FROM degree_of) AS degree_mean, (SELECT count(*) FROM route) AS routes, (SELECT sum(d) FROM route) AS route_sum, (SELECT min(d) FROM route) AS route_min,
+        (SELECT quantile_cont(d, 0.5) FROM route)::DOUBLE AS route_median, (SELECT max(d) FROM route) AS route_max""",
 }
 _SURFACE = f"""{_GIVEN}, {_OWN}, {_WAY}, src AS (SELECT DISTINCT node AS id FROM pt), {_FROM.format(source='id', sources='src')},
 near AS (SELECT DISTINCT type, cluster, dist.node, dist.d FROM pt JOIN dist ON dist.source = pt.node),
@@ -244,4 +244,4 @@ r AS (SELECT type, cluster, 0::BIGINT AS k, [{'x': 0 - x, 'y': -1 - y}, {'x': x1
        'y': ring[i].y + (dx * ring[i].x + dy * ring[i].y - (dx * dx + dy * dy) / 2) / (dx * (ring[i].x - ring[i % len(ring) + 1].x) + dy * (ring[i].y - ring[i % len(ring) + 1].y)) * (ring[i % len(ring) + 1].y - ring[i].y)} END
     ], lambda p: p IS NOT NULL))) FROM r JOIN n ON n.type = r.type AND n.cluster = r.cluster AND n.k = r.k + 1),
 f AS (SELECT type, cluster, arg_max(ring, k) AS ring FROM r GROUP BY type, cluster)
-SELECT type, cluster, round(list_sum(list_transform(range(1, len(ring) + 1), lambda i: ring[i].x * ring[i % len(ring) + 1].y - ring[i % len(ring) + 1].x * ring[i].y)) / 2, 3) AS area FROM f"""
+SELECT type, cluster, round(list_sum(list_transform(range(1, len(ring) + 1), lambda i: ring[i].x * ring[i % len(ring) + 1].y - ring[i % len(ring) + 1].x * ring[i].y)) / 2, 6) AS area FROM f"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .. import __version__
-from ..functions.geometry import point_wkb
+from ..functions.geometry import is_box, point_wkb
 from ..functions.sectors import sector_id
 from ..operators import density, outputs, points as pts, polygons, roads, surface
 from ..operators.storage import materialize, require
@@ -151,7 +151,7 @@ def run_engine(spark: SparkSession, c: EngineConfig) -> EngineResult:
     os.makedirs(c.output_dir, exist_ok=True)
     at = lambda name: os.path.join(c.output_dir, name)
     xs, ys = [x for p in boundary for x, _ in p[0]], [y for p in boundary for _, y in p[0]]
-    partitions = materialize(outputs.partitions_of(w.cells, (min(xs), min(ys)), c.surface.resolution, c.surface.split, (min(xs), min(ys), max(xs), max(ys)), None if surface.is_box(boundary) else boundary), "partitions")
+    partitions = materialize(outputs.partitions_of(w.cells, (min(xs), min(ys)), c.surface.resolution, c.surface.split, (min(xs), min(ys), max(xs), max(ys)), None if is_box(boundary) else boundary), "partitions")
     names = ["canonical_id", "canonical_name"]
     clustered = w.clustered.select("point_id", "type", "cluster", "membership", *names, F.col("component").alias("network_component"), F.col("snap_distance").alias("snap_distance_to_network"), F.col("arc_id").alias("snapped_edge_id"), F.col("position").alias("network_position"), "x", "y")
     files = {
