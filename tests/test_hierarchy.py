@@ -243,3 +243,58 @@ def test_forest_by_contraction_is_that_of_kruskal(spark, most):
     got = density.spanning_forest(spark.createDataFrame(rows, "type string, i long, j long, m double"), most=most)
     found = [tuple(r) for r in got.select("type", "i", "j", "m").collect()]
     assert len(found) == len(want) and set(found) == want
+
+
+def forest_of(x, weights, samples):
+    """Cores and Kruskal's forest of weighted places on a line, without the pairs over 50, so that parts stay apart."""
+    d = np.abs(x[:, None] - x)
+    order = np.argsort(d, axis=1, kind="stable")
+    within = np.cumsum(weights[order], axis=1) >= samples
+    core = np.where(weights >= samples, 0.0, np.sort(d, axis=1)[np.arange(len(x)), within.argmax(axis=1)])
+    core[core > 50] = np.inf
+    m = np.maximum(d, np.maximum(core[:, None], core))
+    i, j = np.triu_indices(len(x), 1)
+    sets, keep = density.Sets(), []
+    for k in np.lexsort((j, i, m[i, j])):
+        if m[i[k], j[k]] <= 50 and sets.join(int(i[k]), int(j[k])):
+            keep.append((int(i[k]), int(j[k]), float(m[i[k], j[k]])))
+    return core, keep
+
+
+@pytest.fixture(scope="module")
+def hierarchies(spark):
+    """Types of places: at random, on a grid (one distance for most), with heavy places, at one place, far apart, and a single one."""
+    rng = np.random.default_rng(5)
+    sets = {
+        "random": (np.round(np.r_[rng.normal(0, 8, 60), rng.normal(90, 3, 40), rng.uniform(300, 900, 30)], 3), np.ones(130, int)),
+        "grid": (np.r_[np.arange(70), 200 + 2 * np.arange(30), 400 + 3.5 * np.arange(12)].astype(float), np.ones(112, int)),
+        "heavy": (np.round(rng.uniform(0, 400, 60), 3), rng.integers(1, 8, 60)),
+        "same": (np.repeat([0.0, 1.0, 2.0, 40.0], 12), np.ones(48, int)),
+        "apart": (1000.0 * np.arange(9), np.r_[np.ones(8, int), 6]),
+        "one": (np.array([1.0]), np.array([2])),
+    }
+    cores, edges = [], []
+    for t, (x, w) in sets.items():
+        core, keep = forest_of(x, w, 3)
+        cores += [(t, k, int(w[k]), None if np.isinf(core[k]) else float(core[k])) for k in range(len(x))]
+        edges += [(t, *e) for e in keep]
+    cores = spark.createDataFrame(cores, "type string, position long, weight long, core double")
+    return density.materialize(cores, "test-cores"), density.materialize(spark.createDataFrame(edges, "type string, i long, j long, m double"), "test-forest")
+
+
+@pytest.mark.parametrize("config, most", [({}, 45), ({"selection": "leaf", "epsilon": 1.5}, 45), ({"allow_single_cluster": True, "max_cluster_size": 45}, 30)])
+def test_the_hierarchy_in_tables_is_that_of_one_task(hierarchies, config, most):
+    cores, forest = hierarchies
+    c = density.ClusteringConfig(4, 3, **config)
+    want = {(r["type"], r["position"]): r for r in density.position_labels(cores, forest, c).collect()}
+    got = density.position_labels(cores, forest, c, most).collect()
+    assert len(got) == len(want) == cores.count()
+    for r in got:
+        w = want[r["type"], r["position"]]
+        assert (r["label"], r["clusters"]) == (w["label"], w["clusters"]), r
+        assert r["membership"] == pytest.approx(w["membership"], abs=1e-12)
+    if not config:
+        key = lambda r: (r["type"], r["first"], r["birth"])
+        want, got = (sorted(density.condensed_clusters(cores, forest, c, m).collect(), key=key) for m in (None, most))
+        assert [(*key(r), r["members"]) for r in got] == [(*key(r), r["members"]) for r in want] and len(want) > 10
+        assert [r["stability"] for r in got] == pytest.approx([r["stability"] for r in want], rel=1e-9)
