@@ -236,3 +236,35 @@ def test_types_too_dense_for_the_grid_get_planar_territories(spark):
     cells, planar_ = surface.territories_or_planar(points, points, n, e, [[box(0, -5, 20, 5)]], config)
     assert {r[0] for r in cells.select("type").distinct().collect()} == {"B"} and cells.agg(F.sum("area")).first()[0] == 200
     assert {(r["type"], r["cluster"], round(r["area"], 6)) for r in planar_.collect()} == {("A", 0, 5.0), ("A", 1, 100.0), ("A", 2, 95.0)}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lattice_and_split_edges_give_the_same(seed, monkeypatch):
+    from waylattice.functions import overlay
+
+    rng = random.Random(seed)
+    some = lambda n: [[box(x, y, x + rng.randint(1, 6), y + rng.randint(1, 6))[:: rng.choice((1, -1))]] for x, y in ((rng.randint(-9, 14) / 4, rng.randint(-9, 14) / 4) for _ in range(n))]
+    a, b = union(some(30)), some(12)
+    got, called = [], []
+    split = overlay._split
+    monkeypatch.setattr(overlay, "_split", lambda *e: called.append(1) or split(*e))
+    for most in (1 << 24, 0):
+        monkeypatch.setattr(overlay, "LATTICE", most)
+        found = [f(a, b) for f in (intersection, difference, lambda p, q: union(p + q))]
+        got.append([(area(g), sorted((x, y) for p in g for r in p for x, y in r[:-1]), sorted(map(len, g))) for g in found] + [invalid(a + b), *map(invalid, filter(None, found))])
+        assert bool(called) == (not most)  # edges along the axes are summed, not split one by one
+    assert got[0] == got[1]
+
+
+def test_boxes_stay_whole_and_meet_once(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("AB"), k, (x, y, x + rng.randint(1, 17), y + rng.randint(1, 13))) for k, (x, y) in enumerate((rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(80))]
+    tilted = [("B", 900, [(0, 10), (10, 0), (20, 10), (10, 20), (0, 10)]), ("A", 901, [(-20, 0), (0, -20), (20, 0), (0, 20), (-20, 0)])]
+    given = frame(spark, [(t, c, polygon_wkb([box(*b)])) for t, c, b in rows] + [(t, c, polygon_wkb([r])) for t, c, r in tilted]).coalesce(1)
+    p = polygons.clean_partitions(given)
+    assert len(p.inputFiles()) > 8  # one file's rows are checked by many tasks
+    assert polygons.pieces(p, polygons.COARSE).count() <= 4 * len(rows + tilted)
+    shapes = [(t, c, [[box(*b)]]) for t, c, b in rows] + [(t, c, [[r]]) for t, c, r in tilted]
+    want = sorted(("A", c, "B", d) for t, c, a in shapes if t == "A" for u, d, b in shapes if u == "B" and overlap_area(a, b) > 1e-6)
+    got = polygons.polygon_overlaps(p, spark.createDataFrame([("A", "B")], "source_type string, target_type string"))
+    assert sorted(map(tuple, got.collect())) == want

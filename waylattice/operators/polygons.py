@@ -6,31 +6,35 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..functions.geometry import MULTIPOLYGON, POLYGON, area, clip, multipolygon_wkb, overlap_area, polygons_of, read_wkb, reproject
+from ..functions.geometry import MULTIPOLYGON, POLYGON, area, clip, is_box, multipolygon_wkb, overlap_area, polygons_of, read_wkb, reproject
 from ..functions.overlay import difference, invalid, union
-from .points import normal_type
-from .storage import materialize, require
+from ..functions.sectors import sector_id
+from .storage import dealt, materialize, require
 
-#: Pieces of one cell share no area if it is less than this part of the smaller one: what rounding of coordinates leaves along common edges.
+#: Pieces of one cell share no area if it is less than this part of the smaller one, and boxes if the area is narrower than this part of the narrower one, or
+#: lower: what rounding of coordinates leaves along common edges.
 LEAST_SHARE = 1e-9
 #: Pieces of a polygon that are written at once.
 PIECES = 512
-#: A polygon is cut in cells of a width that is a power of two, between 2 ** -FINE of its own width and half of that.
-FINE = 2
+#: To compare it, a polygon is cut in cells of a width that is a power of two, between 2 ** -FINE of its own width and half of that; to unite it, in cells
+#: that are wider than itself, so in four pieces at most.
+FINE, COARSE = 2, -1
 #: Pieces of one cell that are united in one task.
 MEET = 256
 
 _CHECKED = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("geometry", BinaryType()), *[StructField(c, DoubleType()) for c in ("area", "x0", "y0", "x1", "y1")], StructField("problem", StringType())])
-_PIECE = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("level", LongType()), StructField("kx", LongType()), StructField("ky", LongType()), StructField("piece", BinaryType()), StructField("area", DoubleType())])
+_PIECE = StructType([StructField("type", StringType()), StructField("cluster", LongType()), StructField("level", LongType()), StructField("kx", LongType()), StructField("ky", LongType()), StructField("piece", BinaryType()), *[StructField(c, DoubleType()) for c in ("area", "x0", "y0", "x1", "y1")]])
 
 
 def _problem(kind: int, polygons, size: float) -> str | None:
     if kind not in (POLYGON, MULTIPOLYGON) or not polygons:
         return "not one polygonal geometry that is not empty"
+    if is_box(polygons) and polygons[0][0][0] == polygons[0][0][-1] and 0 < size < math.inf:
+        return None
     return (invalid(polygons) if all(polygons) else "a polygon without rings") or (None if 0 < size < math.inf else "no area")
 
 
@@ -41,7 +45,7 @@ def clean_partitions(partitions: DataFrame, source: int | None = None, target: i
     polygonal, without an area, or has a ring that is open or rings that cross themselves or each other. An empty table stays empty; other columns go."""
     if missing := sorted({"type", "cluster", "geometry"} - {*partitions.columns}):
         raise ValueError(f"partitions lack the columns {', '.join(missing)}")
-    rows = normal_type(partitions.select("type", "cluster", "geometry")).select("type", F.col("cluster").cast("long").alias("cluster"), "geometry")
+    rows = partitions.select(sector_id(F.col("type")).alias("type"), F.col("cluster").cast("long").alias("cluster"), "geometry")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,7 +60,8 @@ def clean_partitions(partitions: DataFrame, source: int | None = None, target: i
                 out.append((t, c, multipolygon_wkb(polygons), size, min(xs), min(ys), max(xs), max(ys), _problem(kind, polygons, size)))
             yield pa.RecordBatch.from_pylist([dict(zip(_CHECKED.names, r, strict=True)) for r in out], _arrow(_CHECKED))
 
-    found = materialize(rows.mapInArrow(run, _CHECKED), "partitions-checked")
+    found = materialize(dealt(rows).mapInArrow(run, _CHECKED), "partitions-checked")
+    require(found.where("type is null").select("cluster"), "rows without a type")
     require(found.where("cluster is null or cluster < 0").select("type", "cluster"), "partitions need a cluster of 0 or more")
     require(found.where("problem is not null").select("type", "cluster", "problem"), "partitions of a wrong form")
     require(found.groupBy("type", "cluster").count().where("count > 1"), "repeated partitions")
@@ -68,22 +73,24 @@ def _arrow(schema: StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType.typeName()]) for f in schema.fields])
 
 
-def pieces(partitions: DataFrame) -> DataFrame:
-    """The parts of each polygon in the cells of a grid over the plane: type, cluster, level, kx, ky, piece, area. A cell is 2 ** level wide, and
-    the level goes by the polygon's own width, so that a polygon of any width has (2 ** (FINE + 1) + 1) ** 2 pieces at most."""
+def pieces(partitions: DataFrame, fine: int = FINE) -> DataFrame:
+    """The parts of each polygon in the cells of a grid over the plane: type, cluster, level, kx, ky, piece, area and box (x0, y0, x1, y1). A cell is
+    2 ** level wide, and the level goes by the polygon's own width, so that a polygon of any width has (2 ** (fine + 1) + 1) ** 2 pieces at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 polygons, out = polygons_of(read_wkb(r["geometry"])), []
-                level = math.floor(math.log2(max(r["x1"] - r["x0"], r["y1"] - r["y0"]))) - FINE
+                level = math.floor(math.log2(max(r["x1"] - r["x0"], r["y1"] - r["y0"]))) - fine
                 size = 2.0**level
                 for kx in range(math.floor(r["x0"] / size), math.floor(r["x1"] / size) + 1):
                     strip = clip(polygons, (kx * size, r["y0"], (kx + 1) * size, r["y1"]))
                     for ky in range(math.floor(r["y0"] / size), math.floor(r["y1"] / size) + 1) if strip else ():
                         piece = clip(strip, (kx * size, ky * size, (kx + 1) * size, (ky + 1) * size))
                         if piece and (a := area(piece)) > 0:
-                            out.append({"type": r["type"], "cluster": r["cluster"], "level": level, "kx": kx, "ky": ky, "piece": multipolygon_wkb(piece), "area": a})
+                            xs, ys = [[p[k] for q in piece for p in q[0]] for k in (0, 1)]
+                            own = {"x0": min(xs), "y0": min(ys), "x1": max(xs), "y1": max(ys)}
+                            out.append({"type": r["type"], "cluster": r["cluster"], "level": level, "kx": kx, "ky": ky, "piece": multipolygon_wkb(piece), "area": a} | own)
                         if len(out) >= PIECES:
                             yield pa.RecordBatch.from_pylist(out, _arrow(_PIECE))
                             out = []
@@ -105,26 +112,58 @@ def _levels(cut: DataFrame) -> list[int]:
     return sorted(r[0] for r in cut.select("level").distinct().collect())
 
 
+def _is_box() -> Column:
+    return F.col("area") == (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+
+
 def polygon_overlaps(partitions: DataFrame, dag: DataFrame) -> DataFrame:
     """source_type, source_cluster, target_type, target_cluster of polygons (as clean_partitions gives them) of types that the graph
     joins and that share an area; a common edge or corner is none.
 
-    Polygons are cut along grids that nest, each by its own width; pieces meet in the wider one's cells, and the area that two share is
-    integrated exactly. A broadcast of pairs of types, at most sectors squared, keeps types apart that the graph does not join."""
-    cut = materialize(pieces(partitions), "partition-pieces")
-    every = _lifted(cut, _levels(cut), True).withColumn("own", F.col("at") == F.col("level"))
-    side = lambda of: every.select(F.col("type").alias(f"{of}_type"), F.col("cluster").alias(f"{of}_cluster"), "at", "cx", "cy", *[F.col(c).alias(f"{of}_{c}") for c in ("piece", "area", "own")])
-    met = side("source").join(F.broadcast(dag.select("source_type", "target_type").distinct()), "source_type").join(side("target"), ["target_type", "at", "cx", "cy"]).where("source_own or target_own")
+    A polygon that is a box stays whole; others are cut along a grid by their own width. Boxes of what is compared meet on grids that nest, in cells that
+    are as wide as the wider of the two, once a pair: where the lower left corner of what the boxes share lies. That decides between boxes; of others the
+    shared area is integrated exactly. A broadcast of pairs of types, at most sectors squared, keeps types apart that the graph does not join."""
+    corners = ["x0", "y0", "x1", "y1"]
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    rows = partitions.where(_is_box()).select("type", "cluster", "area", *corners, F.lit(None).cast("binary").alias("piece"), F.lit(True).alias("whole"))
+    cut = materialize(pieces(partitions.where(~_is_box())), "partition-pieces")
+    split = not cut.isEmpty()
+    if split:
+        rows = rows.unionByName(cut.select("type", "cluster", "area", *corners, F.when(~_is_box(), F.col("piece")).alias("piece"), F.lit(False).alias("whole")))
+    rows = materialize(dealt(rows.withColumn("level", F.ceil(F.log2(extent)).cast("long"))), "partition-boxes")
+    levels = _levels(rows)
+    width = F.pow(F.lit(2.0), F.col("at"))
+    number = lambda c: F.floor(c / width).cast("long")
+    cells = lambda a, b: F.explode(F.sequence(number(F.col(a)), number(F.col(b))))
+    every = rows.withColumn("at", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in levels]), lambda x: x >= F.col("level"))))
+    every = every.withColumn("cx", cells("x0", "x1")).withColumn("cy", cells("y0", "y1")).withColumn("own", F.col("at") == F.col("level"))
     keys = ["source_type", "source_cluster", "target_type", "target_cluster"]
-    met = met.select(*keys, "source_piece", "target_piece", F.least("source_area", "target_area").alias("least"))
+    pairs = F.broadcast(dag.select("source_type", "target_type").distinct())
+
+    def met(of: DataFrame, with_: DataFrame) -> DataFrame:
+        side = lambda df, s: df.select(F.col("type").alias(f"{s}_type"), F.col("cluster").alias(f"{s}_cluster"), "at", "cx", "cy", *[F.col(c).alias(f"{s}_{c}") for c in ("own", "area", "piece", *corners)])
+        found = side(of, "source").join(pairs, "source_type").join(side(with_, "target"), ["target_type", "at", "cx", "cy"]).where("source_own or target_own")
+        for low, high, cell in (("x0", "x1", "cx"), ("y0", "y1", "cy")):
+            begin, end = (f(F.col(f"source_{c}"), F.col(f"target_{c}")) for f, c in ((F.greatest, low), (F.least, high)))
+            narrower = F.least(F.col(f"source_{high}") - F.col(f"source_{low}"), F.col(f"target_{high}") - F.col(f"target_{low}"))
+            found = found.where((number(begin) == F.col(cell)) & (end - begin > LEAST_SHARE * narrower))
+        return found
+
+    whole = met(every.where("whole"), every.where("whole")).select(*keys)
+    if not split:
+        return whole
+    rest = met(every.where("not whole"), every).unionByName(met(every.where("whole"), every.where("not whole")))
+    given = [f"{s}_{c}" for s in ("source", "target") for c in ("piece", *corners)]
+    rest = rest.select(*keys, *given, F.least("source_area", "target_area").alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = lambda p, a, b, c, d: polygons_of(read_wkb(p)) if p else [[[(a, b), (c, b), (c, d), (a, d), (a, b)]]]
         for b in batches:
-            sides = zip(*(b.column(c).to_pylist() for c in ("source_piece", "target_piece", "least")), strict=True)
-            keep = [overlap_area(polygons_of(read_wkb(p)), polygons_of(read_wkb(q))) > LEAST_SHARE * least for p, q, least in sides]
+            rows = zip(*(b.column(c).to_pylist() for c in (*given, "least")), strict=True)
+            keep = [r[0] is r[5] is None or overlap_area(shape(*r[:5]), shape(*r[5:10])) > LEAST_SHARE * r[10] for r in rows]
             yield b.select(keys).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(run, met.select(*keys).schema).distinct()
+    return whole.unionByName(rest.mapInArrow(run, rest.select(*keys).schema).distinct())
 
 
 def _united(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -139,8 +178,8 @@ def _united(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
     while True:
         sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / MEET).alias("parts"))
         one = (sizes.agg(F.max("parts")).first()[0] or 1) <= 1
-        dealt = rows.withColumn("part", F.lit(0)) if one else rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts"))).drop("parts")
-        rows = materialize(dealt.groupBy(*keys, "part").applyInArrow(unite, schema), tag)
+        parted = rows.withColumn("part", F.lit(0)) if one else rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("piece"), F.col("parts"))).drop("parts")
+        rows = materialize(parted.groupBy(*keys, "part").applyInArrow(unite, schema), tag)
         if one:
             return rows
 
@@ -150,7 +189,7 @@ def disjoint_parts(partitions: DataFrame) -> DataFrame:
 
     Pieces of one cell are united; from a cell's union goes what wider polygons cover of it. So wide polygons are never cut as finely as narrow
     ones, and no task holds more than a cell's pieces."""
-    cut = materialize(pieces(partitions), "union-pieces")
+    cut = materialize(pieces(partitions, COARSE), "union-pieces")
     keys = ["type", "level", "kx", "ky"]
     whole = _united(cut, keys, "union-cells")
     wider = whole.select("type", F.col("level").alias("at"), F.col("kx").alias("cx"), F.col("ky").alias("cy"), F.col("piece").alias("over"))
@@ -168,7 +207,7 @@ def disjoint_parts(partitions: DataFrame) -> DataFrame:
                 out.append((multipolygon_wkb(part), area(part)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.float64())], names=schema.names)
 
-    return whole.join(over, keys, "left").mapInArrow(run, schema).where("area > 0")
+    return dealt(whole.join(over, keys, "left")).mapInArrow(run, schema).where("area > 0")
 
 
 def dissolve(partitions: DataFrame) -> DataFrame:
