@@ -60,3 +60,18 @@ def test_ties_keep_every_arc(spark):
     ends = spark.createDataFrame([(0, 0, 1, 10.0, 0.0, 0.0, 10.0, 0.0), (1, 2, 3, 10.0, 0.0, 4.0, 10.0, 4.0), (2, 4, 5, 10.0, 0.0, 9.0, 10.0, 9.0)], ENDS)
     got = roads.near_arcs(spark.createDataFrame([("p", 5.0, 2.0)], "id string, px double, py double"), ends).select("arc_id", F.round("d", 9).alias("d")).collect()
     assert sorted(map(tuple, got)) == [(0, 2.0), (1, 2.0)]
+
+
+def test_points_at_one_place_are_looked_up_once(spark, monkeypatch):
+    from waylattice.operators import roads
+
+    lines = spark.createDataFrame([(0, 0, [(0.0, 0.0), (10.0, 0.0)]), (1, 0, [(0.0, 5.0), (10.0, 5.0)])], "line_id long, part int, coords array<struct<x:double,y:double>>")
+    v, a = roads.build_network(lines)
+    looked, near = [], roads.near_arcs
+    monkeypatch.setattr(roads, "near_arcs", lambda points, *rest: looked.append(points.count()) or near(points, *rest))
+    p = spark.createDataFrame([(str(k), "01", float(k % 2) * 3, 1.0 + k % 2 * 3) for k in range(40)], "point_id string, type string, x double, y double")
+    for few in (200_000, 0):
+        monkeypatch.setattr(roads, "SNAPPED_PLACES", few)
+        got = roads.snap(p, v, a)
+        assert sorted((int(r["point_id"]), r["x"], r["snapped_x"], r["snapped_y"], r["snap_distance"]) for r in got.collect()) == [(k, k % 2 * 3.0, k % 2 * 3.0, k % 2 * 5.0, 1.0) for k in range(40)]
+    assert looked == [2, 2]
