@@ -95,3 +95,19 @@ def test_whole_queries_leave_no_sector_out(spark):
     assert got == {(r["source"], r["target"]): r["cents"] for r in z}
     best, fast = QUERIES["mwas_exact_objective"](spark, d).first()[0], sum(r["cents"] for r in QUERIES["mwas_fast_edges"](spark, d).collect())
     assert best >= fast > 0
+
+
+def test_a_check_for_cycles_reads_its_edges_once(spark):
+    from waylattice.operators import io_graph
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("A", "B", 1.0), ("B", "C", 2.0), ("A", "C", 3.0)], "source string, target string, value double")
+    assert io_graph.is_acyclic(edges.mapInArrow(count, edges.schema)) and read.value == 3
+    read.value = 0
+    assert io_graph.fast_acyclic(edges.mapInArrow(count, edges.schema)).count() == 3 and read.value == 3

@@ -54,7 +54,7 @@ def fast_acyclic(z: DataFrame) -> DataFrame:
 
     A fold over the sorted edges in one expression. Its state is, for each sector, the set of sectors that it reaches, as
     bits. The edges are at most the square of the number of sectors, which is checked."""
-    edges = candidate_edges(z)
+    edges = materialize(candidate_edges(z), "candidate-edges")  # a row for each pair of sectors at most
     names = edges.select(F.col("source").alias("s")).union(edges.select("target")).distinct().groupBy().agg(F.array_sort(F.collect_list("s")).alias("names"))
     n = edges.select(F.col("source").alias("s")).union(edges.select("target")).distinct().count()
     if n > MOST_SECTORS:
@@ -189,7 +189,7 @@ def build_dag(spark: SparkSession, z: DataFrame, a: DataFrame, method: str = "fa
 
 def is_acyclic(edges: DataFrame, source: str = "source", target: str = "target") -> bool:
     """Whether repeated removal of the nodes without an edge into them removes all edges."""
-    e = edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
+    e = materialize(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct(), "peeled")
     n = e.count()
     while n:
         e = materialize(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi"), "peeled")
