@@ -111,3 +111,21 @@ def test_a_check_for_cycles_reads_its_edges_once(spark):
     assert io_graph.is_acyclic(edges.mapInArrow(count, edges.schema)) and read.value == 3
     read.value = 0
     assert io_graph.fast_acyclic(edges.mapInArrow(count, edges.schema)).count() == 3 and read.value == 3
+
+
+def test_graphs_are_peeled_from_both_ends(spark, monkeypatch):
+    tables, write = [], io.materialize
+    monkeypatch.setattr(io, "materialize", lambda df, tag: tables.append(tag) or write(df, tag))
+    chain = [(f"{k:02d}", f"{k + 1:02d}", 1) for k in range(12)]
+    assert io.is_acyclic(table(spark, chain)) and len(tables) <= 8
+    assert not io.is_acyclic(table(spark, [*chain, ("05", "03", 1)]))
+    assert not io.is_acyclic(table(spark, [("A", "A", 1)]))
+
+
+def test_order_lines_are_read_once(spark, monkeypatch):
+    from waylattice.plans import catalog
+
+    read, made = [], catalog.derived.io_z
+    monkeypatch.setattr(catalog.derived, "io_z", lambda *args: read.append(args) or made(*args))
+    assert catalog.QUERIES["technical_coefficients"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(read) == 1

@@ -188,11 +188,12 @@ def build_dag(spark: SparkSession, z: DataFrame, a: DataFrame, method: str = "fa
 
 
 def is_acyclic(edges: DataFrame, source: str = "source", target: str = "target") -> bool:
-    """Whether repeated removal of the nodes without an edge into them removes all edges."""
+    """Whether repeated removal of the nodes without an edge into them, or without one out of them, removes all edges."""
     e = materialize(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct(), "peeled")
     n = e.count()
     while n:
-        e = materialize(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi"), "peeled")
+        entered, left = e.select(F.col("t").alias("s")).distinct(), e.select(F.col("s").alias("t")).distinct()
+        e = materialize(e.join(entered, "s", "left_semi").join(left, "t", "left_semi"), "peeled")
         m = e.count()
         if m == n:
             return False

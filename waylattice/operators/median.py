@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .paths import broadcast_graph, pair_distances, relaxed
-from .storage import materialize, require
+from .storage import materialize, require, small
 
 
 #: Added to bounds of distances, by which rounding can't lose a node.
@@ -88,10 +88,11 @@ def cluster_medians(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
 def median_distances(points: DataFrame, centers: DataFrame, edges: DataFrame) -> DataFrame:
     """points with distance_to_cluster_median and its method; a point without a center or a road to it is an error."""
     keys = ["type", "cluster"]
-    require(points.join(centers, keys, "left_anti").select("point_id", *keys), "points of clusters without a center")
-    asked = points.join(centers.select(*keys, F.col("center_network_node").alias("source")), keys)
+    sources = materialize(centers.select(*keys, F.col("center_network_node").alias("source")), "center-nodes")
+    require(points.join(small(sources), keys, "left_anti").select("point_id", *keys), "points of clusters without a center")
+    asked = points.join(small(sources), keys)
     d = pair_distances(asked.select("source", F.col("node").alias("target")), edges).toDF("source", "node", "distance_to_cluster_median")
-    out = asked.join(d, ["source", "node"], "left")
+    out = asked.join(small(materialize(d, "center-distances")), ["source", "node"], "left")
     out = materialize(out.withColumn("point_center_distance_method", F.lit("network_shortest_path")).drop("source"), "median-distances")
     require(out.where("distance_to_cluster_median is null").select("point_id", *keys), "points without a road to their center")
     return out

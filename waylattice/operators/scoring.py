@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import require
+from .storage import materialize, require, small
 
 
 def cluster_p90(points: DataFrame, distance: str = "distance_to_cluster_median") -> DataFrame:
@@ -22,9 +22,9 @@ def tempered_scores(points: DataFrame, centrality: DataFrame, tempering: float =
     at most the tempering. centrality: type, cluster, centrality. A point whose cluster has none is an error."""
     if not 0 <= tempering < 1:
         raise ValueError("tempering must be at least 0 and below 1")
-    clusters = cluster_p90(points, distance)
+    clusters = materialize(cluster_p90(points, distance), "cluster-p90")
     require(clusters.join(centrality, ["type", "cluster"], "left_anti").select("type", "cluster"), "points of clusters without centrality")
-    clusters = clusters.join(centrality.select("type", "cluster", F.col("centrality").alias("cluster_centrality")), ["type", "cluster"])
+    clusters = small(materialize(clusters.join(centrality.select("type", "cluster", F.col("centrality").alias("cluster_centrality")), ["type", "cluster"]), "cluster-scores"))
     q = F.least(F.col(distance) / F.greatest("cluster_distance_p90", F.lit(1.0)), F.lit(1.0))
     return (
         points.join(clusters, ["type", "cluster"])

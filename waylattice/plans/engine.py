@@ -43,13 +43,13 @@ def score_points(
     snapped = materialize(roads.snap(points, vertices, arcs), "snapped")
     pts.check_snaps(snapped, max_snap)
     pts.check_types(points, z)
-    places, of = roads.positions(snapped)
-    w.clustered, w.summary, w.trace = density.cluster_by_type(snapped, places, of, arcs, clustering, progress)
+    places, _ = roads.positions(snapped)
+    clustered, w.summary, w.trace = density.cluster_by_type(roads.positioned(snapped, places), places, None, arcs, clustering, progress)
+    w.clustered = materialize(clustered, "clustered")
     kept = pts.retained(w.clustered)
     if kept.isEmpty():
         raise ValueError("no clusters")
-    w.nodes, w.edges, node_of = roads.augment(vertices, arcs, kept)
-    kept = materialize(kept.join(node_of, "point_id"), "retained")
+    w.nodes, w.edges, kept = roads.inserted(vertices, arcs, kept)
     w.centers = materialize(median.cluster_medians(kept, w.nodes, w.edges), "centers")
     w.distances = median.median_distances(kept, w.centers, w.edges)
     w.cells = surface.territories(kept, w.nodes, w.edges, boundary, surface_config, progress)
