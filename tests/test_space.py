@@ -112,6 +112,57 @@ def test_two_dense_groups(spark):
         assert set(got) == {0, 1} and {frozenset(x) for x in got.values()} == {frozenset(map(float, xs[:5])), frozenset(map(float, xs[5:]))}
 
 
+def test_points_get_positions_and_nodes_without_meeting(spark, monkeypatch):
+    v, a = roads.build_network(lines(spark, [(0, 0), (100, 0)], [(0, 50), (100, 50)]))
+    s = roads.materialize(roads.snap(points(spark, [(k % 7 * 15, k % 2 * 50) for k in range(60)]), v, a), "s")
+    places, of = roads.positions(s)
+    assert places.count() == 14 and places.agg(F.sum("weight")).first()[0] == 60
+    want = {r["point_id"]: r["position"] for r in of.collect()}, {r["point_id"]: r["node"] for r in roads.augment(v, a, s)[2].collect()}
+    monkeypatch.setattr(roads, "SNAPPED_PLACES", 0)
+    assert want[0] == {r["point_id"]: r["position"] for r in roads.positioned(s, places).collect()}
+    assert want[1] == {r["point_id"]: r["node"] for r in roads.inserted(v, a, s)[2].collect()}
+    monkeypatch.setattr(roads, "SNAPPED_PLACES", 200_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, got in zip(("position", "node"), (roads.positioned(s, places), roads.inserted(v, a, s)[2]), strict=True):
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+            assert want[name == "node"] == {r["point_id"]: r[name] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_points_at_a_place_are_added_up_unsorted(spark, monkeypatch):
+    v, a = roads.build_network(lines(spark, [(0, 0), (100, 0)]))
+    s = roads.materialize(roads.snap(points(spark, [(k % 7, 0) for k in range(60)]), v, a), "s")
+    plans, write = [], roads.materialize
+    monkeypatch.setattr(roads, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, tag))
+    roads.positions(s)
+    assert [x.strip(" +-:*") for x in plans[0].splitlines() if "Aggregate" in x][-1].startswith("HashAggregate")
+
+
+def test_positioned_points_cluster_as_with_a_table(spark):
+    v, a = roads.build_network(lines(spark, [(0, 0), (100, 0)]))
+    s = roads.materialize(roads.snap(points(spark, [(x, 0) for x in [*range(1, 6), *range(95, 100)]]), v, a), "s")
+    places, of = roads.positions(s)
+    config = density.ClusteringConfig(3, 2)
+    one, two = (density.cluster_by_type(p, places, o, a, config)[0].select("point_id", "position", "cluster", "membership") for p, o in ((s, of), (roads.positioned(s, places), None)))
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
+@pytest.mark.parametrize("name", ["overlap_pairs"])
+def test_queries_write_no_row_for_each_event(spark, monkeypatch, name):
+    from pyspark.sql import DataFrameWriter
+
+    from waylattice.plans.catalog import QUERIES
+
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *args, **named: written.append(path) or write(self, path, *args, **named))
+    QUERIES[name](spark, "/root/testdata/sf0.01")
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
+    assert written and all(spark.read.parquet(x).count() < events for x in written)
+
+
 def test_sparse_line_is_noise(spark):
     v, a = roads.build_network(lines(spark, [(0, 0), (5000, 0)]))
     s = roads.materialize(roads.snap(points(spark, [(10 * i, 0) for i in range(400)]), v, a), "s")
