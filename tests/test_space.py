@@ -150,7 +150,7 @@ def test_positioned_points_cluster_as_with_a_table(spark):
     assert sorted(one.collect()) == sorted(two.collect())
 
 
-@pytest.mark.parametrize("name", ["overlap_pairs"])
+@pytest.mark.parametrize("name", ["overlap_pairs", "distinct_positions"])
 def test_queries_write_no_row_for_each_event(spark, monkeypatch, name):
     from pyspark.sql import DataFrameWriter
 
