@@ -162,6 +162,22 @@ def test_repeated_passages(spark, seed, group):
         assert r["n_repeated"] == sum(hit)
 
 
+@pytest.mark.parametrize("sent", [200_000, 25, 0])
+def test_frequent_passages_are_looked_up_in_tasks(spark, monkeypatch, sent):
+    """A passage that many different texts have makes no row of a join for each; only passages beyond those that are sent do."""
+    joined = []
+    join = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, on=None, how=None: joined.append(on) or join(self, other, on, how))
+    line = " ".join(f"c{i}" for i in range(70))
+    rows = [*texts(5), *(f"{' '.join(f'a{i}x{j}' for j in range(i))} {line} b{i % 4}" for i in range(40))]
+    got = repeated_passages(frame(spark, rows), group=3, sent=sent).collect()
+    want = brute_repeats(rows)
+    assert len(got) == len(rows) and (["h", "h2"] in joined) == (sent < 200_000)
+    for r in got:
+        hit = [any(s["start"] <= j < s["end"] for s in r["spans"]) for j in range(r["n_words"])]
+        assert (hit, r["first_id"]) == want[r["doc_id"]], r["doc_id"]
+
+
 def test_extension_to_both_sides():
     """Suffixes 0 and 1 agree in one word to the left and one to the right, 2 only to the left, 3 is of another head, 4 is 0's text again."""
     left, right = [b"x a", b"y a", b"a", b"x a", b"x a"], [b"b c", b"b d", b"e", b"b c", b"b c"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,6 +190,19 @@ def long_gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * back + np.uint64(k))
 
 
+def least_step(counts: DataFrame, most: tuple[int, ...]) -> tuple[float, int]:
+    """Of tables' rows by step (step, rows of each kind), the lowest step from which on there are no more rows than `most` of any kind, and
+    how many steps are lower; found without a sort of the rows."""
+    held, least = [0] * len(most), math.inf
+    steps = sorted(counts.collect(), reverse=True)
+    for i, (step, *many) in enumerate(steps):
+        held = [h + m for h, m in zip(held, many, strict=True)]
+        if any(h > m for h, m in zip(held, most, strict=True)):
+            return least, len(steps) - i
+        least = step
+    return least, 0
+
+
 def in_runs(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
     """Rows with equal values of the columns `by`, from batches in which they follow each other."""
     kept: list[pa.RecordBatch] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import WordHashes, key_filter, long_gram_hashes, materialize, may_hold, mix, run_starts, signed, small_batches, table, text_bytes
+from .common import WordHashes, key_filter, least_step, long_gram_hashes, materialize, may_hold, mix, run_starts, signed, small_batches, table, text_bytes
 from .decontaminate import winnowed
 
 #: Words of the shortest passage, and words by which suffixes are sorted. Of any SPAN - HEAD + 1 following suffixes the one whose
@@ -22,6 +23,10 @@ SPAN, HEAD = 50, 20
 SORTED = 250_000
 #: Suffixes with one head that a task compares at once; those of a more frequent head meet passage by passage.
 GROUP = 20_000
+#: Of passages around more frequent heads, how many every task holds (24 bytes and an id each), the most frequent ones; the rest are joined.
+SENT = 200_000
+#: Such passages that a task sums before it passes them on.
+SUMMED = 1_000_000
 #: Matched suffixes, of whole groups, that are extended together.
 EXTENDED = 5_000
 
@@ -109,7 +114,43 @@ def extend(group: np.ndarray, left: list[bytes], right: list[bytes], texts: np.n
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, head: int = HEAD, group: int = GROUP) -> DataFrame:
+def _flat(t: pa.Table, *cols: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows of the values of list columns of equal sizes, and the values."""
+    sizes = pc.list_value_length(t[cols[0]]).to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(t)), sizes), [pc.list_flatten(t[c]).to_numpy() for c in cols]
+
+
+def _ranked(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ids in ascending order, nulls last, and the rank of each."""
+    order = pc.sort_indices(ids).to_numpy().astype(np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank
+
+
+class Passages:
+    """Passages by 128 bits of hash, with the smallest id that has each."""
+
+    def __init__(self, h: np.ndarray, h2: np.ndarray, first: pa.Array):
+        by = np.argsort(h)
+        self.h, self.h2, self.first = h[by], h2[by], first.take(pa.array(by))
+        self.order, self.rank = _ranked(self.first)
+
+    def find(self, h: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Where each is, or -1."""
+        at, end = np.searchsorted(self.h, h), np.searchsorted(self.h, h, "right")
+        out = np.full(len(h), -1)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            hit = self.h2[at[todo]] == h2[todo]
+            out[todo[hit]] = at[todo[hit]]
+            at[todo] += 1
+            todo = todo[~hit]
+            todo = todo[at[todo] < end[todo]]
+        return out
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, head: int = HEAD, group: int = GROUP, sent: int = SENT) -> DataFrame:
     """Find the passages of at least `span` words (lower-cased, whatever the whitespace) that two rows or more have.
 
     Returns one row per input row: id_col, n_words, spans (start and end word of each maximal run of words that lie in a
@@ -122,8 +163,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the words on both sides that a passage around it may have, and are extended: suffixes that agree in j words to the
     left and in span - head - j to the right have a passage in common. All words are compared. Texts find their matched
     suffixes by a filter of bounded size; what it lets through in vain meets no other. A head with more than `group`
-    suffixes is not brought together: each of its passages is looked up by 128 bits of hash instead, combined in each
-    task before the shuffle. 3. Passages that two different texts have are joined into runs. Texts that are equal as a
+    suffixes is not brought together: each of its passages is looked up by 128 bits of hash instead, summed in each
+    task before the shuffle. The `sent` most frequent ones that are repeated are looked up in the tasks, the rest by a join. 3. Passages that two different texts have are joined into runs. Texts that are equal as a
     whole (by 64 bits of hash) are one text; they are repeated from end to end, if long enough.
 
     * Null and empty texts, and those shorter than span, have no spans. A null id never is first_id, unless all are null.
@@ -246,9 +287,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             heads = t["head"].combine_chunks()
             number = np.cumsum(np.r_[False, pc.not_equal(heads[1:], heads[:-1]).to_numpy(zero_copy_only=False)]).astype(np.int64)
             ids = t["first"].combine_chunks()
-            order = pc.sort_indices(ids).to_numpy().astype(np.int64)  # nulls last
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            order, rank = _ranked(ids)
             d, position = t["d"].to_numpy(), t["position"].to_numpy().astype(np.int64)
             x, j, lowest = extend(number, t["left"].to_pylist(), t["right"].to_pylist(), d, rank, wide)
             by = np.argsort(x, kind="stable")
@@ -258,14 +297,64 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 at = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(x)], pa.int32()), pa.array((position[x] - j).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(d[x[starts]]), at, ids.take(pa.array(order[np.minimum.reduceat(lowest, starts)]))], names=found.names)
 
+    sums = StructType([StructField(c, LongType()) for c in ("h", "h2", "lo", "hi")] + [StructField("other_first", id_type), StructField("n", LongType())])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each passage in a task its first and last text, its smallest id, and how many texts have it."""
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(kept)
+            text, (h, h2) = _flat(t, "h", "h2")
+            if not len(h):
+                return
+            ids = t["first"].combine_chunks()
+            ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+            order, rank = _ranked(ids)
+            by = np.lexsort((h2, h))
+            h, h2, text = h[by], h2[by], text[by]
+            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+            d = t["d"].to_numpy()[text]
+            lowest = ids.take(pa.array(order[np.minimum.reduceat(rank[text], starts)]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(h2[starts]), pa.array(np.minimum.reduceat(d, starts)), pa.array(np.maximum.reduceat(d, starts)), lowest, pa.array(np.diff(np.r_[starts, len(h)]))], names=sums.names)
+
+        kept, size = [], 0
+        for b in batches:
+            kept.append(b)
+            size += len(b.column("h").flatten())
+            if size >= SUMMED:
+                yield from out()
+                kept, size = [], 0
+        if kept:
+            yield from out()
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passages of each text that are among the frequent ones."""
+        held = frequent.value
+        for b in batches:
+            text, (at, h, h2) = _flat(pa.Table.from_batches([b]), "at", "h", "h2")
+            where = held.find(h, h2)
+            hit = np.flatnonzero(where >= 0)
+            if len(hit):
+                starts = run_starts(text[hit])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(hit)], pa.int32()), pa.array(at[hit].astype(np.int32)))
+                lowest = held.first.take(pa.array(held.order[np.minimum.reduceat(held.rank[where[hit]], starts)]))
+                yield pa.RecordBatch.from_arrays([b.column("d").take(pa.array(text[hit][starts])), lists, lowest], names=found.names)
+
     known = around.join(texts.select("d", "first"), "d")
     members = known.where(F.col("kind") == HEADS).select("head", "left", "right", "d", F.col("at")[0].alias("position"), "first")
     hits = members.repartition("head").sortWithinPartitions("head").mapInArrow(extended, found)
     if matches.where(F.col("n") > group).limit(1).count():
-        each = known.where(F.col("kind") == PASSAGES).select("d", "first", F.explode(F.arrays_zip("at", "h", "h2")).alias("x")).select("d", "first", "x.at", "x.h", "x.h2")
-        both = each.groupBy("h", "h2").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("first").alias("other_first")).where("lo <> hi")
-        both = materialize(both.select("h", "h2", "other_first"), "suffix-both")
-        hits = hits.unionByName(each.join(both, ["h", "h2"]).groupBy("d").agg(F.collect_set("at").alias("at"), F.min("other_first").alias("other_first")))
+        passages = known.where(F.col("kind") == PASSAGES).select("d", "first", "at", "h", "h2")
+        both = passages.mapInArrow(summed, sums).groupBy("h", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("other_first").alias("other_first"), F.sum("n").alias("n")).where("lo <> hi")
+        both = materialize(both.select("h", "h2", "other_first", F.floor(F.log2("n") * 8).alias("step")), "suffix-both")
+        least, left = least_step(both.groupBy("step").count(), (sent,))
+        t = (both.where(F.col("step") >= least) if least < math.inf else both.limit(0)).select("h", "h2", "other_first").toArrow().combine_chunks()
+        frequent = spark.sparkContext.broadcast(Passages(t["h"].to_numpy(), t["h2"].to_numpy(), pa.concat_arrays(t["other_first"].chunks or [pa.nulls(0, t["other_first"].type)])))
+        hits = hits.unionByName(passages.mapInArrow(looked_up, found))
+        if left:
+            each = passages.select("d", F.explode(F.arrays_zip("at", "h", "h2")).alias("x")).select("d", "x.at", "x.h", "x.h2")
+            rest = both.where(F.col("step") < least) if least < math.inf else both
+            hits = hits.unionByName(each.join(rest, ["h", "h2"]).groupBy("d").agg(F.collect_set("at").alias("at"), F.min("other_first").alias("other_first")))
     hits = hits.groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"), F.min("other_first").alias("other_first"))
     spans = StructType([StructField("d", LongType()), StructField("other_first", id_type), StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))])
 
