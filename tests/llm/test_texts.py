@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import time
 import re
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from waylattice.llm import chat
-from waylattice.llm.common import Powers, crc_mod, word_runs
+from waylattice.llm.common import Powers, crc_mod, key_order, shared_dir, word_runs
 from waylattice.llm.mixing import mix_sources, source_targets
 from waylattice.llm.quality import accepted, fit_quality, quality_scores, statistics, statistics_table
 from waylattice.llm.quality import labelled as labelled_rows
@@ -195,6 +196,20 @@ def test_base_scores_against_plain_counts(spark):
     assert score_texts(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_the_tree_leaves_only_tables_that_its_result_reads(spark):
+    df = spark.createDataFrame(list(enumerate(passages(4, 30))), "doc_id long, text string")
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    assert score_texts(df, F.lit(True)).count() == 30
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["lm-scored", "lm-words"]
+
+
+def test_hashes_are_sorted_also_if_they_agree_in_their_leading_bits():
+    rng = np.random.default_rng(3)
+    for keys in (np.empty(0, np.uint64), rng.integers(0, 1 << 64, 5_000, np.uint64), rng.integers(0, 40, 5_000).astype(np.uint64)):
+        assert (keys[key_order(keys)] == np.sort(keys)).all() and sorted(key_order(keys).tolist()) == list(range(len(keys)))
+
+
 def test_rare_contexts_count_in_a_large_corpus(spark):
     # three occurrences in 250,000 words
     rows = ["ta " * 250_000, "qzx vyk qzx vyk qzx vyk"]

@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import materialize, shared_dir, ship
+from ..operators.storage import discard, materialize, shared_dir, ship
 
-__all__ = ["materialize", "shared_dir", "ship"]
+__all__ = ["discard", "materialize", "shared_dir", "ship"]
 
 #: Whitespace of the contracts: blank and the five controls from tab to carriage return. Python's bytes.split() uses the same six.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -149,6 +149,32 @@ def run_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
 
 
+def key_order(keys: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes in ascending order: sorted with the places in their low bits, which is faster; as that may leave hashes that agree
+    in all other bits unsorted, it is tested."""
+    low = np.uint64((1 << max(1, len(keys).bit_length())) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    k = keys[order]
+    return np.argsort(keys) if (k[1:] < k[:-1]).any() else order
+
+
+def binary(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of numbers, those between two cuts as one value."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All numbers of some values made by binary()."""
+    found = [np.empty(0, kind)]
+    for x in column.chunks:
+        _, offsets, data = x.buffers()
+        if len(x) and data:
+            offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+            found.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(kind))
+    return np.concatenate(found)
+
+
 #: Bits of a filter of keys; with more keys than it can tell apart it lets more through, and all in the end.
 FILTER_BITS = 1 << 27
 

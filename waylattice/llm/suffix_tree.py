@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import Powers, crc_mod, materialize, mix, run_starts, signed, small_batches, table, text_bytes, word_filter, word_may_hold, word_runs
+from ..operators.storage import shuffles_removed
+from .common import Powers, binary, crc_mod, discard, key_order, least_step, materialize, mix, run_starts, signed, small_batches, table, text_bytes, unpacked, word_filter, word_may_hold, word_runs
 
 #: What comes before a text's first word, and after its last; hashes, as of words.
 START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -20,6 +23,8 @@ START, END = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 HEAD_WORDS, HEAD_CONTEXTS, HEAD_NEXT = 500_000, 1_000_000, 2_000_000
 #: Pairs that a task sums before it passes them on.
 HELD = 2_000_000
+#: Symbols beyond the head that a task holds before it passes them on.
+CHAINS = 500_000
 
 
 @dataclass(frozen=True)
@@ -64,133 +69,215 @@ def grams(s: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 class Sums:
-    """Pairs of hashes and how often they occur; given out, each once, when many are held."""
+    """Rows of hashes and how often they occur; given out, each once, when many are held: as blocks, one for each partition that counts them."""
 
-    def __init__(self, kind: int):
-        self.kind, self.a, self.b, self.size = kind, [], [], 0
+    def __init__(self, kind: int, parts: int):
+        self.kind, self.parts, self.rows, self.size = kind, parts, [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.a.append(a)
-        self.b.append(b)
-        self.size += len(a)
+    def add(self, key: np.ndarray, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.rows.append((key, *rows))
+        self.size += len(key)
         if self.size >= HELD:
             yield from self.out()
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            a, b = np.concatenate(self.a), np.concatenate(self.b)
-            key = join(a, b)
-            order = np.argsort(key)
+            key, *rows = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+            order = key_order(key)
             starts = run_starts(key[order])
-            first, n = order[starts], np.diff(np.r_[starts, len(key)])
-            for i in range(0, len(first), 100_000):
-                at = first[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), self.kind, np.int32)), pa.array(signed(a[at])), pa.array(signed(b[at])), pa.array(n[i : i + 100_000])], names=["kind", "a", "b", "n"])
-        self.a, self.b, self.size = [], [], 0
+            first, n = order[starts], np.diff(np.r_[starts, len(key)]).astype(np.int32)
+            yield _blocks(self.kind, _part(key[first], self.parts), n, *(x[first] for x in rows))
+        self.rows, self.size = [], 0
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key.view(np.int64) % parts).astype(np.int16 if parts < 1 << 15 else np.int32)  # the former are sorted faster
+
+
+#: What _blocks() makes.
+BLOCKS = "part int, kind int, x binary, a binary, b binary, up binary"
+
+
+def _blocks(kind: int, part: np.ndarray, *rows: np.ndarray) -> pa.RecordBatch:
+    """Rows as one value for each partition that they are for."""
+    order = np.argsort(part, kind="stable")
+    starts = run_starts(part[order])
+    cuts = np.r_[starts, len(order)]
+    columns = [binary(x[order], cuts) for x in rows] + [pa.nulls(len(starts), pa.binary())] * (4 - len(rows))
+    return pa.RecordBatch.from_arrays([pa.array(part[order[starts]].astype(np.int32)), pa.array(np.full(len(starts), kind, np.int32)), *columns], names=["part", "kind", "x", "a", "b", "up"])
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> dict[int, pa.Table]:
+    """All rows of a partition by their kind."""
+    kept = [b for b in batches if b.num_rows]
+    t = pa.Table.from_batches(kept) if kept else None
+    return {k: t.filter(pc.equal(t["kind"], k)) for k in pc.unique(t["kind"]).to_pylist()} if kept else {}
+
+
+CONTEXT, PAIR, ABOVE = 0, 1, 2
 
 
 def _counts(train: DataFrame, level: int, least: int, seen=None, branching=None) -> DataFrame:
-    """kind, a, b, n, g: how often word b follows context a of `level` words. b is the gram of the last `level` symbols, g that with all.
-    Only next words seen `least` times are given. With level 1 also, as kind 0, all words.
+    """kind, a, b, n; of longer contexts as blocks for the partitions of the next shorter ones. PAIR: how often word b follows context a of `level` words, if it does `least` times; b is the gram of the last
+level` symbols. CONTEXT: how often a context a occurs; with level 1, all words and ends instead.
 
-    seen and branching: filters of grams of the level before, those that are seen `least` times, and those in contexts that
+    seen and branching: filters of grams of the level before, those that are seen `least` times, and of contexts that
     longer ones may diverge from. No other pair can matter."""
+    parts = _parts(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, words, pairs = Powers(), Sums(0), Sums(level)
+        powers, contexts, pairs = Powers(), Sums(CONTEXT, parts), Sums(PAIR, parts)
         for batch in batches:
             for hashes, counts in word_runs(batch.column("text"), powers):
                 s, place = sequence(hashes, counts)
                 if level == 1:
-                    w = s[place > 0]
-                    yield from words.add(w, np.zeros(len(w), np.uint64))
-                g = grams(s, level - 1)[-1]
+                    w, at = s[place > 0], np.flatnonzero(place > 0)
+                    a, b = s[at - 1], s[at]
+                    yield from contexts.add(w, w)
+                    yield from pairs.add(join(a, b), a, b)
+                    continue
+                all_ = grams(s, level - 1)
                 at = np.flatnonzero(place >= level)
-                a, b = g[at - 1], g[at]
-                if level > 1:
-                    ok = word_may_hold(branching.value, b)
-                    a, b = a[ok], b[ok]
-                    ok = word_may_hold(seen.value, a)
-                    a, b = a[ok], b[ok]
-                yield from pairs.add(a, b)
-        yield from words.out()
+                at = at[word_may_hold(branching.value, all_[-2][at - 1])]
+                at = at[word_may_hold(seen.value, all_[-1][at - 1])]
+                a, up = all_[-1][at - 1], all_[-2][at - 1]
+                yield from contexts.add(a, a, a, up)
+                b = all_[-1][at]
+                ok = word_may_hold(seen.value, b)
+                a, b, up = a[ok], b[ok], up[ok]
+                yield from pairs.add(join(a, b), a, b, up)
+        yield from contexts.out()
         yield from pairs.out()
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            a, b = (x.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-            g = np.where(x.column("kind").to_numpy() == 0, a, join(a, b))
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(signed(g))], names=["kind", "a", "b", "n", "g"])
-
-    sums = train.mapInArrow(run, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    return materialize(sums.where((F.col("kind") == 0) | (F.col("n") >= least)).mapInArrow(name, "kind int, a long, b long, n long, g long"), "lm-counts")
-
-
-@dataclass
-class Level:
-    """pairs: context, suffix (of the gram), g, x (how often). stats: context, n (how often), r and z (the next shorter context counts for r of z
-    symbols), gain. probs: g, n, p, branching."""
-
-    pairs: DataFrame
-    stats: DataFrame
-    probs: DataFrame
-
-
-def _levels(train: DataFrame, config: TreeConfig) -> tuple[DataFrame, int, int, list[Level]]:
-    """The words with their counts, how many words there are in all and how many different ones, and the levels of contexts."""
-    counts = _counts(train, 1, config.least)
-    words = counts.where("kind = 0").select(F.col("g").alias("key"), "n")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = words.where(F.col("key") == F.lit(_as_long(END))).select(F.lit(_as_long(START)).alias("g"), "n", F.lit(None).cast("double").alias("p"))
-    above = words.select(F.col("key").alias("g"), "n", ((F.col("n") + 1) / (n + v + 1)).alias("p")).unionByName(ends)
-    levels: list[Level] = []
-    for k in range(1, config.depth + 1):
-        if k > 1:
-            rows, branching = above.agg(F.count("*"), F.coalesce(F.sum(F.col("branching").cast("int")), F.lit(0))).first()
-            counts = _counts(train, k, config.least, word_filter(above.select("g"), rows), word_filter(above.where("branching").select("g"), branching))
-        pairs = counts.where(F.col("kind") == k).select(F.col("a").alias("context"), F.col("b").alias("suffix"), "g", F.col("n").alias("x"))
-        given = pairs.join(above.select(F.col("g").alias("suffix"), F.col("p").alias("q")), "suffix").select("context", "g", "x", "q")
-        sums = given.groupBy("context").agg(F.sum("x").alias("s"), F.count("*").alias("d"), F.sum("q").alias("q"), F.sum(F.col("x") * F.ln(F.col("x") / F.col("q"))).alias("e"))
-        stats = sums.join(above.select(F.col("g").alias("context"), "n"), "context")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, t in _tables(batches).items():
+            a, b, up = (unpacked(t[c], np.uint64) for c in ("a", "b", "up"))
+            key = join(a, b) if kind == PAIR else a
+            n = unpacked(t["x"], np.int32).astype(np.int64)
+            order = key_order(key)
+            starts = run_starts(key[order])
+            n = np.add.reduceat(n[order], starts)
+            known = np.flatnonzero(n >= (1 if level == 1 and kind == CONTEXT else least))
+            n, at = n[known], order[starts[known]]
+            if level > 1:
+                if len(at):
+                    yield _blocks(kind, _part(up[at], parts), n, a[at], *([b[at]] if kind == PAIR else []))
+                continue
+            for i in range(0, len(at), 50_000):
+                x = at[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(signed(a[x])), pa.array(signed(b[x])) if kind == PAIR else pa.nulls(len(x), pa.int64()), pa.array(n[i : i + 50_000])], names=["kind", "a", "b", "n"])
+
+    sums = train.mapInArrow(run, BLOCKS).repartitionById(parts, F.col("part"))
+    return sums.mapInArrow(count, "kind int, a long, b long, n long" if level == 1 else BLOCKS)
+
+
+#: A row for each context: its hash, the shorter contexts and how often they occur, how often it occurs, log10 of what the next shorter one
+#: counts for, its divergence, whether longer ones may diverge, and the grams and probabilities of its next words.
+LEVEL = "c long, ups array<long>, ns array<long>, n long, v double, gain double, branching boolean, g array<long>, p array<double>"
+
+
+def _lists(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(x))
+
+
+def _level(rows: DataFrame, k: int, config: TreeConfig, unseen: float) -> DataFrame:
+    """The contexts of level k, from rows of all three kinds; those of one shorter context are in one partition."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _tables(batches)
+        if PAIR not in t or CONTEXT not in t or k > 1 and ABOVE not in t:
+            return
+        if k == 1:
+            a, b, x, q = (t[PAIR][c].to_numpy() for c in ("a", "b", "n", "q"))
+            whole, occurs = (t[CONTEXT][c].to_numpy() for c in ("a", "n"))
+        else:
+            a, b, x = (unpacked(t[PAIR][c], np.int64) for c in ("a", "b", "x"))
+            whole, occurs = (unpacked(t[CONTEXT][c], np.int64) for c in ("a", "x"))
+            up = t[ABOVE]
+            g = Lookup(pc.list_flatten(up["g"]).to_numpy())
+            e = g.find(b.view(np.uint64))
+            a, b, x, e = a[e >= 0], b[e >= 0], x[e >= 0], e[e >= 0]
+            q = pc.list_flatten(up["p"]).to_numpy()[g.order][e]
+            above = np.repeat(np.arange(len(up)), pc.list_value_length(up["g"]).to_numpy())[g.order][e]
+        known = Lookup(whole)
+        at = known.find(a.view(np.uint64))
+        order = np.lexsort((b, a))
+        order = order[at[order] >= 0]
+        if not len(order):
+            return
+        a, b, x, q = a[order], b[order], x[order], q[order]
+        starts = run_starts(a)
+        d = np.diff(np.r_[starts, len(a)])
+        n = occurs[known.order][at[order][starts]]
+        s, sum_q, e = np.add.reduceat(x, starts), np.add.reduceat(q, starts), np.add.reduceat(x * np.log(x / q), starts)
         # what follows too rarely to be known is one symbol; the least that the shorter context can give it
-        rest, other = F.col("n") - F.col("s"), F.greatest(1 - F.col("q"), F.lit(1 / (n + v + 1)))
-        gain = F.col("e") - F.col("s") * F.ln("n") + F.when(rest > 0, rest * F.ln(rest / (F.col("n") * other))).otherwise(0.0)
-        r, z = rest + F.col("d"), F.col("n") + F.col("d")
+        rest, other = n - s, np.maximum(1 - sum_q, unseen)
+        gain = e - s * np.log(n) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / (n * other)), 0.0)
+        r, z = rest + d, n + d
         # no longer context can diverge more than by all of its symbols being the least likely one
-        most = F.col("n") * F.ln(z / F.least(F.lit(float(config.least)), r * other))
-        stats = materialize(stats.select("context", "n", r.alias("r"), z.alias("z"), gain.alias("gain"), (most >= config.divergence).alias("branching")), "lm-contexts")
-        probs = given.join(stats.select("context", "r", "z", "branching"), "context").select("g", F.col("x").alias("n"), ((F.col("x") + F.col("r") * F.col("q")) / F.col("z")).alias("p"), "branching", "context")
-        above = materialize(probs, "lm-next")
-        levels.append(Level(pairs, stats, above))
+        most = n * np.log(z / np.minimum(float(config.least), r * other))
+        p = (x + np.repeat(r, d) * q) / np.repeat(z, d)
+        g = signed(join(a.view(np.uint64), b.view(np.uint64)))
+        if k == 1:
+            ups = ns = np.empty((len(starts), 0), np.int64)
+        else:
+            i = above[order][starts]
+            chain = lambda c, own: np.c_[pc.list_flatten(up[c]).to_numpy().reshape(len(up), k - 2)[i], up[own].to_numpy()[i]]
+            ups, ns = chain("ups", "c"), chain("ns", "n")
+        end = np.r_[starts, len(a)]
+        for lo in range(0, len(starts), 20_000):
+            y = slice(lo, lo + 20_000)
+            m = len(starts[y])
+            of = slice(end[lo], end[min(lo + 20_000, len(starts))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[starts[y]]), *(_lists(c[y].ravel(), np.full(m, k - 1)) for c in (ups, ns)), pa.array(n[y]), pa.array(np.log10(r / z)[y]), pa.array(gain[y]), pa.array((most >= config.divergence)[y]), _lists(g[of], d[y]), _lists(p[of], d[y])],
+                names=["c", "ups", "ns", "n", "v", "gain", "branching", "g", "p"],
+            )
+
+    return rows.repartitionById(_parts(rows.sparkSession), F.col("part")).mapInArrow(contexts, LEVEL)
+
+
+def _levels(train: DataFrame, config: TreeConfig) -> tuple[DataFrame, int, int, list[DataFrame]]:
+    """The words with their counts, how many words there are in all and how many different ones, and the levels of contexts."""
+    counts = materialize(_counts(train, 1, config.least), "lm-counts", hashes=True)
+    parts = _parts(train.sparkSession)
+    part = lambda c: F.pmod(F.col(c), F.lit(parts)).cast("int").alias("part")
+    words = materialize(counts.where(F.col("kind") == CONTEXT).select(F.col("a").alias("key"), "n"), "lm-words", hashes=True)
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = words.where(F.col("key") != F.lit(_as_long(END))).unionByName(words.where(F.col("key") == F.lit(_as_long(END))).select(F.lit(_as_long(START)).alias("key"), "n"))
+    given = counts.where(F.col("kind") == PAIR).join(words.select(F.col("key").alias("b"), ((F.col("n") + 1) / (n + v + 1)).alias("q")), "b")
+    rows = known.where(F.col("n") >= config.least).select(part("key"), F.lit(CONTEXT).alias("kind"), F.col("key").alias("a"), "n").unionByName(given.select(part("a"), "kind", "a", "b", "n", "q"), True)
+    levels = [materialize(_level(rows, 1, config, 1 / (n + v + 1)), "lm-level", hashes=True)]
+    discard(counts)
+    for k in range(2, config.depth + 1):
+        above = levels[-1]
+        many, branching = above.agg(F.coalesce(F.sum(F.size("g")), F.lit(0)), F.count_if("branching")).first()
+        filters = word_filter(above.select(F.explode("g").alias("g")), many), word_filter(above.where("branching").select("c"), branching)
+        rows = _counts(train, k, config.least, *filters).drop("up")
+        rows = rows.unionByName(above.where("branching").select(part("c"), F.lit(ABOVE).alias("kind"), "c", "ups", "ns", "n", "g", "p"), True)
+        levels.append(materialize(_level(rows, k, config, 1 / (n + v + 1)), "lm-level", hashes=True))
+        for x in filters:
+            x.destroy()
     return words, n, v, levels
 
 
-def _model(levels: list[Level], config: TreeConfig) -> DataFrame:
-    """kind, key, n, v of all retained contexts (kind 0: log10 of what the next shorter one counts for) and of their next words (kind 1:
-    log10 of the probability). n is the context's count."""
-    out, longer = None, None
+def _model(levels: list[DataFrame], config: TreeConfig) -> list[DataFrame]:
+    """The retained contexts of each level, with log10 of the probabilities of their next words."""
+    out, longer = [], None
     for k in range(len(levels), 0, -1):
         level = levels[k - 1]
-        kept = level.stats.where(F.col("gain") >= config.divergence).select("context")
+        own = level.where(F.col("gain") >= config.divergence)
         if longer is not None:  # with all their suffixes
-            kept = kept.unionByName(longer.join(level.pairs, longer["context"] == level.pairs["g"]).select(F.col("suffix").alias("context")))
-        longer = materialize(level.stats.join(kept.distinct(), "context", "left_semi"), "lm-retained")
-        contexts = longer.select(F.lit(0).alias("kind"), F.col("context").alias("key"), "n", F.log10(F.col("r") / F.col("z")).alias("v"))
-        words = level.probs.drop("n").join(longer.select("context", "n"), "context").select(F.lit(1).alias("kind"), F.col("g").alias("key"), "n", F.log10("p").alias("v"))
-        both = contexts.unionByName(words)
-        out = both if out is None else out.unionByName(both)
-    return materialize(out, "lm-model")
-
-
-def _least(counts: DataFrame, kinds: int, most: tuple[int, ...]) -> float:
-    """The lowest step, of eighths of a power of two, from which on there are no more rows than `most` of any kind; found without a sort."""
-    held, least = [0] * kinds, math.inf
-    for step, *many in sorted(counts.collect(), reverse=True):
-        held = [h + m for h, m in zip(held, many, strict=True)]
-        if any(h > m for h, m in zip(held, most, strict=True)):
-            break
-        least = step
-    return least
+            kept = own.select("c").unionByName(longer.select(F.element_at("ups", -1).alias("c")))
+            own = level.join(kept.distinct(), "c", "left_semi")
+        longer = materialize(own.select("c", "ups", "ns", "n", "v", "g", F.transform("p", F.log10).alias("p")), "lm-retained", hashes=True)
+        discard(level)
+        out.append(longer)
+    return out
 
 
 def _arrays(df: DataFrame, *cols: str) -> tuple[np.ndarray, ...]:
@@ -202,10 +289,18 @@ class Lookup:
     """Places of 64-bit hashes in a table of them, by their leading bits."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys.view(np.uint64))
+        keys = keys.view(np.uint64)
+        self.order = key_order(keys)
+        self.keys = keys[self.order]
         bits = max(1, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __getstate__(self) -> np.ndarray:
+        return self.keys  # a broadcast is a file on every worker
+
+    def __setstate__(self, keys: np.ndarray) -> None:
+        self.__init__(keys)
 
     def find(self, q: np.ndarray) -> np.ndarray:
         """Where each is, or -1."""
@@ -229,8 +324,8 @@ class Head:
         self.depth = depth
         self.tables = []
         for keys, values in (contexts, following, words):
-            order = np.argsort(keys.view(np.uint64))
-            self.tables.append((Lookup(keys), values[order].astype(np.float64)))
+            lookup = Lookup(keys)
+            self.tables.append((lookup, values[lookup.order].astype(np.float64)))
 
     def walk(self, s: np.ndarray, place: np.ndarray, less: float, tail: np.ndarray):
         """For every symbol but starts: its place in s; the place among words, or -1; log10 of the probability by the longest retained
@@ -260,7 +355,7 @@ class Head:
         return at, w, v, alone, beyond
 
 
-DOCUMENT, RARE, BEYOND = 0, 1, 2
+DOCUMENT, RARE, BEYOND, TAIL, MORE = range(5)
 
 
 def score_texts(
@@ -287,78 +382,153 @@ def score_texts(
     spark = docs.sparkSession
     small_batches(spark, 512)
     source = docs.select(F.col(id_col).alias("id"), train_mask.alias("trained"), text_bytes(text_col).alias("text"))
+    with shuffles_removed(spark):
+        return _scored(source, id_col, config, head_words, head_contexts, head_next)
+
+
+def _scored(source: DataFrame, id_col: str, config: TreeConfig, head_words: int, head_contexts: int, head_next: int) -> DataFrame:
+    spark = source.sparkSession
     words, n, v, levels = _levels(source.where("trained").select("text"), config)
-    model = _model(levels, config)
-    step = F.floor(F.log2("n") * 8)
-    word_step = _least(words.groupBy(step.alias("step")).count(), 1, (head_words,))
-    least = _least(model.groupBy(step.alias("step")).agg(F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)), 2, (head_contexts, head_next))
+    kept_tables = _model(levels, config)
+    model = functools.reduce(DataFrame.unionByName, kept_tables)
+    log_step = lambda c: F.floor(F.log2(c) * 8)
+    step = log_step("n")
+    word_step, _ = least_step(words.groupBy(step.alias("step")).count(), (head_words,))
+    least, _ = least_step(model.groupBy(step.alias("step")).agg(F.count("*"), F.sum(F.size("g"))), (head_contexts, head_next))
     within = lambda df, x: df.where(step >= x) if x < math.inf else df.limit(0)
+    frequent = within(model, least)
     head = Head(
-        *(_arrays(within(model.where(F.col("kind") == k), least), "key", "v") for k in (0, 1)),
+        _arrays(frequent, "c", "v"),
+        _arrays(frequent.select(F.explode(F.arrays_zip("g", "p")).alias("x")).select("x.g", "x.p"), "g", "p"),
         _arrays(within(words, word_step).select("key", F.log10(F.col("n") + 1).alias("v")), "key", "v"),
         config.depth,
     )
-    rarer = model.where(step < least) if least < math.inf else model
-    contexts = rarer.where("kind = 0").select(F.col("key").alias("c"), F.col("v").alias("weight"))
-    following = rarer.where("kind = 1").select(F.col("key").alias("g"), F.col("v").alias("p"))
-    tail = word_filter(contexts.select("c"), contexts.count())
-    shared, less = spark.sparkContext.broadcast(head), math.log10(n + v + 1)
-    keys = ArrayType(LongType())
-    schema = StructType(
-        [StructField("kind", IntegerType()), StructField("row", LongType()), source.schema["id"], StructField("trained", BooleanType())]
-        + [StructField(c, t()) for c, t in (("n_tokens", LongType), ("n_known", LongType), ("base", DoubleType), ("score", DoubleType), ("key", LongType), ("times", LongType), ("alone", LongType))]
-        + [StructField("contexts", keys), StructField("grams", keys)]
-    )
+    tail = model.where(step < least) if least < math.inf else model
+    late = word_filter(tail.select("c"), tail.count())
+    shared, less, parts = spark.sparkContext.broadcast(head), math.log10(n + v + 1), _parts(spark)
+    # a context of the tail is looked up where the shortest of its suffixes that is in the tail too is looked up
+    beyond = F.filter(F.arrays_zip("ups", "ns"), lambda x: log_step(x["ns"]) < least if least < math.inf else F.lit(True))
+    tail = tail.select(F.pmod(F.coalesce(F.get(beyond, F.lit(0))["ups"], F.col("c")), F.lit(parts)).cast("int").alias("part"), F.lit(TAIL).alias("kind"), "c", "v", "g", "p")
+    plain = [StructField("row", LongType()), source.schema["id"], StructField("trained", BooleanType())]
+    plain += [StructField(c, t()) for c, t in (("n_tokens", LongType), ("n_known", LongType), ("base", DoubleType), ("score", DoubleType))]
+    blocks = ("rows", "keys", "times", "alone", "scores", "sizes", "contexts", "grams")
+    kinds = [StructField("part", IntegerType()), StructField("kind", IntegerType())]
+    schema = StructType(kinds + plain + [StructField(c, BinaryType()) for c in blocks])
+    ended = StructType([kinds[1], *plain, *(StructField(c, LongType()) for c in ("key", "times", "alone"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, head = Powers(), shared.value
+        types: dict[str, pa.DataType] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(kind: int, part: np.ndarray, **cols: pa.Array) -> pa.RecordBatch:
+            cols |= {"part": pa.array(part.astype(np.int32)), "kind": pa.array(np.full(len(part), kind, np.int32))}
+            return pa.RecordBatch.from_arrays([cols[f] if f in cols else pa.nulls(len(part), types.get(f, pa.binary())) for f in schema.names], names=schema.names)
+
+        def chains() -> Iterator[pa.RecordBatch]:
+            """Symbols beyond the head, by the partition of their first context."""
+            if held:
+                rows, scores, keys, alone, sizes, c, g = (np.concatenate(x) for x in zip(*held, strict=True))
+                part = _part(c[np.r_[0, np.cumsum(sizes)[:-1]]], parts)
+                order, each = np.argsort(part, kind="stable"), np.argsort(np.repeat(part, sizes), kind="stable")
+                starts = run_starts(part[order])
+                cuts = np.r_[starts, len(order)]
+                wide = np.r_[0, np.cumsum(sizes[order])][cuts]
+                cols = {"rows": rows, "scores": scores, "keys": keys, "alone": alone, "sizes": sizes.astype(np.int8)}
+                yield out(BEYOND, part[order[starts]], **{f: binary(x[order], cuts) for f, x in cols.items()}, contexts=binary(c[each], wide), grams=binary(g[each], wide))
+            held.clear()
+
+        size = 0
         for batch in batches:
-            types = {f.name: f.type for f in batch.schema} | dict(n_tokens=pa.int64(), n_known=pa.int64(), base=pa.float64(), score=pa.float64(), key=pa.int64(), times=pa.int64(), alone=pa.int64(), contexts=pa.list_(pa.int64()), grams=pa.list_(pa.int64()))
-
-            def out(kind: int, size: int, **cols) -> pa.RecordBatch:
-                cols = {"kind": pa.array(np.full(size, kind, np.int32))} | {c: x if isinstance(x, pa.Array) else pa.array(x, types[c]) for c, x in cols.items()}
-                return pa.RecordBatch.from_arrays([cols[f] if f in cols else pa.nulls(size, types[f]) for f in schema.names], names=schema.names)
-
+            types |= {f.name: f.type for f in batch.schema} | dict(n_tokens=pa.int64(), n_known=pa.int64(), base=pa.float64(), score=pa.float64())
             a = 0
             for hashes, counts in word_runs(batch.column("text"), powers):
                 s, place = sequence(hashes, counts)
                 own = batch.slice(a, len(counts))
                 a += len(counts)
                 text = np.repeat(np.arange(len(counts)), counts + 1)  # of every symbol but the starts
-                at, w, logp, alone, beyond = head.walk(s, place, less, tail.value)
+                at, w, logp, alone, beyond = head.walk(s, place, less, late.value)
                 sums = lambda x: np.bincount(text, x, len(counts))
                 logs = head.tables[2][1]
                 base = np.where(w >= 0, logs[w], 0.0) if len(logs) else np.zeros(len(w))
-                late = np.zeros(len(at), bool)
+                waits = np.zeros(len(at), bool)
                 if beyond:
-                    late[np.concatenate([x for x, _, _ in beyond])] = True
-                yield out(DOCUMENT, len(counts), row=own.column("row"), id=own.column("id"), trained=own.column("trained"), n_tokens=counts + 1, n_known=sums(w >= 0).astype(np.int64), base=sums(base), score=sums(np.where(late, 0.0, logp)))
-                rows = own.column("row").to_numpy()[text]
+                    waits[np.concatenate([x for x, _, _ in beyond])] = True
+                row = own.column("row").to_numpy()
+                numbers = {"n_tokens": counts + 1, "n_known": sums(w >= 0).astype(np.int64), "base": sums(base), "score": sums(np.where(waits, 0.0, logp))}
+                yield out(DOCUMENT, row % parts, row=own.column("row"), id=own.column("id"), trained=own.column("trained"), **{f: pa.array(x) for f, x in numbers.items()})
+                rows = row[text]
                 rare = np.flatnonzero(w < 0)
                 if len(rare):
                     order = rare[np.lexsort((s[at[rare]], text[rare]))]
                     word = s[at[order]]
                     first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[order[1:]] != text[order[:-1]])])
-                    yield out(RARE, len(first), row=rows[order[first]], key=signed(word[first]), times=np.diff(np.r_[first, len(order)]), alone=np.add.reduceat((alone & ~late)[order].astype(np.int64), first))
+                    cols = {"rows": rows[order[first]], "keys": word[first], "times": np.diff(np.r_[first, len(order)]), "alone": np.add.reduceat((alone & ~waits)[order].astype(np.int64), first)}
+                    whole = np.array([0, len(first)])
+                    yield out(RARE, row[:1] % parts, **{f: binary(x, whole) for f, x in cols.items()})
                 if beyond:
                     i, c, g = (np.concatenate([x[j] for x in beyond]) for j in range(3))
                     order = np.argsort(i, kind="stable")
                     first = run_starts(i[order])
-                    i, cuts = i[order[first]], pa.array(np.r_[first, len(order)], pa.int32())
-                    lists = {c_: pa.ListArray.from_arrays(cuts, pa.array(signed(x[order]))) for c_, x in (("contexts", c), ("grams", g))}
-                    yield out(BEYOND, len(i), row=rows[i], score=logp[i], key=pa.array(signed(s[at[i]]), mask=(w[i] >= 0) | ~alone[i]), times=i, **lists)
-
-    scored = materialize(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema), "lm-scored")
-    # of symbols beyond the head: next words and weights of all contexts, shorter ones first
-    each = scored.where(F.col("kind") == BEYOND).select("row", "times", "score", "key", F.posexplode(F.arrays_zip("contexts", "grams")).alias("i", "x")).select("row", "times", "score", "key", "i", F.col("x.contexts").alias("c"), F.col("x.grams").alias("g"))
-    each = each.join(contexts, "c", "left").join(following, "g", "left")
-    chain = each.groupBy("row", "times").agg(F.first("score").alias("score"), F.first("key").alias("key"), F.max("p").alias("found"), F.array_sort(F.collect_list(F.struct("i", "p", "weight"))).alias("chain"))
-    late = chain.select("row", F.when(F.col("found").isNull(), F.col("key")).alias("key"), F.aggregate("chain", F.col("score"), lambda a, x: F.coalesce(x["p"], a + F.coalesce(x["weight"], F.lit(0.0)))).alias("late"))
-    late = materialize(late, "lm-late")
-    rare = scored.where(F.col("kind") == RARE).select("row", "key", "times", "alone").unionByName(late.where("key is not null").select("row", "key", F.lit(0).cast("long").alias("times"), F.lit(1).cast("long").alias("alone")))
+                    i = i[order[first]]
+                    unknown = (w[i] < 0) & alone[i]
+                    held.append((rows[i], logp[i], np.where(unknown, s[at[i]], np.uint64(0)), unknown, np.diff(np.r_[first, len(order)]), c[order], g[order]))
+                    size += len(i)
+                    if size >= CHAINS:
+                        yield from chains()
+                        size = 0
+        yield from chains()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents and rare words as they are; of symbols beyond the head what they add to their rows, and the words that no context knows."""
+        types: dict[str, pa.DataType] = {}
+
+        def out(kind: int, size: int, **cols) -> pa.RecordBatch:
+            cols = {f: x if isinstance(x, pa.Array) else pa.array(x) for f, x in cols.items()} | {"kind": pa.array(np.full(size, kind, np.int32))}
+            return pa.RecordBatch.from_arrays([cols[f] if f in cols else pa.nulls(size, types.get(f, pa.int64())) for f in ended.names], names=ended.names)
+
+        kept: dict[int, list[pa.Table]] = {TAIL: [], BEYOND: []}
+        for batch in batches:
+            types |= {f.name: batch.schema.field(f.name).type for f in plain}
+            for kind, t in _tables(iter([batch])).items():
+                if kind in kept:
+                    kept[kind].append(t.select(["c", "v", "g", "p"] if kind == TAIL else ["rows", "scores", "keys", "alone", "sizes", "contexts", "grams"]))
+                elif kind == DOCUMENT:
+                    for x in t.select([f.name for f in plain]).to_batches():
+                        yield out(DOCUMENT, len(x), **dict(zip(x.schema.names, x.columns, strict=True)))
+                else:
+                    row = unpacked(t["rows"], np.int64)
+                    yield out(RARE, len(row), row=row, key=unpacked(t["keys"], np.int64), times=unpacked(t["times"], np.int64), alone=unpacked(t["alone"], np.int64))
+        if not kept[BEYOND]:
+            return
+        t = pa.concat_tables(kept[BEYOND])
+        row, value, key, alone = unpacked(t["rows"], np.int64), unpacked(t["scores"], np.float64), unpacked(t["keys"], np.int64), unpacked(t["alone"], np.bool_)
+        sizes, c, g = unpacked(t["sizes"], np.int8).astype(np.int64), unpacked(t["contexts"], np.uint64), unpacked(t["grams"], np.uint64)
+        known = np.zeros(len(row), bool)
+        if kept[TAIL]:
+            t = pa.concat_tables(kept[TAIL])
+            contexts, following = Lookup(t["c"].to_numpy()), Lookup(pc.list_flatten(t["g"]).to_numpy())
+            weight, p = t["v"].to_numpy()[contexts.order], pc.list_flatten(t["p"]).to_numpy()[following.order]
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            for j in range(int(sizes.max())):  # shorter contexts first
+                i = np.flatnonzero(sizes > j)
+                of, word = contexts.find(c[first[i] + j]), following.find(g[first[i] + j])
+                value[i] = np.where(word >= 0, p[word], value[i] + np.where(of >= 0, weight[of], 0.0))
+                known[i[word >= 0]] = True
+        order = np.argsort(row, kind="stable")
+        starts = run_starts(row[order])
+        yield out(MORE, len(starts), row=row[order[starts]], score=np.add.reduceat(value[order], starts))
+        i = np.flatnonzero(alone & ~known)
+        yield out(RARE, len(i), row=row[i], key=key[i], times=np.zeros(len(i), np.int64), alone=np.ones(len(i), np.int64))
+
+    scored = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema).unionByName(tail, True)
+    scored = materialize(scored.repartitionById(parts, F.col("part")).mapInArrow(resolve, ended), "lm-scored", hashes=True)
+    for x in kept_tables:
+        discard(x)
+    rare = scored.where(F.col("kind") == RARE).select("row", "key", "times", "alone")
     log = F.log10(F.col("n") + 1)
     more = rare.join(words.where(step < word_step) if word_step < math.inf else words, "key").select("row", F.col("times").alias("known"), (F.col("times") * log).alias("base_more"), (F.col("alone") * log).alias("score_more"))
-    more = more.unionByName(late.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base_more"), F.col("late").alias("score_more")))
+    more = more.unionByName(scored.where(F.col("kind") == MORE).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base_more"), F.col("score").alias("score_more")))
     more = more.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base_more").alias("base_more"), F.sum("score_more").alias("score_more"))
     return scored.where(F.col("kind") == DOCUMENT).select("row", "id", "trained", "n_tokens", "n_known", "base", "score").join(more, "row", "left").select(
         F.col("id").alias(id_col),
