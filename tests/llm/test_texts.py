@@ -21,6 +21,7 @@ from waylattice.llm.common import Powers, crc_mod, key_order, shared_dir, word_r
 from waylattice.llm.mixing import mix_sources, source_targets
 from waylattice.llm.quality import accepted, fit_quality, quality_scores, statistics, statistics_table
 from waylattice.llm.quality import labelled as labelled_rows
+from waylattice.llm import suffix_tree
 from waylattice.llm.suffix_tree import TreeConfig, score_texts
 from waylattice.llm.toxicity import Folding, Lexicon, LexiconConfig, calibrate, folded, measures, toxicity_scores
 from waylattice.llm.url_filter import LONG, RULES, Automaton, Rule, filter_urls
@@ -204,6 +205,48 @@ def test_the_tree_leaves_only_tables_that_its_result_reads(spark):
     assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before) == ["lm-scored", "lm-words"]
 
 
+def test_counts_of_a_task_take_few_bytes():
+    # 200,000 different pairs of different contexts, half of them with a next word that was not seen: 18 bytes a pair of what is sent at once at most
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(1, 1 << 64, 200_000, np.uint64), rng.integers(1, 1 << 64, 200_000, np.uint64)
+    b[::2] = suffix_tree.NONE
+    up = (b % np.uint64(7)).astype(np.int16)
+    for level in (1, 2):
+        sums = suffix_tree.Sums(7, level)
+        assert not list(sums.add(a, b, up)) + list(sums.add(a[:50_000], b[:50_000], up[:50_000]))
+        out = list(sums.out())
+        assert max(x.nbytes for x in out) <= suffix_tree.SENT and not list(sums.out())
+        assert sum(x.column("a").nbytes + x.column("b").nbytes for x in out) <= (20 if level == 1 else 13) * len(a)
+        got = collections.Counter()
+        for x in out:
+            of = lambda c, kind, x=x: suffix_tree.unpacked(pa.chunked_array([x.column(c)]), kind)  # noqa: B023, E731
+            if level == 2:
+                assert of("x", np.int32).sum() > 0 and (of("up", np.int16) < 7).all()
+                for pair, n in zip(zip(np.repeat(of("a", np.uint64), of("many", np.int32)).tolist(), of("b", np.uint64).tolist(), strict=True), of("times", np.int32).tolist(), strict=True):
+                    got[pair] += n
+        if level == 2:
+            assert got == collections.Counter(zip(a[1::2].tolist(), b[1::2].tolist(), strict=True)) + collections.Counter(zip(a[1:50_000:2].tolist(), b[1:50_000:2].tolist(), strict=True))
+
+
+def test_pairs_and_first_hashes_are_sorted_together():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 1 << 64, 300, np.uint64)[rng.integers(0, 300, 20_000)], rng.integers(0, 1 << 64, 90, np.uint64)[rng.integers(0, 90, 20_000)]
+    order = suffix_tree.pair_order(a, b, 2)
+    x, y = a[order], b[order]
+    assert sorted(order.tolist()) == list(range(20_000)) and 1 + (x[1:] != x[:-1]).sum() == len(set(a.tolist()))
+    assert 1 + ((x[1:] != x[:-1]) | (y[1:] != y[:-1])).sum() == len(set(zip(a.tolist(), b.tolist(), strict=True)))
+
+
+def test_rows_of_symbols_beyond_the_head_may_lie_far_apart(spark, monkeypatch):
+    rows = [x for t in passages(6, 40) for x in (t, "")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    want = dict(score_texts(df, F.lit(True)).select("doc_id", "score").collect())
+    for chains, apart in ((500_000, 4), (50, 1 << 16)):
+        monkeypatch.setattr(suffix_tree, "CHAINS", chains)
+        monkeypatch.setattr(suffix_tree, "CHAIN_ROWS", apart)
+        assert dict(score_texts(df, F.lit(True), head_words=5, head_contexts=5, head_next=20).select("doc_id", "score").collect()) == pytest.approx(want, rel=1e-9)
+
+
 def test_hashes_are_sorted_also_if_they_agree_in_their_leading_bits():
     rng = np.random.default_rng(3)
     for keys in (np.empty(0, np.uint64), rng.integers(0, 1 << 64, 5_000, np.uint64), rng.integers(0, 40, 5_000).astype(np.uint64)):
